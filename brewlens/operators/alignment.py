@@ -61,13 +61,12 @@ def resample(aligned: DataFrame, resolution_minutes: float, policy: SkewPolicy =
     step = round(resolution_minutes * 60_000_000)
     if step < 1:
         raise ValueError("resolution_minutes is too small")
-    low = aligned.agg(F.min("elapsed_us")).scalar()
-    high = aligned.agg(F.max("elapsed_us")).scalar()
+    span = aligned.agg(F.struct(F.min("elapsed_us").alias("low"), F.max("elapsed_us").alias("high"))).scalar()
     here = F.struct(F.col("elapsed_us").alias("t"), F.col("value").alias("v"))
     linked = carry(
         aligned.select(*SERIES, "elapsed_us", "value"), SERIES, ["elapsed_us"], F.col("elapsed_us"),
         backward={"next": (here, False)}, policy=policy,
-    ).withColumns({"low": low, "high": high})
+    ).withColumn("span", span).withColumns({"low": F.col("span.low"), "high": F.col("span.high")})
     last_point = F.ceil((F.col("high") - F.col("low")) / step + 0.5) - 1
     k0 = F.ceil((F.col("elapsed_us") - F.col("low")) / step)
     k1 = F.when(F.col("next").isNull(), last_point).otherwise(

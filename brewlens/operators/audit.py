@@ -21,61 +21,44 @@ HASHED_FIELDS = (
 UUID_PATTERN = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 
 
-def _unit(code: Column) -> Column:
-    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
-
-
-def _escape_char(c: Column) -> Column:
-    code = F.ascii(c)
-    above = code - 0x10000
-    pair = F.concat(
-        _unit(F.lit(0xD800) + F.shiftright(above, 10)), _unit(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF)))
-    )
+_ESCAPED = r"""CASE
+  WHEN c = '"' THEN r'\"' WHEN c = r'\' THEN r'\\'
+  WHEN ascii(c) BETWEEN 32 AND 126 THEN c
+  WHEN c = '\n' THEN r'\n' WHEN c = '\r' THEN r'\r' WHEN c = '\t' THEN r'\t'
+  WHEN ascii(c) = 8 THEN r'\b' WHEN ascii(c) = 12 THEN r'\f'
+  WHEN ascii(c) > 65535 THEN concat(
+    r'\u', lower(hex(55296 + shiftright(ascii(c) - 65536, 10))), r'\u', lower(hex(56320 + ((ascii(c) - 65536) & 1023))))
+  ELSE concat(r'\u', lower(lpad(hex(ascii(c)), 4, '0'))) END"""
+
+
+def json_text(value: str) -> str:
+    """SQL for a string as an ASCII-only JSON literal; plain text, the usual case, is only quoted."""
+    text = f"coalesce({value}, '')"
     return (
-        F.when(c == '"', F.lit('\\"'))
-        .when(c == "\\", F.lit("\\\\"))
-        .when(code.between(32, 126), c)
-        .when(c == "\n", F.lit("\\n"))
-        .when(c == "\r", F.lit("\\r"))
-        .when(c == "\t", F.lit("\\t"))
-        .when(c == "\b", F.lit("\\b"))
-        .when(c == "\f", F.lit("\\f"))
-        .when(code > 0xFFFF, pair)
-        .otherwise(_unit(code))
+        f"""concat('"', CASE WHEN {text} RLIKE r'^[ !#-\[\]-~]*\z' THEN {text} """
+        f"""ELSE array_join(transform(split({text}, ''), c -> {_ESCAPED}), '') END, '"')"""
     )
 
 
-def json_text(value: Column) -> Column:
-    """A string as an ASCII-only JSON literal, built without leaving the JVM."""
-    text = F.coalesce(value, F.lit(""))
-    plain = text.rlike(r"^[ !#-\[\]-~]*\z")
-    escaped = F.array_join(F.transform(F.split(text, ""), _escape_char), "")
-    return F.concat(F.lit('"'), F.when(plain, text).otherwise(escaped), F.lit('"'))
-
-
-def iso_timestamp(ts: Column) -> Column:
-    """ISO 8601 in UTC; the fraction is written only when it is not zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
-    tail = F.when(fraction == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(fraction.cast("string"), 6, "0")))
-    return F.concat(whole, tail, F.lit("+00:00"))
+def iso_timestamp(ts: str) -> str:
+    """SQL for ISO 8601 in UTC; the fraction is written only when it is not zero."""
+    fraction = f"pmod(unix_micros({ts}), 1000000)"
+    return (
+        f"concat(date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss\"), CASE WHEN {fraction} = 0 THEN '' "
+        f"ELSE concat('.', lpad(cast({fraction} AS string), 6, '0')) END, '+00:00')"
+    )
 
 
-def canonical_text(previous: Column | None = None) -> Column:
+def canonical_text(previous: str = "previous_entry_hash") -> Column:
     """Canonical JSON of an entry: fixed key order, no spaces, ASCII only, without the signature.
 
-    ``previous`` replaces the stored predecessor hash.
+    ``previous`` is the SQL expression of the predecessor hash.
     """
-    parts: list[Column] = [F.lit("{")]
-    for n, name in enumerate(HASHED_FIELDS):
-        if name == "timestamp":
-            value = json_text(iso_timestamp(F.col("timestamp")))
-        elif name == "previous_entry_hash" and previous is not None:
-            value = json_text(previous)
-        else:
-            value = json_text(F.col(name))
-        parts += [F.lit(("," if n else "") + f'"{name}":'), value]
-    return F.concat(*parts, F.lit("}"))
+    fields = {n: n for n in HASHED_FIELDS}
+    fields["timestamp"] = iso_timestamp("`timestamp`")
+    fields["previous_entry_hash"] = previous
+    members = ", ',', ".join(f"""'"{n}":', {json_text(e)}""" for n, e in fields.items())
+    return F.expr(f"concat('{{', {members}, '}}')")
 
 
 def with_entry_hash(entries: DataFrame, name: str = "entry_hash") -> DataFrame:
@@ -101,13 +84,10 @@ def append_entries(
     """
     # Cut the text at the link field. Quotes inside user text are escaped, so the first occurrence of the
     # quoted field name with an empty value is the field itself.
-    cut = F.lit('"previous_entry_hash":"')
-    text = canonical_text(F.lit(""))
-    position = F.locate('"previous_entry_hash":""', text)
-    prepared = new.withColumns({
-        "_head": F.concat(F.substring(text, F.lit(1), position - 1), cut),
-        "_tail": F.substring(text, position + F.lit(len('"previous_entry_hash":"')), F.length(text)),
-    })
+    prepared = new.withColumn("_text", canonical_text("''")).withColumns({
+        "_head": F.expr("""substring(_text, 1, locate('"previous_entry_hash":""', _text) + 22)"""),
+        "_tail": F.expr("""substring(_text, locate('"previous_entry_hash":""', _text) + 23)"""),
+    }).drop("_text")
     if existing is not None:
         prepared = prepared.join(last_hashes(existing), "tenant_id", "left")
         prepared = prepared.withColumn("seq", F.col("seq") + F.coalesce(F.col("last_seq") + 1, F.lit(0)))

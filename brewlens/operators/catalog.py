@@ -184,10 +184,13 @@ def validate_scores(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- change log ----------------------------------------------------------------------------------------
 
 
-def log_rows(batches: DataFrame, version: int, deleted: bool = False) -> DataFrame:
-    """Catalog rows as log rows of one version."""
+def log_rows(batches: DataFrame, version: int, deleted: bool = False, cascade: bool = False) -> DataFrame:
+    """Catalog rows as log rows of one version; ``cascade`` also hides the batch's measurements."""
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in BATCHES.fields]
-    return batches.select(*cols, F.lit(version).cast("long").alias("_version"), F.lit(deleted).alias("_deleted"))
+    return batches.select(
+        *cols, F.lit(version).cast("long").alias("_version"), F.lit(deleted).alias("_deleted"),
+        F.lit(cascade).alias("_cascade"),
+    )
 
 
 def current_batches(log: DataFrame) -> DataFrame:
@@ -199,6 +202,12 @@ def current_batches(log: DataFrame) -> DataFrame:
     return newest.where(~F.col("row._deleted")).select("row.*").drop("_deleted")
 
 
+def cascaded_ids(log: DataFrame) -> DataFrame:
+    """Batches whose newest version is a cascading deletion."""
+    newest = log.groupBy("batch_id").agg(F.max_by(F.struct("_deleted", "_cascade"), F.col("_version")).alias("r"))
+    return newest.where("r._deleted and r._cascade").select("batch_id")
+
+
 def duplicate_ids(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Ids of ``incoming`` that exist already or occur twice in it."""
     exists = incoming.select("batch_id").join(current.select("batch_id"), "batch_id", "left_semi")

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, ordinals
 from brewlens.plans.skew import SALTS, salted_join
@@ -39,13 +38,12 @@ def leaves(entries: DataFrame, hash_column: str = "entry_hash", policy: SkewPoli
     )
 
 
-def _pair_up(nodes: Column) -> Column:
-    """One level up: neighbours hashed together, a lone last node promoted."""
-    n = F.size(nodes)
-    return F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")),
-        lambda i: F.when(2 * i + 1 < n, node_hash(F.get(nodes, 2 * i), F.get(nodes, 2 * i + 1)))
-        .otherwise(F.get(nodes, 2 * i)),
+def _pair_up(nodes: str) -> str:
+    """SQL for one level up: neighbours hashed together, a lone last node promoted."""
+    return (
+        f"transform(sequence(0, (size({nodes}) - 1) div 2), i -> CASE WHEN 2 * i + 1 < size({nodes}) "
+        f"THEN unhex(sha2(concat(X'01', get({nodes}, 2 * i), get({nodes}, 2 * i + 1)), 256)) "
+        f"ELSE get({nodes}, 2 * i) END)"
     )
 
 
@@ -60,8 +58,8 @@ def roots(tree_leaves: DataFrame) -> DataFrame:
     """(tenant_id, size, root) with the root as lower-case hex."""
     level = tree_leaves
     for _ in range(ROUNDS):
-        top = F.aggregate(F.sequence(F.lit(1), F.lit(BITS)), F.col("nodes"), lambda acc, _step: _pair_up(acc))
-        level = _gather(level).select("tenant_id", "size", "idx", F.get(top, F.lit(0)).alias("hash"))
+        top = F.expr(f"get(aggregate(sequence(1, {BITS}), nodes, (acc, step) -> {_pair_up('acc')}), 0)")
+        level = _gather(level).select("tenant_id", "size", "idx", top.alias("hash"))
     return level.select("tenant_id", "size", F.lower(F.hex("hash")).alias("root"))
 
 
@@ -69,28 +67,20 @@ def nodes(tree_leaves: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(tenant_id, size, level, idx, hash): every node, with promoted nodes repeated on each level."""
     level = tree_leaves.select("tenant_id", "size", "idx", "hash")
     table = level.withColumn("level", F.lit(0))
-    state = T.StructType([
-        T.StructField("cur", T.ArrayType(T.BinaryType())),
-        T.StructField("all", T.ArrayType(T.ArrayType(T.BinaryType()))),
-    ])
+    built = F.expr(
+        f"aggregate(sequence(1, {BITS}), "
+        "named_struct('cur', nodes, 'all', cast(array() AS array<array<binary>>)), "
+        f"(acc, step) -> named_struct('cur', {_pair_up('acc.cur')}, 'all', concat(acc.all, array({_pair_up('acc.cur')}))))"
+    )
     for r in range(rounds):
-        start = F.struct(F.col("nodes").alias("cur"), F.array().cast("array<array<binary>>").alias("all")).cast(state)
-        built = F.aggregate(
-            F.sequence(F.lit(1), F.lit(BITS)), start,
-            lambda acc, _step: F.struct(
-                _pair_up(acc["cur"]).alias("cur"),
-                F.concat(acc["all"], F.array(_pair_up(acc["cur"]))).alias("all"),
-            ),
-        )
         grouped = _gather(level).select("tenant_id", "size", "idx", built.alias("b"))
         upper = grouped.select(
             "tenant_id", "size", F.col("idx").alias("block"), F.posexplode("b.all").alias("step", "hashes")
         ).select(
             "tenant_id", "size", "block", "step", F.posexplode("hashes").alias("k", "hash")
         )
-        position = F.expr(f"shiftleft(block, {BITS - 1} - step)") + F.col("k")
         table = table.unionByName(upper.select(
-            "tenant_id", "size", position.cast("long").alias("idx"), "hash",
+            "tenant_id", "size", F.expr(f"shiftleft(block, {BITS - 1} - step) + k").cast("long").alias("idx"), "hash",
             (F.col("step") + 1 + r * BITS).cast("int").alias("level"),
         ))
         level = grouped.select("tenant_id", "size", "idx", F.get("b.cur", F.lit(0)).alias("hash"))
@@ -99,7 +89,7 @@ def nodes(tree_leaves: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def _height() -> Column:
     """Levels above the leaves of a tree of ``size`` leaves."""
-    return F.when(F.col("size") <= 1, 0).otherwise(F.ceil(F.log2(F.col("size").cast("double")))).cast("int")
+    return F.expr("CASE WHEN size <= 1 THEN 0 ELSE length(bin(size - 1)) END")
 
 
 def inclusion_proofs(targets: DataFrame, node_table: DataFrame) -> DataFrame:

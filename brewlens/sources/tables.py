@@ -16,7 +16,10 @@ from brewlens import schemas
 
 BUCKETS = 256
 
-_LOG = T.StructType([T.StructField("_version", T.LongType()), T.StructField("_deleted", T.BooleanType())])
+_LOG = T.StructType([
+    T.StructField("_version", T.LongType()), T.StructField("_deleted", T.BooleanType()),
+    T.StructField("_cascade", T.BooleanType()),
+])
 _PHASE_LOG = T.StructType([
     T.StructField("method", T.StringType()), T.StructField("_version", T.LongType()),
     T.StructField("_deleted", T.BooleanType()),

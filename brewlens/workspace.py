@@ -13,6 +13,7 @@ from brewlens.functions.scalars import stable_id
 from brewlens.operators import alignment, audit, catalog, compliance, golden, lineage, metrics, phases, query, sensors
 from brewlens.operators import timeseries as ts
 from brewlens.schemas import BATCHES
+from brewlens.session import ship_package
 from brewlens.sources import export as out
 from brewlens.sources import ingest
 from brewlens.sources.tables import TableStore
@@ -26,6 +27,7 @@ class Workspace:
     """Tables below ``root``; every method handles one or many batches with the same plan."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 256) -> None:
+        ship_package(spark)
         self.spark, self.store = spark, TableStore(spark, root, buckets)
 
     # --- catalog ---------------------------------------------------------------------------------------------
@@ -77,24 +79,15 @@ class Workspace:
         self.store.append("batches", catalog.log_rows(good, _version()))
 
     def delete_batch(self, batch_id: str, cascade: bool = False) -> None:
-        """Remove a batch from the catalog; with ``cascade`` its phases too.
+        """Remove a batch from the catalog.
 
-        Measurements stay in the append-only tables and are hidden by :meth:`telemetry` and
-        :meth:`assay` when ``cascade`` is set, because they are read through the catalog then.
+        With ``cascade`` its telemetry, assays, phases and operations are hidden too: reads leave out the
+        batches whose newest catalog version is a cascading deletion.
         """
         row = self.get_batch(batch_id)
         if row.isEmpty():
             raise ValueError(f"no such batch: {batch_id}")
-        version = _version()
-        tombstone = catalog.log_rows(row.withColumn("tags", F.array(F.lit("cascade")) if cascade else F.col("tags")),
-                                     version, deleted=True)
-        self.store.append("batches", tombstone)
-
-    def _cascaded(self) -> DataFrame:
-        newest = self.store.read("batches").groupBy("batch_id").agg(
-            F.max_by(F.struct("_deleted", "tags"), F.col("_version")).alias("r")
-        )
-        return newest.where(F.col("r._deleted") & F.array_contains("r.tags", "cascade")).select("batch_id")
+        self.store.append("batches", catalog.log_rows(row, _version(), deleted=True, cascade=cascade))
 
     def search(self, criteria: catalog.BatchFilter) -> DataFrame:
         return catalog.search_batches(self.batches(), criteria)
@@ -108,7 +101,7 @@ class Workspace:
             rows = self.store.read(table)
             if batch_ids is not None:
                 rows = rows.where(F.col("batch_id").isin(list(batch_ids)))
-        return catalog.remove(rows, self._cascaded())
+        return catalog.remove(rows, catalog.cascaded_ids(self.store.read("batches")))
 
     def telemetry(self, batch_ids: Sequence[str] | str | None = None) -> DataFrame:
         return self._measurements("telemetry", batch_ids)
