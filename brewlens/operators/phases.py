@@ -129,8 +129,8 @@ def offline_segments(
     """Segments of the configured signal of every batch (kernel changepoints on the prepared signal)."""
     chosen = telemetry.where(F.col("variable") == config.signal)
     parts = prepared_parts(chosen, window=config.smoothing_window, policy=policy)
-    ordinary, hot = (_segment_signals(part, config) for part in parts)
-    return ordinary.unionByName(hot)
+    ordinary, hot = (None if part is None else _segment_signals(part, config) for part in parts)
+    return ordinary if hot is None else ordinary.unionByName(hot)
 
 
 # --- online segmentation of stored signals -------------------------------------------------------------------
@@ -201,13 +201,16 @@ def label_segments(segments: DataFrame) -> DataFrame:
     The peak segment is the first with the largest positive rate. After it, falling segments are decline
     and near-flat ones stationary; before it, near-flat ones are lag; the rest is unknown.
     """
+    # Windows over segments, not samples: a signal's segments come from the one task that found them.
+    whole = Window.partitionBy(*KEYS)
     rated = segments.withColumn("growth_rate", _growth_rate())
-    stats = rated.groupBy(*KEYS).agg(
-        F.max("growth_rate").alias("_top"),
-        F.min_by("seg", F.struct(-F.col("growth_rate"), F.col("seg"))).alias("_top_seg"),
-        F.max(F.abs("growth_rate")).alias("_largest"),
-    )
-    joined = salted_join(rated, stats, KEYS)
+    joined = rated.withColumns({
+        "_top": F.max("growth_rate").over(whole),
+        "_top_seg": F.min_by(
+            "seg", F.when(F.col("growth_rate").isNotNull(), F.struct(-F.col("growth_rate"), F.col("seg")))
+        ).over(whole),
+        "_largest": F.max(F.abs("growth_rate")).over(whole),
+    })
     rate, has_peak = F.col("growth_rate"), F.col("_top") > 0
     flat = F.abs(rate) < F.lit(K.RATE_TOLERANCE) * F.col("_largest")
     after, before = has_peak & (F.col("seg") > F.col("_top_seg")), has_peak & (F.col("seg") < F.col("_top_seg"))

@@ -75,20 +75,20 @@ def prepared_parts(
     limit: int = K.NAN_GAP_LIMIT,
     policy: SkewPolicy = DEFAULT_POLICY,
     block: int = BLOCK,
-) -> tuple[DataFrame, DataFrame]:
-    """(ordinary signals, hot signals) with ``clean``, ``filled``, ``smoothed``, ``_i`` and ``_n``.
+) -> tuple[DataFrame, DataFrame | None]:
+    """(ordinary signals, hot signals or None) with ``clean``, ``filled``, ``smoothed``, ``_i`` and ``_n``.
 
     They stay apart so that a later per-signal step keeps the ordinary side's partitioning.
     """
     base = telemetry.select(*KEYS, "ts", "value").withColumn("clean", finite(F.col("value")))
     cold, hot = split_hot(base, KEYS, F.unix_micros("ts"), policy)
-    return _ordinary(cold, window, limit), _hot(hot, window, limit, policy, block)
+    return _ordinary(cold, window, limit), None if hot is None else _hot(hot, window, limit, policy, block)
 
 
 def prepare(telemetry: DataFrame, **options) -> DataFrame:
     """Validated, gap-filled and smoothed signal of every (batch, variable)."""
     ordinary, hot = prepared_parts(telemetry, **options)
-    return ordinary.unionByName(hot)
+    return ordinary if hot is None else ordinary.unionByName(hot)
 
 
 def invalid_signals(telemetry: DataFrame) -> DataFrame:

@@ -2,15 +2,16 @@
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. That is the right plan for
 ordinary keys and the wrong one for a key that holds a large share of all rows. The functions here keep
-the single shuffle for ordinary keys and cut only *hot* keys into consecutive position buckets:
+the plain window when no key is hot, and otherwise cut the *hot* keys into consecutive position buckets:
 
-1. one narrow aggregation counts rows per key (combined before its shuffle);
-2. the hot keys, of which there are provably at most ``max_hot_keys``, are broadcast and give each row
-   its bucket without a shuffle;
+1. one narrow aggregation counts rows per key (combined before its shuffle) when the plan is built; it
+   returns the hot keys, of which there are provably at most ``max_hot_keys``;
+2. these are broadcast and give each row its bucket without a shuffle;
 3. rows are shuffled by (key, bucket) and windows run inside a bucket;
 4. one summary row per hot bucket (again a bounded number) carries counts and boundary values across.
 
-Nothing is sampled or dropped, and the result does not depend on where the cuts fall.
+Nothing is sampled or dropped, and the result depends neither on where the cuts fall nor on rows that
+arrive between the count and the run.
 """
 
 from __future__ import annotations
@@ -49,12 +50,24 @@ def hot_keys(df: DataFrame, keys: Sequence[str], pos: Column, policy: SkewPolicy
     return stats.where(F.col("_rows") > limit).select(*keys, "_rows", "_lo", width.alias("_width"))
 
 
+def find_hot(
+    df: DataFrame, keys: Sequence[str], pos: Column, policy: SkewPolicy = DEFAULT_POLICY
+) -> DataFrame | None:
+    """The hot keys as a local table, or None. Runs the counting job."""
+    hot = hot_keys(df, keys, pos, policy)
+    rows = hot.collect()  # at most max_hot_keys rows
+    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], pos: Column, policy: SkewPolicy = DEFAULT_POLICY
-) -> tuple[DataFrame, DataFrame]:
-    """``df`` as (rows of ordinary keys, rows of hot keys); both sides keep the columns of ``df``."""
-    hot = F.broadcast(hot_keys(df, keys, pos, policy).select(*keys))
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` as (rows of ordinary keys, rows of hot keys or None); both keep the columns of ``df``."""
+    hot = find_hot(df, keys, pos, policy)
+    if hot is None:
+        return df, None
+    names = F.broadcast(hot.select(*keys))
+    return df.join(names, list(keys), "left_anti"), df.join(names, list(keys), "left_semi")
 
 
 def _with_bucket(df: DataFrame, keys: Sequence[str], pos: Column, hot: DataFrame, how: str) -> DataFrame:
@@ -83,23 +96,32 @@ def carry(
     forward, backward = dict(forward or {}), dict(backward or {})
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    hot = hot_keys(df, keys, pos, policy)
+    extra = ["_i", "_n"] if index else []
+    hot = find_hot(df, keys, pos, policy)
+
+    def running(partition: list[str], count: Column) -> dict[str, Column]:
+        local = Window.partitionBy(*partition).orderBy(*order)
+        added: dict[str, Column] = {}
+        for name, (value, inclusive) in forward.items():
+            frame = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+            added[name] = F.last(value, ignorenulls=True).over(frame)
+        for name, (value, inclusive) in backward.items():
+            frame = local.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
+            added[name] = F.first(value, ignorenulls=True).over(frame)
+        if index:
+            added["_i"] = (F.row_number().over(local) - 1).cast("long")
+            added["_n"] = count
+        return added
+
+    if hot is None:
+        count = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        return df.withColumns(running(keys, count)).select(*df.columns, *forward, *backward, *extra)
 
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    whole = Window.partitionBy(*keys, "_bucket")
-    rows = _with_bucket(df, keys, pos, hot, "left")
-    added: dict[str, Column] = {}
-    for name, (value, inclusive) in forward.items():
-        frame = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        added[name] = F.last(value, ignorenulls=True).over(frame)
-    for name, (value, inclusive) in backward.items():
-        frame = local.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
-        added[name] = F.first(value, ignorenulls=True).over(frame)
-    if index:
-        added["_i"] = (F.row_number().over(local) - 1).cast("long")
-        added["_n"] = F.coalesce(F.col("_rows"), F.count(F.lit(1)).over(whole))
-    rows = rows.withColumns(added)
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    inside = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bucket"))
+    rows = _with_bucket(df, keys, pos, hot, "left").withColumns(
+        running([*keys, "_bucket"], F.coalesce(F.col("_rows"), inside))
+    )
 
     # One summary row per bucket of a hot key: at most two buckets per hot_rows rows.
     aggregates = [F.count(F.lit(1)).alias("_count")]
@@ -118,7 +140,6 @@ def carry(
     merged: dict[str, Column] = {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in [*forward, *backward]}
     if index:
         merged["_i"] = F.col("_i") + F.coalesce(F.col("_c__i"), F.lit(0))
-    extra = [c for c in ("_i", "_n") if index]
     return result.withColumns(merged).select(*df.columns, *forward, *backward, *extra)
 
 

@@ -291,7 +291,7 @@ def _checks() -> dict[str, str]:
       UNION ALL SELECT source, 'temperature', 'C', l_shipdate, l_extendedprice - 273.15 FROM {raw}
       UNION ALL SELECT source, 'volume', 'L', l_shipdate, l_discount / 1000 FROM {raw}
       UNION ALL SELECT source, 'ph', NULL, l_shipdate, l_tax FROM {raw} WHERE l_linenumber <> 1) GROUP BY 1, 2, 3, 4"""
-    v["column_plan"] = f"""SELECT s.source, p.* FROM (SELECT DISTINCT source FROM {raw}) s, (VALUES
+    v["column_plan"] = f"""SELECT s.source, p.* REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM (SELECT DISTINCT source FROM {raw}) s, (VALUES
       (0, 'timestamp', true, NULL, NULL, NULL, NULL), (1, 'glucose_mg_L', false, 'glucose', 0.96, 'g/L', 'mg/L'),
       (2, 'temp_K', false, 'temperature', 1.0, 'C', 'K'), (3, 'vol_mL', false, 'volume', 0.91, 'L', 'mL'),
       (4, 'pH', false, 'ph', 1.0, NULL, NULL)) p(col_no, header, is_ts, variable, confidence, unit, from_unit)"""

@@ -428,13 +428,13 @@ def golden_profile(spark, sf):
 @_register
 def dtw_scores(spark, sf):
     """Every run against the mean run, on a 12-hour grid."""
-    grid = alignment.resample(_aligned(spark, sf, ["click"]), 720)
+    grid = cut_lineage(alignment.resample(_aligned(spark, sf, ["click"]), 720))  # used for profile and runs
     return golden.score_batches(grid, golden.profile_of(grid), ["click"], time="elapsed_us").drop("error")
 
 
 @_register
 def golden_score_query(spark, sf):
-    grid = alignment.resample(_aligned(spark, sf, ["click"]), 720)
+    grid = cut_lineage(alignment.resample(_aligned(spark, sf, ["click"]), 720))
     scores = golden.score_batches(grid, golden.profile_of(grid), ["click"], time="elapsed_us")
     q = Q.BatchQuery(Q.Views(B.batches(spark, sf), scores=scores))
     return q.select("strain", Q.agg("max", Q.golden_score("golden")).named("best"), Q.agg("count").named("n")).group_by(
