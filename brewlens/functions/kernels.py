@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
 
 import numpy as np
 
@@ -27,6 +28,9 @@ def median_squared_distance(x: np.ndarray) -> float:
     pairs = n * (n - 1) // 2
     if pairs == 0:
         return 0.0
+    if n <= 256:
+        i, j = np.triu_indices(n, 1)
+        return float(np.median((s[j] - s[i]) ** 2))
     rows = np.arange(n)
 
     def count(d: float) -> int:
@@ -52,7 +56,11 @@ def median_squared_distance(x: np.ndarray) -> float:
 
 
 def kernel_changepoints(x: np.ndarray, penalty: float, min_size: int = 10, kernel: str = "rbf") -> list[int]:
-    """End positions (exclusive) of the segments that minimise kernel cost + penalty per segment."""
+    """End positions (exclusive) of the segments that minimise kernel cost + penalty per segment.
+
+    Quadratic in the signal's length at worst and linear in memory: the similarity sums of all open
+    segments are updated as each point arrives. Leading starts that can no longer win are dropped.
+    """
     x = np.asarray(x, dtype=float)
     n = len(x)
     if n < 2 * min_size:
@@ -62,47 +70,54 @@ def kernel_changepoints(x: np.ndarray, penalty: float, min_size: int = 10, kerne
         gamma = 1.0 / med if med > 0 else 1.0
 
         def similarity(block: np.ndarray, point: float) -> np.ndarray:
-            return np.exp(-np.clip(gamma * (block - point) ** 2, 1e-2, 1e2))
+            d = block - point
+            np.multiply(d, d, out=d)
+            d *= -gamma
+            np.maximum(d, -1e2, out=d)
+            np.minimum(d, -1e-2, out=d)
+            return np.exp(d, out=d)
+
+        own = np.full(n, math.exp(-1e-2))
     elif kernel == "linear":
 
         def similarity(block: np.ndarray, point: float) -> np.ndarray:
             return block * point
+
+        own = x * x
     else:
         raise ValueError(f"unknown kernel: {kernel}")
 
     best = np.full(n + 1, np.inf)
     best[0] = -penalty
     back = np.zeros(n + 1, dtype=np.int64)
-    starts = np.array([0], dtype=np.int64)  # candidate segment starts
-    gram = np.zeros(1)                      # sum of similarities of each candidate's open segment
-    diag = np.zeros(1)                      # sum of its self-similarities
-    expires = np.full(1, n + 1, dtype=np.int64)  # end position from which a pruned start is unusable
+    gram = np.zeros(n)                                # similarity sum of the open segment of each start
+    diag = np.concatenate(([0.0], np.cumsum(own)))    # self-similarity up to each position
+    position = np.arange(n + 1, dtype=float)
+    lo = 0                                            # first start still in play
+    pending: deque[tuple[int, int]] = deque()         # (end from which it holds, new first start)
     for end in range(1, n + 1):
-        i = end - 1
-        lo = int(starts[0])
-        col = similarity(x[lo:end], x[i])
+        while pending and pending[0][0] <= end:
+            lo = max(lo, pending.popleft()[1])
+        col = similarity(x[lo:end], x[end - 1])
         tail = np.cumsum(col[::-1])[::-1]
-        own = col[-1]
-        gram += 2.0 * tail[starts - lo] - own
-        diag += own
-        length = end - starts
-        usable = length >= min_size
-        if usable.any():
-            total = best[starts[usable]] + diag[usable] - gram[usable] / length[usable]
-            k = int(np.argmin(total))
-            best[end] = total[k] + penalty
-            back[end] = starts[usable][k]
-            hopeless = np.zeros(len(starts), dtype=bool)
-            hopeless[usable] = total >= best[end]
-            expires[hopeless] = np.minimum(expires[hopeless], end + min_size)
-            keep = expires > end
-            if not keep.all():
-                starts, gram, diag, expires = starts[keep], gram[keep], diag[keep], expires[keep]
-        if end >= min_size and end <= n - min_size:
-            starts = np.append(starts, end)
-            gram = np.append(gram, 0.0)
-            diag = np.append(diag, 0.0)
-            expires = np.append(expires, n + 1)
+        tail *= 2.0
+        tail -= own[end - 1]
+        gram[lo:end] += tail
+        upto = end - min_size + 1
+        if upto <= lo:
+            continue
+        total = gram[lo:upto] / (position[lo:upto] - end)
+        total += best[lo:upto]
+        total += diag[end] - diag[lo:upto]
+        k = int(np.argmin(total))
+        best[end] = total[k] + penalty
+        back[end] = lo + k
+        # A start whose cost already reaches best[end] cannot win once a segment may begin at ``end``.
+        drop = 0
+        while drop < k and total[drop] >= best[end]:
+            drop += 1
+        if drop:
+            pending.append((end + min_size, lo + drop))
     ends: list[int] = []
     at = n
     while at > 0:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brewlens import constants as K
 from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, carry
+from brewlens.plans.skew import spread
 from brewlens.schemas import AUDIT, AUDIT_ACTIONS
 
 # The hashed fields in the order in which they are written.
@@ -35,7 +36,7 @@ def json_text(value: str) -> str:
     """SQL for a string as an ASCII-only JSON literal; plain text, the usual case, is only quoted."""
     text = f"coalesce({value}, '')"
     return (
-        f"""concat('"', CASE WHEN {text} RLIKE r'^[ !#-\[\]-~]*\z' THEN {text} """
+        rf"""concat('"', CASE WHEN {text} RLIKE r'^[ !#-\[\]-~]*\z' THEN {text} """
         f"""ELSE array_join(transform(split({text}, ''), c -> {_ESCAPED}), '') END, '"')"""
     )
 
@@ -99,9 +100,8 @@ def append_entries(
         prepared = prepared.withColumn(name, F.lit("") if name not in new.columns else F.col(name))
     if "signature" not in new.columns:
         prepared = prepared.withColumn("signature", F.lit(b""))
-    ordered = (
-        prepared.select(*names, "_head", "_tail", "_seed")
-        .repartition("tenant_id").sortWithinPartitions("tenant_id", "seq")
+    ordered = spread(prepared.select(*names, "_head", "_tail", "_seed"), "tenant_id").sortWithinPartitions(
+        "tenant_id", "seq"
     )
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

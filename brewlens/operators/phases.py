@@ -15,7 +15,7 @@ from brewlens.functions import kernels
 from brewlens.functions.scalars import finite, hours_between, stable_id
 from brewlens.operators.signals import KEYS, prepared_parts, sample_number
 from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy
-from brewlens.plans.skew import salted_join
+from brewlens.plans.skew import salted_join, spread
 
 SEGMENTS = (
     "batch_id string, variable string, seg int, start_i long, end_i long, start_ts timestamp, "
@@ -57,70 +57,92 @@ class OnlineConfig:
 # --- offline segmentation ----------------------------------------------------------------------------------
 
 
-def _is_boundary(index: Column, count: Column, max_samples: int) -> Column:
-    """Rows a breakpoint of the down-sampled signal can map back to (itself or the row before)."""
-    scale = count / F.lit(float(max_samples))
-    guess = F.floor(index / scale)
-    hit = (index == 0) | (index == count - 1)
-    for offset in (-1, 0, 1, 2):
-        mapped = F.bround((guess + offset) * scale).cast("long")
-        hit = hit | (mapped == index) | (mapped - 1 == index)
-    return hit
+def _is_boundary(max_samples: int) -> Column:
+    """Rows ``_i`` that a breakpoint of the down-sampled signal can map back to (itself or the row before)."""
+    scale = f"(_n / {float(max_samples)}D)"
+    hits = " OR ".join(
+        f"bround((floor(_i / {scale}) + {o}) * {scale}) IN (_i, _i + 1)" for o in (-1, 0, 1, 2)
+    )
+    return F.expr(f"_i = 0 OR _i = _n - 1 OR {hits}")
+
+
+_SEGMENT_COLUMNS = [
+    "batch_id", "variable", "seg", "start_i", "end_i", "start_ts", "end_ts", "first_value", "last_value",
+]
+
+
+def _segments_of(key: tuple[str, str], g: dict[str, np.ndarray], config: DetectionConfig) -> list[tuple]:
+    """Segments of one signal from its samples and boundary rows, ordered by position."""
+    n = int(g["_n"][0])
+    sampled = ~np.isnan(g["_k"])
+    usable = sampled & ~np.isnan(g["smoothed"])
+    x = g["smoothed"][usable]
+    if len(x) == 0:
+        return []
+    penalty = config.penalty
+    if penalty is None:
+        variance = float(np.var(x))
+        penalty = float(np.log(len(x)) * (1.0 if variance < K.VARIANCE_FLOOR else variance))
+    ends = kernels.kernel_changepoints(x, penalty, config.min_size, config.kernel)
+    # position among the usable samples -> position among all samples -> row of the signal
+    k = g["_k"][usable].astype("int64")
+    samples = int(sampled.sum())
+    ends = [samples if e == len(x) else int(k[e]) for e in ends]
+    if samples < n:
+        scale = n / samples
+        ends = [min(round(e * scale), n) for e in ends]
+    ends[-1] = n
+    out, start = [], 0
+    for seg, end in enumerate(ends):
+        first, last, until = np.searchsorted(g["_i"], [start, min(end - 1, n - 1), min(end, n - 1)])
+        out.append((*key, seg, start, end, g["ts"][first], g["ts"][until], g["value"][first], g["value"][last]))
+        start = end
+    return out
 
 
 def _segment_signals(prepared: DataFrame, config: DetectionConfig) -> DataFrame:
-    """One grouped task per signal on at most ~3 * max_samples rows, whatever the signal's length.
+    """Segments of every signal; a signal sends at most ~3 * max_samples rows, whatever its length.
 
     Long signals send their evenly spaced samples plus the raw rows that breakpoints can map back to, so
-    no second pass over the data is needed to read timestamps and values at the breakpoints.
+    no second pass over the data is needed to read timestamps and values at the breakpoints. Partitions
+    hold whole signals in order; many signals share an Arrow batch and one signal is held at a time.
     """
     m = config.max_samples
     bounded = (
-        prepared.withColumn("_k", sample_number(F.col("_i"), F.col("_n"), m))
-        .where((F.col("_n") <= m) | F.col("_k").isNotNull() | _is_boundary(F.col("_i"), F.col("_n"), m))
-        .select(*KEYS, "ts", "value", "smoothed", "_i", "_n", "_k")
+        prepared.withColumn("_k", sample_number(m))
+        .where((F.col("_n") <= m) | F.col("_k").isNotNull() | _is_boundary(m))
+        .select(*KEYS, "ts", "value", "smoothed", "_i", "_n", F.col("_k").cast("double").alias("_k"))
+        .sortWithinPartitions(*KEYS, "ts", "value")
     )
-    min_size, penalty, kernel = config.min_size, config.penalty, config.kernel
-
-    def segment(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_i")
-        n = int(rows["_n"].iloc[0])
-        sampled = rows[rows["_k"].notna()]
-        usable = sampled[sampled["smoothed"].notna()]
-        x = usable["smoothed"].to_numpy(float)
-        if len(x) == 0:
-            return pd.DataFrame(columns=["batch_id", "variable", "seg", "start_i", "end_i", "start_ts", "end_ts",
-                                         "first_value", "last_value"])
-        if penalty is None:
-            variance = float(np.var(x))
-            pen = float(np.log(len(x)) * (1.0 if variance < K.VARIANCE_FLOOR else variance))
-        else:
-            pen = penalty
-        ends = kernels.kernel_changepoints(x, pen, min_size, kernel)
-        # position among the usable samples -> position among all samples -> row of the signal
-        k = usable["_k"].to_numpy("int64")
-        samples = len(sampled)
-        ends = [samples if e == len(x) else int(k[e]) for e in ends]
-        if samples < n:
-            scale = n / samples
-            ends = [min(round(e * scale), n) for e in ends]
-        ends[-1] = n
-        starts = [0, *ends[:-1]]
-        by_row = rows.set_index("_i")
-        ts, value = by_row["ts"], by_row["value"]
-        return pd.DataFrame({
-            "batch_id": rows["batch_id"].iloc[0],
-            "variable": rows["variable"].iloc[0],
-            "seg": range(len(ends)),
-            "start_i": starts,
-            "end_i": ends,
-            "start_ts": [ts.loc[s] for s in starts],
-            "end_ts": [ts.loc[min(e, n - 1)] for e in ends],
-            "first_value": [value.loc[s] for s in starts],
-            "last_value": [value.loc[min(e - 1, n - 1)] for e in ends],
-        })
-
-    return bounded.groupBy(*KEYS).applyInPandas(segment, SEGMENTS)
+    names = ["ts", "value", "smoothed", "_i", "_n", "_k"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple[str, str] | None = None
+        held: list[dict[str, np.ndarray]] = []
+
+        def close() -> list[tuple]:
+            if key is None:
+                return []
+            return _segments_of(key, {c: np.concatenate([h[c] for h in held]) for c in names}, config)
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            arrays = {c: pdf[c].to_numpy() for c in names}
+            batch, variable = pdf["batch_id"].to_numpy(), pdf["variable"].to_numpy()
+            changes = np.flatnonzero((batch[1:] != batch[:-1]) | (variable[1:] != variable[:-1])) + 1
+            edges = [0, *changes.tolist(), len(pdf)]
+            out: list[tuple] = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                here = (batch[lo], variable[lo])
+                if here != key:
+                    out += close()
+                    key, held = here, []
+                held.append({c: a[lo:hi] for c, a in arrays.items()})
+            yield pd.DataFrame(out, columns=_SEGMENT_COLUMNS)
+        yield pd.DataFrame(close(), columns=_SEGMENT_COLUMNS)
+
+    return bounded.mapInPandas(walk, SEGMENTS)
 
 
 def offline_segments(
@@ -129,8 +151,13 @@ def offline_segments(
     """Segments of the configured signal of every batch (kernel changepoints on the prepared signal)."""
     chosen = telemetry.where(F.col("variable") == config.signal)
     parts = prepared_parts(chosen, window=config.smoothing_window, policy=policy)
-    ordinary, hot = (None if part is None else _segment_signals(part, config) for part in parts)
-    return ordinary if hot is None else ordinary.unionByName(hot)
+    ordinary = _segment_signals(parts[0], config)
+    if parts[1] is None:
+        return ordinary
+    # hot signals arrive in blocks; reduced to their samples they fit one task each
+    m = config.max_samples
+    reduced = parts[1].where((F.col("_n") <= m) | sample_number(m).isNotNull() | _is_boundary(m))
+    return ordinary.unionByName(_segment_signals(spread(reduced, *KEYS), config))
 
 
 # --- online segmentation of stored signals -------------------------------------------------------------------
@@ -143,16 +170,10 @@ def online_segments(telemetry: DataFrame, config: OnlineConfig = OnlineConfig())
     is read in Arrow batches from sorted partitions with constant memory (the posterior has at most
     ``max_run_length`` entries); a signal is never held as a whole.
     """
-    ordered = (
-        telemetry.where(F.col("variable") == config.signal)
-        .select(*KEYS, "ts", "value")
-        .repartition(*KEYS)
-        .sortWithinPartitions(*KEYS, "ts", "value")
-    )
+    chosen = telemetry.where(F.col("variable") == config.signal).select(*KEYS, "ts", "value")
+    ordered = spread(chosen, *KEYS).sortWithinPartitions(*KEYS, "ts", "value")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["batch_id", "variable", "seg", "start_i", "end_i", "start_ts", "end_ts", "first_value",
-                   "last_value"]
         posterior = config.posterior()
         key: tuple[str, str] | None = None
         seg = start = i = 0
@@ -180,9 +201,9 @@ def online_segments(telemetry: DataFrame, config: OnlineConfig = OnlineConfig())
                     seg, start, start_ts, start_value = seg + 1, i, ts, value
                 i += 1
                 last_ts, last_value = ts, value
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=_SEGMENT_COLUMNS)
         if key is not None and any_finite:
-            yield pd.DataFrame([closed()], columns=columns)
+            yield pd.DataFrame([closed()], columns=_SEGMENT_COLUMNS)
 
     return ordered.mapInPandas(walk, SEGMENTS)
 

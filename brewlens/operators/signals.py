@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from brewlens import constants as K
 from brewlens.functions.scalars import finite
 from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, halo_blocks, ordinals, split_hot
+from brewlens.plans.skew import spread
 
 KEYS = ["batch_id", "variable"]
 BLOCK = 65_536
@@ -52,6 +53,7 @@ def _windowed(df: DataFrame, rows: Window, width: int, limit: int) -> DataFrame:
 
 
 def _ordinary(df: DataFrame, width: int, limit: int) -> DataFrame:
+    df = spread(df, *KEYS)
     rows = Window.partitionBy(*KEYS).orderBy("ts", "value")
     numbered = df.withColumns({
         "_i": (F.row_number().over(rows) - 1).cast("long"),
@@ -97,24 +99,22 @@ def invalid_signals(telemetry: DataFrame) -> DataFrame:
     return counts.where("n_valid = 0").select(*KEYS)
 
 
-def sample_number(index: Column, count: Column, max_samples: int) -> Column:
-    """Which evenly spaced sample a row is (0-based), or null when it is none.
+def sample_number(max_samples: int) -> Column:
+    """Which evenly spaced sample row ``_i`` of ``_n`` is (0-based), or null when it is none.
 
     Sample k sits at floor(k * (n-1)/(m-1)), the last at n-1. Each row decides for itself.
     """
-    step = (count - 1).cast("double") / F.lit(float(max_samples - 1))
-    guess = F.floor(index / step)
-    tests = F.when(index == count - 1, F.lit(max_samples - 1).cast("long"))
-    for offset in (0, 1, 2):
-        k = guess + offset
-        hit = (k >= 0) & (k < max_samples - 1) & (F.floor(k * step) == index)
-        tests = F.coalesce(tests, F.when(hit, k))
-    return F.when(count <= max_samples, index).otherwise(tests)
+    step = f"(cast(_n - 1 AS double) / {float(max_samples - 1)}D)"
+    tests = "".join(
+        f" WHEN floor((floor(_i / {step}) + {o}) * {step}) = _i AND floor(_i / {step}) + {o} < {max_samples - 1}"
+        f" THEN floor(_i / {step}) + {o}" for o in (0, 1, 2)
+    )
+    return F.expr(f"CASE WHEN _n <= {max_samples} THEN _i WHEN _i = _n - 1 THEN {max_samples - 1}{tests} END").cast("long")
 
 
 def downsample(df: DataFrame, max_samples: int = K.MAX_SAMPLES) -> DataFrame:
     """Keep at most ``max_samples`` evenly spaced rows per signal; adds ``_k``."""
-    return df.withColumn("_k", sample_number(F.col("_i"), F.col("_n"), max_samples)).where("_k is not null")
+    return df.withColumn("_k", sample_number(max_samples)).where("_k is not null")
 
 
 def auto_penalty(df: DataFrame, value: str = "smoothed") -> DataFrame:

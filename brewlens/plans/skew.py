@@ -27,6 +27,15 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into ``spark.sql.shuffle.partitions`` parts and keep that number.
+
+    For steps whose cost is computation rather than bytes, where merging small partitions at run time
+    would leave most cores idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def tenant_scope(df: DataFrame, tenant_id: str) -> DataFrame:
     """The rows of one tenant; every tenant-facing read goes through this filter."""
     if not tenant_id:
