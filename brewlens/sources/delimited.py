@@ -16,12 +16,12 @@ SEPARATORS = ",;\t|"
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(source, first_block, pos, line): the non-blank lines of every file below ``path``.
 
-    Lines that are not valid UTF-8 are read as Windows-1252; a byte-order mark is removed. Files are split
+    Lines that are not valid UTF-8 are read as ISO 8859-1; a byte-order mark is removed. Files are split
     like any text input, so one very large file is read by many tasks.
     """
     text = spark.read.option("recursiveFileLookup", "true").text(path)
     raw = F.col("value")
-    decoded = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(raw.cast("binary"), "windows-1252"))
+    decoded = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(raw.cast("binary"), "iso-8859-1"))
     line = F.regexp_replace(decoded, "^﻿", "")
     return text.select(
         F.col("_metadata.file_path").alias("source"),
