@@ -164,7 +164,7 @@ def external_ids(df: DataFrame, mapping: SourceMapping, batch_id: Column, order:
     ]
     first = df.groupBy(batch_id.alias("batch_id")).agg(*picks) if picks else df.select(batch_id.alias("batch_id")).distinct()
     pairs = F.array_compact(F.array(*[
-        F.when(F.col(v).isNotNull(), F.struct(F.lit(v), F.col(v))) for v in names.values()
+        F.when(F.col(v).isNotNull(), F.struct(F.lit(v).alias("k"), F.col(v).alias("v"))) for v in names.values()
     ])) if names else None
     entries = F.map_from_entries(pairs) if names else F.create_map().cast("map<string,string>")
     return first.select("batch_id", entries.alias("external_ids"))
