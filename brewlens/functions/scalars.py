@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -23,9 +24,15 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
 
 
+# Texts are tested by pattern before they are parsed: a failed parse costs an exception per value, which
+# is far more than the match.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def numeric(text: Column) -> Column:
     """A finite number parsed from text, else null."""
-    return finite(F.trim(text).try_cast("double"))
+    value = text.try_cast("double")
+    return F.when(text.rlike(NUMBER), F.when(F.abs(value) < F.lit(float("inf")), value))
 
 
 def micros(ts: Column) -> Column:
@@ -122,6 +129,29 @@ def conversion_warning(value: Column, source: Column, target: Column) -> Column:
     )
 
 
+def conversion_factors(source: Column, target: Column) -> Column:
+    """Struct (subtract, multiply, divide) of a conversion, null where there is none.
+
+    For plans that convert many values between the same two units: y = (x - subtract) * multiply / divide.
+    """
+    out = F.when(source == target, F.struct(F.lit(0.0).alias("subtract"), F.lit(1.0).alias("multiply"),
+                                            F.lit(1.0).alias("divide")))
+    for src, dst, *factors in K.UNIT_CONVERSIONS:
+        if factors[0] is not None:
+            step = F.struct(*[F.lit(f).alias(n) for n, f in zip(("subtract", "multiply", "divide"), factors, strict=True)])
+            out = out.when((source == src) & (target == dst), step)
+    return out
+
+
+def quality_limits(variable: Column) -> Column:
+    """Struct (low, high) of the plausible range of a variable; null where there is none."""
+    name = F.lower(variable)
+    out = F.when(F.lit(False), F.struct(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")))
+    for var, (low, high) in K.QUESTIONABLE_RANGES.items():
+        out = out.when(name == var, F.struct(F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high")))
+    return out
+
+
 def quality_flag(variable: Column, value: Column) -> Column:
     """``below_minimum`` / ``above_maximum`` for questionable values; the row is kept."""
     name = F.lower(variable)
@@ -153,14 +183,24 @@ TIMESTAMP_FORMATS = (
 )
 
 
+def _layout_pattern(layout: str) -> str:
+    out = layout.replace("'", "").replace(".", r"\.")
+    for letters, digits in (("yyyy", r"\d{4}"), ("MMM", "[A-Za-z]{3}"), ("MM", r"\d{2}"), ("dd", r"\d{2}"), ("HH", r"\d{2}"),
+                            ("mm", r"\d{2}"), ("ss", r"\d{2}")):
+        out = out.replace(letters, digits)
+    return "^" + re.sub(r"\bd\b(?![{])", r"\\d{1,2}", out) + "$"
+
+
 def parse_timestamp(text: Column) -> Column:
     """Absolute timestamp text in ISO or one of the known layouts; null when it is neither.
 
     Plain numbers are data values, not dates, and give null.
     """
     t = F.trim(text)
-    tries = [t.try_cast("timestamp")] + [F.try_to_timestamp(t, F.lit(f)) for f in TIMESTAMP_FORMATS]
-    return F.when(t.try_cast("double").isNull(), F.coalesce(*tries))
+    parsed = F.when(t.rlike(r"^\d{4}-\d"), t.try_cast("timestamp"))
+    for layout in TIMESTAMP_FORMATS:
+        parsed = parsed.when(t.rlike(_layout_pattern(layout)), F.try_to_timestamp(t, F.lit(layout)))
+    return parsed
 
 
 def yield_with_uncertainty(p0: Column, p1: Column, c0: Column, c1: Column) -> tuple[Column, Column]:

@@ -205,9 +205,17 @@ def melt(rows: DataFrame, plan: DataFrame, reference: Column) -> tuple[DataFrame
     ``reference`` is the start time of elapsed clocks. Header and unit rows hold no numbers and therefore
     give neither records nor, because their texts equal the plan's, rejects.
     """
-    per_source = plan.groupBy("source").agg(
+    # What happens to a column's values is decided here, once per column; a cell only needs arithmetic.
+    from_unit, unit = F.col("from_unit"), F.col("unit")
+    factors = S.conversion_factors(F.coalesce(from_unit, F.lit("")), F.coalesce(F.when(from_unit.isNotNull(), unit), F.lit("")))
+    decided = plan.withColumns({
+        "factors": factors, "limits": S.quality_limits(F.col("variable")),
+        "warning": F.when(from_unit.isNotNull(), S.conversion_warning(F.lit(1.0), from_unit, unit)),
+    }).withColumn("final_unit", F.when(F.col("factors").isNull(), from_unit).otherwise(unit))
+    per_source = decided.groupBy("source").agg(
         F.collect_list(F.when(
-            F.col("variable").isNotNull(), F.struct("col_no", "header", "variable", "unit", "from_unit")
+            F.col("variable").isNotNull(),
+            F.struct("col_no", "variable", F.col("final_unit").alias("unit"), "factors", "limits", "warning"),
         )).alias("columns"),
         F.max("ts_col").alias("ts_col"),
         F.bool_or(F.coalesce("is_elapsed", F.lit(False))).alias("elapsed"),
@@ -222,20 +230,19 @@ def melt(rows: DataFrame, plan: DataFrame, reference: Column) -> tuple[DataFrame
     rejects = timed.where(F.col("ts").isNull() & ~heading).select(
         "source", "fields", F.lit("timestamp not readable").alias("reason")
     )
-    cells = timed.where("ts is not null").select("source", "ts", "fields", F.explode("columns").alias("c"))
-    raw = S.numeric(F.get("fields", F.col("c.col_no")))
-    numbers = cells.select(
-        "source", "ts", "c.header", "c.variable", F.col("c.unit").alias("to_unit"), "c.from_unit", raw.alias("raw")
-    ).where("raw is not null")
-    converted = S.convert_unit(F.col("raw"), F.col("from_unit"), F.col("to_unit"))
-    needs = F.col("from_unit").isNotNull()
-    value = F.when(needs, F.coalesce(converted, F.col("raw"))).otherwise(F.col("raw"))
-    unit = F.when(needs & converted.isNull(), F.col("from_unit")).otherwise(F.col("to_unit"))
-    records = numbers.withColumns({
-        "value": value,
-        "unit": unit,
-        "warning": F.when(needs, S.conversion_warning(F.col("raw"), F.col("from_unit"), F.col("to_unit"))),
-    }).withColumn("quality_flag", S.quality_flag(F.col("variable"), F.col("value")))
+    # Each cell is parsed once, inside the array, and cells that are no numbers never become rows.
+    parsed = F.transform("columns", lambda c: F.struct(
+        c["variable"].alias("variable"), c["unit"].alias("unit"), c["factors"].alias("f"), c["limits"].alias("q"),
+        c["warning"].alias("warning"), S.numeric(F.get("fields", c["col_no"])).alias("raw"),
+    ))
+    present = F.filter(parsed, lambda c: c["raw"].isNotNull())
+    numbers = timed.select("source", "ts", F.explode(F.when(F.col("ts").isNotNull(), present)).alias("c"))
+    converted = F.expr("(c.raw - c.f.subtract) * c.f.multiply / c.f.divide")
+    records = numbers.select(
+        "source", "ts", "c.variable", F.coalesce(converted, F.col("c.raw")).alias("value"), "c.unit", "c.q", "c.warning"
+    ).withColumn("quality_flag", F.expr(
+        "CASE WHEN value < q.low THEN 'below_minimum' WHEN value > q.high THEN 'above_maximum' END"
+    ))
     return records.select("source", "ts", "variable", "value", "unit", "quality_flag", "warning"), rejects
 
 
