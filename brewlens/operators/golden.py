@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brewlens.functions import kernels
 from brewlens.functions.scalars import finite
-from brewlens.plans.skew import salted_join
+from brewlens.plans.skew import salted_join, spread
 
 SCORE = "struct<score:double,dtw_normalized_distance:double,error:string>"
 
@@ -81,7 +81,7 @@ def trajectories(df: DataFrame, variables: Sequence[str], time: str = "ts") -> D
         F.array(*[F.avg(F.when(F.col("variable") == v, value)) for v in variables]).alias("v")
     )
     points = F.sort_array(F.collect_list(F.struct(time, "v")))
-    return per_time.groupBy("batch_id").agg(points.alias("points")).select(
+    return spread(per_time, "batch_id").groupBy("batch_id").agg(points.alias("points")).select(
         "batch_id", F.transform("points", lambda p: p["v"]).alias("trajectory")
     )
 
