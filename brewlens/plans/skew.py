@@ -21,7 +21,8 @@ def salted_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    row_hash = F.xxhash64(*[F.col(c) for c in big.columns if c not in keys] or [F.lit(0)])
+    hashable = [c for c, kind in big.dtypes if c not in keys and "map<" not in kind and "variant" not in kind]
+    row_hash = F.xxhash64(*[F.col(c) for c in hashable] or [F.lit(0)])
     left = big.withColumn("_salt", F.pmod(row_hash, F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
