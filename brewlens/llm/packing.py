@@ -74,7 +74,8 @@ def pack(docs: DataFrame, file: str, end_id: int = 1, most: int = 2048) -> DataF
     counts = rows.groupBy("length", "part").agg(F.count("*").alias("here"))
     order = Window.orderBy(F.desc("length"), "part")
     first = counts.select("length", "part", (F.sum("here").over(order) - F.col("here")).alias("first"))
-    return rows.join(first, ["length", "part"]).select(
+    # Broadcast: ranges times powers of two bound it. A plain join would send all pieces through an exchange.
+    return rows.join(F.broadcast(first), ["length", "part"]).select(
         "doc_id", "start", "length", "doc_tokens", (F.col("first") + F.col("ordinal")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), F.col("length").alias("bucket"), "tokens",
     )

@@ -149,7 +149,7 @@ def read_tokens(spark: SparkSession, out: str, doc_id: int | None = None) -> Dat
     )
     if doc_id is not None:
         blocks = blocks.where((F.col("first_doc_id") <= doc_id) & (F.col("last_doc_id") >= doc_id))
-    rows = blocks.join(before, "part").withColumn("start", F.col("before") + F.col("part_start"))
+    rows = blocks.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("part_start"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _dictionary(content)
