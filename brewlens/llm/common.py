@@ -55,6 +55,16 @@ def packed(df: DataFrame, **names: str) -> DataFrame:
     return flat.select(*[F.col(f"c{i}").alias(new) for new, i in zip(names, at, strict=True)], whole.alias("row"))
 
 
+def numbered(df: DataFrame, name: str, **names: str) -> DataFrame:
+    """:func:`packed` rows in the shared folder, each with a number ``rid`` of its own that later reads find unchanged."""
+    return stored(packed(df, **names).withColumn("rid", F.monotonically_increasing_id()), name)
+
+
+def only(rows: DataFrame, rids: DataFrame) -> DataFrame:
+    """The original columns of those ``numbered`` rows whose ``rid`` is among ``rids``; no key of this join is hot."""
+    return rows.join(rids.select("rid"), "rid", "left_semi").select("row.*")
+
+
 def text_of(column: str = "text") -> Column:
     """Null text counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brewlens.llm import packing, tokenbin
+from brewlens.llm import exact, langid, packing, quality, simhash, tokenbin
 from brewlens.llm.common import scratch
 from brewlens.session import ship_package
 
@@ -39,12 +39,51 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
     )
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold() == 2
+    profiles = langid.learn(docs.where(~held_out))
+    folds = docs.select("doc_id", "text")
+    return langid.predict(folds, profiles).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(table(spark, sf_dir, "documents"), exact.DigestIndex(spark))
+
+
+EXACT_SQL = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_ids": token_ids,
+        "op4_language": languages,
+        "op5_quality": quality_rules,
         "op6_packing": packed_pieces,
+        "op7_simhash": near_duplicates,
+        "op8_exact_dedup": exact_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_exact_dedup": EXACT_SQL,
+    }
