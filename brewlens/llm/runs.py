@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brewlens.llm import exact, langid, packing, quality, simhash, tokenbin
+from brewlens.llm import chat, exact, langid, mixing, packing, quality, simhash, tokenbin, urls
 from brewlens.llm.common import scratch
 from brewlens.session import ship_package
 
@@ -62,6 +62,111 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(table(spark, sf_dir, "documents"), exact.DigestIndex(spark))
 
 
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat.from_turn_rows(table(spark, sf_dir, "conversations")).unionByName(chat.control_strings(spark))
+    return chat.digests(chat.read_back(chat.formatted(chat.canonical_turns(records))))
+
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    CAST(sum(24 + length(role) + length(text)
+      + len(regexp_extract_all(text, '<\\*\|'))
+      + 2 * len(regexp_extract_all(role, '[%<\n]'))) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars
+FROM g
+"""
+
+#: host, path, verdict.
+RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+URL_SQL = f"""
+WITH r(rhost, rpath, said) AS (VALUES {', '.join(str(x) for x in RULES)}), a AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), b AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM a
+), u AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM b
+), m AS (
+  SELECT host, path, rhost || rpath AS rule, said,
+    row_number() OVER (PARTITION BY host, path ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS n
+  FROM (SELECT DISTINCT host, path FROM u) JOIN r
+    ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath)
+)
+SELECT page_id, u.host, u.path, rule, coalesce(said, 'allow') AS verdict
+FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path AND n = 1
+"""
+
+#: The corpus tree: sources of one digit count as web, the others as reference; weights of each level.
+DOMAIN = F.when(F.length("source") <= 4, F.lit("web")).otherwise(F.lit("reference"))
+WEIGHTS = [({"web": 60, "reference": 40}, 1), ({"en": 70}, 10), ({}, 1)]
+BUDGET = F.expr("all_tokens * 90 div 100")
+EPOCHS, MIX_SEED = 3, 20
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), DOMAIN, BUDGET, WEIGHTS, EPOCHS, MIX_SEED)
+
+
+def _share_sql(children: str, parent: str, child: str) -> str:
+    by = f"PARTITION BY {parent}" if parent else ""
+    return f"""(
+  SELECT *, CAST(CASE WHEN filled THEN cap WHEN w > 0 THEN CAST(w AS HUGEINT) * (budget - spent) // others ELSE 0 END AS BIGINT) AS given
+  FROM (SELECT *, sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({by}) AS spent,
+          sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({by}) AS others
+    FROM (SELECT *, w > 0 AND CAST(cap AS HUGEINT) * CAST(open_w AS HUGEINT) <= CAST(w AS HUGEINT) * (budget - used) AS filled
+      FROM (SELECT *, coalesce(sum(cap) OVER ({by} ORDER BY cap / w, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+              sum(w) OVER ({by} ORDER BY cap / w, {child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
+        FROM {children})))
+)"""
+
+
+MIX_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN length(source) <= 4 THEN 'web' ELSE 'reference' END AS domain, coalesce(lang, '') AS lang,
+    coalesce(source, '') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+  FROM documents
+), l AS (SELECT domain, lang, source, sum(tokens) AS tokens, {EPOCHS} * sum(tokens) AS cap, 1 AS w FROM d GROUP BY ALL
+), a AS (SELECT domain, sum(cap) AS cap, CASE domain WHEN 'web' THEN 60 ELSE 40 END AS w,
+    (SELECT sum(tokens) FROM d) * 90 // 100 AS budget FROM l GROUP BY domain
+), ga AS {_share_sql('a', '', 'domain')}, b AS (
+  SELECT domain, lang, sum(l.cap) AS cap, CASE lang WHEN 'en' THEN 70 ELSE 10 END AS w, any_value(given) AS budget
+  FROM l JOIN ga USING (domain) GROUP BY domain, lang
+), gb AS {_share_sql('b', 'domain', 'lang')}, c AS (
+  SELECT l.*, given AS budget FROM l JOIN (SELECT domain, lang, given FROM gb) USING (domain, lang)
+), gc AS {_share_sql('c', 'domain, lang', 'source')}, p AS (
+  SELECT d.*, given, CASE WHEN gc.tokens > 0 THEN given // gc.tokens ELSE 0 END AS whole,
+    CASE WHEN gc.tokens > 0 THEN given % gc.tokens ELSE 0 END AS rest
+  FROM d JOIN gc USING (domain, lang, source)
+), q AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY md5('{MIX_SEED}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM p
+)
+SELECT doc_id, domain, lang, source, tokens, given,
+  CAST(CASE WHEN given > 0 THEN whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS copies
+FROM q
+"""
+
 EXACT_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -74,16 +179,22 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": chats,
+        "op2_urls": url_filters,
         "op3_token_ids": token_ids,
         "op4_language": languages,
         "op5_quality": quality_rules,
         "op6_packing": packed_pieces,
         "op7_simhash": near_duplicates,
         "op8_exact_dedup": exact_duplicates,
+        "op9_mixing": mixture,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat": CHAT_SQL,
+        "op2_urls": URL_SQL,
         "op8_exact_dedup": EXACT_SQL,
+        "op9_mixing": MIX_SQL,
     }
