@@ -7,7 +7,8 @@ node's own siblings instead: siblings come before ancestors. A leaf supplies its
 
 A leaf's budget buys whole epochs and a prefix of one more. The order of an epoch is that of a hash of seed, epoch and
 doc_id; the prefix ends before the first document that would exceed the budget. It is found without sorting a leaf:
-tokens are summed by the hash's first digits, and only the group where the budget ends is looked at by document.
+tokens are summed by the hash's first digits, the group where the budget ends by the next ones, and so on; only the
+last group is looked at by document.
 
 Tokens are words. Shares are whole numbers, rounded down.
 
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from brewlens.llm.common import packed, pick, stored, text_of
 
 LEAF = ["domain", "lang", "source"]
-#: Leading hex digits of the hash by which tokens are summed first.
-DIGITS = 4
+#: Leading hex digits of the hash by which tokens are summed, coarse to fine: a step looks at 256 groups of a leaf,
+#: and the last leaves one document in 16 million to be ordered.
+DIGITS = (2, 4, 6)
 
 
 def words(text: str = "text") -> Column:
@@ -95,21 +97,29 @@ def cuts(
         ),
         "leaves",
     )
-    keyed = rows.join(leaves, LEAF).withColumn("place", _place(seed)).withColumn("head", F.substring("place", 1, DIGITS))
-    heads = keyed.groupBy(*LEAF, "rest", "head").agg(F.sum("tokens").alias("t"))
-    upto_here = F.sum("t").over(Window.partitionBy(*LEAF).orderBy("head"))  # at most 16^DIGITS rows a leaf
-    ended = heads.withColumn("end", upto_here).where("end > rest and end - t <= rest").select(
-        *LEAF, "head", (F.col("end") - F.col("t")).alias("before")
-    )
-    ended = stored(ended, "ended")
-    inside = keyed.join(ended, [*LEAF, "head"]).groupBy(*LEAF, "rest", "before", "place").agg(F.sum("tokens").alias("t"))
+    keyed = rows.join(leaves, LEAF).withColumn("place", _place(seed))
+    ended: DataFrame | None = None
+    for digits in DIGITS:
+        inside = keyed.withColumn("before", F.lit(0).cast("long")) if ended is None else _inside(keyed, ended)
+        heads = inside.groupBy(*LEAF, "rest", "before", F.substring("place", 1, digits).alias("head")).agg(
+            F.sum("tokens").alias("t")
+        )
+        run = F.col("before") + F.sum("t").over(Window.partitionBy(*LEAF).orderBy("head"))
+        found = heads.withColumn("end", run).where("end > rest and end - t <= rest")
+        ended = stored(
+            found.select(*LEAF, F.col("head").alias("below"), (F.col("end") - F.col("t")).alias("before")), "ended"
+        )
+    inside = _inside(keyed, ended).groupBy(*LEAF, "rest", "before", "place").agg(F.sum("tokens").alias("t"))
     run = F.sum("t").over(Window.partitionBy(*LEAF).orderBy("place"))
     last = inside.withColumn("end", F.col("before") + run).where("end <= rest").groupBy(*LEAF).agg(
         F.max("place").alias("upto")
     )
-    return stored(
-        leaves.join(ended.select(*LEAF, F.col("head").alias("below")), LEAF, "left").join(last, LEAF, "left"), "cuts"
-    )
+    return stored(leaves.join(ended.drop("before"), LEAF, "left").join(last, LEAF, "left"), "cuts")
+
+
+def _inside(keyed: DataFrame, ended: DataFrame) -> DataFrame:
+    """Rows of the one group of hashes in each leaf where the budget ends."""
+    return keyed.join(ended, LEAF).where(F.expr("startswith(place, below)"))
 
 
 def _copies(keyed: DataFrame, seed: int) -> DataFrame:
