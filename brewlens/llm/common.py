@@ -16,12 +16,29 @@ from brewlens.session import ensure_checkpoint_dir
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
+_made: dict[str, list[str]] = {}
+
+
+def shared(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder of ``spark.checkpoint.dir``; every executor can read it."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A :func:`shared` folder that :func:`release` may delete."""
+    path = shared(spark, name)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch folders made so far; nothing may be read from a plan over them any more."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
     path = scratch(df.sparkSession, name)

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brewlens.llm.common import SPACE, numbered, only, pick, scratch, stored, text_of
+from brewlens.llm.common import SPACE, numbered, only, pick, shared, stored, text_of
 
 DIGEST = "digest binary, keep_id long, batch string"
 
@@ -33,7 +33,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, name: str | None = None):
         self.spark = spark
-        self.path = path or scratch(spark, "digests")
+        self.path = path or shared(spark, "digests")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digests_{uuid.uuid4().hex}"
         if not spark.catalog.tableExists(self.name):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brewlens.llm import chat, exact, langid, mixing, packing, quality, simhash, tokenbin, urls
+from brewlens.llm import chat, exact, langid, mixing, packing, quality, simhash, suffix, tokenbin, urls
 from brewlens.llm.common import scratch
 from brewlens.session import ship_package
 
@@ -67,6 +67,10 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.formatted(chat.canonical_turns(records))))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
 CHAT_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -188,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash": near_duplicates,
         "op8_exact_dedup": exact_duplicates,
         "op9_mixing": mixture,
+        "op10_suffix": repeated_passages,
     }
 
 
