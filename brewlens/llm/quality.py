@@ -1,7 +1,7 @@
 """Quality rules: counts of words and symbols, and a hashed n-gram likelihood ratio.
 
 Byte four-grams of every text are hashed into a fixed number of buckets. Two multinomials are counted over them:
-one over trusted documents (label quality 1), one over all documents. A document's score is the mean over its
+one over trusted documents (label quality 1; a bounded number of them, see ``TRUSTED``), one over all documents. A document's score is the mean over its
 four-grams of log p(trusted) - log p(all); it is kept if the score reaches a fixed threshold. The threshold is
 the same for every document and every corpus: no ranking, no random draw.
 
@@ -25,6 +25,8 @@ from brewlens.llm.common import packed, pick, slices
 
 #: Hash buckets of the model; its size, and that of everything the driver holds, is fixed by this.
 BUCKETS = 1 << 16
+#: Trusted documents the target is counted over at most: those with the smallest hashed ids. This bounds what is broadcast.
+TRUSTED = 20_000
 #: Fixed values of the base rule.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
@@ -42,12 +44,13 @@ def grams(data: bytes) -> np.ndarray:
     return (packed * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64)
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
+def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     rows = pick(labels, doc_id="doc_id", quality="quality")
     return (
         rows.where("doc_id is not null").groupBy("doc_id")
         .agg(F.min(F.coalesce("quality", F.lit(0))).alias("least"), F.max("quality").alias("most"))
-        .where("least = 1 and most = 1").select("doc_id", F.lit(True).alias("trusted"))
+        .where("least = 1 and most = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        .select("doc_id", F.lit(True).alias("trusted"))
     )
 
 
@@ -57,7 +60,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarra
     Each task adds its own counts up first, so a task sends one row per bucket at most.
     """
     rows = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(
-        trusted_ids(labels), "doc_id", "left"
+        F.broadcast(trusted_ids(labels)), "doc_id", "left"
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
