@@ -1,7 +1,8 @@
 """Corpus pipeline: quality rules, exact and near duplicates, source mixing, packing.
 
 ``run`` applies the stages to ``documents``; each stage's rows are written to the shared folder and read again, so a
-stage never depends on the plan before it. All but the last return the columns of ``documents``.
+stage never depends on the plan before it, and its scratch tables are deleted when the next stage begins. All but the
+last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -11,22 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brewlens.llm import exact, mixing, packing, quality, runs, simhash
-from brewlens.llm.common import stored
+from brewlens.llm.common import release, shared
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the likelihood ratio (its model is counted over all of ``docs``)."""
+    release(spark)
     labels = runs.table(spark, sf_dir, "labels")
     return quality.passing(docs, quality.fit(docs, labels))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    release(spark)
     return exact.deduplicated(docs, exact.DigestIndex(spark))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
+    release(spark)
     return simhash.deduplicated(docs)
 
 
@@ -37,11 +41,13 @@ MIX_BUDGET, MIX_EPOCHS = F.expr("all_tokens * 90 div 100"), 1
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the hierarchical budgets take."""
+    release(spark)
     return mixing.mixed(docs, runs.DOMAIN, MIX_BUDGET, runs.WEIGHTS, MIX_EPOCHS, runs.MIX_SEED)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two lengths, one a sequence."""
+    release(spark)
     return runs.piece_digests(packing.pack(docs, public_tokenizers.path(runs.VOCABULARY)))
 
 
@@ -60,5 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runs.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
