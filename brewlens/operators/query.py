@@ -19,7 +19,6 @@ from brewlens.operators.catalog import with_aliases
 _IDENTIFIER = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 AGGREGATES = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
 RESERVED = ("compare", "align")
-MAX_DEPTH = 50
 
 
 # --- expressions --------------------------------------------------------------------------------------------
@@ -203,7 +202,7 @@ class BatchQuery:
         df = context.df
         for c in (filter_, self._where):
             if c is not None:
-                df = df.where(context.condition(c, 0))
+                df = df.where(context.condition(c))
         outputs = [(context.column(t), t.alias or _label(t)) for t in self._select]
         aggregated = any(_has_aggregate(t) for t in self._select)
         names = [n for _, n in outputs]
@@ -325,15 +324,13 @@ class _Joined:
             raise ValueError(f"unsupported literal: {value!r}")
         return F.lit(value if isinstance(value, str) else float(value))
 
-    def condition(self, c: Condition, depth: int) -> Column:
-        if depth > MAX_DEPTH:
-            raise ValueError(f"condition nesting exceeds {MAX_DEPTH}")
+    def condition(self, c: Condition) -> Column:
         if c.op == "AND":
-            return self.condition(c.left, depth + 1) & self.condition(c.right, depth + 1)
+            return self.condition(c.left) & self.condition(c.right)
         if c.op == "OR":
-            return self.condition(c.left, depth + 1) | self.condition(c.right, depth + 1)
+            return self.condition(c.left) | self.condition(c.right)
         if c.op == "NOT":
-            return ~self.condition(c.left, depth + 1)
+            return ~self.condition(c.left)
         left, right = self.operand(c.left), self.operand(c.right)
         if c.op == "LIKE":
             return F.like(left, right)

@@ -250,9 +250,9 @@ class Workspace:
     def overlay(
         self, batch_ids: Sequence[str], variables: Sequence[str] = ("OD600",), show_phases: bool = True
     ) -> tuple[DataFrame, DataFrame | None]:
-        """(aligned series, phase bands of the first batch in hours) for 1 to 10 runs."""
-        if not 1 <= len(batch_ids) <= 10:
-            raise ValueError("overlay needs 1 to 10 batches")
+        """(aligned series, phase bands of the first batch in hours) for one or more runs."""
+        if not batch_ids:
+            raise ValueError("overlay needs a batch")
         series = self.align(batch_ids, variables[0], variables)
         if not show_phases:
             return series, None
