@@ -170,7 +170,8 @@ def consistency_proofs(sizes: DataFrame, node_table: DataFrame) -> DataFrame:
 
     @F.udf(_PLAN)
     def plan(old: int, new: int):
-        return consistency_plan(old, new)
+        # A log that shrank has no proof; it is judged invalid below.
+        return consistency_plan(old, new) if old and new and 0 < old <= new else []
 
     wanted = sizes.select(
         "tenant_id", "old_size", "new_size", F.explode(plan("old_size", "new_size")).alias("p")

@@ -186,3 +186,13 @@ def test_lineage_handles_cycles_diamonds_and_other_batches(spark):
     assert down == {("a", "b"): 1, ("a", "c"): 1, ("a", "d"): 2, ("b", "d"): 1, ("c", "d"): 1, ("x", "y"): 1, ("y", "x"): 1}
     across = lineage.ancestors(ops, ops.where("operation_id = 'e'").select("operation_id"), across_batches=True)
     assert {(r["operation_id"], r["depth"]) for r in across.collect()} == {("d", 1), ("b", 2), ("c", 2), ("a", 3)}
+
+
+def test_shortened_log_is_invalid(spark):
+    sizes = spark.createDataFrame(
+        [("a", 5, 3, "00", "00"), ("b", 0, 3, "00", "00")],
+        "tenant_id string, old_size long, new_size long, old_root string, new_root string",
+    )
+    none = spark.createDataFrame([], "tenant_id string, size long, level int, idx long, hash binary")
+    proofs = merkle.consistency_proofs(sizes.select("tenant_id", "old_size", "new_size"), none)
+    assert [r["valid"] for r in merkle.verify_consistency(proofs, sizes).collect()] == [False, False]
