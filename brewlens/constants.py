@@ -103,8 +103,6 @@ METADATA_SHEETS = (
 )
 ASSAY_HEADERS = ("method", "uncertainty", "hplc", "lc-ms", "cell_count", "assay")
 METADATA_KEYS = ("strain", "media", "scale_liters", "operator")
-WORKBOOK_BYTES_LIMIT = 100_000_000
-UPLOAD_BYTES_LIMIT = 500 * 1024 * 1024
 
 # --- Fixed values: default source mappings (source, target, unit) -------------------------------------
 DEFAULT_MAPPINGS = {

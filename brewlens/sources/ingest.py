@@ -7,7 +7,7 @@ lines of each file; the transform joins the plan to all lines and stays in the J
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 import pandas as pd
@@ -308,7 +308,9 @@ def load_workbooks(
     A workbook with one run per sheet gives one batch ``file-sheet`` per sheet; otherwise its telemetry
     and assay sheets belong to one batch and its metadata sheet describes it.
     """
-    rows = workbook.read_workbooks(spark, path).where("error is null")
+    found = workbook.read_workbooks(spark, path)
+    rows = found.where("error is null")
+    broken = found.where("error is not null").select(F.col("file").alias("source"), F.col("error").alias("problem"))
     sheets = workbook.sheet_headers(rows)
     source = F.concat_ws("!", "file", "sheet")
     per_sheet = F.col("batch_per_sheet")
@@ -330,6 +332,7 @@ def load_workbooks(
         return _finish(body.select("source", "fields"), plan, chosen.select("source", "batch_id", "name"), inoculation)
 
     telemetry = one(per_sheet | (F.col("type") == "telemetry"))
+    telemetry = replace(telemetry, problems=telemetry.problems.select("source", "problem").unionByName(broken))
     assay = one(~per_sheet & (F.col("type") == "assay"))
     metadata = workbook.metadata_maps(rows, sheets.where(~per_sheet)).join(
         labelled.select("file", "batch_id").distinct(), "file"

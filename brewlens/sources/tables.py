@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brewlens import constants as K
 from brewlens import schemas
 
 BUCKETS = 256
@@ -105,14 +104,16 @@ class TableStore:
         TableStore(self.spark, target, self.buckets).append(table, self.read(table))
 
 
-def upload_problems(spark: SparkSession, path: str, kind: str = "telemetry") -> DataFrame:
-    """(file, problem) for Parquet files that are too large, empty, unreadable or lack columns.
+def upload_problems(
+    spark: SparkSession, path: str, kind: str = "telemetry", most_bytes: int | None = None
+) -> DataFrame:
+    """(file, problem) for Parquet files that exceed ``most_bytes`` (if given), are empty, unreadable or lack columns.
 
     The listing reads no content; row counts come from one pass with the declared schema.
     """
     declared = {"telemetry": schemas.TELEMETRY, "assay": schemas.ASSAY}[kind]
     listing = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
-    too_large = listing.where(F.col("length") > K.UPLOAD_BYTES_LIMIT).select("file", F.lit("file too large").alias("problem"))
+    too_large = listing.where(F.lit(most_bytes is not None) & (F.col("length") > F.lit(most_bytes or 0))).select("file", F.lit("file too large").alias("problem"))
     found = spark.read.option("mergeSchema", "false").parquet(path)
     wrong = [
         f"column {f.name} missing" if f.name not in found.columns else f"column {f.name} is not {f.dataType.simpleString()}"

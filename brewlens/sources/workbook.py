@@ -106,16 +106,13 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, int, list[str]]]:
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Every row of every sheet below ``path``; files that are too large or broken give one error row."""
+    """Every row of every sheet below ``path``; a broken file gives one error row and nothing else.
+
+    A file is parsed once to its end before any of its rows is given out, so none is read by half.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.xlsx"
+        "pathGlobFilter", "*.[xX][lL][sS][xXmM]"
     ).load(path)
-    too_large = files.where(F.col("length") > K.WORKBOOK_BYTES_LIMIT).select(
-        F.col("path").alias("file"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("sheet_no"),
-        F.lit(None).cast("int").alias("rn"), F.lit(None).cast("array<string>").alias("fields"),
-        F.lit("workbook exceeds the size limit").alias("error"),
-    )
-    readable = files.where(F.col("length") <= K.WORKBOOK_BYTES_LIMIT).select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["file", "sheet", "sheet_no", "rn", "fields", "error"]
@@ -123,6 +120,8 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
             for file, content in zip(rows["path"], rows["content"], strict=True):
                 out: list[tuple] = []
                 try:
+                    for _ in sheet_rows(bytes(content)):
+                        pass
                     for sheet, number, rn, texts in sheet_rows(bytes(content)):
                         out.append((file, sheet, number, rn, texts, None))
                         if len(out) == 5_000:
@@ -133,7 +132,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pd.DataFrame(out, columns=columns)
 
-    return readable.mapInPandas(parse, ROWS).unionByName(too_large)
+    return files.select("path", "content").mapInPandas(parse, ROWS)
 
 
 # --- sheet classification ------------------------------------------------------------------------------------

@@ -235,3 +235,12 @@ def test_workbooks(spark, tmp_path):
     m = metadata.first()
     assert m["metadata"] == {"strain": "CHO-K1", "scale_liters": "5", "pump": "P7"}
     assert m["batch_id"] == assay.batches.first()["batch_id"]
+
+
+def test_broken_workbook_is_a_problem(spark, tmp_path):
+    from brewlens.sources.ingest import load_workbooks
+
+    (tmp_path / "broken.XLSX").write_bytes(b"not a workbook")
+    telemetry, _, _ = load_workbooks(spark, str(tmp_path))
+    found = telemetry.problems.collect()
+    assert len(found) == 1 and found[0]["source"].endswith("broken.XLSX") and "unreadable" in found[0]["problem"]
