@@ -121,14 +121,16 @@ FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path AND n = 1
 """
 
 #: The corpus tree: sources of one digit count as web, the others as reference; weights of each level.
-DOMAIN = F.when(F.length("source") <= 4, F.lit("web")).otherwise(F.lit("reference"))
+DOMAIN = "if(length(source) <= 4, 'web', 'reference')"
 WEIGHTS = [({"web": 60, "reference": 40}, 1), ({"en": 70}, 10), ({}, 1)]
-BUDGET = F.expr("all_tokens * 90 div 100")
+BUDGET = "all_tokens * 90 div 100"
 EPOCHS, MIX_SEED = 3, 20
 
 
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), DOMAIN, BUDGET, WEIGHTS, EPOCHS, MIX_SEED)
+    return mixing.mix(
+        table(spark, sf_dir, "documents"), F.expr(DOMAIN), F.expr(BUDGET), WEIGHTS, EPOCHS, MIX_SEED
+    )
 
 
 def _share_sql(children: str, parent: str, child: str) -> str:
