@@ -36,13 +36,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: A mixture of unlike parts would throw away most of a corpus if each document could be used once and the weights
 #: held to the last; nine tenths of the words are spent, each at most once, and what a leaf lacks goes to others.
-MIX_BUDGET, MIX_EPOCHS = F.expr("all_tokens * 90 div 100"), 1
+MIX_EPOCHS = 1
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the hierarchical budgets take."""
     release(spark)
-    return mixing.mixed(docs, runs.DOMAIN, MIX_BUDGET, runs.WEIGHTS, MIX_EPOCHS, runs.MIX_SEED)
+    return mixing.mixed(docs, F.expr(runs.DOMAIN), F.expr(runs.BUDGET), runs.WEIGHTS, MIX_EPOCHS, runs.MIX_SEED)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
