@@ -55,7 +55,83 @@ def median_squared_distance(x: np.ndarray) -> float:
     return 0.5 * (kth(pairs // 2) ** 2 + kth(pairs // 2 + 1) ** 2)
 
 
-def kernel_changepoints(x: np.ndarray, penalty: float, min_size: int = 10, kernel: str = "rbf") -> list[int]:
+#: Similarity of a value to itself: squared distances below 0.01 count as 0.01.
+SELF_SIMILARITY = math.exp(-1e-2)
+#: Values of the grid on which long signals are summed up.
+GRID = 256
+
+
+def gamma_from_quantiles(quantiles, n: int) -> float:
+    """1 / median squared difference of ``n`` values known by equally spaced quantiles.
+
+    All ordered pairs of quantiles are compared; a value's pair with itself makes up 1/n of them and is left out.
+    """
+    q = np.asarray(quantiles, dtype=float)
+    d = np.sort(np.abs(q[:, None] - q[None, :]).ravel())
+    median = float(d[min(int(len(d) * (0.5 + 0.5 / n)), len(d) - 1)]) ** 2
+    return 1.0 / median if median > 0 else 1.0
+
+
+def grid_weights(x: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Each value shared between its two neighbours on the grid from ``lo`` to ``hi``, summed up."""
+    if not len(x) or hi <= lo:
+        return np.bincount(np.zeros(len(x), dtype=np.int64), minlength=GRID).astype(float)
+    place = (x - lo) / (hi - lo) * (GRID - 1)
+    left = np.clip(np.floor(place).astype(np.int64), 0, GRID - 2)
+    share = place - left
+    return np.bincount(left, 1.0 - share, GRID) + np.bincount(left + 1, share, GRID)
+
+
+def grid_similarity(lo: float, hi: float, gamma: float, kernel: str) -> np.ndarray:
+    """Similarity of any two grid values."""
+    g = np.linspace(lo, hi, GRID) if hi > lo else np.full(GRID, lo)
+    if kernel == "linear":
+        return np.outer(g, g)
+    return np.exp(-np.clip(gamma * (g[:, None] - g[None, :]) ** 2, 1e-2, 1e2))
+
+
+def piece_changepoints(
+    n: np.ndarray, own: np.ndarray, weights: np.ndarray, penalty: float, min_size: int, similarity: np.ndarray
+) -> list[int]:
+    """Ends (exclusive, in pieces) of the joined pieces that minimise kernel cost + penalty per segment.
+
+    ``n`` values per piece, their self-similarities ``own`` and grid ``weights``. Similarity sums of joined pieces
+    are squares of sums in the eigenvectors of ``similarity``.
+    """
+    size = np.concatenate(([0], np.cumsum(n)))
+    diag = np.concatenate(([0.0], np.cumsum(own)))
+    scale, vectors = np.linalg.eigh(similarity)
+    # What the clipped kernel adds to a plain one is small, constant and not always positive: keep both signs.
+    big = np.abs(scale) > 1e-9 * np.abs(scale).max() if np.abs(scale).max() > 0 else np.zeros(len(scale), dtype=bool)
+    scale, vectors = scale[big], vectors[:, big]
+    sums = np.concatenate((np.zeros((1, len(scale))), np.cumsum(weights @ vectors, axis=0)))
+    total = int(size[-1])
+    best = np.full(len(n) + 1, np.inf)
+    best[0] = -penalty
+    back = np.zeros(len(n) + 1, dtype=np.int64)
+    for end in range(1, len(n) + 1):
+        starts = np.flatnonzero((size[end] - size[:end] >= min_size) & np.isfinite(best[:end]))
+        if end == len(n) and not len(starts):
+            starts = np.array([0])
+        if not len(starts):
+            continue
+        gram = ((sums[end] - sums[starts]) ** 2) @ scale
+        cost = best[starts] + diag[end] - diag[starts] - gram / np.maximum(size[end] - size[starts], 1)
+        k = int(np.argmin(cost))
+        best[end], back[end] = cost[k] + penalty, starts[k]
+    if total < 2 * min_size:
+        return [len(n)]
+    ends: list[int] = []
+    at = len(n)
+    while at > 0:
+        ends.append(at)
+        at = int(back[at])
+    return ends[::-1]
+
+
+def kernel_changepoints(
+    x: np.ndarray, penalty: float, min_size: int = 10, kernel: str = "rbf", gamma: float | None = None
+) -> list[int]:
     """End positions (exclusive) of the segments that minimise kernel cost + penalty per segment.
 
     Quadratic in the signal's length at worst and linear in memory: the similarity sums of all open
@@ -66,8 +142,9 @@ def kernel_changepoints(x: np.ndarray, penalty: float, min_size: int = 10, kerne
     if n < 2 * min_size:
         return [n]
     if kernel == "rbf":
-        med = median_squared_distance(x)
-        gamma = 1.0 / med if med > 0 else 1.0
+        if gamma is None:
+            med = median_squared_distance(x)
+            gamma = 1.0 / med if med > 0 else 1.0
 
         def similarity(block: np.ndarray, point: float) -> np.ndarray:
             d = block - point
@@ -77,7 +154,7 @@ def kernel_changepoints(x: np.ndarray, penalty: float, min_size: int = 10, kerne
             np.minimum(d, -1e-2, out=d)
             return np.exp(d, out=d)
 
-        own = np.full(n, math.exp(-1e-2))
+        own = np.full(n, SELF_SIMILARITY)
     elif kernel == "linear":
 
         def similarity(block: np.ndarray, point: float) -> np.ndarray:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from brewlens import constants as K
 from brewlens.functions import kernels
 from brewlens.functions.scalars import finite, hours_between, stable_id
-from brewlens.operators.signals import KEYS, prepared_parts, sample_number
-from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy
+from brewlens.operators.signals import KEYS, prepare
+from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, halo_blocks
 from brewlens.plans.skew import salted_join, spread
 
 SEGMENTS = (
@@ -30,7 +30,6 @@ class DetectionConfig:
     min_size: int = 10
     penalty: float | None = None
     smoothing_window: int = 5
-    max_samples: int = K.MAX_SAMPLES
 
 
 @dataclass(frozen=True)
@@ -57,107 +56,113 @@ class OnlineConfig:
 # --- offline segmentation ----------------------------------------------------------------------------------
 
 
-def _is_boundary(max_samples: int) -> Column:
-    """Rows ``_i`` that a breakpoint of the down-sampled signal can map back to (itself or the row before)."""
-    scale = f"(_n / {float(max_samples)}D)"
-    hits = " OR ".join(
-        f"bround((floor(_i / {scale}) + {o}) * {scale}) IN (_i, _i + 1)" for o in (-1, 0, 1, 2)
-    )
-    return F.expr(f"_i = 0 OR _i = _n - 1 OR {hits}")
-
-
 _SEGMENT_COLUMNS = [
     "batch_id", "variable", "seg", "start_i", "end_i", "start_ts", "end_ts", "first_value", "last_value",
 ]
+#: Rows of one block and rows it shows of each neighbour; a block is what one call of the quadratic kernel sees.
+BLOCK, HALO = 4096, 1024
+#: Ranks at which a signal's values are read for the kernel's width.
+RANKS = 200
+_PIECES = (
+    "batch_id string, variable string, start_i long, n long, start_ts timestamp, last_ts timestamp, "
+    "first_value double, last_value double, own double, weights array<double>, gamma double, penalty double, "
+    "lo double, hi double"
+)
 
 
-def _segments_of(key: tuple[str, str], g: dict[str, np.ndarray], config: DetectionConfig) -> list[tuple]:
-    """Segments of one signal from its samples and boundary rows, ordered by position."""
-    n = int(g["_n"][0])
-    sampled = ~np.isnan(g["_k"])
-    usable = sampled & ~np.isnan(g["smoothed"])
-    x = g["smoothed"][usable]
-    if len(x) == 0:
-        return []
-    penalty = config.penalty
-    if penalty is None:
-        variance = float(np.var(x))
-        penalty = float(np.log(len(x)) * (1.0 if variance < K.VARIANCE_FLOOR else variance))
-    ends = kernels.kernel_changepoints(x, penalty, config.min_size, config.kernel)
-    # position among the usable samples -> position among all samples -> row of the signal
-    k = g["_k"][usable].astype("int64")
-    samples = int(sampled.sum())
-    ends = [samples if e == len(x) else int(k[e]) for e in ends]
-    if samples < n:
-        scale = n / samples
-        ends = [min(round(e * scale), n) for e in ends]
-    ends[-1] = n
+def _signal_statistics(prepared: DataFrame, config: DetectionConfig) -> DataFrame:
+    """(batch, variable, gamma, penalty, lo, hi) of every signal with a usable value, from all its rows."""
+    ranks = [(k + 0.5) / RANKS for k in range(RANKS)]
+    x = F.col("smoothed")
+    stats = prepared.groupBy(*KEYS).agg(
+        F.count(x).alias("m"), F.var_pop(x).alias("variance"), F.min(x).alias("lo"), F.max(x).alias("hi"),
+        F.percentile_approx(x, ranks, 10_000).alias("quantiles"),
+    ).where("m > 0")
+
+    @F.pandas_udf("double")
+    def gamma(quantiles: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([kernels.gamma_from_quantiles(q, int(n)) for q, n in zip(quantiles, m, strict=True)])
+
+    floor = F.when(F.col("variance") < K.VARIANCE_FLOOR, 1.0).otherwise(F.col("variance"))
+    penalty = F.ln("m") * floor if config.penalty is None else F.lit(float(config.penalty))
+    return stats.select(*KEYS, gamma("quantiles", "m").alias("gamma"), penalty.alias("penalty"), "lo", "hi")
+
+
+def _pieces_of(g: pd.DataFrame, config: DetectionConfig) -> pd.DataFrame:
+    """One block cut at the breakpoints the exact kernel finds in it; rows of neighbours only help to find them."""
+    g = g.sort_values("_i", ignore_index=True)
+    first = g.iloc[0]
+    x, i, own = g["smoothed"].to_numpy(float), g["_i"].to_numpy(), g["_own"].to_numpy(bool)
+    usable = ~np.isnan(x)
+    at = i[usable]
+    ends = kernels.kernel_changepoints(
+        x[usable], float(first["penalty"]), config.min_size, config.kernel, gamma=float(first["gamma"])
+    ) if usable.any() else []
+    mine = i[own]
+    cuts = [int(mine[0])] + [c for c in (int(at[e]) for e in ends if e < len(at)) if mine[0] < c <= mine[-1]]
+    ts, value = g["ts"], g["value"].to_numpy(float)
+    out = []
+    for start, stop in zip(cuts, [*cuts[1:], int(mine[-1]) + 1], strict=True):
+        lo, hi = np.searchsorted(i, [start, stop])
+        part = x[lo:hi][usable[lo:hi]]
+        own_sum = float((part * part).sum()) if config.kernel == "linear" else len(part) * kernels.SELF_SIMILARITY
+        out.append((
+            first["batch_id"], first["variable"], start, len(part), ts[lo], ts[hi - 1], value[lo], value[hi - 1], own_sum,
+            kernels.grid_weights(part, first["lo"], first["hi"]), first["gamma"], first["penalty"], first["lo"], first["hi"],
+        ))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _PIECES.split(", ")])
+
+
+def _chosen_segments(g: pd.DataFrame, sizes: int, config: DetectionConfig) -> pd.DataFrame:
+    """The cheapest way to join the pieces of one signal to segments."""
+    g = g.sort_values("start_i", ignore_index=True)
+    first = g.iloc[0]
+    ends = kernels.piece_changepoints(
+        g["n"].to_numpy(), g["own"].to_numpy(float), np.array(g["weights"].tolist(), dtype=float),
+        float(first["penalty"]), config.min_size,
+        kernels.grid_similarity(first["lo"], first["hi"], first["gamma"], config.kernel),
+    )
     out, start = [], 0
     for seg, end in enumerate(ends):
-        first, last, until = np.searchsorted(g["_i"], [start, min(end - 1, n - 1), min(end, n - 1)])
-        out.append((*key, seg, start, end, g["ts"][first], g["ts"][until], g["value"][first], g["value"][last]))
+        last = end == len(g)
+        out.append((
+            first["batch_id"], first["variable"], seg, g["start_i"][start], sizes if last else g["start_i"][end],
+            g["start_ts"][start], g["last_ts"][end - 1] if last else g["start_ts"][end],
+            g["first_value"][start], g["last_value"][end - 1],
+        ))
         start = end
-    return out
+    return pd.DataFrame(out, columns=_SEGMENT_COLUMNS)
 
 
-def _segment_signals(prepared: DataFrame, config: DetectionConfig) -> DataFrame:
-    """Segments of every signal; a signal sends at most ~3 * max_samples rows, whatever its length.
+def _segment_signals(prepared: DataFrame, config: DetectionConfig, block: int, halo: int) -> DataFrame:
+    """Segments of every signal; every sample counts, and no task holds more than a block of samples.
 
-    Long signals send their evenly spaced samples plus the raw rows that breakpoints can map back to, so
-    no second pass over the data is needed to read timestamps and values at the breakpoints. Partitions
-    hold whole signals in order; many signals share an Arrow batch and one signal is held at a time.
+    A signal is cut into blocks that see ``halo`` rows of their neighbours. The exact kernel runs on each
+    block under the penalty and width of the whole signal and proposes breakpoints; what lies between two of
+    them (or a block's border) becomes a piece with its values laid on a fixed grid. A last programme joins
+    pieces to segments: the cost of joined pieces follows from their sums on the grid. It sees pieces only, a
+    few per block. The form is the same for short and long signals. It approximates: a breakpoint that no
+    block proposes is not considered, similarities are interpolated between grid values, and the kernel's
+    width comes from values at ``RANKS`` ranks.
     """
-    m = config.max_samples
-    bounded = (
-        prepared.withColumn("_k", sample_number(m))
-        .where((F.col("_n") <= m) | F.col("_k").isNotNull() | _is_boundary(m))
-        .select(*KEYS, "ts", "value", "smoothed", "_i", "_n", F.col("_k").cast("double").alias("_k"))
-        .sortWithinPartitions(*KEYS, "ts", "value")
+    stats = _signal_statistics(prepared, config)
+    rows = prepared.select(*KEYS, "ts", "value", "smoothed", "_i", "_n").join(stats, KEYS)
+    blocks = halo_blocks(rows, "_i", block, halo).where((F.col("_block") * block) < F.col("_n"))
+    pieces = blocks.groupBy(*KEYS, "_block", "_n").applyInPandas(
+        lambda key, g: _pieces_of(g, config).assign(size=key[3]), _PIECES + ", size long"
+    )
+    return pieces.groupBy(*KEYS, "size").applyInPandas(
+        lambda key, g: _chosen_segments(g, int(key[2]), config), SEGMENTS
     )
-    names = ["ts", "value", "smoothed", "_i", "_n", "_k"]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key: tuple[str, str] | None = None
-        held: list[dict[str, np.ndarray]] = []
-
-        def close() -> list[tuple]:
-            if key is None:
-                return []
-            return _segments_of(key, {c: np.concatenate([h[c] for h in held]) for c in names}, config)
-
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            arrays = {c: pdf[c].to_numpy() for c in names}
-            batch, variable = pdf["batch_id"].to_numpy(), pdf["variable"].to_numpy()
-            changes = np.flatnonzero((batch[1:] != batch[:-1]) | (variable[1:] != variable[:-1])) + 1
-            edges = [0, *changes.tolist(), len(pdf)]
-            out: list[tuple] = []
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                here = (batch[lo], variable[lo])
-                if here != key:
-                    out += close()
-                    key, held = here, []
-                held.append({c: a[lo:hi] for c, a in arrays.items()})
-            yield pd.DataFrame(out, columns=_SEGMENT_COLUMNS)
-        yield pd.DataFrame(close(), columns=_SEGMENT_COLUMNS)
-
-    return bounded.mapInPandas(walk, SEGMENTS)
 
 
 def offline_segments(
-    telemetry: DataFrame, config: DetectionConfig = DetectionConfig(), policy: SkewPolicy = DEFAULT_POLICY
+    telemetry: DataFrame, config: DetectionConfig = DetectionConfig(), policy: SkewPolicy = DEFAULT_POLICY,
+    block: int = BLOCK, halo: int = HALO,
 ) -> DataFrame:
     """Segments of the configured signal of every batch (kernel changepoints on the prepared signal)."""
     chosen = telemetry.where(F.col("variable") == config.signal)
-    parts = prepared_parts(chosen, window=config.smoothing_window, policy=policy)
-    ordinary = _segment_signals(parts[0], config)
-    if parts[1] is None:
-        return ordinary
-    # hot signals arrive in blocks; reduced to their samples they fit one task each
-    m = config.max_samples
-    reduced = parts[1].where((F.col("_n") <= m) | sample_number(m).isNotNull() | _is_boundary(m))
-    return ordinary.unionByName(_segment_signals(spread(reduced, *KEYS), config))
+    return _segment_signals(prepare(chosen, window=config.smoothing_window, policy=policy), config, block, halo)
 
 
 # --- online segmentation of stored signals -------------------------------------------------------------------
@@ -308,9 +313,3 @@ def phase_bands(phases: DataFrame, anchors: DataFrame | None = None) -> DataFram
         hours_between(F.col("anchor_ts"), F.col("start_ts")).alias("start_hours"),
         hours_between(F.col("anchor_ts"), F.col("end_ts")).alias("end_hours"),
     )
-
-
-def newest_per_batch(phases: DataFrame) -> DataFrame:
-    """Number the phases of each batch by start."""
-    order = Window.partitionBy("batch_id").orderBy("start_ts", "end_ts")
-    return phases.withColumn("phase_no", F.row_number().over(order))
