@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -164,43 +163,55 @@ def quality_flag(variable: Column, value: Column) -> Column:
     return out
 
 
-# Timestamp layouts tried in turn; text without an offset is read as UTC.
+_CLOCK = r"( \d{1,2}:\d{2}(:\d{2})?)?"
+_HALF_DAY = r" \d{1,2}:\d{2}(:\d{2})? ?[AaPp][Mm]"
+_SLASHED, _SLASHED_HALF = rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}{_CLOCK}$", rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}{_HALF_DAY}$"
+# Time texts beside ISO: pattern and layout; text without an offset is read as UTC.
 TIMESTAMP_FORMATS = (
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "MM/dd/yyyy",
-    "dd.MM.yyyy HH:mm:ss",
-    "dd.MM.yyyy HH:mm",
-    "dd.MM.yyyy",
-    "dd-MMM-yyyy HH:mm:ss",
-    "dd MMM yyyy HH:mm:ss",
-    "MMM d yyyy HH:mm:ss",
-    "MMM d, yyyy HH:mm:ss",
-    "yyyyMMdd'T'HHmmss",
-    "yyyyMMdd HHmmss",
+    (rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}{_CLOCK}$", "yyyy/M/d[ H:mm[:ss]]"),
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_HALF_DAY}$", "yyyy-M-d h:mm[:ss][ ]a"),
+    (rf"^\d{{1,2}}\.\d{{1,2}}\.\d{{4}}{_CLOCK}$", "d.M.yyyy[ H:mm[:ss]]"),
+    (rf"^\d{{1,2}}-[A-Za-z]{{3}}-\d{{4}}{_CLOCK}$", "d-MMM-yyyy[ H:mm[:ss]]"),
+    (rf"^\d{{1,2}}-[A-Za-z]{{3}}-\d{{2}}{_CLOCK}$", "d-MMM-yy[ H:mm[:ss]]"),
+    (rf"^\d{{1,2}} [A-Za-z]{{3}} \d{{4}}{_CLOCK}$", "d MMM yyyy[ H:mm[:ss]]"),
+    (rf"^\d{{1,2}} [A-Za-z]{{4,9}} \d{{4}}{_CLOCK}$", "d MMMM yyyy[ H:mm[:ss]]"),
+    (rf"^[A-Za-z]{{3}} \d{{1,2}},? \d{{4}}{_CLOCK}$", "MMM d[,] yyyy[ H:mm[:ss]]"),
+    (rf"^[A-Za-z]{{4,9}} \d{{1,2}},? \d{{4}}{_CLOCK}$", "MMMM d[,] yyyy[ H:mm[:ss]]"),
+    (r"^\d{8}T\d{6}$", "yyyyMMdd'T'HHmmss"),
+    (r"^\d{8} \d{6}$", "yyyyMMdd HHmmss"),
 )
 
 
-def _layout_pattern(layout: str) -> str:
-    out = layout.replace("'", "").replace(".", r"\.")
-    for letters, digits in (("yyyy", r"\d{4}"), ("MMM", "[A-Za-z]{3}"), ("MM", r"\d{2}"), ("dd", r"\d{2}"), ("HH", r"\d{2}"),
-                            ("mm", r"\d{2}"), ("ss", r"\d{2}")):
-        out = out.replace(letters, digits)
-    return "^" + re.sub(r"\bd\b(?![{])", r"\\d{1,2}", out) + "$"
+def looks_dated(text: Column) -> Column:
+    """Whether a text begins like a date: a year or day and a month, or a month's name and a day."""
+    return F.trim(text).rlike(
+        r"^(\d{4}[-/]\d{1,2}[-/]\d|\d{1,2}[-/. ](\d{1,2}|[A-Za-z]{3,9})[-/. ]\d{2}|[A-Za-z]{3,9} \d{1,2},? \d{4}|\d{8}[T ]\d{6}$)"
+    )
+
+
+def day_leads(text: Column) -> Column:
+    """Whether a slashed date has a first number that can be no month."""
+    return F.trim(text).rlike(r"^(1[3-9]|[23]\d)/\d{1,2}/\d{4}")
 
 
-def parse_timestamp(text: Column) -> Column:
+def parse_timestamp(text: Column, day_first: Column | None = None) -> Column:
     """Absolute timestamp text in ISO or one of the known layouts; null when it is neither.
 
-    Plain numbers are data values, not dates, and give null.
+    Plain numbers are data values, not dates, and give null. Slashed dates are month first unless ``day_first``
+    holds; without it, those that can be no month-first date are read day first.
     """
     t = F.trim(text)
-    parsed = F.when(t.rlike(r"^\d{4}-\d"), t.try_cast("timestamp"))
-    for layout in TIMESTAMP_FORMATS:
-        parsed = parsed.when(t.rlike(_layout_pattern(layout)), F.try_to_timestamp(t, F.lit(layout)))
-    return parsed
+
+    def slashed(clock: str, of: Column) -> Column:
+        month, day = (F.try_to_timestamp(of, F.lit(f"{order}/yyyy{clock}")) for order in ("M/d", "d/M"))
+        return F.coalesce(month, day) if day_first is None else F.when(day_first, day).otherwise(month)
+
+    parsed = F.when(t.rlike(_SLASHED), slashed("[ H:mm[:ss]]", t))
+    parsed = parsed.when(t.rlike(_SLASHED_HALF), slashed(" h:mm[:ss][ ]a", F.upper(t)))
+    for pattern, layout in TIMESTAMP_FORMATS:
+        of = F.upper(t) if layout.endswith("a") else t
+        parsed = parsed.when(t.rlike(pattern), F.try_to_timestamp(of, F.lit(layout)))
+    return F.coalesce(F.when(t.rlike(r"^\d{4}-\d"), t.try_cast("timestamp")), parsed)
 
 
 def yield_with_uncertainty(p0: Column, p1: Column, c0: Column, c1: Column) -> tuple[Column, Column]:

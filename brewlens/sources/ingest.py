@@ -1,7 +1,7 @@
 """Loads of raw instrument files: plan the columns, then melt, convert and flag.
 
-A load covers many files. Its plan is a DataFrame with one row per (file, column), made from the first
-lines of each file; the transform joins the plan to all lines and stays in the JVM.
+A load covers many files. Its plan is a DataFrame with one row per (file, column), made from the header and
+from sums over all cells of a column; the transform joins the plan to all lines and stays in the JVM.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from brewlens import constants as K
 from brewlens.functions import kernels
 from brewlens.functions import scalars as S
-from brewlens.plans.skew import salted_join
 from brewlens.sources import delimited, workbook
 
 
@@ -74,49 +73,47 @@ def is_unit_row(fields: Column) -> Column:
     return (F.size(texts) > 0) & F.forall(texts, lambda x: F.array_contains(known, x))
 
 
-def _looks_elapsed(samples: Column) -> Column:
-    """Numbers that start below 1 and never fall."""
-    texts = F.filter(F.slice(samples, 1, 5), lambda x: F.trim(x) != "")
-    numbers = F.transform(texts, lambda x: F.trim(x).try_cast("double"))
-    rising = F.forall(
-        F.sequence(F.lit(1), F.greatest(F.size(numbers) - 1, F.lit(1))),
-        lambda i: F.coalesce(F.get(numbers, i) >= F.get(numbers, i - 1), F.lit(True)),
-    )
-    return (F.size(numbers) > 0) & ~F.exists(numbers, lambda x: x.isNull()) & (F.array_min(numbers) < 1.0) & rising
-
+def column_statistics(rows: DataFrame) -> DataFrame:
+    """(source, col_no, filled, numbers, dated, day_first, mean, first_number) from every row (source, pos, fields).
 
-def _looks_datetime(samples: Column) -> Column:
-    texts = F.filter(F.slice(samples, 1, 5), lambda x: F.trim(x) != "")
-    parsed = F.size(F.filter(texts, lambda x: S.parse_timestamp(x).isNotNull()))
-    return (F.size(texts) > 0) & (parsed >= F.least(F.lit(3), F.size(texts)))
+    ``filled`` counts cells with text, ``numbers`` those that are numbers, ``dated`` those that look like a date;
+    ``day_first`` holds if some cell has a day that can be no month in front. Sums are combined before the shuffle.
+    A file's header and unit rows take part: they hold neither numbers nor dates.
+    """
+    cells = rows.select("source", "pos", F.posexplode("fields").alias("col_no", "cell")).where(F.trim("cell") != "")
+    number = S.numeric(F.col("cell"))
+    parsed = cells.select("source", "pos", "col_no", "cell", number.alias("number"))
+    dated = F.col("number").isNull() & S.looks_dated(F.col("cell"))
+    return parsed.groupBy("source", "col_no").agg(
+        F.count(F.lit(1)).alias("filled"), F.count("number").alias("numbers"), F.count_if(dated).alias("dated"),
+        F.coalesce(F.bool_or(F.col("number").isNull() & S.day_leads(F.col("cell"))), F.lit(False)).alias("day_first"),
+        F.avg("number").alias("mean"),
+        F.min_by("number", F.when(F.col("number").isNotNull(), F.col("pos"))).alias("first_number"),
+    )
 
 
 def plan_columns(
     heads: DataFrame,
+    rows: DataFrame,
     custom_vocab: Mapping[str, Sequence[str]] | None = None,
     confirmed: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (source, column) from the first rows of each source.
+    """One row per (source, column).
 
-    ``heads`` has (source, rn, fields). Row 0 is the header, row 1 may be a unit row. ``confirmed``
-    (source or null, header, variable) replaces the automatic header match for the headers it names.
+    ``heads`` has (source, rn, fields): row 0 is the header, row 1 may be a unit row. ``rows`` has (source, pos,
+    fields), all rows of each source in the order of ``pos``: the date column, an elapsed clock and units guessed
+    from a column's mean are decided by all of its cells. ``confirmed`` (source or null, header, variable) replaces
+    the automatic header match for the headers it names.
     """
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("rn", "fields"))), lambda s: s["fields"])
-    per_source = heads.groupBy("source").agg(rows.alias("rows"))
-    has_units = is_unit_row(F.coalesce(F.get("rows", F.lit(1)), F.array().cast("array<string>")))
-    skip = F.when(F.col("has_units"), 2).otherwise(1)
-    per_source = per_source.withColumn("has_units", has_units).select(
-        "source", F.get("rows", F.lit(0)).alias("headers"),
-        F.when(F.col("has_units"), F.get("rows", F.lit(1))).alias("units"),
-        F.slice("rows", skip + 1, 10).alias("data"),
-    )
-    columns = per_source.select(
-        "source", "headers", "units", "data", F.posexplode("headers").alias("col_no", "header")
-    ).select(
-        "source", "col_no", "header",
-        F.trim(F.get("units", F.col("col_no"))).alias("unit_row"),
-        F.transform("data", lambda r: F.coalesce(F.get(r, F.col("col_no")), F.lit(""))).alias("samples"),
+    ends = F.transform(F.sort_array(F.collect_list(F.struct("rn", "fields"))), lambda s: s["fields"])
+    per_source = heads.where("rn < 2").groupBy("source").agg(ends.alias("rows"))
+    second = F.coalesce(F.get("rows", F.lit(1)), F.array().cast("array<string>"))
+    per_source = per_source.select(
+        "source", F.get("rows", F.lit(0)).alias("headers"), F.when(is_unit_row(second), second).alias("units")
     )
+    columns = per_source.select("source", "units", F.posexplode("headers").alias("col_no", "header")).select(
+        "source", "col_no", "header", F.trim(F.get("units", F.col("col_no"))).alias("unit_row")
+    ).join(column_statistics(rows), ["source", "col_no"], "left").na.fill(0, ["filled", "numbers", "dated"])
     matches = match_headers(columns, vocabulary(custom_vocab))
     planned = columns.join(matches, "header", "left")
     if confirmed is not None:
@@ -129,22 +126,20 @@ def plan_columns(
     named = F.lower(S.clean_header(F.col("header"))).isin(*K.TIMESTAMP_NAMES)
     whole = Window.partitionBy("source")
     by_name = F.min(F.when(named, F.col("col_no"))).over(whole)
-    by_value = F.min(F.when(_looks_datetime(F.col("samples")), F.col("col_no"))).over(whole)
+    # A date column by its values: three in five of its cells. A clock: more numbers than dates, from below 1 on.
+    by_value = F.min(F.when((F.col("dated") > 0) & (5 * F.col("dated") >= 3 * F.col("filled")), F.col("col_no"))).over(whole)
+    runs = (F.col("numbers") > F.col("dated")) & F.coalesce(F.col("first_number") < 1.0, F.lit(False))
     planned = planned.withColumn("ts_col", F.coalesce(by_name, by_value)).withColumns({
         "is_ts": F.col("col_no") == F.col("ts_col"),
-        "is_elapsed": (F.col("col_no") == F.col("ts_col")) & named & _looks_elapsed(F.col("samples")),
+        "is_elapsed": (F.col("col_no") == F.col("ts_col")) & named & runs,
     })
-    numbers = F.filter(F.transform("samples", lambda x: S.numeric(x)), lambda x: x.isNotNull())
-    mean = F.when(
-        F.size(numbers) > 0, F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x) / F.size(numbers)
-    )
     source_unit = F.coalesce(
         F.when(F.col("unit_row") != "", F.col("unit_row")), S.header_unit(F.col("header")),
-        S.range_unit(F.col("variable"), mean),
+        S.range_unit(F.col("variable"), F.col("mean")),
     )
     canonical = S.canonical_unit(F.col("variable"))
     return planned.select(
-        "source", "col_no", "header", "is_ts", "is_elapsed", "ts_col",
+        "source", "col_no", "header", "is_ts", "is_elapsed", "ts_col", "day_first",
         F.when(F.col("is_ts"), S.elapsed_unit(F.col("header"))).alias("elapsed_unit"),
         F.when(~F.coalesce("is_ts", F.lit(False)), F.col("variable")).alias("variable"),
         F.when(~F.coalesce("is_ts", F.lit(False)), F.col("confidence")).alias("confidence"),
@@ -220,12 +215,13 @@ def melt(rows: DataFrame, plan: DataFrame, reference: Column) -> tuple[DataFrame
         F.max("ts_col").alias("ts_col"),
         F.bool_or(F.coalesce("is_elapsed", F.lit(False))).alias("elapsed"),
         F.max("elapsed_unit").alias("elapsed_unit"),
+        F.coalesce(F.bool_or(F.when(F.col("is_ts"), F.col("day_first"))), F.lit(False)).alias("day_first"),
         F.transform(F.sort_array(F.collect_list(F.struct("col_no", "header"))), lambda s: s["header"]).alias("headers"),
     )
-    joined = salted_join(rows, per_source, ["source"])
+    joined = rows.join(per_source, "source")
     raw_ts = F.get("fields", F.col("ts_col"))
     elapsed = S.elapsed_to_timestamp(S.numeric(raw_ts), F.col("elapsed_unit"), reference)
-    timed = joined.withColumn("ts", F.when(F.col("elapsed"), elapsed).otherwise(S.parse_timestamp(raw_ts)))
+    timed = joined.withColumn("ts", F.when(F.col("elapsed"), elapsed).otherwise(S.parse_timestamp(raw_ts, F.col("day_first"))))
     heading = (F.col("fields") == F.col("headers")) | is_unit_row(F.col("fields"))
     rejects = timed.where(F.col("ts").isNull() & ~heading).select(
         "source", "fields", F.lit("timestamp not readable").alias("reason")
@@ -255,9 +251,9 @@ def _finish(rows: DataFrame, plan: DataFrame, batches: DataFrame, inoculation: d
     headers = plan.groupBy("source").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("col_no", "header"))), lambda s: s["header"]).alias("headers")
     ).join(ids, "source")
-    original = salted_join(rows, headers, ["source"]).where(F.col("fields") != F.col("headers"))
+    original = rows.join(headers, "source").where(F.col("fields") != F.col("headers"))
     return Load(
-        records=salted_join(records, ids, ["source"]).select(
+        records=records.join(ids, "source").select(
             "source", "batch_id", "ts", "variable", "value", "unit", "quality_flag", "warning"
         ),
         rejects=rejects, plan=plan, problems=problems,
@@ -281,18 +277,18 @@ def load_delimited(
 ) -> Load:
     """Plan and transform every delimited text file below ``path``; one batch per file."""
     lines = delimited.read_lines(spark, path)
-    heads = delimited.head_lines(lines)
-    seps = delimited.dialects(heads)
+    heads = delimited.head_lines(lines, 2)
+    seps = delimited.dialects(lines)
     head_rows = heads.join(seps, "source").select(
         "source", "rn", delimited.split_line(F.col("line"), F.col("sep")).alias("fields")
     )
-    plan = plan_columns(head_rows, custom_vocab, confirmed)
-    rows = salted_join(lines.select("source", "line"), seps, ["source"]).select(
-        "source", delimited.split_line(F.col("line"), F.col("sep")).alias("fields")
+    rows = lines.select("source", "pos", "line").join(seps, "source").select(
+        "source", "pos", delimited.split_line(F.col("line"), F.col("sep")).alias("fields")
     )
+    plan = plan_columns(head_rows, rows, custom_vocab, confirmed)
     name = F.lit(batch_name) if batch_name else _base_name(F.col("source"))
     batches = seps.select("source", S.stable_id(F.lit("file"), F.col("source")).alias("batch_id"), name.alias("name"))
-    return _finish(rows, plan, batches, inoculation)
+    return _finish(rows.select("source", "fields"), plan, batches, inoculation)
 
 
 def load_workbooks(
@@ -323,11 +319,12 @@ def load_workbooks(
 
     def one(kind: Column) -> Load:
         chosen = labelled.where(kind)
-        body = salted_join(
-            rows.select("file", "sheet", "rn", "fields"), chosen.select("file", "sheet", "source"), ["file", "sheet"]
+        body = rows.select("file", "sheet", "rn", "fields").join(
+            chosen.select("file", "sheet", "source"), ["file", "sheet"]
         )
         plan = plan_columns(
-            body.where(F.col("rn") < delimited.HEAD_LINES).select("source", "rn", "fields"), custom_vocab, confirmed
+            body.where("rn < 2").select("source", "rn", "fields"),
+            body.select("source", F.col("rn").alias("pos"), "fields"), custom_vocab, confirmed,
         )
         return _finish(body.select("source", "fields"), plan, chosen.select("source", "batch_id", "name"), inoculation)
 

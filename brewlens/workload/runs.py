@@ -508,14 +508,11 @@ _HEADER = ["timestamp", "glucose_mg_L", "temp_K", "vol_mL", "pH"]
 
 
 def _raw_plan(spark, rows: DataFrame) -> DataFrame:
-    """Column plan from the header and the first rows of each file."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source").orderBy("l_orderkey", "n", "l_partkey")
-    first = rows.withColumn("rn", F.row_number().over(order)).where("rn <= 12").select("source", "rn", "fields")
+    """Column plan from the header and all rows of each file."""
     header = rows.select("source").distinct().select(
         "source", F.lit(0).alias("rn"), F.array(*[F.lit(h) for h in _HEADER]).alias("fields"))
-    return ingest.plan_columns(header.unionByName(first))
+    body = rows.select("source", F.struct("l_orderkey", "n", "l_partkey").alias("pos"), "fields")
+    return ingest.plan_columns(header, body)
 
 
 @_register

@@ -244,3 +244,36 @@ def test_broken_workbook_is_a_problem(spark, tmp_path):
     telemetry, _, _ = load_workbooks(spark, str(tmp_path))
     found = telemetry.problems.collect()
     assert len(found) == 1 and found[0]["source"].endswith("broken.XLSX") and "unreadable" in found[0]["problem"]
+
+
+def test_units_are_decided_by_the_whole_column(spark, folder):
+    rows = [f"2026-04-20 {8 + i // 60:02d}:{i % 60:02d}:00,{0 if i < 10 else 5000}" for i in range(300)]
+    load = ingest.load_delimited(spark, folder(run="timestamp,glucose\n" + "\n".join(rows) + "\n"))
+    got = values(load, variable="glucose")
+    assert len(got) == 300 and got[-1] == 5.0
+    assert load.plan.where("variable = 'glucose'").first()["from_unit"] == "mg/L"
+
+
+def test_separator_is_decided_by_all_lines(spark, folder):
+    rows = [f"2026-01-01 0{i % 10}:00:00;{i},5" for i in range(100)]
+    path = folder(semicolon="time;pH\n" + "\n".join(rows) + "\n", comma='time,pH\n2026-01-01 00:00:00,"7;1;2"\n', single="time\n1\n")
+    lines = delimited.read_lines(spark, path)
+    got = {r["source"].split("/")[-1]: r["sep"] for r in delimited.dialects(lines).collect()}
+    assert got == {"semicolon.csv": ";", "comma.csv": ",", "single.csv": ","}
+
+
+@pytest.mark.parametrize("text", [
+    "April 20, 2026 08:00", "20/04/2026 08:00", "4/20/2026 8:00", "2026-04-20 8:00 AM", "20-Apr-26 08:00", "Apr 20 2026 08:00:00",
+    "20.04.2026 08:00", "20-Apr-2026 08:00:00", "2026/04/20 08:00", "20260420T080000", "04/20/2026 08:00:00 am", "20 April 2026 8:00",
+])
+def test_everyday_time_texts(spark, text):
+    row = spark.createDataFrame([(text,)], "t string").select(
+        F.unix_micros(S.parse_timestamp(F.col("t"))).alias("us"), S.looks_dated(F.col("t")).alias("dated")).first()
+    assert row["us"] == 1_776_672_000_000_000 and row["dated"]
+
+
+def test_day_order_is_decided_over_the_column(spark, folder):
+    load = ingest.load_delimited(spark, folder(
+        day="time,pH\n03/04/2026 08:00,7\n20/04/2026 08:00,7.1\n", month="time,pH\n03/04/2026 08:00,7\n04/20/2026 08:00 PM,7.1\n"))
+    got = sorted((r["source"].split("/")[-1], r["ts"].month, r["ts"].day, r["ts"].hour) for r in load.records.collect())
+    assert got == [("day.csv", 4, 3, 8), ("day.csv", 4, 20, 8), ("month.csv", 3, 4, 8), ("month.csv", 4, 20, 20)]
