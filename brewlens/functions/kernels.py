@@ -95,17 +95,16 @@ def piece_changepoints(
 ) -> list[int]:
     """Ends (exclusive, in pieces) of the joined pieces that minimise kernel cost + penalty per segment.
 
-    ``n`` values per piece, their self-similarities ``own`` and grid ``weights``. Similarity sums of joined pieces
-    are squares of sums in the eigenvectors of ``similarity``.
+    ``n`` values per piece, their self-similarities ``own`` and grid ``weights``. With running sums T of the weights
+    the similarity sum of pieces a..b is (T_b - T_a)' K (T_b - T_a).
     """
+    if len(n) == 1 or n.sum() < 2 * min_size:
+        return [len(n)]
     size = np.concatenate(([0], np.cumsum(n)))
     diag = np.concatenate(([0.0], np.cumsum(own)))
-    scale, vectors = np.linalg.eigh(similarity)
-    # What the clipped kernel adds to a plain one is small, constant and not always positive: keep both signs.
-    big = np.abs(scale) > 1e-9 * np.abs(scale).max() if np.abs(scale).max() > 0 else np.zeros(len(scale), dtype=bool)
-    scale, vectors = scale[big], vectors[:, big]
-    sums = np.concatenate((np.zeros((1, len(scale))), np.cumsum(weights @ vectors, axis=0)))
-    total = int(size[-1])
+    sums = np.concatenate((np.zeros((1, len(similarity))), np.cumsum(weights, axis=0)))
+    met = sums @ similarity
+    square = (sums * met).sum(axis=1)
     best = np.full(len(n) + 1, np.inf)
     best[0] = -penalty
     back = np.zeros(len(n) + 1, dtype=np.int64)
@@ -115,12 +114,10 @@ def piece_changepoints(
             starts = np.array([0])
         if not len(starts):
             continue
-        gram = ((sums[end] - sums[starts]) ** 2) @ scale
+        gram = square[end] + square[starts] - 2.0 * (sums[starts] @ met[end])
         cost = best[starts] + diag[end] - diag[starts] - gram / np.maximum(size[end] - size[starts], 1)
         k = int(np.argmin(cost))
         best[end], back[end] = cost[k] + penalty, starts[k]
-    if total < 2 * min_size:
-        return [len(n)]
     ends: list[int] = []
     at = len(n)
     while at > 0:

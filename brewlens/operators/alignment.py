@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from brewlens.functions.scalars import MICROS_PER_HOUR, finite
 from brewlens.operators.timeseries import of_variables
 from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, carry
-from brewlens.plans.skew import salted_join
 
 SERIES = ["batch_id", "variable"]
 
@@ -42,7 +41,7 @@ def align(
     Readings of one variable at one time are averaged.
     """
     rows = of_variables(telemetry, variables).select(*SERIES, "ts", finite(F.col("value")).alias("value"))
-    joined = salted_join(rows, anchors(phases, anchor_phase), ["batch_id"])
+    joined = rows.join(anchors(phases, anchor_phase), "batch_id")
     elapsed = F.unix_micros("ts") - F.unix_micros("anchor_ts")
     means = (
         joined.withColumn("elapsed_us", elapsed)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brewlens.functions import kernels
 from brewlens.functions.scalars import finite
-from brewlens.plans.skew import salted_join, spread
+from brewlens.plans.skew import spread
 
 SCORE = "struct<score:double,dtw_normalized_distance:double,error:string>"
 
@@ -92,24 +92,19 @@ def score_batches(
     variables: Sequence[str],
     time: str = "ts",
     max_distance: float = 2.0,
+    profile_id: str = "golden",
 ) -> DataFrame:
-    """Score 0..100 of every batch against a profile; batches that cannot be scored say why.
-
-    Batches are spread over tasks; the profile is one row that is repeated per salt (Spark broadcasts it
-    by itself when it measures it as small).
-    """
-    mean = profile_matrix(profile, variables).select("profile_id", "mean_trajectory")
-    runs = trajectories(df, variables, time)
-    paired = salted_join(
-        runs.withColumn("one", F.lit(1)), mean.withColumn("one", F.lit(1)), ["one"], salts=256
-    ).drop("one")
+    """Score 0..100 of every batch against the named profile; batches that cannot be scored say why."""
+    chosen = profile.where(F.col("profile_id") == profile_id)
+    mean = profile_matrix(chosen, variables).select("profile_id", "mean_trajectory")
+    runs = trajectories(df, variables, time).withColumn("profile_id", F.lit(profile_id))
+    paired = runs.join(mean, "profile_id")
 
     @F.pandas_udf(SCORE)
     def score(runs: pd.Series, means: pd.Series) -> pd.DataFrame:
         out = []
         for run, ref in zip(runs, means, strict=True):
-            a = np.array([list(p) for p in run], dtype=float)
-            b = np.array([list(p) for p in ref], dtype=float)
+            a, b = np.stack(run).astype(float), np.stack(ref).astype(float)
             if np.isnan(a).any():
                 out.append((None, None, "variables are not sampled at the same times"))
             elif np.isnan(b).any():

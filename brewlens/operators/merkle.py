@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, ordinals
-from brewlens.plans.skew import SALTS, salted_join
 
 BITS = 10
 #: rounds of ten levels; 4 cover trees of up to 2**40 leaves
@@ -107,12 +106,8 @@ def inclusion_proofs(targets: DataFrame, node_table: DataFrame) -> DataFrame:
     )
     keys = ["tenant_id", "level", "sibling"]
     table = node_table.select("tenant_id", "level", F.col("idx").alias("sibling"), "hash")
-    # A node near the root is the sibling of a large part of all leaves, so upper levels join over salts;
-    # they hold at most 1/SALTS of the nodes, which makes repeating them cheap.
-    upper = F.col("level") >= SALTS.bit_length() - 1
-    found = wanted.where(~upper).join(table.where(~upper), keys).unionByName(
-        salted_join(wanted.where(upper), table.where(upper), keys)
-    )
+    # A node near the root is the sibling of a large part of all leaves: adaptive execution splits such keys.
+    found = wanted.join(table, keys)
     return found.select("tenant_id", F.col("leaf").alias("idx"), "level", "side", "hash")
 
 
@@ -127,7 +122,7 @@ def verify_inclusion(leaf_table: DataFrame, proofs: DataFrame, root_table: DataF
         lambda acc, s: F.when(s["side"] == "L", node_hash(s["hash"], acc)).otherwise(node_hash(acc, s["hash"])),
     )
     final = joined.withColumn("reached", F.lower(F.hex(folded)))
-    return salted_join(final, root_table.select("tenant_id", "root"), ["tenant_id"]).select(
+    return final.join(root_table.select("tenant_id", "root"), "tenant_id").select(
         "tenant_id", "idx", (F.col("reached") == F.col("root")).alias("valid")
     )
 
@@ -222,7 +217,7 @@ def checkpoint_rows(tree_leaves: DataFrame) -> DataFrame:
 def check_against(tree_leaves: DataFrame, stored: DataFrame) -> DataFrame:
     """Rebuild the tree of the stored size for each tenant and compare: (tenant_id, size, matches)."""
     saved = stored.select("tenant_id", F.col("size").alias("saved_size"), F.col("root").alias("saved_root"))
-    prefix = salted_join(tree_leaves, saved.select("tenant_id", "saved_size"), ["tenant_id"]).where("idx < saved_size")
+    prefix = tree_leaves.join(saved.select("tenant_id", "saved_size"), "tenant_id").where("idx < saved_size")
     rebuilt = roots(prefix.select("tenant_id", "idx", F.col("saved_size").alias("size"), "hash"))
     counts = prefix.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("present"))
     joined = saved.join(rebuilt.select("tenant_id", "root"), "tenant_id", "left").join(counts, "tenant_id", "left")

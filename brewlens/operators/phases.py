@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ from brewlens.functions import kernels
 from brewlens.functions.scalars import finite, hours_between, stable_id
 from brewlens.operators.signals import KEYS, prepare
 from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, halo_blocks
-from brewlens.plans.skew import salted_join, spread
+from brewlens.plans.skew import spread
 
 SEGMENTS = (
     "batch_id string, variable string, seg int, start_i long, end_i long, start_ts timestamp, "
@@ -62,14 +62,52 @@ _SEGMENT_COLUMNS = [
 #: Rows of one block and rows it shows of each neighbour; a block is what one call of the quadratic kernel sees.
 BLOCK, HALO = 4096, 1024
 #: Ranks at which a signal's values are read for the kernel's width.
-RANKS = 200
+RANKS = 100
 _PIECES = (
     "batch_id string, variable string, start_i long, n long, start_ts timestamp, last_ts timestamp, "
     "first_value double, last_value double, own double, weights array<double>, gamma double, penalty double, "
-    "lo double, hi double"
+    "lo double, hi double, size long"
 )
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _per_group(
+    df: DataFrame, keys: list[str], order: list[str], work: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str
+) -> DataFrame:
+    """``work`` on the columns of each group, one group held at a time; many small groups share an Arrow batch."""
+    ordered = spread(df, *keys).sortWithinPartitions(*keys, *order)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        held: list[dict[str, np.ndarray]] = []
+
+        def close() -> list[tuple]:
+            return work({c: np.concatenate([h[c] for h in held]) for c in held[0]}) if held else []
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
+            changed = np.zeros(len(pdf) - 1, dtype=bool)
+            for k in keys:
+                changed |= arrays[k][1:] != arrays[k][:-1]
+            edges = [0, *(np.flatnonzero(changed) + 1).tolist(), len(pdf)]
+            out: list[tuple] = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                here = tuple(arrays[k][lo] for k in keys)
+                if here != key:
+                    out += close()
+                    key, held = here, []
+                held.append({c: a[lo:hi] for c, a in arrays.items()})
+            yield pd.DataFrame(out, columns=_names(schema))
+        yield pd.DataFrame(close(), columns=_names(schema))
+
+    return ordered.mapInPandas(walk, schema)
+
+
 def _signal_statistics(prepared: DataFrame, config: DetectionConfig) -> DataFrame:
     """(batch, variable, gamma, penalty, lo, hi) of every signal with a usable value, from all its rows."""
     ranks = [(k + 0.5) / RANKS for k in range(RANKS)]
@@ -88,50 +126,46 @@ def _signal_statistics(prepared: DataFrame, config: DetectionConfig) -> DataFram
     return stats.select(*KEYS, gamma("quantiles", "m").alias("gamma"), penalty.alias("penalty"), "lo", "hi")
 
 
-def _pieces_of(g: pd.DataFrame, config: DetectionConfig) -> pd.DataFrame:
+def _pieces_of(g: dict[str, np.ndarray], config: DetectionConfig) -> list[tuple]:
     """One block cut at the breakpoints the exact kernel finds in it; rows of neighbours only help to find them."""
-    g = g.sort_values("_i", ignore_index=True)
-    first = g.iloc[0]
-    x, i, own = g["smoothed"].to_numpy(float), g["_i"].to_numpy(), g["_own"].to_numpy(bool)
+    gamma, penalty, lo, hi = (float(g[c][0]) for c in ("gamma", "penalty", "lo", "hi"))
+    x, i, value = g["smoothed"].astype(float), g["_i"], g["value"].astype(float)
     usable = ~np.isnan(x)
-    at = i[usable]
-    ends = kernels.kernel_changepoints(
-        x[usable], float(first["penalty"]), config.min_size, config.kernel, gamma=float(first["gamma"])
-    ) if usable.any() else []
-    mine = i[own]
-    cuts = [int(mine[0])] + [c for c in (int(at[e]) for e in ends if e < len(at)) if mine[0] < c <= mine[-1]]
-    ts, value = g["ts"], g["value"].to_numpy(float)
+    at, mine = i[usable], i[g["_own"].astype(bool)]
+    ends = (
+        kernels.kernel_changepoints(x[usable], penalty, config.min_size, config.kernel, gamma) if len(at) else []
+    )
+    found = (int(at[e]) for e in ends if e < len(at))
+    cuts = [int(mine[0]), *(c for c in found if mine[0] < c <= mine[-1]), int(mine[-1]) + 1]
     out = []
-    for start, stop in zip(cuts, [*cuts[1:], int(mine[-1]) + 1], strict=True):
-        lo, hi = np.searchsorted(i, [start, stop])
-        part = x[lo:hi][usable[lo:hi]]
-        own_sum = float((part * part).sum()) if config.kernel == "linear" else len(part) * kernels.SELF_SIMILARITY
+    for start, stop in zip(cuts, cuts[1:], strict=False):
+        a, b = np.searchsorted(i, [start, stop])
+        part = x[a:b][usable[a:b]]
+        own = float((part * part).sum()) if config.kernel == "linear" else len(part) * kernels.SELF_SIMILARITY
         out.append((
-            first["batch_id"], first["variable"], start, len(part), ts[lo], ts[hi - 1], value[lo], value[hi - 1], own_sum,
-            kernels.grid_weights(part, first["lo"], first["hi"]), first["gamma"], first["penalty"], first["lo"], first["hi"],
+            g["batch_id"][0], g["variable"][0], start, len(part), g["ts"][a], g["ts"][b - 1], value[a], value[b - 1], own,
+            kernels.grid_weights(part, lo, hi), gamma, penalty, lo, hi, int(g["_n"][0]),
         ))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _PIECES.split(", ")])
+    return out
 
 
-def _chosen_segments(g: pd.DataFrame, sizes: int, config: DetectionConfig) -> pd.DataFrame:
+def _chosen_segments(g: dict[str, np.ndarray], config: DetectionConfig) -> list[tuple]:
     """The cheapest way to join the pieces of one signal to segments."""
-    g = g.sort_values("start_i", ignore_index=True)
-    first = g.iloc[0]
+    gamma, penalty, lo, hi = (float(g[c][0]) for c in ("gamma", "penalty", "lo", "hi"))
     ends = kernels.piece_changepoints(
-        g["n"].to_numpy(), g["own"].to_numpy(float), np.array(g["weights"].tolist(), dtype=float),
-        float(first["penalty"]), config.min_size,
-        kernels.grid_similarity(first["lo"], first["hi"], first["gamma"], config.kernel),
+        g["n"], g["own"], np.stack(g["weights"]), penalty, config.min_size,
+        kernels.grid_similarity(lo, hi, gamma, config.kernel),
     )
-    out, start = [], 0
-    for seg, end in enumerate(ends):
-        last = end == len(g)
-        out.append((
-            first["batch_id"], first["variable"], seg, g["start_i"][start], sizes if last else g["start_i"][end],
-            g["start_ts"][start], g["last_ts"][end - 1] if last else g["start_ts"][end],
-            g["first_value"][start], g["last_value"][end - 1],
-        ))
-        start = end
-    return pd.DataFrame(out, columns=_SEGMENT_COLUMNS)
+    stops = np.append(g["start_i"], g["size"][0])
+    until = [*g["start_ts"], g["last_ts"][-1]]
+    starts = [0, *ends[:-1]]
+    return [
+        (
+            g["batch_id"][0], g["variable"][0], seg, g["start_i"][a], stops[b], g["start_ts"][a], until[b],
+            g["first_value"][a], g["last_value"][b - 1],
+        )
+        for seg, (a, b) in enumerate(zip(starts, ends, strict=True))
+    ]
 
 
 def _segment_signals(prepared: DataFrame, config: DetectionConfig, block: int, halo: int) -> DataFrame:
@@ -148,12 +182,8 @@ def _segment_signals(prepared: DataFrame, config: DetectionConfig, block: int, h
     stats = _signal_statistics(prepared, config)
     rows = prepared.select(*KEYS, "ts", "value", "smoothed", "_i", "_n").join(stats, KEYS)
     blocks = halo_blocks(rows, "_i", block, halo).where((F.col("_block") * block) < F.col("_n"))
-    pieces = blocks.groupBy(*KEYS, "_block", "_n").applyInPandas(
-        lambda key, g: _pieces_of(g, config).assign(size=key[3]), _PIECES + ", size long"
-    )
-    return pieces.groupBy(*KEYS, "size").applyInPandas(
-        lambda key, g: _chosen_segments(g, int(key[2]), config), SEGMENTS
-    )
+    pieces = _per_group(blocks, [*KEYS, "_block"], ["_i"], lambda g: _pieces_of(g, config), _PIECES)
+    return _per_group(pieces, KEYS, ["start_i"], lambda g: _chosen_segments(g, config), SEGMENTS)
 
 
 def offline_segments(
@@ -284,7 +314,7 @@ def in_phases(telemetry: DataFrame, phases: DataFrame, extra: tuple[str, ...] =
     A sample on a shared boundary belongs to both neighbours.
     """
     bands = phases.select("batch_id", "phase_type", "start_ts", "end_ts", *extra)
-    return salted_join(telemetry, bands, ["batch_id"]).where(
+    return telemetry.join(bands, "batch_id").where(
         (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
     )
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from brewlens.functions.scalars import finite
 from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, carry
-from brewlens.plans.skew import salted_join
 
 
 def of_batch(df: DataFrame, batch_id: str) -> DataFrame:
@@ -90,7 +89,7 @@ def unified_view_per_sensor(
 ) -> DataFrame:
     """Like :func:`unified_view`, with one match per sensor of the batch."""
     sensors = telemetry.select("batch_id", "variable").distinct()
-    probes = salted_join(assay.withColumnRenamed("variable", "analyte"), sensors, ["batch_id"])
+    probes = assay.withColumnRenamed("variable", "analyte").join(sensors, "batch_id")
     hits = _asof(telemetry, probes, ["batch_id", "variable"], policy)
     return hits.select(
         "batch_id", F.col("ts").alias("assay_ts"), "probe.analyte", "probe.assay_value",
@@ -137,14 +136,14 @@ def compare_batches(df: DataFrame) -> DataFrame:
 def zscores(df: DataFrame) -> DataFrame:
     """Population z-score per (batch, variable); constant signals give 0.
 
-    The statistics are combined before their shuffle and joined back over salted keys, so a hot signal is
-    never gathered in one window.
+    The statistics are combined before their shuffle and joined back, so a hot signal is never gathered in one
+    window; adaptive execution splits it in the join.
     """
     value = finite(F.col("value"))
     stats = df.groupBy("batch_id", "variable").agg(
         F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std")
     )
-    scored = salted_join(df, stats, ["batch_id", "variable"])
+    scored = df.join(stats, ["batch_id", "variable"])
     z = F.when(F.col("_std") > 1e-10, (value - F.col("_mean")) / F.col("_std")).otherwise(F.lit(0.0))
     return scored.select(*df.columns, z.alias("z"))
 

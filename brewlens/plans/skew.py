@@ -1,33 +1,10 @@
-"""Joins of a large, possibly skewed side with a smaller table on the same key."""
+"""Partitioning by key, and the filter of one tenant."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
-
-
-def salted_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
-    """Equi-join whose shuffle spreads every key over ``salts`` tasks.
-
-    ``small`` has few rows per key and is repeated once per salt. Spark still picks a broadcast by itself
-    when its size estimate allows one; otherwise no task receives more than 1/``salts`` of a hot key.
-    The salt is a hash of the row, so a re-run task produces the same rows.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"unsupported join type: {how}")
-    hashable = [c for c, kind in big.dtypes if c not in keys and "map<" not in kind and "variant" not in kind]
-    row_hash = F.xxhash64(*[F.col(c) for c in hashable] or [F.lit(0)])
-    left = big.withColumn("_salt", F.pmod(row_hash, F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into ``spark.sql.shuffle.partitions`` parts and keep that number.
 
