@@ -54,12 +54,13 @@ def _gather(level: DataFrame) -> DataFrame:
 
 
 def roots(tree_leaves: DataFrame) -> DataFrame:
-    """(tenant_id, size, root) with the root as lower-case hex."""
+    """(tenant_id, size, root) with the root as lower-case hex; trees beyond the rounds' 2**40 leaves are an error."""
     level = tree_leaves
     for _ in range(ROUNDS):
         top = F.expr(f"get(aggregate(sequence(1, {BITS}), nodes, (acc, step) -> {_pair_up('acc')}), 0)")
         level = _gather(level).select("tenant_id", "size", "idx", top.alias("hash"))
-    return level.select("tenant_id", "size", F.lower(F.hex("hash")).alias("root"))
+    fits = F.when(F.col("size") > 1 << BITS * ROUNDS, F.raise_error(F.lit("tree has more than 2**40 leaves")))
+    return level.select("tenant_id", "size", F.coalesce(fits.cast("string"), F.lower(F.hex("hash"))).alias("root"))
 
 
 def nodes(tree_leaves: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -17,7 +17,7 @@ from brewlens.sources.landed import SourceMapping, wide_to_telemetry
 
 OUTPUT = (
     "batch_id string, variable string, ts timestamp, value double, detected boolean, short_mass double, "
-    "late_dropped long"
+    "late boolean, late_dropped long"
 )
 STATE = "t long, last_us long, late long, probs array<double>, mu array<double>, beta array<double>"
 
@@ -26,8 +26,8 @@ def detect_online(stream: DataFrame, config: OnlineConfig = OnlineConfig(), all_
     """One output row per observation with the detector's verdict.
 
     State per (batch, variable) is the run-length posterior, at most ``max_run_length + 1`` entries in
-    each of three arrays. Inside a micro-batch values are taken in time order; values older than the last
-    one already taken are dropped and counted in ``late_dropped``.
+    each of three arrays. Inside a micro-batch values are taken in time order. Values older than the last one
+    already taken come out with ``late`` set and without a verdict; ``late_dropped`` counts them.
     """
     signals = stream if all_signals else stream.where(F.col("variable") == config.signal)
 
@@ -41,15 +41,15 @@ def detect_online(stream: DataFrame, config: OnlineConfig = OnlineConfig(), all_
         us = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
         fresh = us >= last
         late += int((~fresh).sum())
-        rows, us = rows[fresh], us[fresh]
-        verdicts = [posterior.update(float(v)) for v in rows["value"]]
+        verdicts = [posterior.update(float(v)) if new else (None, None) for v, new in zip(rows["value"], fresh, strict=True)]
         if len(us):
-            last = int(us[-1])
+            last = max(last, int(us[-1]))
         t, probs, mu, beta = posterior.state()
         state.update((t, last, late, probs, mu, beta))
         yield pd.DataFrame({
             "batch_id": key[0], "variable": key[1], "ts": rows["ts"].to_numpy(), "value": rows["value"].to_numpy(),
-            "detected": [d for d, _ in verdicts], "short_mass": [m for _, m in verdicts], "late_dropped": late,
+            "detected": pd.array([d for d, _ in verdicts], dtype="boolean"), "short_mass": [m for _, m in verdicts],
+            "late": ~fresh, "late_dropped": late,
         })
 
     return signals.select("batch_id", "variable", "ts", "value").groupBy("batch_id", "variable").applyInPandasWithState(

@@ -831,7 +831,7 @@ def online_stream(spark, sf):
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/online-{uuid.uuid4().hex}"
     schema = B.table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    source = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
     signal = source.select(
         F.col("user_id").cast("string").alias("batch_id"), F.lit("activity").alias("variable"),
         F.col("ts").cast("timestamp").alias("ts"), "value")

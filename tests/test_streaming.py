@@ -27,7 +27,8 @@ def test_state_survives_batches_and_late_rows_are_counted(spark, tmp_path):
     late = [("a", START + timedelta(seconds=5), "OD600", 99.0, None)]
     spark.createDataFrame(rows[100:] + late, TELEMETRY).coalesce(1).write.mode("append").parquet(str(source))
     out = run(spark, source, tmp_path / "out", tmp_path / "cp", config)
-    got = out.where("batch_id = 'a'").orderBy("ts").collect()
+    got = out.where("batch_id = 'a' and not late").orderBy("ts").collect()
+    assert [(r["value"], r["detected"], r["short_mass"]) for r in out.where("late").collect()] == [(99.0, None, None)]
     p = config.posterior()
     expected = [p.update(v) for v in x]
     assert [r["detected"] for r in got] == [d for d, _ in expected]
