@@ -182,25 +182,32 @@ class Workspace:
         self, batch_ids: Sequence[str] | str | None = None, signal: str = "OD600", min_size: int = 10, **options
     ) -> DataFrame:
         config = phases.DetectionConfig(signal=signal, min_size=min_size, **options)
-        return self._save_phases(phases.detect_phases(self.telemetry(batch_ids), config), "pelt")
+        return self._save_phases(phases.detect_phases(self.telemetry(batch_ids), config), "pelt", batch_ids, signal)
 
     def detect_phases_online(
         self, batch_ids: Sequence[str] | str | None = None, signal: str = "OD600", hazard: float = 1 / 250,
         threshold: float = 0.5, **options,
     ) -> DataFrame:
         config = phases.OnlineConfig(signal=signal, hazard=hazard, threshold=threshold, **options)
-        return self._save_phases(phases.detect_phases(self.telemetry(batch_ids), config), "bocpd")
+        return self._save_phases(phases.detect_phases(self.telemetry(batch_ids), config), "bocpd", batch_ids, signal)
 
-    def _save_phases(self, found: DataFrame, method: str) -> DataFrame:
+    def _save_phases(
+        self, found: DataFrame, method: str, batch_ids: Sequence[str] | str | None, signal: str
+    ) -> DataFrame:
+        """Store a run of detection; the earlier phases of batches in which it finds none are deleted."""
         version = _version()
         self.store.append("phases", found.withColumns({
             "method": F.lit(method), "_version": F.lit(version), "_deleted": F.lit(False),
         }))
         stored = self.store.read("phases").where((F.col("_version") == version) & (F.col("method") == method))
-        return stored.drop("method", "_version", "_deleted")
+        earlier = self.phases(batch_ids).where((F.col("method") == method) & (F.col("signal_variable") == signal))
+        gone = earlier.join(stored.select("batch_id").distinct(), "batch_id", "left_anti")
+        self.store.append("phases", gone.withColumns({"_version": F.lit(version), "_deleted": F.lit(True)}))
+        return stored.where(~F.col("_deleted")).drop("method", "_version", "_deleted")
 
     def _signal_phases(self, batch_ids: Sequence[str] | str | None, signal: str) -> DataFrame:
-        return self.detect_phases(batch_ids, signal)
+        """Phases found now, for one analysis; nothing is stored."""
+        return phases.detect_phases(self.telemetry(batch_ids), phases.DetectionConfig(signal=signal))
 
     def compute_metrics(
         self, batch_ids: Sequence[str] | str | None = None, signal: str = "OD600", product: str | None = None,
@@ -245,7 +252,11 @@ class Workspace:
         self, profile: DataFrame, variables: Sequence[str], batch_ids: Sequence[str] | str | None = None,
         max_distance: float = 2.0,
     ) -> DataFrame:
-        return golden.score_batches(self.telemetry(batch_ids), profile, variables, max_distance=max_distance)
+        named = profile.first()
+        return golden.score_batches(
+            self.telemetry(batch_ids), profile, variables, max_distance=max_distance,
+            profile_id=named["profile_id"] if named else "golden",
+        )
 
     def overlay(
         self, batch_ids: Sequence[str], variables: Sequence[str] = ("OD600",), show_phases: bool = True
@@ -256,13 +267,13 @@ class Workspace:
         series = self.align(batch_ids, variables[0], variables)
         if not show_phases:
             return series, None
-        bands = self.phases(batch_ids[0]).where(F.col("signal_variable") == variables[0])
+        bands = self._signal_phases(batch_ids[0], variables[0])
         return series, phases.phase_bands(bands, alignment.anchors(bands))
 
     def inspect(self, batch_id: str, signal: str = "OD600") -> DataFrame:
         """Signal of one batch with the phase of each sample."""
         rows = ts.of_variables(self.telemetry(batch_id), [signal])
-        return phases.in_phases(rows, self.detect_phases(batch_id, signal))
+        return phases.in_phases(rows, self._signal_phases(batch_id, signal))
 
     def predict(self, sensor: sensors.Sensor | sensors.LinearSensor, batch_ids: Sequence[str] | str | None = None) -> DataFrame:
         """Telemetry together with the sensor's predictions."""

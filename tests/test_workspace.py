@@ -105,6 +105,11 @@ def test_load_detect_align_score(ws, telemetry, tmp_path):
     found = ws.detect_phases(ids, penalty=5.0)
     again = ws.detect_phases(ids, penalty=5.0)
     assert ws.phases().count() == found.count() == again.count()
+    rows = ws.store.read("phases").count()
+    assert ws.inspect(ids[0]).count() > 0 and ws.store.read("phases").count() == rows  # reading stores nothing
+    ws._save_phases(found.limit(0), "pelt", ids, "OD600")
+    assert ws.phases(ids).isEmpty()  # a run that finds nothing replaces the one before
+    ws.detect_phases(ids, penalty=5.0)
     aligned = ws.align(ids, resolution_minutes=5, variables=["OD600", "pH"])
     assert aligned.where("elapsed_hours < 0").count() > 0 and aligned.select("batch_id").distinct().count() == 3
     with pytest.raises(ValueError, match="no decline2 phase"):
