@@ -831,7 +831,13 @@ def online_stream(spark, sf):
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/online-{uuid.uuid4().hex}"
     schema = B.table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    # A stream reads folders: the table's own, or the one that holds its single file.
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        source = reader.option("pathGlobFilter", "events.parquet").parquet(sf)
+    else:
+        source = reader.parquet(f"{sf}/events.parquet")
     signal = source.select(
         F.col("user_id").cast("string").alias("batch_id"), F.lit("activity").alias("variable"),
         F.col("ts").cast("timestamp").alias("ts"), "value")
