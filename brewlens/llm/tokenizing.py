@@ -1,7 +1,8 @@
 """Whole texts to token ids with a vocabulary file of the ``tokenizers`` library, many documents at a time.
 
 The vocabulary splits at white space and encodes each part alone, so equal parts are encoded once and kept.
-A text with ``<|`` goes to the library whole, because a special token may stand there.
+Two kinds of text go to the library whole: those with ``<|``, because a special token may stand there, and those with
+a combining mark behind a capital of A-Z, because the two may compose only in lower case, which is made early here.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow.compute as pc
 
 #: A blank here changes no id: the pattern ends a run of letters before a symbol anyway (U+0130 ends in a mark in lower case).
 _BEFORE_SYMBOL = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}])([.,!|$%&*#?;:()]+)"
+#: A special token may begin here, or a mark follows a capital (lower case first would let the two compose).
+_WHOLE = r"<\||[A-Z]\p{M}"
 
 
 class WordEncoder:
@@ -60,7 +63,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the counts per text. Nulls count as empty."""
         texts = pc.fill_null(texts, "")
-        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        special = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
         plain = pc.replace_substring_regex(pc.ascii_lower(plain), _BEFORE_SYMBOL, r"\1 \2")
         parts = pc.ascii_split_whitespace(plain)

@@ -19,6 +19,7 @@ ODD = [
     None, "", " ", "a", "Don't stop, it's 12,5 % (ok)!! ...", "x\n\ny\tz\x0b\x0c\r q", "É…, été! ½ ÷, ×. ñ.'s",
     "<|endoftext|> and <|ENDOFTEXT|> <|startoftext|>x", "tab\x1csep\x85nel nbsp em", "é ́x ΑΣ Σ, İi",
     "日本語のテキスト。 العربية नमस्ते 🎉🎉, ok", "word " * 5000, "z" * 3000, "A.B.C a,b!c's", "İ,", "ſ. ŉ, ǅ.",
+    "T\u0308x Y\u030a! J\u0323\u030c H\u0331. W\u030a t\u0308 <\u0338 =\u0338",
 ]
 
 
@@ -28,7 +29,7 @@ def plain(text):
 
 def test_encoder_equals_library():
     rng = random.Random(3)
-    alphabet = "abZéßñ.,!'|$ \n\t<>0123½٣x́ İΣ日🎉-_​ᲀ"
+    alphabet = "TY\u0308\u030aabZéßñ.,!'|$ \n\t<>0123½٣x́ İΣ日🎉-_​ᲀ"
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(3000)]
     whole = Tokenizer.from_file(FILE)
     for keep in (5, 100_000):
