@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -320,9 +321,9 @@ class _Joined:
             if value.kind == "aggregate":
                 raise ValueError("aggregates are not allowed in conditions")
             return self.column(value)
-        if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        if isinstance(value, bool) or not isinstance(value, (int, float, str, date)):
             raise ValueError(f"unsupported literal: {value!r}")
-        return F.lit(value if isinstance(value, str) else float(value))
+        return F.lit(value)
 
     def condition(self, c: Condition) -> Column:
         if c.op == "AND":

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brewlens.operators.timeseries import union_assay
 
 FORMATS = ("arrow", "csv", "parquet")
 FORMS = ("aligned", "original")
+LISTING = "file string, n_rows long"
 
 
 def aligned_rows(telemetry: DataFrame, assay: DataFrame | None) -> DataFrame:
@@ -28,6 +30,15 @@ def original_rows(original: DataFrame, headers: list[str]) -> DataFrame:
     )
 
 
+def export_original(original: DataFrame, path: str, fmt: str = "csv") -> list[DataFrame | None]:
+    """Raw text of one batch. Files of several layouts go to one folder each below ``path`` (``layout=0`` and so on)."""
+    layouts = [r["headers"] for r in original.select("headers").distinct().orderBy("headers").collect()]  # a row a layout
+    folders = [path] if len(layouts) == 1 else [f"{path}/layout={i}" for i in range(len(layouts))]
+    return [
+        export(original_rows(original, headers), folder, fmt) for headers, folder in zip(layouts, folders, strict=True)
+    ]
+
+
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("errorifexists").option("header", True).option(
         "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -40,21 +51,34 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """``path`` on its own or the cluster's default file system, as a URI that Arrow's file systems know."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
+    scheme, _, rest = full.partition(":")
+    if scheme == "file":
+        return f"file:///{rest.lstrip('/')}"
+    return f"s3:{rest}" if scheme == "s3a" else full
+
+
 def write_arrow(df: DataFrame, path: str) -> DataFrame:
-    """One Arrow IPC file per non-empty partition; returns (file, n_rows).
+    """One Arrow IPC file per non-empty partition; returns their listing (file, n_rows), kept in ``path/_files``.
 
-    A file's name is its partition number and it appears by a rename, so a repeated task replaces its own
-    file instead of adding one. ``path`` may be any URI that Arrow's file systems know.
+    A path without a scheme lies on the cluster's default file system. A file's name is its partition number and it
+    appears by a rename, so a repeated task replaces its own file instead of adding one; what a lost task left
+    unfinished is deleted at the end.
     """
+    spark = df.sparkSession
+    target = arrow_uri(spark, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         context = TaskContext.get()
-        filesystem, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        filesystem, root = fs.FileSystem.from_uri(target)
         filesystem.create_dir(root, recursive=True)
-        name = posixpath.join(root, f"part-{context.partitionId():05d}.arrow")
-        partial = f"{name}.{context.taskAttemptId()}.tmp"
+        name = f"part-{context.partitionId():05d}.arrow"
+        partial = posixpath.join(root, f"{name}.{context.taskAttemptId()}.tmp")
         rows, sink, writer = 0, None, None
         for batch in batches:
             if batch.num_rows == 0:
@@ -67,12 +91,34 @@ def write_arrow(df: DataFrame, path: str) -> DataFrame:
         if writer is not None:
             writer.close()
             sink.close()
-            filesystem.move(partial, name)
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_rows": pa.array([rows], pa.int64())})
+            filesystem.move(partial, posixpath.join(root, name))
+            yield pa.RecordBatch.from_pydict({"file": [f"{target}/{name}"], "n_rows": pa.array([rows], pa.int64())})
+
+    df.mapInArrow(write, LISTING).write.parquet(f"{target}/_files")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for left in filesystem.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "*.tmp")) or []:
+        filesystem.delete(left.getPath(), False)
+    return spark.read.schema(LISTING).parquet(f"{target}/_files")
 
-    written = df.mapInArrow(write, "file string, n_rows long")
-    # run once; the listing has one row per partition
-    return df.sparkSession.createDataFrame(written.collect(), "file string, n_rows long")
+
+def read_arrow(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of the files that :func:`write_arrow` lists, batch by batch."""
+    files = spark.read.schema(LISTING).parquet(f"{arrow_uri(spark, path)}/_files")
+    names = schema.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                filesystem, at = fs.FileSystem.from_uri(file)
+                with filesystem.open_input_file(at) as source:
+                    found = pa.ipc.open_file(source)
+                    for i in range(found.num_record_batches):
+                        yield found.get_batch(i).select(names)
+
+    return files.repartition("file").mapInArrow(read, schema)
 
 
 def check_target(path: str, allowed_root: str | None) -> str:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Sequence
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -320,16 +322,15 @@ class Workspace:
         self, batch_id: str, path: str, fmt: str = "csv", form: str = "aligned", include_assay: bool = True,
         allowed_root: str | None = None,
     ) -> DataFrame | None:
-        """Write one batch; original form falls back to aligned rows when no raw text was kept."""
+        """Write one batch; original form falls back to aligned rows, with a warning, when no raw text was kept."""
         target = out.check_target(path, allowed_root)
         if form not in out.FORMS:
             raise ValueError(f"unsupported form '{form}'")
         if form == "original":
-            raw = self.store.read_batch("original", batch_id)
-            first = raw.select("headers").first()
-            if first is not None:
-                return out.export(out.original_rows(raw, first["headers"]), target, fmt)
-            return out.export(self.telemetry(batch_id), target, fmt)
+            written = out.export_original(self.store.read_batch("original", batch_id), target, fmt)
+            if written:
+                return None if written[0] is None else reduce(DataFrame.unionByName, written)
+            warnings.warn(f"batch {batch_id} has no original rows, aligned rows are exported", stacklevel=2)
         assay = self.assay(batch_id) if include_assay else None
         return out.export(out.aligned_rows(self.telemetry(batch_id), assay), target, fmt)
 
@@ -350,5 +351,3 @@ class Workspace:
         self.telemetry().createOrReplaceTempView("telemetry")
         self.assay().createOrReplaceTempView("assay")
         return query.sql(self.spark, self.views(), text, args)
-
-

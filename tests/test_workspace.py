@@ -172,14 +172,26 @@ def test_imports_and_exports(ws, spark, tmp_path):
     ws.export(batch, f"{root}/pq", "parquet", include_assay=False)
     assert spark.read.parquet(f"{root}/pq").exceptAll(ws.telemetry(batch)).isEmpty()
     files = ws.export(batch, f"{root}/arrow", "arrow").collect()
-    tables = [pa.ipc.open_file(r["file"]).read_all() for r in files]
+    tables = [pa.ipc.open_file(r["file"].removeprefix("file://")).read_all() for r in files]
     assert sum(t.num_rows for t in tables) == 25 == sum(r["n_rows"] for r in files)
+    both = export.read_arrow(spark, f"{root}/arrow", ws.telemetry().schema)
+    assert both.exceptAll(ws.telemetry(batch)).isEmpty() and both.count() == 25
     ws.export(batch, f"{root}/orig", "csv", form="original")
     raw = spark.read.option("header", True).csv(f"{root}/orig")
     assert raw.columns == ["timestamp", "pH", "DO_%", "temp_C", "OD600", "glucose_g_L"] and raw.count() == 5
     assert "20.0" in {r["glucose_g_L"] for r in raw.collect()}
+    other = spark.createDataFrame([(batch, "b.csv", ["time", "pH"], ["0", "7.0"])], ws.store.read("original").schema)
+    ws.store.append("original", other)
+    ws.export(batch, f"{root}/orig2", "csv", form="original")
+    found = [spark.read.option("header", True).csv(f"{root}/orig2/layout={i}") for i in (0, 1)]
+    assert sorted((len(f.columns), f.count()) for f in found) == [(2, 1), (6, 5)]
+    assayed = ws.assay().first()["batch_id"]
+    ws.store.append("assay", ws.assay(assayed).withColumn("batch_id", F.lit("bare")))
+    with pytest.warns(UserWarning, match="no original rows"):
+        ws.export("bare", f"{root}/bare", "parquet", form="original")
+    assert spark.read.parquet(f"{root}/bare").count() == 20  # assays are part of the fallback
     ws.export_many(None, f"{root}/all")
-    assert spark.read.parquet(f"{root}/all").select("batch_id").distinct().count() == 3
+    assert spark.read.parquet(f"{root}/all").select("batch_id").distinct().count() == 4
     with pytest.raises(ValueError, match="no data"):
         ws.export("missing", f"{root}/none")
     with pytest.raises(ValueError, match="unsupported format"):
