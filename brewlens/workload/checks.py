@@ -389,6 +389,14 @@ def _checks() -> dict[str, str]:
     v["inclusion_verified"] = "SELECT CAST(conv_id AS VARCHAR) AS tenant_id, turn AS idx, true AS valid FROM conversations"
     v["consistency_verified"] = """SELECT CAST(conv_id AS VARCHAR) AS tenant_id, count(*) - 1 AS old_size, count(*) AS new_size, true AS valid
       FROM conversations GROUP BY 1 HAVING count(*) > 1"""
+    v["consistency_cases"] = """SELECT CAST(conv_id AS VARCHAR) AS tenant_id, count(*) + d AS old_size, count(*) AS new_size, c AS "case",
+      c = 'equal' AS valid FROM conversations, (VALUES ('equal', 0), ('altered', -1), ('shrunk', 1)) k(c, d) GROUP BY conv_id, c, d"""
+    # --- detection: what must hold whatever the changepoints are
+    for name in ("pelt_cover", "online_cover"):
+        v[name] = """SELECT CAST(user_id AS VARCHAR) AS batch_id, count(*) AS n, count(*) AS upto, epoch_us(min(ts)) AS first_us,
+          epoch_us(max(ts)) AS last_us, 0::BIGINT AS gaps FROM events GROUP BY 1"""
+    v["stream_equals_batch"] = """SELECT CAST(user_id AS VARCHAR) AS batch_id, count(*) AS n, epoch_us(max(ts)) AS last_us,
+      0::BIGINT AS differ FROM events GROUP BY 1"""
     v["checkpoint_check"] = """SELECT CAST(conv_id AS VARCHAR) AS tenant_id, count(*) AS size, count(*) < 8 AS matches
       FROM conversations GROUP BY 1"""
     return v

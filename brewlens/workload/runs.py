@@ -348,6 +348,32 @@ def online_phases(spark, sf):
     return found.select("batch_id", "phase_type", us("start_ts").alias("start_us"), us("end_ts").alias("end_us"))
 
 
+def _cover(segments: DataFrame) -> DataFrame:
+    """Rows from the first to the last sample of each signal, and how many of its segments do not begin where one ends."""
+    n = segments.groupBy("batch_id").agg(
+        F.sum(F.col("end_i") - F.col("start_i")).alias("n"), F.max("end_i").alias("upto"),
+        us(F.min("start_ts")).alias("first_us"), us(F.max("end_ts")).alias("last_us"))
+    ends = segments.select("batch_id", F.col("end_i").alias("start_i"))
+    loose = segments.where("start_i > 0").join(ends, ["batch_id", "start_i"], "left_anti").groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("gaps"))
+    return n.join(loose, "batch_id", "left").select(
+        "batch_id", "n", "upto", "first_us", "last_us", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"))
+
+
+@_register
+def pelt_cover(spark, sf):
+    """Offline segments of each signal cover every sample once."""
+    return _cover(cut_lineage(phases.offline_segments(
+        B.activity(spark, sf), phases.DetectionConfig("activity", min_size=5, penalty=2.0))))
+
+
+@_register
+def online_cover(spark, sf):
+    """Online segments of each signal cover every sample once."""
+    return _cover(cut_lineage(phases.online_segments(
+        B.activity(spark, sf), phases.OnlineConfig("activity", hazard=1 / 250, threshold=0.3))))
+
+
 @_register
 def detected_metrics(spark, sf):
     """Detection and metrics in one plan."""
@@ -814,6 +840,22 @@ def consistency_verified(spark, sf):
     return merkle.verify_consistency(proofs, roots_at)
 
 
+@_register
+def consistency_cases(spark, sf):
+    """Each conversation's tree against itself, against an altered older root, and against a log that was longer."""
+    tree = cut_lineage(_tree(spark, sf, False))
+    nodes = cut_lineage(merkle.nodes(tree))
+    new = merkle.roots(tree).select("tenant_id", F.col("size").alias("new_size"), F.col("root").alias("new_root"))
+    out = None
+    for case, old_size in (("equal", F.col("new_size")), ("altered", F.col("new_size") - 1), ("shrunk", F.col("new_size") + 1)):
+        old_root = F.reverse("new_root") if case == "altered" else F.col("new_root")
+        roots_at = new.select("tenant_id", old_size.alias("old_size"), "new_size", old_root.alias("old_root"), "new_root")
+        proofs = merkle.consistency_proofs(roots_at.select("tenant_id", "old_size", "new_size"), nodes)
+        judged = merkle.verify_consistency(proofs, roots_at).withColumn("case", F.lit(case))
+        out = judged if out is None else out.unionByName(judged)
+    return out
+
+
 @_register
 def checkpoint_check(spark, sf):
     """Stored roots against rebuilt trees; the checkpoints of the longest conversations were altered."""
@@ -825,8 +867,7 @@ def checkpoint_check(spark, sf):
 # --- streaming ---------------------------------------------------------------------------------------------------------------------------
 
 
-@_register
-def online_stream(spark, sf):
+def _streamed(spark, sf) -> DataFrame:
     """Online changepoints of every user's signal as a stream that ends when the stored events are read."""
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/online-{uuid.uuid4().hex}"
@@ -847,5 +888,24 @@ def online_stream(spark, sf):
         .outputMode("append").trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(
+    return spark.read.parquet(f"{base}/out")
+
+
+@_register
+def online_stream(spark, sf):
+    return _streamed(spark, sf).select(
         "batch_id", us("ts").alias("ts_us"), "value", "detected", r6("short_mass").alias("short_mass"))
+
+
+@_register
+def stream_equals_batch(spark, sf):
+    """Values of each signal, and changepoints that only the stream or only the batch detector finds."""
+    out = _streamed(spark, sf)
+    n = out.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("begin"), us(F.max("ts")).alias("last_us"))
+    segments = cut_lineage(phases.online_segments(B.activity(spark, sf), phases.OnlineConfig("activity")))
+    batch = segments.where("start_i > 0").select("batch_id", F.col("start_ts").alias("ts"))
+    stream = out.where("detected").join(n.select("batch_id", F.col("begin").alias("ts")), ["batch_id", "ts"], "left_anti").select(
+        "batch_id", "ts")
+    both = stream.exceptAll(batch).unionByName(batch.exceptAll(stream)).groupBy("batch_id").agg(F.count(F.lit(1)).alias("differ"))
+    return n.join(both, "batch_id", "left").select(
+        "batch_id", "n", "last_us", F.coalesce("differ", F.lit(0)).cast("long").alias("differ"))
