@@ -130,48 +130,37 @@ def verify_inclusion(leaf_table: DataFrame, proofs: DataFrame, root_table: DataF
 
 # --- consistency -------------------------------------------------------------------------------------------
 
-_PLAN = "array<struct<pos:int,side:string,level:int,idx:long>>"
 
+def _span(lo: str, hi: str, side: str) -> str:
+    """The tree node over the leaves from ``lo`` to ``hi`` as a proof step."""
+    level = f"if({hi} - {lo} = 1, 0, length(bin({hi} - {lo} - 1)))"
+    return f"named_struct('side', '{side}', 'level', {level}, 'idx', shiftright({lo}, {level}))"
 
-def consistency_plan(old: int, new: int) -> list[tuple[int, str, int, int]]:
-    """Which nodes prove that the first ``old`` of ``new`` leaves are unchanged (RFC 6962, 2.1.2).
 
-    (position, side, level, index) in proof order; side ``S`` is the seed. Only sizes are used.
+def consistency_steps(old: str = "old_size", new: str = "new_size") -> Column:
+    """Which nodes prove that the first ``old`` of ``new`` leaves are unchanged (RFC 6962, 2.1.2), in proof order.
+
+    An array of (side, level, idx); side ``S`` is the seed. Only sizes are used. The open range is halved until it
+    ends where the old tree ends, at most 63 times. Equal sizes need no step; a log that shrank has no proof.
     """
-    if not 0 < old <= new:
-        raise ValueError("sizes must satisfy 0 < old <= new")
-    if old == new:
-        return []
-
-    def node(lo: int, hi: int) -> tuple[int, int]:
-        level = (hi - lo - 1).bit_length()
-        return level, lo >> level
-
-    trail: list[tuple[str, int, int]] = []
-    lo, hi, whole = 0, new, True  # the open range, and whether it starts where the old tree starts
-    while old - lo != hi - lo:
-        k = lo + (1 << (hi - lo - 1).bit_length() - 1)
-        if old <= k:
-            trail.append(("R", *node(k, hi)))
-            hi = k
-        else:
-            trail.append(("L", *node(lo, k)))
-            lo, whole = k, False
-    steps = ([] if whole else [("S", *node(lo, hi))]) + trail[::-1]
-    return [(i, *s) for i, s in enumerate(steps)]
+    middle = "(a.lo + shiftleft(1L, length(bin(a.hi - a.lo - 1)) - 1))"
+    walked = f"""aggregate(sequence(1, 63),
+        named_struct('lo', 0L, 'hi', cast({new} AS bigint), 'whole', true,
+          'trail', cast(array() AS array<struct<side: string, level: int, idx: bigint>>)),
+        (a, i) -> CASE WHEN a.hi = {old} THEN a
+          WHEN {old} <= {middle} THEN named_struct('lo', a.lo, 'hi', {middle}, 'whole', a.whole,
+            'trail', concat(array({_span(middle, 'a.hi', 'R')}), a.trail))
+          ELSE named_struct('lo', {middle}, 'hi', a.hi, 'whole', false,
+            'trail', concat(array({_span('a.lo', middle, 'L')}), a.trail)) END,
+        a -> if(a.whole, a.trail, concat(array({_span('a.lo', 'a.hi', 'S')}), a.trail)))"""
+    return F.expr(f"if(0 < {old} AND {old} < {new}, {walked}, array())")
 
 
 def consistency_proofs(sizes: DataFrame, node_table: DataFrame) -> DataFrame:
     """Proof rows for each (tenant_id, old_size, new_size); ``node_table`` holds the tree of new_size."""
-
-    @F.udf(_PLAN)
-    def plan(old: int, new: int):
-        # A log that shrank has no proof; it is judged invalid below.
-        return consistency_plan(old, new) if old and new and 0 < old <= new else []
-
     wanted = sizes.select(
-        "tenant_id", "old_size", "new_size", F.explode(plan("old_size", "new_size")).alias("p")
-    ).select("tenant_id", "old_size", "new_size", "p.*")
+        "tenant_id", "old_size", "new_size", F.posexplode(consistency_steps()).alias("pos", "p")
+    ).select("tenant_id", "old_size", "new_size", "pos", "p.*")
     return wanted.join(node_table.select("tenant_id", "level", "idx", "hash"), ["tenant_id", "level", "idx"]).select(
         "tenant_id", "old_size", "new_size", "pos", "side", "hash"
     )

@@ -130,10 +130,10 @@ def test_consistency_proofs(spark, trees):
     assert merkle.verify_consistency(changed, at).where("valid and old_size < new_size").isEmpty()
     other = at.withColumn("old_root", F.lit(roots[50])).where("old_size < new_size and old_size < 50")
     assert merkle.verify_consistency(proofs, other).where("valid").isEmpty()
-    ten = merkle.consistency_plan(10, 20)
-    assert all(level > 0 for _, _, level, _ in ten)
-    with pytest.raises(ValueError):
-        merkle.consistency_plan(5, 4)
+    sizes = spark.createDataFrame([(10, 20), (5, 4), (0, 4), (7, 7), (3, 1 << 50)], "old_size long, new_size long")
+    steps = {r[0]: r[1] for r in sizes.select("old_size", merkle.consistency_steps()).collect()}
+    assert steps[10] and all(s["level"] > 0 for s in steps[10])
+    assert steps[5] == steps[0] == steps[7] == [] and len(steps[3]) == 51
 
 
 def test_stored_checkpoints(trees):
