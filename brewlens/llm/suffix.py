@@ -11,8 +11,10 @@ be. Matches of ``MIN_WORDS`` words or more count, and those of one document that
 Whole copies (equal sequences of words) are grouped by digest first; one of each group takes part, and all of them
 are repeated from end to end.
 
-A neighbour has the longest common right (or left) side. Of three occurrences that share different sides of one
-passage, one may miss a match both of whose sides are shorter than its neighbours'; the tests measure how seldom.
+A neighbour has the longest common right (or left) side, so the two orders give for each suffix the most words that any
+other shares on either side. Where one neighbour shares both, every match of the suffix lies within that one. Where
+none does, a match may lie between: all suffixes of that gram are then keyed by each window of ``MIN_WORDS`` words
+round them that those two bounds allow, and a window whose key has two places is a match.
 
 Words are maximal runs of characters other than space and ``\\x09-\\x0D``; positions count words from 0.
 
@@ -102,7 +104,10 @@ CONTEXT = "gram long, right string, left string, id long, tie long, pos long"
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
-    """Each surviving suffix of rows (id, tie, text, at) with the words that follow it and, nearest first, those before."""
+    """Each surviving suffix of rows (id, tie, text, at) with the words that follow it and, nearest first, those before.
+
+    A blank ends every word, so that in byte order the neighbours have the longest run of whole words in common.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,8 +119,8 @@ def _contexts(rows: DataFrame) -> DataFrame:
                     words = text.split()
                     for x in found:
                         pos = x["pos"]
-                        right = b" ".join(words[pos : pos + MIN_WORDS]).decode()
-                        left = b" ".join(words[max(0, pos - REACH + 1) : pos][::-1]).decode()
+                        right = b"".join(w + b" " for w in words[pos : pos + MIN_WORDS]).decode()
+                        left = b"".join(w + b" " for w in words[max(0, pos - REACH + 1) : pos][::-1]).decode()
                         out.append((x["gram"], right, left, i, tie, pos))
                 if out:
                     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -130,19 +135,24 @@ def _contexts(rows: DataFrame) -> DataFrame:
 def _same(a: str, b: str) -> int:
     """How many words two texts share from their beginning."""
     n = 0
-    for x, y in zip(a.split(" ") if a else (), b.split(" ") if b else (), strict=False):
+    for x, y in zip(a.split(" ")[:-1], b.split(" ")[:-1], strict=False):
         if x != y:
             break
         n += 1
     return n
 
 
-def _match(a: tuple, b: tuple) -> list[tuple]:
-    """The spans of two suffixes (gram, right, left, id, tie, pos) that match over ``MIN_WORDS`` words, one for each."""
+def _common(a: tuple, b: tuple) -> tuple[int, int, int]:
+    """How many words two suffixes (gram, right, left, id, tie, pos) share to the left, to the right, and in all."""
     if a[0] != b[0] or a[3:] == b[3:]:
-        return []
+        return 0, 0, 0
     right, left = _same(a[1], b[1]), _same(a[2], b[2])
-    if right < GRAM or right + left < MIN_WORDS:
+    return (left, right, left + right) if right >= GRAM else (0, 0, 0)
+
+
+def _match(a: tuple, b: tuple, left: int, right: int) -> list[tuple]:
+    """The spans of two suffixes that share so many words, one for each, if they match over ``MIN_WORDS`` words."""
+    if left + right < MIN_WORDS:
         return []
     return [(*x[3:5], x[5] - left, x[5] + right, y[3], y[5] - left) for x, y in ((a, b), (b, a))]
 
@@ -152,7 +162,11 @@ SPAN_NAMES = [x.split()[0] for x in SPANS.split(", ")]
 
 
 def _neighbours(contexts: DataFrame, order: list[str]) -> DataFrame:
-    """Spans from comparing each suffix with the next in order, also across the ranges of the exchange."""
+    """Rows from comparing each suffix with the next in order, also across the ranges of the exchange.
+
+    Kind 0: a span. Kind 3: what a suffix of ``gram`` at ``first`` shares at most with a neighbour to the left
+    (``stop``), to the right (``other``) and in all (``other_first``), where three or more suffixes have that gram.
+    """
     names = [x.split()[0] for x in CONTEXT.split(", ")]
     ends = [f"end_{n}" for n in names]
 
@@ -161,22 +175,37 @@ def _neighbours(contexts: DataFrame, order: list[str]) -> DataFrame:
         kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 6, *[pa.int64(), pa.string(), pa.string()] + [pa.int64()] * 3]
         columns = [*SPAN_NAMES, *ends]
 
-        def table(spans: list[tuple], outer: list[tuple]) -> pa.RecordBatch:
-            rows = [(0, part, *s, *[None] * 6) for s in spans] + [(k, part, *[None] * 6, *e) for k, e in outer]
+        def table(spans: list[tuple], shared: list[tuple], outer: list[tuple]) -> pa.RecordBatch:
+            rows = [(0, part, *s, *[None] * 6) for s in spans]
+            rows += [(3, part, *row[3:], *most, row[0], *[None] * 5) for row, most in shared]
+            rows += [(k, part, *[None] * 6, *e) for k, e in outer]
             made = zip(*rows, strict=True) if rows else [[]] * len(columns)
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(made, kinds, strict=True)], columns)
 
+        most = (0, 0, 0)  # of the row before
+        held: list[tuple] = []  # of its gram, until a third row has it
+        size = 3  # rows of that gram; what touches the end of a range may go on in the next
         for batch in batches:
             spans: list[tuple] = []
+            shared: list[tuple] = []
             for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
                 if before is None:
                     first = row
                 else:
-                    spans += _match(before, row)
+                    now = _common(before, row)
+                    spans += _match(before, row, *now[:2])
+                    held.append((before, tuple(map(max, most, now))))
+                    if size > 2:
+                        shared += held
+                        held = []
+                    most = now
+                    size += 1
+                    if row[0] != before[0]:
+                        held, size = [], 1
                 before = row
-            yield table(spans, [])
+            yield table(spans, shared, [])
         if before is not None:
-            yield table([], [(1, first), (2, before)])
+            yield table([], [*held, (before, most)], [(1, first), (2, before)])
 
     sorted_rows = contexts.repartitionByRange(partitions(contexts), *order, *KEY, "pos").sortWithinPartitions(
         *order, *KEY, "pos"
@@ -184,21 +213,76 @@ def _neighbours(contexts: DataFrame, order: list[str]) -> DataFrame:
     kinds = f"{SPANS}, " + ", ".join(f"end_{x}" for x in CONTEXT.split(", "))
     found = stored(sorted_rows.select(*names).mapInArrow(compare, kinds), "neighbours")
     # One first and one last row for each range of the exchange.
-    outer = found.where("kind > 0").select("part", "kind", F.struct(*ends).alias("row"))
+    outer = found.where("kind in (1, 2)").select("part", "kind", F.struct(*ends).alias("row"))
     pairs = outer.withColumn("next", F.lead("row").over(Window.orderBy("part", "kind"))).where("kind = 2 and next is not null")
 
     def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
+            rows = []
             for r in batch.to_pylist():
-                spans += _match(tuple(r["row"].values()), tuple(r["next"].values()))
-            made = zip(*spans, strict=True) if spans else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in made], SPAN_NAMES[2:])
+                a, b = tuple(r["row"].values()), tuple(r["next"].values())
+                now = _common(a, b)
+                rows += [(0, *s, None) for s in _match(a, b, *now[:2])]
+                rows += [(3, *x[3:], *now, x[0]) for x in (a, b)]
+            made = zip(*rows, strict=True) if rows else [[]] * 8
+            kinds = [pa.int32(), *[pa.int64()] * 7]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(made, kinds, strict=True)], ["kind", *SPAN_NAMES[2:], "gram"]
+            )
+
+    columns = ["kind", *SPAN_NAMES[2:]]
+    return found.where("kind in (0, 3)").select(*columns, F.col("end_gram").alias("gram")).unionByName(
+        pairs.select("row", "next").mapInArrow(join_ends, f"kind int, {', '.join(SPANS.split(', ')[2:])}, gram long")
+    )
+
 
-    spans = ", ".join(SPANS.split(", ")[2:])
-    return found.where("kind = 0").select(*SPAN_NAMES[2:]).unionByName(
-        pairs.select("row", "next").mapInArrow(join_ends, spans)
+def _between(contexts: DataFrame, shared: DataFrame) -> DataFrame:
+    """Spans of the grams some suffix of which shares its most to the left and to the right with different neighbours.
+
+    Two suffixes that match lie within each other's bounds, so both have the key of each window they share.
+    """
+    most = {"left_most": "stop", "right_most": "other", "both": "other_first"}
+    bounds = stored(
+        shared.groupBy("gram", *KEY, F.col("first").alias("pos")).agg(*[F.max(c).alias(n) for n, c in most.items()])
+        .where(f"left_most + right_most >= {MIN_WORDS}"),
+        "bounds",
+    )
+    open_grams = stored(bounds.where("both < left_most + right_most").select("gram").distinct(), "open")
+    asked = contexts.join(bounds.join(open_grams, "gram", "left_semi").drop("both"), ["gram", *KEY, "pos"])
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["right", "left", *KEY, "pos", "left_most", "right_most"]
+        kinds = [pa.binary(), *[pa.int64()] * 4]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                out: list[tuple] = []
+                part = batch.slice(k, 4096)
+                for right, left, *place, before, after in zip(*(part.column(n).to_pylist() for n in names), strict=True):
+                    words = left.split(" ")[-2::-1] + right.split(" ")[:-1]
+                    anchor = left.count(" ")
+                    for back in range(max(0, MIN_WORDS - after), before + 1):
+                        window = " ".join(words[anchor - back : anchor - back + MIN_WORDS])
+                        out.append((xxhash.xxh3_128_digest(f"{back} {window}".encode()), *place, back))
+                made = zip(*out, strict=True) if out else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), t) for c, t in zip(made, kinds, strict=True)], ["key", *KEY, "pos", "back"]
+                )
+
+    keys = stored(asked.mapInArrow(key, "key binary, id long, tie long, pos long, back long"), "keys")
+    place = F.struct(*KEY, "pos")
+    twice = stored(
+        keys.groupBy("key").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most"), "twice"
     )
+    other = F.when(place == F.col("least"), F.col("most")).otherwise(F.col("least"))
+    return (
+        keys.join(twice, "key").groupBy(*KEY, "pos", other.alias("met"))
+        .agg(F.max("back").alias("back"), F.min("back").alias("least_back"))
+        .select(
+            *KEY, (F.col("pos") - F.col("back")).alias("first"),
+            (F.col("pos") - F.col("least_back") + MIN_WORDS).alias("stop"),
+            F.col("met.id").alias("other"), (F.col("met.pos") - F.col("back")).alias("other_first"),
+        )
+    )
 
 
 def _joined(spans: DataFrame) -> DataFrame:
@@ -237,10 +321,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     twice = stored(seeds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
     lasting = seeds.join(twice, "gram").groupBy(*KEY).agg(F.collect_set(F.struct("gram", F.col("at").alias("pos"))).alias("found"))
     contexts = stored(_contexts(rows.join(lasting, KEY)), "contexts")
-    spans = _neighbours(contexts, ["gram", "right", "left"]).unionByName(
+    compared = _neighbours(contexts, ["gram", "right", "left"]).unionByName(
         _neighbours(contexts, ["gram", "left", "right"])
     )
-    joined = _joined(spans.distinct())
+    spans = compared.where("kind = 0").select(*SPAN_NAMES[2:])
+    joined = _joined(spans.unionByName(_between(contexts, compared.where("kind = 3"))).distinct())
     alone = classes.where("copies = 1").select("least.*")
     single = joined.join(alone, KEY, "left_semi").select(
         "id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "other", "other_start"

@@ -86,6 +86,21 @@ def test_recall_on_documents(spark):
     assert set(got) == set(want)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_templates_with_a_common_line(spark, seed):
+    """Sixty words: one of ten beginnings, a line that all share, one of ten ends; the sides of each differ freely."""
+    rng = random.Random(seed)
+    line = words(rng, 20)
+    heads, tails = ([words(rng, 20) for _ in range(10)] for _ in range(2))
+    texts = [
+        " ".join([words(rng, rng.randrange(5, 40)), h, line, t, words(rng, rng.randrange(5, 40))])
+        for h in heads for t in tails for _ in range(4)
+    ]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    assert covered(suffix.repeats(frame(spark, docs)).collect()) == plain(docs)
+
+
 def test_repeated_rows_null_ids_and_empty(spark):
     rng = random.Random(2)
     text = words(rng, 70)
