@@ -1,6 +1,7 @@
 """Quality rules: counts of words and symbols, and a hashed n-gram likelihood ratio.
 
-Byte four-grams of every text are hashed into a fixed number of buckets. Two multinomials are counted over them:
+Byte four-grams of every text are counted each, and then hashed into buckets, at least twice as many as there are
+different four-grams, so that the model grows with the input. Two multinomials are counted over them:
 one over trusted documents (label quality 1; a bounded number of them, see ``TRUSTED``), one over all documents. A document's score is the mean over its
 four-grams of log p(trusted) - log p(all); it is kept if the score reaches a fixed threshold. The threshold is
 the same for every document and every corpus: no ranking, no random draw.
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brewlens.llm.common import packed, pick, slices
+from brewlens.llm.common import packed, pick, slices, stored
 
-#: Hash buckets of the model; its size, and that of everything the driver holds, is fixed by this.
+#: Hash buckets of the model at least.
 BUCKETS = 1 << 16
+#: Different four-grams that a task holds before it sends their counts.
+HELD = 1 << 20
 #: Trusted documents the target is counted over at most: those with the smallest hashed ids. This bounds what is broadcast.
 TRUSTED = 20_000
 #: Fixed values of the base rule.
@@ -34,14 +37,24 @@ MIN_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
 THRESHOLD = -1.0
 
 
-def grams(data: bytes) -> np.ndarray:
-    """Bucket of each byte four-gram."""
+def codes(data: bytes) -> np.ndarray:
+    """Each byte four-gram, mixed: the mixing maps no two four-grams to one value, and its upper bits are the bucket."""
     b = np.frombuffer(data, dtype=np.uint8)
     if len(b) < 4:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint32)
     b = b.astype(np.uint32)
     packed = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
-    return (packed * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64)
+    return packed * np.uint32(2654435761)
+
+
+def grams(data: bytes, buckets: int = BUCKETS) -> np.ndarray:
+    """Bucket of each byte four-gram, of a power of two of buckets."""
+    return (codes(data).astype(np.int64) * buckets) >> 32
+
+
+def width(different: int) -> int:
+    """Buckets for so many different four-grams: the power of two that leaves half of them empty, ``BUCKETS`` at least."""
+    return min(max(BUCKETS, 1 << max(2 * different - 1, 0).bit_length()), 1 << 32)
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -54,35 +67,52 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None) -> np.ndarray:
     """log p(trusted) - log p(all) of each bucket, counted over all documents.
 
-    Each task adds its own counts up first, so a task sends one row per bucket at most.
+    Each task adds its own counts up first; the counts of all four-grams are a table. Without ``buckets`` (a power of
+    two) its rows decide how many there are.
     """
     rows = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(
         F.broadcast(trusted_ids(labels)), "doc_id", "left"
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, buckets), dtype=np.int64)
+        held = [np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(held[0].astype(np.int64)), *map(pa.array, held[1:])], ["gram", "everywhere", "trusted"]
+            )
+
         for batch in batches:
             for part in slices(batch):
                 chosen = part.column("trusted").fill_null(False).to_pylist()
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                both[0] += np.bincount(np.concatenate([grams(t) for t in texts]) % buckets, minlength=buckets)
-                good = [grams(t) for t, yes in zip(texts, chosen, strict=True) if yes]
-                if good:
-                    both[1] += np.bincount(np.concatenate(good) % buckets, minlength=buckets)
-        used = np.flatnonzero(both[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(both[0, used]), pa.array(both[1, used])], ["bucket", "everywhere", "trusted"]
-        )
-
-    sums = (
-        rows.select("trusted", "text").mapInArrow(count, "bucket long, everywhere long, trusted long")
-        .groupBy("bucket").agg(F.sum("everywhere").alias("everywhere"), F.sum("trusted").alias("trusted"))
-    )
-    found: pd.DataFrame = sums.toPandas()  # one row per bucket at most
+                made = [codes(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                for at, which in ((1, made), (2, [m for m, yes in zip(made, chosen, strict=True) if yes])):
+                    if which:
+                        found, times = np.unique(np.concatenate(which), return_counts=True)
+                        both, where = np.unique(np.concatenate([held[0], found]), return_inverse=True)
+                        sums = [np.zeros(len(both), np.int64) for _ in range(2)]
+                        for k in (0, 1):
+                            sums[k][where[: len(held[0])]] = held[k + 1]
+                        sums[at - 1][where[len(held[0]) :]] += times
+                        held = [both, *sums]
+                if len(held[0]) > HELD:
+                    yield table()
+                    held = [x[:0] for x in held]
+        yield table()
+
+    sums = stored(
+        rows.select("trusted", "text").mapInArrow(count, "gram long, everywhere long, trusted long")
+        .groupBy("gram").agg(F.sum("everywhere").alias("everywhere"), F.sum("trusted").alias("trusted")),
+        "grams",
+    )
+    buckets = buckets or width(sums.count())
+    found: pd.DataFrame = (
+        sums.groupBy(F.shiftright("gram", 32 - (buckets.bit_length() - 1)).alias("bucket"))
+        .agg(F.sum("everywhere").alias("everywhere"), F.sum("trusted").alias("trusted")).toPandas()
+    )  # one row per bucket at most
     counts = np.zeros((2, buckets))
     counts[0, found["bucket"].to_numpy(dtype=np.int64)] = found["everywhere"].to_numpy()
     counts[1, found["bucket"].to_numpy(dtype=np.int64)] = found["trusted"].to_numpy()
@@ -152,8 +182,8 @@ def fails(n_words, n_repeat_words):
 
 
 def verdict(text: bytes, ratio: np.ndarray) -> float:
-    found = grams(text)
-    return float(ratio[found % len(ratio)].mean()) if len(found) else 0.0
+    found = grams(text, len(ratio))
+    return float(ratio[found].mean()) if len(found) else 0.0
 
 
 def passing(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:

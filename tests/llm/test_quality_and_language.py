@@ -66,6 +66,30 @@ def test_scores_and_verdicts(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["kept"])
 
 
+def test_model_grows_with_the_four_grams(spark):
+    """Ever more scripts: unlike four-grams must not fill the buckets, or junk shares those of good text."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 2000))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "x", True, 0.0) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    ratio = quality.fit(docs, labels)
+    everywhere, trusted = Counter(), Counter()
+    for i, t in enumerate(texts):
+        data = t.encode()
+        found = [data[k : k + 4] for k in range(len(data) - 3)]
+        everywhere.update(found)
+        trusted.update(found if i < 20 else [])
+    assert len(everywhere) > quality.BUCKETS and len(ratio) >= 2 * len(everywhere)
+    assert len(ratio) & (len(ratio) - 1) == 0
+    used = {int(quality.grams(g, len(ratio))[0]) for g in everywhere}
+    assert len(used) > 0.75 * len(everywhere)
+    counts = np.zeros((2, len(ratio)))
+    for k, side in enumerate((everywhere, trusted)):
+        for g, n in side.items():
+            counts[k, quality.grams(g, len(ratio))[0]] += n
+    assert np.allclose(ratio, quality.weights(*counts))
+
+
 def test_nothing_trusted_and_empty(spark):
     empty, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, quality int")
     assert not quality.fit(empty, labels).any()
