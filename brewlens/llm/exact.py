@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from brewlens.llm.common import SPACE, numbered, only, pick, shared, stored, text_of
 
 DIGEST = "digest binary, keep_id long, batch string"
+#: Empty file beside the digests, followed by their bucket number; readers skip names with an underscore in front.
+BESIDE = "_buckets-"
 
 
 def digest(text: str = "text") -> Column:
@@ -34,8 +36,8 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, name: str | None = None):
         self.spark = spark
         self.path = path or shared(spark, "digests")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digests_{uuid.uuid4().hex}"
+        self.buckets = self._written(buckets)
         if not spark.catalog.tableExists(self.name):
             # Files that an earlier session left at the path are the index again.
             spark.sql(
@@ -43,6 +45,26 @@ class DigestIndex:
                 f" INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
             )
 
+    def _written(self, asked: int | None) -> int:
+        """The bucket number kept in a file name beside the digests: a scan with fewer buckets would skip files.
+
+        A new folder gets one; with digests but without the file, or with another number asked for, it is an error.
+        """
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        known = {int(n.removeprefix(BESIDE)) for n in names if n.startswith(BESIDE)}
+        if not known and any(n.startswith("part-") for n in names):
+            raise ValueError(f"digests at {self.path} without their bucket number")
+        if len(known) > 1 or (known and asked not in (None, *known)):
+            raise ValueError(f"digests at {self.path} lie in {known} buckets, not {asked}")
+        if known:
+            return known.pop()
+        chosen = asked or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        fs.mkdirs(folder)
+        fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{BESIDE}{chosen}")).close()
+        return chosen
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 

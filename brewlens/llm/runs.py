@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brewlens.llm import chat, exact, langid, mixing, packing, quality, simhash, suffix, tokenbin, urls
-from brewlens.llm.common import scratch
+from brewlens.llm.common import scratch, stored
 from brewlens.session import ship_package
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,7 +59,15 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.duplicates(table(spark, sf_dir, "documents"), exact.DigestIndex(spark))
+    """Two batches, the smaller ids first, through one index that is opened again; sizes are those of both."""
+    docs, half = table(spark, sf_dir, "documents"), F.percentile_approx("doc_id", 0.5, 1000)
+    early = F.coalesce(F.col("doc_id") <= docs.select(half).first()[0], F.lit(False))
+    index = exact.DigestIndex(spark)
+    one = exact.duplicates(docs.where(early), index)
+    two = exact.duplicates(docs.where(~early), exact.DigestIndex(spark, index.path))
+    rows = stored(one.unionByName(two).drop("group_size"), "batches")
+    sizes = stored(rows.groupBy("text_sha256").agg(F.count("*").alias("group_size")), "sizes")
+    return rows.join(sizes, "text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,22 @@ def test_index_persists(spark):
     assert exact.deduplicated(more, again).columns == more.columns and exact.deduplicated(more, again).count() == 0
 
 
+def test_reopened_with_other_shuffle_partitions(spark):
+    path = scratch(spark, "index")
+    docs = spark.createDataFrame(rows_of([f"text {i}" for i in range(300)]), CLASH)
+    assert exact.deduplicated(docs, exact.DigestIndex(spark, path, 8)).count() == 300
+    again = exact.DigestIndex(spark, path)  # the session has 4
+    assert again.buckets == 8
+    assert again.missing(docs.select(exact.digest().alias("digest"))).count() == 0
+    assert exact.deduplicated(docs, again).count() == 0 and again.rows().count() == 300
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, path, 4)
+    bare = scratch(spark, "bare")
+    again.rows().write.parquet(bare)
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, bare)
+
+
 def test_exact_empty(spark):
     empty = spark.createDataFrame([], CLASH)
     assert exact.duplicates(empty, exact.DigestIndex(spark)).count() == 0
