@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brewlens.llm import chat, exact, langid, mixing, packing, quality, simhash, suffix, tokenbin, urls
+from brewlens.llm import (
+    chat, collocations, exact, langid, mixing, packing, quality, sharding, simhash, spelling, suffix, tokenbin, urls,
+)
 from brewlens.llm.common import scratch, stored
 from brewlens.session import ship_package
 
@@ -191,6 +193,117 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+SHARDS, SHARD_SEED = 16, 12
+
+
+def shard_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and checksum are taken from the texts as they lie in the shards."""
+    said = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
+    return sharding.sharded(table(spark, sf_dir, "documents"), SHARDS, SHARD_SEED).select(
+        F.col("row.doc_id").alias("doc_id"), (F.octet_length(said) + 1).cast("long").alias("size"),
+        F.crc32(said).alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+#: A-Z in lower case, as DuckDB says it; and CRC32 of a list of bytes with its table, built by the rule of its polynomial.
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+CRC_TABLE_SQL = """c(tab) AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda v, step: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))
+)"""
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({})), '..'),
+    lambda h: CAST('0x' || h AS BIGINT))), lambda v, b: xor(v >> 8, tab[(xor(v, b) & 255) + 1])), 4294967295)"""
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE_SQL}, o AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), r AS (
+  SELECT doc_id, run, count(*) AS times FROM o WHERE length(run) >= {spelling.LEAST_LETTERS} GROUP BY ALL
+), h AS (
+  SELECT run, times, {CRC_SQL.format("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r, c
+), v AS (
+  SELECT CASE WHEN h % {spelling.DAMAGE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+    CAST(sum(times) AS BIGINT) AS n FROM h GROUP BY 1
+), w AS (
+  SELECT word, n FROM v WHERE length(word) >= {spelling.LEAST_LETTERS} AND n >= {spelling.LEAST_TIMES}
+), s AS (
+  SELECT word, n, i, length(word) AS letters, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), one AS (
+  SELECT a.word AS x, b.word AS y FROM s a JOIN s b ON a.letters = b.letters AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM s JOIN w ON s.rest = w.word
+  UNION SELECT w.word, s.word FROM s JOIN w ON s.rest = w.word
+), g AS (
+  SELECT x, y, w.n AS yn, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY w.n DESC, y) AS place
+  FROM one JOIN w ON y = w.word
+), f AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN yn >= {spelling.RATIO} * n THEN y END AS form,
+    CASE WHEN yn >= {spelling.RATIO} * n THEN yn END AS form_n
+  FROM w LEFT JOIN g ON word = x AND place = 1
+), walk(word, here) AS (
+  SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON here = f.word WHERE f.form IS NOT NULL
+), e AS (SELECT walk.word, here FROM walk JOIN f ON here = f.word WHERE f.form IS NULL)
+SELECT f.word, form, here AS root, n, n_near, form_n FROM f JOIN e ON f.word = e.word
+"""
+
+SHARD_SQL = f"""
+WITH {CRC_TABLE_SQL}, d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text,
+    md5('{SHARD_SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+), r AS (
+  SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY key) AS place, count(*) OVER (PARTITION BY source) AS n FROM d
+), p AS (
+  SELECT doc_id, text, row_number() OVER (ORDER BY CAST(2 * place - 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), source) - 1 AS i,
+    count(*) OVER () AS total FROM r
+), q AS (SELECT *, i * {SHARDS} // total AS shard FROM p)
+SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, {CRC_SQL.format('text')} AS text_crc32, '{sharding.LAW}' AS law,
+  CAST(shard AS INTEGER) AS shard, i - (shard * total + {SHARDS - 1}) // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM q, c
+"""
+
+PHRASES_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER_SQL.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), g AS (
+  SELECT lang, k, words, unnest(range(1, len(words) - k + 2)) AS i
+  FROM (SELECT lang, words, unnest(range(1, 6)) AS k FROM w) WHERE k <= len(words)
+), f AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL
+), size AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), found AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 100
+), kept AS (
+  SELECT * FROM found s WHERE NOT EXISTS (SELECT 1 FROM found l WHERE l.lang = s.lang AND l.k > s.k AND 100 * l.a >= 100 * s.a
+    AND contains(' ' || l.phrase || ' ', ' ' || s.phrase || ' '))
+), cut AS (
+  SELECT lang, phrase, a, c, array_to_string(words[1:c], ' ') AS one, array_to_string(words[c + 1:k], ' ') AS two
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)
+), scored AS (
+  SELECT x.lang, x.phrase, x.a, o.f AS l, t.f AS r, n,
+    CAST(CAST(1000 AS HUGEINT) * x.a * n // (CAST(o.f AS HUGEINT) * t.f) AS BIGINT) AS score, c
+  FROM cut x JOIN f o ON o.lang = x.lang AND o.phrase = x.one JOIN f t ON t.lang = x.lang AND t.phrase = x.two
+    JOIN size ON size.lang = x.lang
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS place FROM scored
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM best WHERE place = 1
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": chats,
@@ -203,6 +316,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_duplicates,
         "op9_mixing": mixture,
         "op10_suffix": repeated_passages,
+        "op11_spelling": spelling_variants,
+        "op12_sharding": shard_places,
+        "op13_phrases": phrases,
     }
 
 
@@ -212,4 +328,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_urls": URL_SQL,
         "op8_exact_dedup": EXACT_SQL,
         "op9_mixing": MIX_SQL,
+        "op11_spelling": SPELLING_SQL,
+        "op12_sharding": SHARD_SQL,
+        "op13_phrases": PHRASES_SQL,
     }
