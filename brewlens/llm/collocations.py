@@ -1,163 +1,288 @@
 """Phrases by the stripes pattern: each prefix keys a counter of the words that follow it.
 
-A task keeps stripes (prefix -> next word -> times) for its texts and hands on their entries (lang, prefix, next, n); entries
+A task keeps stripes (prefix -> next word -> times) of its texts and hands on their entries (lang, prefix, next, n); entries
 are added up one by one, so that the stripe of a frequent prefix is spread over the cluster instead of being one row.
-Where a prefix is followed by the end of its piece, or by a word with which it cannot be frequent, the entry's next word
+Where a prefix is followed by the end of its piece, or by a word with which it is not frequent, the entry's next word
 is null; so a stripe's total is the frequency of its prefix. One structure then holds it all: an entry is the
 frequency of a phrase, a total that of a part, and the greatest entry of a stripe is the most frequent longer phrase to
 the right; the one to the left is the greatest entry among phrases that end alike.
 
-Texts are read three times: words (the stripe of the empty prefix), pairs of frequent words, longer phrases of frequent
-pairs. Which words and pairs may be frequent is a set of hash bits of fixed size (``BITS``) that every task gets. It has
-no false negatives, so counts are exact; when it fills up, more entries are exchanged, and nothing else changes.
+Stripes hold only what may be frequent. Three passes before find that out level by level, as a phrase is no more frequent
+than its parts: words, pairs of frequent words, longer phrases of frequent pairs. A task sends hashes and counts, packed
+in sorted runs, one row for each part of the hash space; a part's sums set bits in a set of fixed size (``BITS``) that the
+next pass gets. Bits have no false negatives and strings are counted exactly, so hashes decide nothing but what is
+sent. When the sets fill up, stripes get more entries that fall away later, and nothing else changes.
 
-Defined cases: null text is empty, null lang is ``und``; a text is read whole, however long; repeated rows count again; an
-empty table gives no rows; ties end in the order of the phrase's bytes; other columns are ignored.
+Inside a task words are numbers: texts are cut into units of about ``UNIT`` bytes, their words encoded by a dictionary
+and phrases numbered level by level, without a hash.
+
+Defined cases: null text is empty, null lang is ``und``; a text is read whole: one longer than a unit is cut between
+pieces, or between words so that each phrase begins in one unit only; repeated rows count again; an empty table gives
+no rows; ties end in the order of the phrase's bytes; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brewlens.llm.common import pick, slices, stored
+from brewlens.llm.common import partitions, pick, slices, stored
 
 LONGEST = 5
-#: Bits of a set of hashes: 4 MB in a task, half a million rows on the driver.
+#: Bits of a set of hashes: 4 MB on the driver and in a task.
 BITS = 1 << 25
-#: Entries a task holds before it hands them on, and words whose bit it remembers.
-HELD, REMEMBERED = 400_000, 400_000
+#: Bytes of text that are looked at in one piece.
+UNIT = 1 << 24
 
 #: Lower case for A-Z only; ends of pieces become line feeds, tabs blanks. What remains splits as bytes.
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 ENTRY = "lang string, prefix string, next string, n long"
 
-Seen = Callable[[bytes], bool]
-Follow = Callable[[list[bytes], Seen, Seen], Iterator[tuple[bytes, bytes | None]]]
-
-
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    for piece in text.translate(_FOLD).split(b"\n"):
-        if words := piece.split():
-            yield words
-
-
-def first_words(words: list[bytes], word_seen: Seen, pair_seen: Seen) -> Iterator[tuple[bytes, bytes | None]]:
-    """Entries of the empty prefix."""
-    return ((b"", w) for w in words)
-
-
-def pairs(words: list[bytes], word_seen: Seen, pair_seen: Seen) -> Iterator[tuple[bytes, bytes | None]]:
-    """Entries of one-word prefixes that may be frequent."""
-    usual = [w if word_seen(w) else None for w in words]
-    usual.append(None)
-    return ((w, usual[i]) for i, w in enumerate(usual, 1) if w is not None)
-
-
-def longer(words: list[bytes], word_seen: Seen, pair_seen: Seen) -> Iterator[tuple[bytes, bytes | None]]:
-    """Entries of prefixes of two words and more in which each pair may be frequent."""
-    usual = [word_seen(w) for w in words]
-    start = 0
-    while start < len(words) - 1:
-        end = start + 1  # words[start:end] is a run of pairs that may be frequent
-        if usual[start]:
-            while end < len(words) and usual[end] and pair_seen(words[end - 1] + b" " + words[end]):
-                end += 1
-        for i in range(start, end - 1):
-            prefix = words[i]
-            for j in range(i + 1, min(end, i + LONGEST - 1)):
-                prefix += b" " + words[j]
-                yield prefix, words[j + 1] if j + 1 < end else None
-        start = end
 
+# --- texts in units -----------------------------------------------------------------------------------------------
+
+
+def _long_units(text: bytes, most: int) -> Iterator[tuple[bytes, int]]:
+    start, span = 0, most
+    while len(text) - start > span:
+        cut = text.rfind(b"\n", start, start + span)
+        if cut > start:
+            yield text[start:cut], 0
+            start, span = cut, most
+            continue
+        cut = back = text.rfind(b" ", start, start + span)
+        for _ in range(LONGEST - 1):  # back to the first of the last words of this unit
+            while back > start and text[back - 1] == 32:
+                back -= 1
+            back = max(start, text.rfind(b" ", start, max(back, start)) + 1)
+        if cut <= start or back <= start:
+            span *= 2  # a few very long words
+            continue
+        yield text[start:cut], LONGEST - 1
+        start, span = back, most
+    yield text[start:], 0
+
+
+def units(texts: list[bytes], most: int) -> Iterator[tuple[bytes, int]]:
+    """(folded text, words at its end that begin phrases in the next unit only) of about ``most`` bytes each."""
+    held, size = [], 0
+    for text in texts:
+        if len(text) > most:
+            yield from _long_units(text.translate(_FOLD), most)
+            continue
+        if size + len(text) > most:
+            yield b"\n".join(held).translate(_FOLD), 0
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield b"\n".join(held).translate(_FOLD), 0
+
+
+def numbered_words(text: bytes) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray]:
+    """(number of each word, the words behind the numbers, whether the next word is in the same piece)."""
+    raw = np.frombuffer(text, np.uint8)
+    letter = (raw != 32) & (raw != 10)
+    edges = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[letter])]
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    piece = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    return np.asarray(found.indices).astype(np.int64), found.dictionary, np.append(piece[1:] == piece[:-1], False)[: len(starts)]
+
+
+# --- what may be frequent --------------------------------------------------------------------------------------------
+
+
+def _mixed(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from those of its prefix and its last word."""
+    h = prefix * np.uint64(0x9E3779B97F4A7C15) + word
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _in_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h >> np.uint64(65 - (len(bits) * 8).bit_length())).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _word_hashes(lang: str, words: pa.BinaryArray) -> np.ndarray:
+    seed = xxhash.xxh32_intdigest(lang.encode())
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()], np.uint64)
+
+
+def _chained(fits: np.ndarray, joined: np.ndarray, hashes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of phrases one word longer: both their parts without the last and without the first word fit."""
+    follows = np.append(fits[1:], False)
+    at = np.flatnonzero(fits & follows & joined)
+    return at, _mixed(hashes[at], last[at])
+
+
+class Levels:
+    """The words of one unit, and for each level up to those known which positions begin a phrase that may be frequent."""
+
+    def __init__(self, lang: str, text: bytes, tail: int, sets: list[np.ndarray]) -> None:
+        self.ids, self.words, joined = numbered_words(text)
+        self.own = len(self.ids) - tail
+        self.joined = [joined]  # whether the next word (the second, the third, ...) is in the same piece
+        for _ in range(LONGEST - 2):
+            self.joined.append(self.joined[-1] & np.append(self.joined[-1][1:], False))
+        word_hashes = _word_hashes(lang, self.words)
+        self.hashes = [word_hashes[self.ids] if len(self.ids) else np.zeros(0, np.uint64)]
+        known = _in_set(sets[0], word_hashes)[self.ids] if sets and len(self.ids) else np.ones(len(self.ids), bool)
+        self.fits = [known]
+        for level in range(1, (1, 2, LONGEST, LONGEST)[len(sets)]):
+            self.extend(sets[min(level, 2)] if min(level, 2) < len(sets) else None)
+
+    def extend(self, bits: np.ndarray | None) -> None:
+        level = len(self.fits)
+        last = np.append(self.hashes[0][level:], np.zeros(min(level, len(self.ids)), np.uint64))
+        at, found = _chained(self.fits[-1], self.joined[level - 1], self.hashes[-1], last)
+        keep = slice(None) if bits is None else _in_set(bits, found)
+        fits, hashes = np.zeros(len(self.ids), bool), np.zeros(len(self.ids), np.uint64)
+        fits[at[keep]], hashes[at[keep]] = True, found[keep]
+        self.fits.append(fits)
+        self.hashes.append(hashes)
+
+    def begun(self, level: int) -> np.ndarray:
+        """Positions of phrases of ``level`` + 1 words that begin in this unit."""
+        at = np.flatnonzero(self.fits[level])
+        return at[at < self.own]
+
+
+def _texts_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    held: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
+    for batch in batches:
+        for part in slices(batch):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                held.setdefault(lang, []).append(text)
+                sizes[lang] = sizes.get(lang, 0) + len(text) + 1
+            if sum(sizes.values()) >= UNIT:
+                fullest = max(sizes, key=sizes.get)
+                del sizes[fullest]
+                yield fullest, held.pop(fullest)
+    yield from held.items()
+
+
+def _analysed(batches: Iterator[pa.RecordBatch], sets: list[Broadcast]) -> Iterator[tuple[str, Levels]]:
+    bits = [np.frombuffer(s.value, np.uint8) for s in sets]
+    for lang, texts in _texts_by_lang(batches):
+        for text, tail in units(texts, UNIT):
+            yield lang, Levels(lang, text, tail, bits)
+
+
+def _frequent(texts: DataFrame, sets: list[Broadcast], levels: range, least: int) -> Broadcast:
+    """The set of hashes of phrases of these levels that occur ``least`` times or more (and of some others).
+
+    The hash space has as many parts as a shuffle has partitions (a power of two): a part's sums meet in one group, whose
+    size is that of any shuffle partition, and give one slice of the bits. The driver gets ``BITS`` bits in all.
+    """
+    p = max(8, min((partitions(texts) - 1).bit_length(), 18))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, unit in _analysed(batches, sets):
+            found = np.concatenate([unit.hashes[level][unit.begun(level)] for level in levels])
+            found = np.sort(found >> np.uint64(32 - p))  # p bits say the part, 32 the place in it
+            first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))[: len(found)]
+            times, found = np.diff(np.append(first, len(found))).astype(np.uint32), found[first]
+            cuts = np.searchsorted(found, np.arange((1 << p) + 1, dtype=np.uint64) << np.uint64(32))
+            some = np.flatnonzero(cuts[1:] > cuts[:-1])
+            low = found.astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(some.astype(np.int32)),
+                pa.array([low[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()),
+                pa.array([times[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()),
+            ], ["part", "places", "times"])
+
+    def add(group: pa.Table) -> pa.Table:
+        places = np.concatenate([np.frombuffer(b, np.uint32) for b in group["places"].to_pylist()])
+        times = np.concatenate([np.frombuffer(b, np.uint32) for b in group["times"].to_pylist()]).astype(np.int64)
+        order = np.argsort(places, kind="stable")
+        places, times = places[order], times[order]
+        first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+        usual = places[first][np.add.reduceat(times, first) >= least]
+        bits = np.zeros(BITS >> p, bool)
+        bits[usual >> np.uint32(32 + p - BITS.bit_length() + 1)] = True
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return pa.table({"part": group["part"][:1], "bits": pa.array([packed], pa.binary())})
+
+    sent = texts.mapInArrow(send, "part int, places binary, times binary")
+    found = sent.groupBy("part").applyInArrow(add, "part int, bits binary").toArrow()
+    held = bytearray(BITS // 8)
+    width = BITS // 8 >> p
+    for part, bits in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        held[part * width : (part + 1) * width] = bits
+    return texts.sparkSession.sparkContext.broadcast(bytes(held))
 
-def _counted(docs: DataFrame, follow: Follow, words: Broadcast | None = None, pair_set: Broadcast | None = None) -> DataFrame:
-    """Stripe entries (lang, prefix, next, n) of all texts, each once."""
 
-    def tester(held: Broadcast | None, lang: bytes) -> Seen:
-        if held is None:
-            return lambda _: True
-        bits, known = held.value, {}
+# --- stripes ---------------------------------------------------------------------------------------------------------
 
-        def seen(phrase: bytes) -> bool:
-            said = known.get(phrase)
-            if said is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                h = zlib.crc32(lang + b"\0" + phrase) % BITS
-                said = known[phrase] = bool(bits[h >> 3] >> (h & 7) & 1)
-            return said
 
-        return seen
+def entries(lang: str, unit: Levels) -> Iterator[pa.RecordBatch]:
+    """Entries of the stripes of one unit; the empty prefix has one entry, of all words."""
 
-    def send(stripes: dict) -> pa.RecordBatch:
-        rows = [(lang, p, w, n) for lang, of in stripes.items() for p, nexts in of.items() for w, n in nexts.items()]
-        text = [pa.array([r[i] for r in rows], pa.binary()).cast(pa.string()) for i in (1, 2)]
+    def rows(prefix: pa.Array, after: pa.Array, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()), *text, pa.array([r[3] for r in rows], pa.int64())],
+            [pa.array([lang] * len(n), pa.string()), prefix.cast(pa.string()), after.cast(pa.string()), pa.array(n, pa.int64())],
             ["lang", "prefix", "next", "n"],
         )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: dict = {}
-        tests: dict = {}
-        held = 0
-        for batch in batches:
-            for part in slices(batch):
-                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                    if lang not in tests:
-                        tests[lang] = tester(words, lang.encode()), tester(pair_set, lang.encode())
-                    of = stripes.setdefault(lang, defaultdict(dict))
-                    for piece in pieces(text):
-                        for prefix, after in follow(piece, *tests[lang]):
-                            nexts = of[prefix]
-                            if after in nexts:
-                                nexts[after] += 1
-                            else:
-                                nexts[after] = 1
-                                held += 1
-                        if held >= HELD:
-                            yield send(stripes)
-                            stripes, held = {lang: (of := defaultdict(dict))}, 0
-        yield send(stripes)
-
-    texts = pick(docs, lang="lang", text="text").where("text is not null").withColumn("lang", F.coalesce("lang", F.lit("und")))
-    return texts.mapInArrow(count, ENTRY).groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
+    yield rows(pa.array([b""]), pa.array([None], pa.binary()), np.array([unit.own]))
+    words = unit.words.cast(pa.binary())
+    phrases, size = words, len(words)
+    number = unit.ids  # at each position the number of the phrase of this level that begins there
+    for level in range(LONGEST - 1):
+        at = unit.begun(level)
+        total = np.bincount(number[at], minlength=size)
+        on = np.flatnonzero(unit.fits[level + 1])
+        codes, longer = np.unique(number[on] * len(words) + unit.ids[on + level + 1], return_inverse=True)
+        prefix, after = np.divmod(codes, max(len(words), 1))
+        times = np.bincount(longer[on < unit.own], minlength=len(codes))
+        rest = total - np.bincount(prefix, times, size).astype(np.int64)
+        here, left = np.flatnonzero(times), np.flatnonzero(rest)
+        before, last = phrases.take(pa.array(prefix)), words.take(pa.array(after))
+        yield rows(before.take(pa.array(here)), last.take(pa.array(here)), times[here])
+        yield rows(phrases.take(pa.array(left)), pa.nulls(len(left), pa.binary()), rest[left])
+        phrases, size = pc.binary_join_element_wise(before, last, b" "), len(codes)
+        number = np.zeros(len(unit.ids), np.int64)
+        number[on] = longer
+
+
+def _folded(found: DataFrame, least: int) -> DataFrame:
+    """Stripes in which the entries below ``least`` have become part of the null entry."""
+    kept = F.when(F.col("n") >= least, F.col("next"))
+    return found.groupBy("lang", "prefix", kept.alias("next")).agg(F.sum("n").alias("n"))
 
 
-def _bits(phrases: DataFrame, phrase: Column) -> Broadcast:
-    """The set of hash bits of (lang, phrase): at most ``BITS / 64`` rows reach the driver, whatever the input."""
-    at = F.pmod(F.crc32(F.concat(F.col("lang"), F.lit("\0"), phrase).cast("binary")), F.lit(BITS))
-    words = phrases.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")
-    )
-    held = bytearray(BITS // 8)
-    for row in words.toArrow().to_pylist():
-        held[8 * row["word"] : 8 * row["word"] + 8] = row["bits"].to_bytes(8, "little", signed=True)
-    return phrases.sparkSession.sparkContext.broadcast(bytes(held))
+def stripes(docs: DataFrame, least: int) -> DataFrame:
+    """Stripes (lang, prefix, next, n) of prefixes of no word (one entry: all words) to four words."""
+    texts = pick(docs, lang="lang", text="text").where("text is not null").withColumn("lang", F.coalesce("lang", F.lit("und")))
+    sets: list[Broadcast] = []
+    for levels in (range(1), range(1, 2), range(2, LONGEST)):
+        sets.append(_frequent(texts, sets, levels, least))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, unit in _analysed(batches, sets):
+            yield from entries(lang, unit)
 
-def _folded(entries: DataFrame, least: int) -> DataFrame:
-    """Stripes in which the entries below ``least`` have become part of the null entry."""
-    kept = F.when(F.col("n") >= least, F.col("next"))
-    return entries.groupBy("lang", "prefix", kept.alias("next")).agg(F.sum("n").alias("n"))
+    added = texts.mapInArrow(count, ENTRY).groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
+    return stored(_folded(added, least), "stripes")
 
 
-def stripes(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Word totals (lang, n), and stripes (lang, prefix, next, n) of prefixes of one to four words."""
-    words = stored(_folded(_counted(docs, first_words), least), "words")
-    word_set = _bits(words.where("next is not null"), F.col("next"))
-    two = stored(_folded(_counted(docs, pairs, word_set), least), "pairs")
-    pair_set = _bits(two.where("next is not null"), F.concat_ws(" ", "prefix", "next"))
-    more = stored(_folded(_counted(docs, longer, word_set, pair_set), least), "longer")
-    return words.groupBy("lang").agg(F.sum("n").alias("n")), two.unionByName(more)
+def score() -> Column:
+    """floor(1000 * a * n / (l * r)) in whole numbers of 38 digits."""
+    a, n, l, r = (f"cast({c} as decimal(19, 0))" for c in "anlr")
+    return F.expr(f"cast(1000 * {a} as decimal(19, 0)) * {n} div ({l} * {r})")
 
 
 def phrases(docs: DataFrame, least: int = 100, first: int = 2000, share: int = 100) -> DataFrame:
@@ -166,7 +291,9 @@ def phrases(docs: DataFrame, least: int = 100, first: int = 2000, share: int = 1
     A phrase of 2 to 5 words counts from ``least`` occurrences on, and not where a longer one that holds it has ``share``
     hundredths of them: its extensions by one word decide, as a longer phrase is no more frequent than they are.
     """
-    sizes, entries = stripes(docs, least)
+    found_stripes = stripes(docs, least)
+    sizes = found_stripes.where("prefix = ''").select("lang", "n")
+    entries = found_stripes.where("prefix <> ''")
     totals = stored(
         entries.groupBy("lang", "prefix").agg(
             F.sum("n").alias("f"), F.max(F.when(F.col("next").isNotNull(), F.col("n"))).alias("right")
@@ -194,8 +321,7 @@ def phrases(docs: DataFrame, least: int = 100, first: int = 2000, share: int = 1
     )
     cuts = cuts.join(totals.select("lang", F.col("prefix").alias("one"), F.col("f").alias("l")), ["lang", "one"])
     cuts = cuts.join(totals.select("lang", F.col("prefix").alias("two"), F.col("f").alias("r")), ["lang", "two"])
-    exact = "(cast(1000 * a as decimal(19, 0)) * cast(n as decimal(19, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))"
-    scored = cuts.join(sizes, "lang").withColumn("score", F.expr(exact)).groupBy("lang", "phrase").agg(
+    scored = cuts.join(sizes, "lang").withColumn("score", score()).groupBy("lang", "phrase").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut"), F.first("a").alias("a"), F.first("n").alias("n")
     )
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -126,14 +126,13 @@ def _keyed(words: DataFrame, symbols: int, own_only: bool) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "word", 1 << 16):
-                short = part.drop_columns("word").append_column(
-                    "short", pc.if_else(pc.less_equal(pc.utf8_length(part["word"]), SHORT), part["word"], None)
-                )
+                rest = part.drop_columns("word")
                 for key, of, own in neighbours(part["word"].to_pylist(), symbols, own_only):
-                    rows = short.take(pa.array(of))
+                    rows = rest.take(pa.array(of))
                     yield pa.RecordBatch.from_arrays([pa.array(key), *rows.columns, pa.array(own)], ["key", *rows.schema.names, "own"])
 
-    return words.select("wid", "n", "word").mapInArrow(make, "key long, wid long, n long, short string, own boolean")
+    short = F.when(F.length("word") <= SHORT, F.col("word"))
+    return words.select("wid", "n", short.alias("short"), "word").mapInArrow(make, "key long, wid long, n long, short string, own boolean")
 
 
 def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
