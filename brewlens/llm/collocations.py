@@ -1,11 +1,12 @@
 """Phrases by the stripes pattern: each prefix keys a counter of the words that follow it.
 
-A task keeps stripes (prefix -> next word -> times) of its texts and hands on their entries (lang, prefix, next, n); entries
-are added up one by one, so that the stripe of a frequent prefix is spread over the cluster instead of being one row.
-Where a prefix is followed by the end of its piece, or by a word with which it is not frequent, the entry's next word
-is null; so a stripe's total is the frequency of its prefix. One structure then holds it all: an entry is the
-frequency of a phrase, a total that of a part, and the greatest entry of a stripe is the most frequent longer phrase to
-the right; the one to the left is the greatest entry among phrases that end alike.
+A task keeps stripes (prefix -> next word -> times) of its texts and hands on their entries, packed in one row for each
+part of the hash space; entries are added up element by element, so that the stripe of a frequent prefix is spread over
+the parts instead of being one row. Where a word is followed by the end of its piece, or by a word with which it is not
+frequent, the entry's next word is null; so a word's stripe adds up to its frequency, and that of a longer prefix is an
+entry one level below. One structure then holds it all: an entry is the frequency of a phrase, a total that of a word,
+the greatest entry of a stripe is the most frequent longer phrase to the right, and the one to the left is the
+greatest entry among phrases that end alike.
 
 Stripes hold only what may be frequent. Three passes before find that out level by level, as a phrase is no more frequent
 than its parts: words, pairs of frequent words, longer phrases of frequent pairs. A task sends hashes and counts, packed
@@ -45,6 +46,7 @@ UNIT = 1 << 24
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 ENTRY = "lang string, prefix string, next string, n long"
+PACKED = "part int, lang string, prefix array<string>, next array<string>, n array<long>"
 
 
 # --- texts in units -----------------------------------------------------------------------------------------------
@@ -181,13 +183,18 @@ def _analysed(batches: Iterator[pa.RecordBatch], sets: list[Broadcast]) -> Itera
             yield lang, Levels(lang, text, tail, bits)
 
 
+def _part_bits(df: DataFrame) -> int:
+    """The hash space has as many parts as a shuffle has partitions, a power of two and 256 at least."""
+    return max(8, min((partitions(df) - 1).bit_length(), 18))
+
+
 def _frequent(texts: DataFrame, sets: list[Broadcast], levels: range, least: int) -> Broadcast:
     """The set of hashes of phrases of these levels that occur ``least`` times or more (and of some others).
 
-    The hash space has as many parts as a shuffle has partitions (a power of two): a part's sums meet in one group, whose
-    size is that of any shuffle partition, and give one slice of the bits. The driver gets ``BITS`` bits in all.
+    A part's sums meet in one group, whose size is that of any shuffle partition, and give one slice of the bits. The driver
+    gets ``BITS`` bits in all.
     """
-    p = max(8, min((partitions(texts) - 1).bit_length(), 18))
+    p = _part_bits(texts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, unit in _analysed(batches, sets):
@@ -228,55 +235,74 @@ def _frequent(texts: DataFrame, sets: list[Broadcast], levels: range, least: int
 # --- stripes ---------------------------------------------------------------------------------------------------------
 
 
-def entries(lang: str, unit: Levels) -> Iterator[pa.RecordBatch]:
-    """Entries of the stripes of one unit; the empty prefix has one entry, of all words."""
-
-    def rows(prefix: pa.Array, after: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(n), pa.string()), prefix.cast(pa.string()), after.cast(pa.string()), pa.array(n, pa.int64())],
-            ["lang", "prefix", "next", "n"],
-        )
-
-    yield rows(pa.array([b""]), pa.array([None], pa.binary()), np.array([unit.own]))
+def entries(unit: Levels) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]]:
+    """(hash, prefix, next, times) of the stripes of one unit; the empty prefix has one entry, of all words."""
+    yield np.zeros(1, np.uint64), pa.array([b""]), pa.array([None], pa.binary()), np.array([unit.own])
     words = unit.words.cast(pa.binary())
-    phrases, size = words, len(words)
-    number = unit.ids  # at each position the number of the phrase of this level that begins there
+    phrases, number = words, unit.ids  # at each position the number of the phrase of this level that begins there
     for level in range(LONGEST - 1):
-        at = unit.begun(level)
-        total = np.bincount(number[at], minlength=size)
         on = np.flatnonzero(unit.fits[level + 1])
-        codes, longer = np.unique(number[on] * len(words) + unit.ids[on + level + 1], return_inverse=True)
+        codes, first, longer = np.unique(number[on] * len(words) + unit.ids[on + level + 1], return_index=True, return_inverse=True)
         prefix, after = np.divmod(codes, max(len(words), 1))
         times = np.bincount(longer[on < unit.own], minlength=len(codes))
-        rest = total - np.bincount(prefix, times, size).astype(np.int64)
-        here, left = np.flatnonzero(times), np.flatnonzero(rest)
         before, last = phrases.take(pa.array(prefix)), words.take(pa.array(after))
-        yield rows(before.take(pa.array(here)), last.take(pa.array(here)), times[here])
-        yield rows(phrases.take(pa.array(left)), pa.nulls(len(left), pa.binary()), rest[left])
-        phrases, size = pc.binary_join_element_wise(before, last, b" "), len(codes)
+        here = np.flatnonzero(times)
+        yield unit.hashes[level + 1][on[first]][here], before.take(pa.array(here)), last.take(pa.array(here)), times[here]
+        if level == 0:
+            at = unit.begun(0)
+            total, places = np.bincount(unit.ids[at], minlength=len(words)), np.zeros(len(words), np.int64)
+            places[unit.ids] = np.arange(len(unit.ids))
+            rest = total - np.bincount(prefix, times, len(words)).astype(np.int64)
+            left = np.flatnonzero(rest)
+            yield unit.hashes[0][places[left]], words.take(pa.array(left)), pa.nulls(len(left), pa.binary()), rest[left]
+        phrases = pc.binary_join_element_wise(before, last, b" ")
         number = np.zeros(len(unit.ids), np.int64)
         number[on] = longer
 
 
-def _folded(found: DataFrame, least: int) -> DataFrame:
-    """Stripes in which the entries below ``least`` have become part of the null entry."""
-    kept = F.when(F.col("n") >= least, F.col("next"))
-    return found.groupBy("lang", "prefix", kept.alias("next")).agg(F.sum("n").alias("n"))
+def _packed(lang: str, unit: Levels, p: int) -> pa.RecordBatch:
+    """Entries of one unit, one row for each part of the hash space that has some."""
+    found = list(entries(unit))
+    part = (np.concatenate([f[0] for f in found]) >> np.uint64(64 - p)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    offsets = pa.array(np.append(cuts, len(part)).astype(np.int32))
+    prefix, after = (pa.concat_arrays([f[i] for f in found]).take(pa.array(order)).cast(pa.string()) for i in (1, 2))
+    times = np.concatenate([f[3] for f in found])[order]
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (prefix, after, pa.array(times, pa.int64()))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[cuts]), pa.array([lang] * len(cuts), pa.string()), *lists], ["part", "lang", "prefix", "next", "n"]
+    )
 
 
 def stripes(docs: DataFrame, least: int) -> DataFrame:
-    """Stripes (lang, prefix, next, n) of prefixes of no word (one entry: all words) to four words."""
+    """Stripes (lang, prefix, next, n): the empty prefix with all words, words, and prefixes of two to four words.
+
+    Entries below ``least`` fall away but for a word's, which become part of its null entry.
+    """
     texts = pick(docs, lang="lang", text="text").where("text is not null").withColumn("lang", F.coalesce("lang", F.lit("und")))
     sets: list[Broadcast] = []
     for levels in (range(1), range(1, 2), range(2, LONGEST)):
         sets.append(_frequent(texts, sets, levels, least))
+    p = _part_bits(texts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, unit in _analysed(batches, sets):
-            yield from entries(lang, unit)
+            yield _packed(lang, unit, p)
 
-    added = texts.mapInArrow(count, ENTRY).groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
-    return stored(_folded(added, least), "stripes")
+    def merge(group: pa.Table) -> pa.Table:
+        rows = group.combine_chunks()
+        lists = [rows[c].chunk(0) if rows[c].num_chunks else rows[c] for c in ("prefix", "next", "n")]
+        lang = rows["lang"].take(pc.list_parent_indices(lists[0]))
+        flat = pa.table([lang, *[x.flatten() for x in lists]], ["lang", "prefix", "next", "n"])
+        return flat.group_by(["lang", "prefix", "next"]).aggregate([("n", "sum")]).rename_columns(["lang", "prefix", "next", "n"])
+
+    added = texts.mapInArrow(count, PACKED).groupBy("part").applyInArrow(merge, ENTRY)
+    usual = F.col("n") >= least
+    short = ~F.contains("prefix", F.lit(" "))
+    kept = added.where(usual | short).select("lang", "prefix", F.when(usual, F.col("next")).alias("next"), "n")
+    return stored(kept.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n")), "stripes")
 
 
 def score() -> Column:
@@ -291,25 +317,21 @@ def phrases(docs: DataFrame, least: int = 100, first: int = 2000, share: int = 1
     A phrase of 2 to 5 words counts from ``least`` occurrences on, and not where a longer one that holds it has ``share``
     hundredths of them: its extensions by one word decide, as a longer phrase is no more frequent than they are.
     """
-    found_stripes = stripes(docs, least)
-    sizes = found_stripes.where("prefix = ''").select("lang", "n")
-    entries = found_stripes.where("prefix <> ''")
-    totals = stored(
-        entries.groupBy("lang", "prefix").agg(
-            F.sum("n").alias("f"), F.max(F.when(F.col("next").isNotNull(), F.col("n"))).alias("right")
-        ).where(F.col("f") >= least),
-        "totals",
-    )
+    held = stripes(docs, least)
+    sizes = held.where("prefix = ''").select("lang", "n")
+    entries = held.where("prefix <> ''")
     found = stored(
         entries.where("next is not null").select(
-            "lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.col("n").alias("a")
+            "lang", "prefix", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.col("n").alias("a")
         ).withColumn("words", F.split("phrase", " ")),
         "found",
     )
+    single = entries.where("not contains(prefix, ' ')").groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("n").alias("f"))
+    totals = stored(single.where(F.col("f") >= least).unionByName(found.select("lang", "phrase", F.col("a").alias("f"))), "totals")
     left = found.where(F.size("words") > 2).groupBy(
         "lang", F.expr("array_join(slice(words, 2, size(words) - 1), ' ')").alias("phrase")
     ).agg(F.max("a").alias("left"))
-    right = totals.select("lang", F.col("prefix").alias("phrase"), "right")
+    right = found.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("a").alias("right"))
     most = F.greatest(F.coalesce("left", F.lit(0)), F.coalesce("right", F.lit(0)))
     kept = found.join(left, ["lang", "phrase"], "left").join(right, ["lang", "phrase"], "left").where(
         100 * most < share * F.col("a")
@@ -319,8 +341,8 @@ def phrases(docs: DataFrame, least: int = 100, first: int = 2000, share: int = 1
         "lang", "phrase", "a", "k", F.expr("array_join(slice(words, 1, k), ' ')").alias("one"),
         F.expr("array_join(slice(words, k + 1, size(words) - k), ' ')").alias("two"),
     )
-    cuts = cuts.join(totals.select("lang", F.col("prefix").alias("one"), F.col("f").alias("l")), ["lang", "one"])
-    cuts = cuts.join(totals.select("lang", F.col("prefix").alias("two"), F.col("f").alias("r")), ["lang", "two"])
+    cuts = cuts.join(totals.select("lang", F.col("phrase").alias("one"), F.col("f").alias("l")), ["lang", "one"])
+    cuts = cuts.join(totals.select("lang", F.col("phrase").alias("two"), F.col("f").alias("r")), ["lang", "two"])
     scored = cuts.join(sizes, "lang").withColumn("score", score()).groupBy("lang", "phrase").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut"), F.first("a").alias("a"), F.first("n").alias("n")
     )
