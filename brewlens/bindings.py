@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brewlens.functions.scalars import stable_id
-from brewlens.plans.ordered import ordinals
+from brewlens.plans.ordered import PIECE, ordinals
 from brewlens.session import ship_package
 
 # Which event type plays which variable.
@@ -54,6 +54,31 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry(spark, sf_dir).where(F.col("variable") != PRODUCT)
 
 
+def sensor_records(spark: SparkSession, sf_dir: str, source: str = "nation") -> DataFrame:
+    """Nations (or suppliers) as sensor records: the region picks inputs and model type, one of them an unknown type."""
+    rows = table(spark, sf_dir, source)
+    key = F.col({"nation": "n_nationkey", "supplier": "s_suppkey"}[source]).cast("long")
+    region = (F.col("n_regionkey") if source == "nation" else F.col("s_nationkey") % 5).cast("int")
+    inputs = F.get(F.array(*[F.array(*[F.lit(v) for v in names]) for names in (
+        ["click"], ["view", "click"], ["error"], ["view", "error", "click"], ["click"],
+    )]), region)
+    kind = F.get(F.array(*[F.lit(k) for k in ("linear", "linear", "linear", "pls", "spline")]), region)
+    weights = F.array((key + 1).cast("double"), -(region + 1).cast("double"), F.lit(0.5))
+    return rows.select(
+        F.concat(F.lit("s"), key).alias("sensor_id"), F.concat(F.lit("est_"), key).alias("output_variable"),
+        inputs.alias("input_variables"), kind.alias("model_type"),
+        F.when(key % 7 != 6, F.slice(weights, F.lit(1), F.size(inputs))).otherwise(weights).alias("coefficients"),
+        F.array_repeat(F.lit(1.0), F.size(inputs)).alias("center"), F.array_repeat(F.lit(2.0), F.size(inputs)).alias("scale"),
+        (key / 10).alias("intercept"), (region / 100 - F.when(key % 11 == 10, 1).otherwise(0)).alias("prediction_std"),
+        F.create_map(F.lit("origin"), F.lit(source)).alias("metadata"),
+    )
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry with times cut to the day, so that variables of a batch share times."""
+    return telemetry(spark, sf_dir).withColumn("ts", F.date_trunc("day", "ts"))
+
+
 def assay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases as offline assays with 5 % uncertainty."""
     return telemetry(spark, sf_dir).where(F.col("variable") == PRODUCT).select(
@@ -65,7 +90,7 @@ def assay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four phases per user, a quarter of its events each (the first quarters take the remainder)."""
     rows = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("batch_id"), "ts", "event_id")
-    numbered = ordinals(rows, ["batch_id"], ["ts", "event_id"], F.unix_micros("ts"))
+    numbered = ordinals(rows, ["batch_id"], ["ts", "event_id"], F.unix_micros("ts"), PIECE * 7)
     quarter, rest = F.floor(F.col("_n") / 4), F.col("_n") % 4
     longer = rest * (quarter + 1)
     tile = F.when(F.col("_i") < longer, F.floor(F.col("_i") / (quarter + 1))).otherwise(

@@ -57,8 +57,6 @@ def median_squared_distance(x: np.ndarray) -> float:
 
 #: Similarity of a value to itself: squared distances below 0.01 count as 0.01.
 SELF_SIMILARITY = math.exp(-1e-2)
-#: Values of the grid on which long signals are summed up.
-GRID = 256
 
 
 def gamma_from_quantiles(quantiles, n: int) -> float:
@@ -72,22 +70,46 @@ def gamma_from_quantiles(quantiles, n: int) -> float:
     return 1.0 / median if median > 0 else 1.0
 
 
-def grid_weights(x: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """Each value shared between its two neighbours on the grid from ``lo`` to ``hi``, summed up."""
-    if not len(x) or hi <= lo:
-        return np.bincount(np.zeros(len(x), dtype=np.int64), minlength=GRID).astype(float)
-    place = (x - lo) / (hi - lo) * (GRID - 1)
-    left = np.clip(np.floor(place).astype(np.int64), 0, GRID - 2)
-    share = place - left
-    return np.bincount(left, 1.0 - share, GRID) + np.bincount(left + 1, share, GRID)
+def node_weights(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Each value shared between its two neighbours among the ascending ``nodes``, summed up."""
+    if len(nodes) == 1:
+        return np.array([float(len(x))])
+    left = np.clip(np.searchsorted(nodes, x, side="right") - 1, 0, len(nodes) - 2)
+    share = np.clip((x - nodes[left]) / (nodes[left + 1] - nodes[left]), 0.0, 1.0)
+    return np.bincount(left, 1.0 - share, len(nodes)) + np.bincount(left + 1, share, len(nodes))
 
 
-def grid_similarity(lo: float, hi: float, gamma: float, kernel: str) -> np.ndarray:
-    """Similarity of any two grid values."""
-    g = np.linspace(lo, hi, GRID) if hi > lo else np.full(GRID, lo)
+def similarity_of(a: np.ndarray, b: np.ndarray, gamma: float, kernel: str) -> np.ndarray:
+    """Similarity of each value of ``a`` to each of ``b``."""
     if kernel == "linear":
-        return np.outer(g, g)
-    return np.exp(-np.clip(gamma * (g[:, None] - g[None, :]) ** 2, 1e-2, 1e2))
+        return np.outer(a, b)
+    return np.exp(-np.clip(gamma * (a[:, None] - b[None, :]) ** 2, 1e-2, 1e2))
+
+
+def refined_cut(
+    x: np.ndarray, before: np.ndarray, after: np.ndarray, n_before: int, n_after: int, nodes: np.ndarray, gamma: float,
+    kernel: str, first: int, last: int, rows: int = 512,
+) -> int:
+    """Where in the window ``x`` to cut so that the two segments around it cost least: a position from ``first`` to ``last``.
+
+    Samples of the window meet each other exactly; those of the segments outside it are known by their sums on the nodes.
+    """
+    inside_left, inside_right = np.empty(len(x)), np.empty(len(x))  # similarity to earlier and to later samples
+    for low in range(0, len(x), rows):
+        met = similarity_of(x[low : low + rows], x, gamma, kernel)
+        upto = np.arange(low, low + len(met))
+        sums = np.concatenate((np.zeros((len(met), 1)), np.cumsum(met, axis=1)), axis=1)
+        inside_left[upto] = sums[np.arange(len(met)), upto]
+        inside_right[upto] = sums[:, -1] - sums[np.arange(len(met)), upto + 1]
+    to_nodes = similarity_of(nodes, nodes, gamma, kernel)
+    own = x * x if kernel == "linear" else np.full(len(x), SELF_SIMILARITY)
+    left_of = own + 2.0 * (inside_left + np.interp(x, nodes, to_nodes @ before))
+    right_of = own + 2.0 * (inside_right + np.interp(x, nodes, to_nodes @ after))
+    left = before @ to_nodes @ before + np.concatenate(([0.0], np.cumsum(left_of)))
+    right = after @ to_nodes @ after + np.concatenate((np.cumsum(right_of[::-1])[::-1], [0.0]))
+    at = np.arange(first, last + 1)
+    gain = left[at] / np.maximum(n_before + at, 1) + right[at] / np.maximum(n_after + len(x) - at, 1)
+    return int(at[np.argmax(gain)])
 
 
 def piece_changepoints(
@@ -95,7 +117,7 @@ def piece_changepoints(
 ) -> list[int]:
     """Ends (exclusive, in pieces) of the joined pieces that minimise kernel cost + penalty per segment.
 
-    ``n`` values per piece, their self-similarities ``own`` and grid ``weights``. With running sums T of the weights
+    ``n`` values per piece, their self-similarities ``own`` and ``weights`` on nodes. With running sums T of the weights
     the similarity sum of pieces a..b is (T_b - T_a)' K (T_b - T_a).
     """
     if len(n) == 1 or n.sum() < 2 * min_size:

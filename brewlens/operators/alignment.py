@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brewlens.functions.scalars import MICROS_PER_HOUR, finite
 from brewlens.operators.timeseries import of_variables
-from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, carry
+from brewlens.plans.ordered import PIECE, carry
 
 SERIES = ["batch_id", "variable"]
 
@@ -51,7 +51,7 @@ def align(
     return means.select(*SERIES, "elapsed_us", hours(F.col("elapsed_us")).alias("elapsed_hours"), "value")
 
 
-def resample(aligned: DataFrame, resolution_minutes: float, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+def resample(aligned: DataFrame, resolution_minutes: float, piece: int = PIECE) -> DataFrame:
     """Values on one uniform grid over all runs, linear in time between observations.
 
     Each observation emits the grid points up to the next one, so no window ever spans the grid. Points
@@ -64,7 +64,7 @@ def resample(aligned: DataFrame, resolution_minutes: float, policy: SkewPolicy =
     here = F.struct(F.col("elapsed_us").alias("t"), F.col("value").alias("v"))
     linked = carry(
         aligned.select(*SERIES, "elapsed_us", "value"), SERIES, ["elapsed_us"], F.col("elapsed_us"),
-        backward={"next": (here, False)}, policy=policy,
+        backward={"next": (here, False)}, piece=piece,
     ).withColumn("span", span).withColumns({"low": F.col("span.low"), "high": F.col("span.high")})
     last_point = F.ceil((F.col("high") - F.col("low")) / step + 0.5) - 1
     k0 = F.ceil((F.col("elapsed_us") - F.col("low")) / step)

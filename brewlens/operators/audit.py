@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brewlens import constants as K
-from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, carry
+from brewlens.plans.ordered import DENSE, carry
 from brewlens.plans.skew import spread
 from brewlens.schemas import AUDIT, AUDIT_ACTIONS
 
@@ -123,7 +123,7 @@ def append_entries(
     return ordered.mapInPandas(link, AUDIT)
 
 
-def verify_chain(entries: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+def verify_chain(entries: DataFrame, piece: int = DENSE) -> DataFrame:
     """Per entry: is its link the predecessor's recomputed hash, and does its stored hash fit its content?
 
     All hashes are recomputed in parallel; the predecessor comes from an ordered carry that also splits a
@@ -135,7 +135,7 @@ def verify_chain(entries: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> Dat
     linked = carry(
         hashed, ["tenant_id"], ["seq", "entry_id"], F.col("seq"),
         forward={"expected": (F.col("entry_hash"), False), "stored": (F.col("record_hash"), False)},
-        policy=policy,
+        piece=piece,
     )
     given = F.coalesce("previous_entry_hash", F.lit(""))
     return linked.select(
@@ -146,9 +146,9 @@ def verify_chain(entries: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> Dat
     )
 
 
-def chain_verdict(entries: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+def chain_verdict(entries: DataFrame, piece: int = DENSE) -> DataFrame:
     """One row per tenant: entries, broken links, and whether the chain is intact."""
-    return verify_chain(entries, policy).groupBy("tenant_id").agg(
+    return verify_chain(entries, piece).groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("entries"),
         F.count_if(~F.col("chain_ok")).alias("broken_links"),
         F.count_if(~F.col("content_ok")).alias("changed_entries"),

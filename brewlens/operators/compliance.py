@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brewlens import constants as K
 from brewlens.operators import audit, merkle
-from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy
+from brewlens.plans.ordered import DENSE
 
 
 def checklist(spark, regulation: str | None = None) -> DataFrame:
@@ -31,8 +31,8 @@ def _check(counts: DataFrame, name: str, bad: str, good_text: Column, bad_text:
     return counts.select(F.lit(name).alias("check"), status.alias("status"), evidence.alias("evidence"))
 
 
-def chain_check(entries: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
-    counts = audit.verify_chain(entries, policy).agg(
+def chain_check(entries: DataFrame, piece: int = DENSE) -> DataFrame:
+    counts = audit.verify_chain(entries, piece).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(~F.col("chain_ok")).alias("bad")
     )
     return _check(
@@ -104,9 +104,9 @@ def access_check(users: DataFrame) -> DataFrame:
     return counts.select(F.lit("access_control").alias("check"), status.alias("status"), text.alias("evidence"))
 
 
-def merkle_check(entries: DataFrame, stored: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+def merkle_check(entries: DataFrame, stored: DataFrame, piece: int = DENSE) -> DataFrame:
     """Stored tree checkpoints against the trees rebuilt from the entries."""
-    tree = merkle.leaves(audit.with_entry_hash(entries), policy=policy)
+    tree = merkle.leaves(audit.with_entry_hash(entries), piece=piece)
     counts = merkle.check_against(tree, stored).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(~F.col("matches")).alias("bad")
     )
@@ -124,7 +124,7 @@ def report(
     verifier: Callable[[bytes, bytes, str], bool] | None = None,
     public_key_pem: str | None = None,
     checkpoints: DataFrame | None = None,
-    policy: SkewPolicy = DEFAULT_POLICY,
+    piece: int = DENSE,
 ) -> DataFrame:
     """(item_id, regulation, section, requirement, status, evidence) per checklist item.
 
@@ -132,7 +132,7 @@ def report(
     """
     spark = entries.sparkSession
     items = [i for i in K.CHECKLIST if regulation in (None, i[1])]
-    checks = [chain_check(entries, policy), format_check(entries), access_check(users)]
+    checks = [chain_check(entries, piece), format_check(entries), access_check(users)]
     checks.append(signature_check(entries, verifier, public_key_pem))
     checks += [fields_check(entries, f) for f in sorted({i[5] for i in items if i[4] == "field_completeness"})]
     results = checks[0]
@@ -147,7 +147,7 @@ def report(
         F.coalesce("status", F.lit("error")).alias("status"), "evidence",
     )
     if checkpoints is not None:
-        extra = merkle_check(entries, checkpoints, policy).select(
+        extra = merkle_check(entries, checkpoints, piece).select(
             F.lit(len(items)).alias("item_no"), F.lit("MERKLE").alias("item_id"),
             F.lit(regulation or "+".join(K.REGULATIONS)).alias("regulation"), F.lit("").alias("section"),
             F.lit("Stored tree checkpoints").alias("requirement"), "status", "evidence",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, ordinals
+from brewlens.plans.ordered import DENSE, ordinals
 
 BITS = 10
 #: rounds of ten levels; 4 cover trees of up to 2**40 leaves
@@ -27,10 +27,10 @@ def node_hash(left: Column, right: Column) -> Column:
     return F.unhex(F.sha2(F.concat(F.unhex(F.lit("01")), left, right), 256))
 
 
-def leaves(entries: DataFrame, hash_column: str = "entry_hash", policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+def leaves(entries: DataFrame, hash_column: str = "entry_hash", piece: int = DENSE) -> DataFrame:
     """(tenant_id, idx, size, hash): leaves numbered densely by ``seq`` inside each tenant."""
     numbered = ordinals(
-        entries.select("tenant_id", "seq", hash_column), ["tenant_id"], ["seq", hash_column], F.col("seq"), policy
+        entries.select("tenant_id", "seq", hash_column), ["tenant_id"], ["seq", hash_column], F.col("seq"), piece
     )
     return numbered.select(
         "tenant_id", F.col("_i").alias("idx"), F.col("_n").alias("size"), leaf_hash(F.col(hash_column)).alias("hash")

@@ -14,7 +14,7 @@ from brewlens import constants as K
 from brewlens.functions import kernels
 from brewlens.functions.scalars import finite, hours_between, stable_id
 from brewlens.operators.signals import KEYS, prepare
-from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, halo_blocks
+from brewlens.plans.ordered import PIECE, halo_blocks
 from brewlens.plans.skew import spread
 
 SEGMENTS = (
@@ -61,13 +61,19 @@ _SEGMENT_COLUMNS = [
 ]
 #: Rows of one block and rows it shows of each neighbour; a block is what one call of the quadratic kernel sees.
 BLOCK, HALO = 4096, 1024
-#: Ranks at which a signal's values are read for the kernel's width.
-RANKS = 100
+#: Ranks at which a signal's values are read: they give the kernel's width and the nodes on which its samples are summed.
+RANKS = 256
+#: What a block, or a cut, has to know of its signal; it comes as a row before the samples.
+_HEAD = "nodes array<double>, gamma double, penalty double"
 _PIECES = (
     "batch_id string, variable string, start_i long, n long, start_ts timestamp, last_ts timestamp, "
-    "first_value double, last_value double, own double, weights array<double>, gamma double, penalty double, "
-    "lo double, hi double, size long"
+    "first_value double, last_value double, own double, weights array<double>, size long, " + _HEAD
 )
+_BORDERS = (
+    "border long, first long, last long, w_start long, w_stop long, before array<double>, after array<double>, "
+    "n_before long, n_after long, nodes array<double>, gamma double"
+)
+_CUTS = "batch_id string, variable string, border long, cut long, cut_ts timestamp, cut_value double, value_before double"
 
 
 def _names(schema: str) -> list[str]:
@@ -109,12 +115,12 @@ def _per_group(
 
 
 def _signal_statistics(prepared: DataFrame, config: DetectionConfig) -> DataFrame:
-    """(batch, variable, gamma, penalty, lo, hi) of every signal with a usable value, from all its rows."""
+    """(batch, variable, nodes, gamma, penalty, size) of every signal with a usable value, from all its rows."""
     ranks = [(k + 0.5) / RANKS for k in range(RANKS)]
     x = F.col("smoothed")
     stats = prepared.groupBy(*KEYS).agg(
         F.count(x).alias("m"), F.var_pop(x).alias("variance"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-        F.percentile_approx(x, ranks, 10_000).alias("quantiles"),
+        F.percentile_approx(x, ranks, 10_000).alias("quantiles"), F.first("_n").alias("size"),
     ).where("m > 0")
 
     @F.pandas_udf("double")
@@ -123,12 +129,19 @@ def _signal_statistics(prepared: DataFrame, config: DetectionConfig) -> DataFram
 
     floor = F.when(F.col("variance") < K.VARIANCE_FLOOR, 1.0).otherwise(F.col("variance"))
     penalty = F.ln("m") * floor if config.penalty is None else F.lit(float(config.penalty))
-    return stats.select(*KEYS, gamma("quantiles", "m").alias("gamma"), penalty.alias("penalty"), "lo", "hi")
+    nodes = F.array_sort(F.array_distinct(F.concat(F.array("lo"), "quantiles", F.array("hi"))))
+    return stats.select(
+        *KEYS, nodes.alias("nodes"), gamma("quantiles", "m").alias("gamma"), penalty.alias("penalty"), "size"
+    )
 
 
 def _pieces_of(g: dict[str, np.ndarray], config: DetectionConfig) -> list[tuple]:
     """One block cut at the breakpoints the exact kernel finds in it; rows of neighbours only help to find them."""
-    gamma, penalty, lo, hi = (float(g[c][0]) for c in ("gamma", "penalty", "lo", "hi"))
+    if g["_i"][0] != -1:  # a signal without a usable value has no head
+        return []
+    nodes, gamma, penalty, size = np.asarray(g["nodes"][0]), float(g["gamma"][0]), float(g["penalty"][0]), int(g["_n"][0])
+    batch, variable = g["batch_id"][0], g["variable"][0]
+    g = {c: a[1:] for c, a in g.items()}
     x, i, value = g["smoothed"].astype(float), g["_i"], g["value"].astype(float)
     usable = ~np.isnan(x)
     at, mine = i[usable], i[g["_own"].astype(bool)]
@@ -143,56 +156,118 @@ def _pieces_of(g: dict[str, np.ndarray], config: DetectionConfig) -> list[tuple]
         part = x[a:b][usable[a:b]]
         own = float((part * part).sum()) if config.kernel == "linear" else len(part) * kernels.SELF_SIMILARITY
         out.append((
-            g["batch_id"][0], g["variable"][0], start, len(part), g["ts"][a], g["ts"][b - 1], value[a], value[b - 1], own,
-            kernels.grid_weights(part, lo, hi), gamma, penalty, lo, hi, int(g["_n"][0]),
+            batch, variable, start, len(part), g["ts"][a], g["ts"][b - 1], value[a], value[b - 1], own,
+            kernels.node_weights(part, nodes), size, nodes, gamma, penalty,
         ))
     return out
 
 
-def _chosen_segments(g: dict[str, np.ndarray], config: DetectionConfig) -> list[tuple]:
-    """The cheapest way to join the pieces of one signal to segments."""
-    gamma, penalty, lo, hi = (float(g[c][0]) for c in ("gamma", "penalty", "lo", "hi"))
+def _chosen_segments(g: dict[str, np.ndarray], config: DetectionConfig, block: int) -> list[tuple]:
+    """The cheapest way to join the pieces of one signal to segments; and for each that begins at a block's border, where
+    its first sample may come to lie instead (between the middles of the segments around it)."""
+    nodes, gamma, penalty = np.asarray(g["nodes"][0]), float(g["gamma"][0]), float(g["penalty"][0])
+    weights, n = np.stack(g["weights"]), g["n"]
     ends = kernels.piece_changepoints(
-        g["n"], g["own"], np.stack(g["weights"]), penalty, config.min_size,
-        kernels.grid_similarity(lo, hi, gamma, config.kernel),
+        n, g["own"], weights, penalty, config.min_size, kernels.similarity_of(nodes, nodes, gamma, config.kernel)
     )
     stops = np.append(g["start_i"], g["size"][0])
     until = [*g["start_ts"], g["last_ts"][-1]]
     starts = [0, *ends[:-1]]
-    return [
-        (
-            g["batch_id"][0], g["variable"][0], seg, g["start_i"][a], stops[b], g["start_ts"][a], until[b],
-            g["first_value"][a], g["last_value"][b - 1],
+    out = []
+    for seg, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        border: tuple = (None,) * 11
+        if seg and stops[a] % block == 0:
+            p, half = starts[seg - 1], -(-config.min_size // 2)
+            low = stops[p] + config.min_size if seg == 1 else (stops[p] + stops[a] + 1) // 2 + half
+            high = stops[b] - config.min_size if b == len(n) else (stops[a] + stops[b]) // 2 - half
+            border = (
+                stops[a], max(low, stops[a - 1]), min(high, stops[a + 1]), stops[a - 1], stops[a + 1],
+                weights[p : a - 1].sum(axis=0), weights[a + 1 : b].sum(axis=0), n[p : a - 1].sum(), n[a + 1 : b].sum(), nodes, gamma,
+            )
+        out.append((
+            g["batch_id"][0], g["variable"][0], seg, stops[a], stops[b], g["start_ts"][a], until[b],
+            g["first_value"][a], g["last_value"][b - 1], *border,
+        ))
+    return out
+
+
+def _refined(g: dict[str, np.ndarray], config: DetectionConfig) -> list[tuple]:
+    """The exact place of one cut that lies at a block's border."""
+    head = {c: a[0] for c, a in g.items()}
+    i, value, x = g["_i"][1:], g["value"][1:].astype(float), g["smoothed"][1:].astype(float)
+    usable = np.flatnonzero(~np.isnan(x))
+    at = np.append(i[usable], head["w_stop"])  # the row at which a segment would begin
+    first, last = np.searchsorted(at, head["first"]), np.searchsorted(at, head["last"], side="right") - 1
+    cut = int(head["border"])
+    if first <= last and len(usable):
+        best = kernels.refined_cut(
+            x[usable], np.asarray(head["before"]), np.asarray(head["after"]), int(head["n_before"]), int(head["n_after"]),
+            np.asarray(head["nodes"]), float(head["gamma"]), config.kernel, int(first), int(last),
         )
-        for seg, (a, b) in enumerate(zip(starts, ends, strict=True))
-    ]
+        cut = int(at[best])
+    row = int(np.searchsorted(i, cut))
+    if not 0 < row < len(i):
+        return []
+    return [(head["batch_id"], head["variable"], head["border"], cut, g["ts"][1:][row], value[row], value[row - 1])]
+
+
+def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Samples with the rows of ``heads`` before them (as sample -1); what either side lacks is null."""
+    return rows.unionByName(heads.withColumn("_i", F.lit(-1).cast("long")), allowMissingColumns=True)
 
 
 def _segment_signals(prepared: DataFrame, config: DetectionConfig, block: int, halo: int) -> DataFrame:
-    """Segments of every signal; every sample counts, and no task holds more than a block of samples.
+    """Segments of every signal; every sample counts, and no task holds more than two blocks of samples.
 
     A signal is cut into blocks that see ``halo`` rows of their neighbours. The exact kernel runs on each
     block under the penalty and width of the whole signal and proposes breakpoints; what lies between two of
-    them (or a block's border) becomes a piece with its values laid on a fixed grid. A last programme joins
-    pieces to segments: the cost of joined pieces follows from their sums on the grid. It sees pieces only, a
-    few per block. The form is the same for short and long signals. It approximates: a breakpoint that no
-    block proposes is not considered, similarities are interpolated between grid values, and the kernel's
-    width comes from values at ``RANKS`` ranks.
+    them (or a block's border) becomes a piece with its values laid on nodes: the signal's own quantiles, so that
+    outliers do not move them. A last programme joins pieces to segments: the cost of joined pieces follows from
+    their sums on the nodes. It sees pieces only, a few per block. A cut it leaves at a block's border, as for a change
+    too weak to be seen in one block, is then placed by the exact kernel over the pieces on its two sides. The form is
+    the same for short and long signals; on up to ``RANKS`` samples it is exact. Otherwise it approximates:
+    a breakpoint that no block proposes is looked for next to borders only, and similarities over more than a block
+    are interpolated between nodes.
     """
     stats = _signal_statistics(prepared, config)
-    rows = prepared.select(*KEYS, "ts", "value", "smoothed", "_i", "_n").join(stats, KEYS)
+    rows = prepared.select(*KEYS, "ts", "value", "smoothed", "_i", "_n")
     blocks = halo_blocks(rows, "_i", block, halo).where((F.col("_block") * block) < F.col("_n"))
-    pieces = _per_group(blocks, [*KEYS, "_block"], ["_i"], lambda g: _pieces_of(g, config), _PIECES)
-    return _per_group(pieces, KEYS, ["start_i"], lambda g: _chosen_segments(g, config), SEGMENTS)
+    heads = stats.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {block}"))))
+    heads = heads.withColumn("_own", F.lit(False)).withColumnRenamed("size", "_n")
+    pieces = _per_group(
+        _with_heads(blocks, heads), [*KEYS, "_block"], ["_i"], lambda g: _pieces_of(g, config), _PIECES
+    )
+    chosen = _per_group(
+        pieces, KEYS, ["start_i"], lambda g: _chosen_segments(g, config, block), f"{SEGMENTS}, {_BORDERS}"
+    )
+    segments, names = chosen.select(*_SEGMENT_COLUMNS), [c for c in _names(_BORDERS)]
+    borders = chosen.where("border is not null").select(*KEYS, *names)
+    beside = rows.withColumn("border", F.explode(F.expr(f"array(_i div {block} * {block}, (_i div {block} + 1) * {block})")))
+    window = borders.select(*KEYS, "border", "w_start", "w_stop")
+    near = beside.join(window, [*KEYS, "border"]).where("_i >= w_start AND _i < w_stop").drop("w_start", "w_stop", "_n")
+    cuts = _per_group(
+        _with_heads(near, borders), [*KEYS, "border"], ["_i"], lambda g: _refined(g, config), _CUTS
+    )
+    opened = cuts.withColumnsRenamed({"border": "start_i", "cut": "cut_i"}).drop("value_before")
+    closed = cuts.select(
+        *KEYS, F.col("border").alias("end_i"), F.col("cut").alias("stop_i"), F.col("cut_ts").alias("stop_ts"), "value_before"
+    )
+    moved = segments.join(opened, [*KEYS, "start_i"], "left").join(closed, [*KEYS, "end_i"], "left")
+    return moved.select(
+        *KEYS, "seg", F.coalesce("cut_i", "start_i").alias("start_i"), F.coalesce("stop_i", "end_i").alias("end_i"),
+        F.coalesce("cut_ts", "start_ts").alias("start_ts"), F.coalesce("stop_ts", "end_ts").alias("end_ts"),
+        F.when(F.col("cut_i").isNull(), F.col("first_value")).otherwise(F.col("cut_value")).alias("first_value"),
+        F.when(F.col("stop_i").isNull(), F.col("last_value")).otherwise(F.col("value_before")).alias("last_value"),
+    )
 
 
 def offline_segments(
-    telemetry: DataFrame, config: DetectionConfig = DetectionConfig(), policy: SkewPolicy = DEFAULT_POLICY,
+    telemetry: DataFrame, config: DetectionConfig = DetectionConfig(), piece: int = PIECE,
     block: int = BLOCK, halo: int = HALO,
 ) -> DataFrame:
     """Segments of the configured signal of every batch (kernel changepoints on the prepared signal)."""
     chosen = telemetry.where(F.col("variable") == config.signal)
-    return _segment_signals(prepare(chosen, window=config.smoothing_window, policy=policy), config, block, halo)
+    return _segment_signals(prepare(chosen, window=config.smoothing_window, piece=piece), config, block, halo)
 
 
 # --- online segmentation of stored signals -------------------------------------------------------------------
@@ -297,12 +372,12 @@ def annotations(segments: DataFrame, method: str) -> DataFrame:
 def detect_phases(
     telemetry: DataFrame,
     config: DetectionConfig | OnlineConfig = DetectionConfig(),
-    policy: SkewPolicy = DEFAULT_POLICY,
+    piece: int = PIECE,
 ) -> DataFrame:
     """Phase annotations of every batch in ``telemetry``; the config type picks the method."""
     if isinstance(config, OnlineConfig):
         return annotations(online_segments(telemetry, config), "bocpd")
-    return annotations(offline_segments(telemetry, config, policy), "pelt")
+    return annotations(offline_segments(telemetry, config, piece), "pelt")
 
 
 # --- phase joins ------------------------------------------------------------------------------------------------

@@ -3,27 +3,24 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brewlens.functions.scalars import finite
+
+#: Model types of a sensor record. A ``linear`` one is intercept + sum of coefficient * input; ``pls`` (a fitted projection
+#: is linear in its inputs) centres and scales the inputs before; ``custom`` names a Python model in ``metadata['model']``.
+MODEL_TYPES = ("linear", "pls", "custom")
 PREDICTION = "batch_id string, ts timestamp, variable string, value double, uncertainty double, source string"
 SOURCE = "soft_sensor"
 
 
-@dataclass(frozen=True)
-class SensorConfig:
-    input_variables: tuple[str, ...]
-    output_variable: str
-    model_type: str = "linear"
-    prediction_std: float = 0.0
-    metadata: dict[str, object] = field(default_factory=dict)
-
-
 class Sensor(ABC):
     """A user model. ``predict`` gets one array per input and the timestamps of the first input."""
 
@@ -103,6 +100,113 @@ def apply_sensor(sensor: Sensor | LinearSensor, telemetry: DataFrame) -> DataFra
     return wide.mapInPandas(rowwise, PREDICTION)
 
 
+# --- sensor records --------------------------------------------------------------------------------------------------
+
+
+def record_issues(records: DataFrame, models: Mapping[str, Sensor] | None = None) -> DataFrame:
+    """(sensor_id, issue) of records that cannot be applied; ``models`` are the Python models at hand."""
+    models = models or {}
+    inputs, kind, model = F.size("input_variables"), F.col("model_type"), F.col("metadata")["model"]
+    weighted, custom = kind.isin("linear", "pls"), kind == "custom"
+    known = model.isin(list(models)) if models else F.lit(False)
+    wanted = F.create_map(*[x for n, m in models.items() for x in (F.lit(n), F.array(*[F.lit(v) for v in m.input_variables]))])
+    other = wanted[model] != F.col("input_variables") if models else F.lit(False)
+    checks = {
+        "no sensor_id": F.col("sensor_id").isNull(),
+        "no output variable": F.coalesce(F.col("output_variable"), F.lit("")) == "",
+        "no input variables": F.coalesce(inputs, F.lit(0)) <= 0,
+        "unknown model type": ~F.coalesce(kind.isin(*MODEL_TYPES), F.lit(False)),
+        "coefficients do not fit the inputs": weighted & ~F.coalesce(
+            (F.size("coefficients") == inputs) & F.forall("coefficients", lambda c: finite(c).isNotNull()), F.lit(False)),
+        "centres or scales do not fit the inputs": (kind == "pls") & ~F.coalesce(
+            (F.size("center") == inputs) & (F.size("scale") == inputs)
+            & F.forall("center", lambda c: finite(c).isNotNull()) & F.forall("scale", lambda c: finite(c).isNotNull() & (c != 0)),
+            F.lit(False)),
+        "intercept not finite": weighted & finite(F.col("intercept")).isNull(),
+        "model not at hand": custom & ~F.coalesce(known, F.lit(False)),
+        "inputs are not the model's": custom & F.coalesce(other, F.lit(False)),
+        "negative deviation": F.col("prediction_std") < 0,
+    }
+    found = records.select("sensor_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))).alias("issue"))
+    repeated = records.where("sensor_id is not null").groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.unionByName(repeated.select("sensor_id", F.lit("several records").alias("issue")))
+
+
+def usable_records(records: DataFrame, models: Mapping[str, Sensor] | None = None) -> DataFrame:
+    """Records without an issue."""
+    return records.join(record_issues(records, models).select("sensor_id").distinct(), "sensor_id", "left_anti").where(
+        "sensor_id is not null"
+    )
+
+
+def _weighted(records: DataFrame, telemetry: DataFrame) -> DataFrame:
+    """Predictions of all linear and pls records in one pass: readings meet the terms that use their variable.
+
+    A sensor predicts where all its inputs have a reading at one time; of several the smallest counts.
+    """
+    one, none = F.array_repeat(F.lit(1.0), F.size("input_variables")), F.array_repeat(F.lit(0.0), F.size("input_variables"))
+    pls = F.col("model_type") == "pls"
+    terms = records.where(F.col("model_type").isin("linear", "pls")).select(
+        "sensor_id", "output_variable", "prediction_std", "intercept", F.size("input_variables").alias("wanted"),
+        F.explode(F.arrays_zip(
+            F.col("input_variables").alias("variable"), F.col("coefficients").alias("coefficient"),
+            F.when(pls, F.col("center")).otherwise(none).alias("center"), F.when(pls, F.col("scale")).otherwise(one).alias("scale"),
+        )).alias("t"),
+    ).select("sensor_id", "output_variable", "prediction_std", "intercept", "wanted", "t.*")
+    readings = telemetry.groupBy("batch_id", "ts", "variable").agg(F.min(finite(F.col("value"))).alias("x")).where("x is not null")
+    met = readings.join(terms, "variable")
+    added = F.sum(F.col("coefficient") * (F.col("x") - F.col("center")) / F.col("scale"))
+    return met.groupBy("batch_id", "ts", "sensor_id", "output_variable", "prediction_std", "intercept", "wanted").agg(
+        F.count(F.lit(1)).alias("present"), added.alias("added")
+    ).where("present = wanted").select(
+        "sensor_id", "batch_id", "ts", F.col("output_variable").alias("variable"),
+        (F.col("intercept") + F.col("added")).alias("value"), F.col("prediction_std").alias("uncertainty"),
+        F.lit(SOURCE).alias("source"),
+    )
+
+
+def _modelled(models: Mapping[str, Sensor], telemetry: DataFrame) -> DataFrame:
+    """``model`` and predictions of Python models; all that work row by row share one pass over one wide table."""
+    rowwise = {n: m for n, m in models.items() if not m.sequential}
+    schema = f"{PREDICTION}, model string"
+    parts = [apply_sensor(m, telemetry).withColumn("model", F.lit(n)) for n, m in models.items() if m.sequential]
+    if rowwise:
+        variables = list(dict.fromkeys(v for m in rowwise.values() for v in m.input_variables))
+        columns = [F.min(F.when(F.col("variable") == v, F.col("value"))).alias(f"v{i}") for i, v in enumerate(variables)]
+        wide = telemetry.where(F.col("variable").isin(variables)).groupBy("batch_id", "ts").agg(*columns)
+
+        def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                for name, model in rowwise.items():
+                    at = [variables.index(v) for v in model.input_variables]
+                    mine = rows[rows[f"v{at[0]}"].notna()]
+                    if len(mine):
+                        named = mine[["batch_id", "ts"]].assign(**{f"x{i}": mine[f"v{j}"] for i, j in enumerate(at)})
+                        yield _predict(model, named).assign(model=name)
+
+        parts.append(wide.mapInPandas(predict, schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def apply_records(records: DataFrame, telemetry: DataFrame, models: Mapping[str, Sensor] | None = None) -> DataFrame:
+    """``sensor_id`` and predicted rows of every usable record for all batches; see :func:`record_issues` for the rest.
+
+    A custom record renames its model's output and gives a deviation where the model has none.
+    """
+    good = usable_records(records, models)
+    found = _weighted(good, telemetry)
+    if not models:
+        return found
+    named = good.where("model_type = 'custom'").select(
+        "sensor_id", F.col("metadata")["model"].alias("model"), F.col("output_variable").alias("output"), "prediction_std"
+    )
+    made = _modelled(models, telemetry).join(named, "model").select(
+        "sensor_id", "batch_id", "ts", F.col("output").alias("variable"), "value",
+        F.coalesce(finite(F.col("uncertainty")), "prediction_std").alias("uncertainty"), "source",
+    )
+    return found.unionByName(made)
+
+
 def with_predictions(telemetry: DataFrame, predictions: DataFrame) -> DataFrame:
     """Telemetry and predicted rows together."""
     return telemetry.unionByName(predictions, allowMissingColumns=True)

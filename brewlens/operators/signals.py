@@ -1,7 +1,7 @@
 """Signal preparation: validate, fill short gaps, smooth, down-sample, penalty.
 
-All of it is window expressions. Ordinary signals use one window per (batch, variable) and one shuffle;
-signals with very many rows are numbered first and smoothed in fixed-size blocks with repeated edges.
+All of it is window expressions: signals of every length are numbered, cut into fixed-size blocks with repeated edges,
+and worked on block by block.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from brewlens import constants as K
 from brewlens.functions.scalars import finite
-from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, halo_blocks, ordinals, split_hot
-from brewlens.plans.skew import spread
+from brewlens.plans.ordered import PIECE, halo_blocks, ordinals
 
 KEYS = ["batch_id", "variable"]
 BLOCK = 65_536
@@ -52,45 +51,15 @@ def _windowed(df: DataFrame, rows: Window, width: int, limit: int) -> DataFrame:
     return filled.withColumn("smoothed", _smooth_expr("filled", "_i", "_n", rows, width))
 
 
-def _ordinary(df: DataFrame, width: int, limit: int) -> DataFrame:
-    df = spread(df, *KEYS)
-    rows = Window.partitionBy(*KEYS).orderBy("ts", "value")
-    numbered = df.withColumns({
-        "_i": (F.row_number().over(rows) - 1).cast("long"),
-        "_n": F.count(F.lit(1)).over(Window.partitionBy(*KEYS)),
-    })
-    return _windowed(numbered, rows, width, limit)
-
-
-def _hot(df: DataFrame, width: int, limit: int, policy: SkewPolicy, block: int) -> DataFrame:
-    numbered = ordinals(df, KEYS, ["ts", "value"], F.unix_micros("ts"), policy)
-    halo = width + limit + 1
-    blocks = halo_blocks(numbered, "_i", block, halo)
-    rows = Window.partitionBy(*KEYS, "_block").orderBy("_i")
-    return _windowed(blocks, rows, width, limit).where("_own").drop("_block", "_own")
-
-
-def prepared_parts(
-    telemetry: DataFrame,
-    *,
-    window: int = 5,
-    limit: int = K.NAN_GAP_LIMIT,
-    policy: SkewPolicy = DEFAULT_POLICY,
-    block: int = BLOCK,
-) -> tuple[DataFrame, DataFrame | None]:
-    """(ordinary signals, hot signals or None) with ``clean``, ``filled``, ``smoothed``, ``_i`` and ``_n``.
-
-    They stay apart so that a later per-signal step keeps the ordinary side's partitioning.
-    """
+def prepare(
+    telemetry: DataFrame, *, window: int = 5, limit: int = K.NAN_GAP_LIMIT, piece: int = PIECE, block: int = BLOCK
+) -> DataFrame:
+    """``clean``, ``filled``, ``smoothed``, ``_i`` and ``_n`` of every (batch, variable): validated, gap-filled, smoothed."""
     base = telemetry.select(*KEYS, "ts", "value").withColumn("clean", finite(F.col("value")))
-    cold, hot = split_hot(base, KEYS, F.unix_micros("ts"), policy)
-    return _ordinary(cold, window, limit), None if hot is None else _hot(hot, window, limit, policy, block)
-
-
-def prepare(telemetry: DataFrame, **options) -> DataFrame:
-    """Validated, gap-filled and smoothed signal of every (batch, variable)."""
-    ordinary, hot = prepared_parts(telemetry, **options)
-    return ordinary if hot is None else ordinary.unionByName(hot)
+    numbered = ordinals(base, KEYS, ["ts", "value"], F.unix_micros("ts"), piece)
+    blocks = halo_blocks(numbered, "_i", block, window + limit + 1).where((F.col("_block") * block) < F.col("_n"))
+    rows = Window.partitionBy(*KEYS, "_block").orderBy("_i")
+    return _windowed(blocks, rows, window, limit).where("_own").drop("_block", "_own")
 
 
 def invalid_signals(telemetry: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brewlens.functions.scalars import finite
-from brewlens.plans.ordered import DEFAULT_POLICY, SkewPolicy, carry
+from brewlens.plans.ordered import PIECE, carry
 
 
 def of_batch(df: DataFrame, batch_id: str) -> DataFrame:
@@ -34,7 +34,7 @@ def union_assay(telemetry: DataFrame, assay: DataFrame) -> DataFrame:
 # --- as-of joins -----------------------------------------------------------------------------------------
 
 
-def _asof(telemetry: DataFrame, assay: DataFrame, keys: list[str], policy: SkewPolicy) -> DataFrame:
+def _asof(telemetry: DataFrame, assay: DataFrame, keys: list[str], piece: int) -> DataFrame:
     """Last telemetry row at or before each assay row, per key.
 
     Both sides are tagged and merged, so the match is a running ``last`` instead of a non-equi join:
@@ -65,18 +65,18 @@ def _asof(telemetry: DataFrame, assay: DataFrame, keys: list[str], policy: SkewP
     merged = left.unionByName(right)
     matched = carry(
         merged, keys, ["ts", "side", "tie", "tie_value"], F.unix_micros("ts"),
-        forward={"match": (F.col("hit"), False)}, policy=policy,
+        forward={"match": (F.col("hit"), False)}, piece=piece,
     )
     return matched.where((F.col("side") == 1) & F.col("match").isNotNull())
 
 
-def unified_view(telemetry: DataFrame, assay: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+def unified_view(telemetry: DataFrame, assay: DataFrame, piece: int = PIECE) -> DataFrame:
     """Each assay row with the newest telemetry row of its batch at or before it.
 
     Assay rows without earlier telemetry are dropped; among sensors that share the timestamp the last one
     by name is taken, so the result does not depend on row order.
     """
-    hits = _asof(telemetry, assay, ["batch_id"], policy)
+    hits = _asof(telemetry, assay, ["batch_id"], piece)
     return hits.select(
         "batch_id", F.col("ts").alias("assay_ts"), "probe.analyte", "probe.assay_value",
         "probe.assay_uncertainty", "probe.assay_unit", "probe.assay_method",
@@ -85,12 +85,12 @@ def unified_view(telemetry: DataFrame, assay: DataFrame, policy: SkewPolicy = DE
 
 
 def unified_view_per_sensor(
-    telemetry: DataFrame, assay: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
+    telemetry: DataFrame, assay: DataFrame, piece: int = PIECE
 ) -> DataFrame:
     """Like :func:`unified_view`, with one match per sensor of the batch."""
     sensors = telemetry.select("batch_id", "variable").distinct()
     probes = assay.withColumnRenamed("variable", "analyte").join(sensors, "batch_id")
-    hits = _asof(telemetry, probes, ["batch_id", "variable"], policy)
+    hits = _asof(telemetry, probes, ["batch_id", "variable"], piece)
     return hits.select(
         "batch_id", F.col("ts").alias("assay_ts"), "probe.analyte", "probe.assay_value",
         "probe.assay_uncertainty", "probe.assay_unit", "probe.assay_method",

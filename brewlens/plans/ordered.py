@@ -1,79 +1,28 @@
-"""Ordered work inside a key without putting a whole hot key into one task.
+"""Ordered work inside a key without putting a whole key into one task.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. That is the right plan for
-ordinary keys and the wrong one for a key that holds a large share of all rows. The functions here keep
-the plain window when no key is hot, and otherwise cut the *hot* keys into consecutive position buckets:
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. The functions here cut each key into pieces
+of fixed width in position and carry values from piece to piece, in one plan for keys of every size:
 
-1. one narrow aggregation counts rows per key (combined before its shuffle) when the plan is built; it
-   returns the hot keys, of which there are provably at most ``max_hot_keys``;
-2. these are broadcast and give each row its bucket without a shuffle;
-3. rows are shuffled by (key, bucket) and windows run inside a bucket;
-4. one summary row per hot bucket (again a bounded number) carries counts and boundary values across.
+1. a row's position says in which piece it lies, and windows run inside (key, piece);
+2. one summary row per piece (combined before its shuffle) holds its count and border values; running over them gives
+   each piece what lies before and after it, joined back by (key, piece), by which the rows are partitioned already.
 
-Nothing is sampled or dropped, and the result depends neither on where the cuts fall nor on rows that
-arrive between the count and the run.
+Nothing runs while a plan is built, nothing is counted beforehand, sampled or dropped, and the result does not depend on
+where the cuts fall. A key has as many summary rows as its range has pieces: for a run of a year and pieces of a day, 366.
+Rows without a key stay in one piece.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-@dataclass(frozen=True)
-class SkewPolicy:
-    """When a key counts as hot.
-
-    A key is hot when it has more than ``hot_rows`` rows *and* more than 1/``max_hot_keys`` of all rows.
-    The second condition bounds the number of hot keys, hence the broadcast, for every input size.
-    """
-
-    hot_rows: int = 1_000_000
-    max_hot_keys: int = 100_000
-
-
-DEFAULT_POLICY = SkewPolicy()
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], pos: Column, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
-    """At most ``max_hot_keys`` rows: key columns, row count, first position and bucket width."""
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi")
-    )
-    total = stats.agg(F.sum("_rows")).scalar()
-    limit = F.greatest(F.lit(policy.hot_rows).cast("double"), total / F.lit(policy.max_hot_keys))
-    pieces = F.ceil(F.col("_rows") / limit)
-    width = F.ceil((F.col("_hi") - F.col("_lo") + F.lit(1)) / pieces)
-    return stats.where(F.col("_rows") > limit).select(*keys, "_rows", "_lo", width.alias("_width"))
-
-
-def find_hot(
-    df: DataFrame, keys: Sequence[str], pos: Column, policy: SkewPolicy = DEFAULT_POLICY
-) -> DataFrame | None:
-    """The hot keys as a local table, or None. Runs the counting job."""
-    hot = hot_keys(df, keys, pos, policy)
-    rows = hot.collect()  # at most max_hot_keys rows
-    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
-
-
-def split_hot(
-    df: DataFrame, keys: Sequence[str], pos: Column, policy: SkewPolicy = DEFAULT_POLICY
-) -> tuple[DataFrame, DataFrame | None]:
-    """``df`` as (rows of ordinary keys, rows of hot keys or None); both keep the columns of ``df``."""
-    hot = find_hot(df, keys, pos, policy)
-    if hot is None:
-        return df, None
-    names = F.broadcast(hot.select(*keys))
-    return df.join(names, list(keys), "left_anti"), df.join(names, list(keys), "left_semi")
-
-
-def _with_bucket(df: DataFrame, keys: Sequence[str], pos: Column, hot: DataFrame, how: str) -> DataFrame:
-    joined = df.join(F.broadcast(hot), list(keys), how)
-    bucket = F.floor((pos - F.col("_lo")) / F.col("_width"))
-    return joined.withColumn("_bucket", F.coalesce(bucket, F.lit(0)).cast("long"))
+#: Width of a piece: a day of microseconds; and for positions that are numbers in a row.
+PIECE, DENSE = 86_400_000_000, 65_536
 
 
 def carry(
@@ -84,74 +33,66 @@ def carry(
     *,
     forward: Mapping[str, tuple[Column, bool]] | None = None,
     backward: Mapping[str, tuple[Column, bool]] | None = None,
+    running: Mapping[str, Column] | None = None,
     index: bool = False,
-    policy: SkewPolicy = DEFAULT_POLICY,
+    piece: int = PIECE,
 ) -> DataFrame:
     """Add running values and positions inside each key.
 
     ``forward[name] = (value, inclusive)`` is the last non-null ``value`` before (or at) the row,
-    ``backward[name]`` the first one after (or at) it. ``index`` adds ``_i`` (0-based position) and
-    ``_n`` (rows of the key). ``pos`` is a long that grows with the first element of ``order``.
+    ``backward[name]`` the first one after (or at) it, ``running[name]`` the sum of a whole number up to and with the row.
+    ``index`` adds ``_i`` (0-based position) and ``_n`` (rows of the key). ``pos`` is a long that grows with the first
+    element of ``order``; ``piece`` is the width of a piece in it.
     """
-    forward, backward = dict(forward or {}), dict(backward or {})
-    keys = list(keys)
+    forward, backward, running, keys = dict(forward or {}), dict(backward or {}), dict(running or {}), list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    extra = ["_i", "_n"] if index else []
-    hot = find_hot(df, keys, pos, policy)
-
-    def running(partition: list[str], count: Column) -> dict[str, Column]:
-        local = Window.partitionBy(*partition).orderBy(*order)
-        added: dict[str, Column] = {}
-        for name, (value, inclusive) in forward.items():
-            frame = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-            added[name] = F.last(value, ignorenulls=True).over(frame)
-        for name, (value, inclusive) in backward.items():
-            frame = local.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
-            added[name] = F.first(value, ignorenulls=True).over(frame)
-        if index:
-            added["_i"] = (F.row_number().over(local) - 1).cast("long")
-            added["_n"] = count
-        return added
-
-    if hot is None:
-        count = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        return df.withColumns(running(keys, count)).select(*df.columns, *forward, *backward, *extra)
+    parts = [*keys, "_piece"]
+    lost = reduce(or_, [F.col(k).isNull() for k in keys])
+    # A row without a position comes before all others, as nulls do in ``order``.
+    at = F.when(lost, F.lit(0)).otherwise(F.coalesce(F.floor(pos / F.lit(piece)), F.lit(-(1 << 62)))).cast("long")
+    cut = df.withColumn("_piece", at)
+
+    local = Window.partitionBy(*parts).orderBy(*order)
+    added: dict[str, Column] = {}
+    for name, (value, inclusive) in forward.items():
+        added[name] = F.last(value, True).over(local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    for name, (value, inclusive) in backward.items():
+        added[name] = F.first(value, True).over(local.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing))
+    for name, value in running.items():
+        added[name] = F.sum(value).over(local.rowsBetween(Window.unboundedPreceding, 0))
+    if index:
+        added |= {"_i": (F.row_number().over(local) - 1).cast("long"), "_n": F.count(F.lit(1)).over(Window.partitionBy(*parts))}
+    rows = cut.withColumns(added)
 
     rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    inside = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bucket"))
-    rows = _with_bucket(df, keys, pos, hot, "left").withColumns(
-        running([*keys, "_bucket"], F.coalesce(F.col("_rows"), inside))
-    )
-
-    # One summary row per bucket of a hot key: at most two buckets per hot_rows rows.
-    aggregates = [F.count(F.lit(1)).alias("_count")]
-    aggregates += [F.max_by(v, F.when(v.isNotNull(), rank)).alias(f"_s_{n}") for n, (v, _) in forward.items()]
-    aggregates += [F.min_by(v, F.when(v.isNotNull(), rank)).alias(f"_s_{n}") for n, (v, _) in backward.items()]
-    summary = _with_bucket(df, keys, pos, hot, "inner").groupBy(*keys, "_bucket").agg(*aggregates)
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
-    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_bucket.rowsBetween(1, Window.unboundedFollowing)
-    carried = [F.sum("_count").over(before).alias("_c__i")] if index else []
-    carried += [F.last(f"_s_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in forward]
-    carried += [F.first(f"_s_{n}", ignorenulls=True).over(after).alias(f"_c_{n}") for n in backward]
-    summary = summary.select(*keys, "_bucket", *carried)
-
-    result = rows.join(F.broadcast(summary), [*keys, "_bucket"], "left")
+    borders = [F.count(F.lit(1)).alias("_count")]
+    borders += [F.max_by(v, F.when(v.isNotNull(), rank)).alias(f"_s_{n}") for n, (v, _) in forward.items()]
+    borders += [F.min_by(v, F.when(v.isNotNull(), rank)).alias(f"_s_{n}") for n, (v, _) in backward.items()]
+    borders += [F.sum(v).alias(f"_s_{n}") for n, v in running.items()]
+    summary = cut.where(~lost).groupBy(*parts).agg(*borders)
+    along = Window.partitionBy(*keys).orderBy("_piece")
+    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    around = [F.sum("_count").over(before).alias("_c__i"), F.sum("_count").over(Window.partitionBy(*keys)).alias("_c__n")]
+    around = around if index else []
+    around += [F.last(f"_s_{n}", True).over(before).alias(f"_c_{n}") for n in forward]
+    around += [F.first(f"_s_{n}", True).over(after).alias(f"_c_{n}") for n in backward]
+    around += [F.sum(f"_s_{n}").over(before).alias(f"_c_{n}") for n in running]
+
+    result = rows.join(summary.select(*parts, *around), parts, "left")
     merged: dict[str, Column] = {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in [*forward, *backward]}
+    sums = {n: f"_c_{n}" for n in running} | ({"_i": "_c__i"} if index else {})
+    merged |= {n: F.col(n) + F.coalesce(F.col(c), F.lit(0)) for n, c in sums.items()}
     if index:
-        merged["_i"] = F.col("_i") + F.coalesce(F.col("_c__i"), F.lit(0))
-    return result.withColumns(merged).select(*df.columns, *forward, *backward, *extra)
+        merged["_n"] = F.coalesce("_c__n", "_n")
+    names = [*df.columns, *forward, *backward, *running, *(["_i", "_n"] if index else [])]
+    return result.withColumns(merged).select(*names)
 
 
 def ordinals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    pos: Column,
-    policy: SkewPolicy = DEFAULT_POLICY,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], pos: Column, piece: int = PIECE
 ) -> DataFrame:
     """Add ``_i`` (0-based position in the key) and ``_n`` (rows of the key)."""
-    return carry(df, keys, order, pos, index=True, policy=policy)
+    return carry(df, keys, order, pos, index=True, piece=piece)
 
 
 def halo_blocks(df: DataFrame, index: str, size: int, halo: int) -> DataFrame:

@@ -85,6 +85,19 @@ GOLDEN_PROFILES = T.StructType([
     T.StructField("n_batches", T.LongType()),
 ])
 
+SENSORS = T.StructType([
+    T.StructField("sensor_id", T.StringType()),
+    T.StructField("output_variable", T.StringType()),
+    T.StructField("input_variables", T.ArrayType(T.StringType())),
+    T.StructField("model_type", T.StringType()),
+    T.StructField("coefficients", T.ArrayType(T.DoubleType())),
+    T.StructField("center", T.ArrayType(T.DoubleType())),
+    T.StructField("scale", T.ArrayType(T.DoubleType())),
+    T.StructField("intercept", T.DoubleType()),
+    T.StructField("prediction_std", T.DoubleType()),
+    T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+])
+
 AUDIT = T.StructType([
     T.StructField("tenant_id", T.StringType()),
     T.StructField("seq", T.LongType()),

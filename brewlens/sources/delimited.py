@@ -5,32 +5,167 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brewlens.plans.ordered import carry
+from brewlens.session import cut_lineage
+
 SEPARATORS = ",;\t|"
 
 
+ORDER = ["block", "pos"]
+#: Bytes of a file that are looked at in one piece where lines depend on those before them.
+SPLIT = 1 << 27
+#: First bytes of a file by which its encoding is known, in hex.
+MARKS = {"FFFE": "utf-16le", "FEFF": "utf-16be", "EFBBBF": "utf-8"}
+
+
+def _encodings(raw: DataFrame) -> DataFrame:
+    """(source, encoding) decided once per file: by its mark, else UTF-8 if all its lines are, else ISO 8859-1."""
+    head = F.min_by(F.hex(F.substring("bytes", 1, 3)), F.struct(*ORDER))
+    found = raw.groupBy("source").agg(
+        head.alias("head"), F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("valid"), F.count(F.lit(1)).alias("lines")
+    )
+    marked = F.coalesce(*[F.when(F.startswith("head", F.lit(m)), F.lit(e)) for m, e in MARKS.items()])
+    return found.select(
+        "source", F.coalesce(marked, F.when(F.col("valid"), "utf-8").otherwise("iso-8859-1")).alias("encoding"), "lines"
+    )
+
+
+def _wide_lines(raw: DataFrame) -> DataFrame:
+    """Lines of UTF-16 files from pieces cut at each byte 0A.
+
+    That byte ends a line if it is the whole of a two-byte unit with 00 for its other byte; where it belongs to
+    another letter the pieces are put together again. Whether a byte comes first in its unit follows from the lengths of
+    all pieces before it.
+    """
+    little = F.col("encoding") == "utf-16le"
+    first = F.struct("block", "pos", "bytes")
+    along = carry(
+        raw, ["source"], ORDER, F.col("block"), running={"upto": F.length("bytes") + 1}, forward={"before": (first, False)}, piece=SPLIT,
+    )
+    at = F.col("upto") - F.length("bytes") - 2  # offset of the byte 0A in front of this piece
+    ends = F.when(little, (at % 2 == 0) & (F.hex(F.substring("bytes", 1, 1)) == "00")).otherwise(
+        (at % 2 == 1) & (F.hex(F.expr("substring(before.bytes, -1, 1)")) == "00")
+    )
+    opened = cut_lineage(along).withColumn("opens", F.col("before").isNull() | F.coalesce(ends, F.lit(False)))
+    owned = carry(
+        opened.drop("before", "upto"), ["source"], ORDER, F.col("block"),
+        forward={"owner": (F.when(F.col("opens"), F.struct("block", "pos")), True)}, piece=SPLIT,
+    )
+    # Only lines in several pieces are grouped by more than themselves.
+    glued = owned.groupBy("source", "encoding", "owner").agg(F.sort_array(F.collect_list(F.struct(*ORDER, "bytes"))).alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda p: F.hex(p["bytes"])), "0A")
+    line = glued.select("source", "encoding", "owner.block", "owner.pos", joined.alias("hex"))
+    # The other half of the line feed: behind it (little end first) or in front of the next one.
+    low = F.when(F.startswith("hex", F.lit("FFFE")), F.substr("hex", F.lit(5))).when(
+        F.startswith("hex", F.lit("00")) & (F.length("hex") % 4 == 2), F.substr("hex", F.lit(3))
+    ).otherwise(F.col("hex"))
+    high = F.when(F.length("hex") % 4 == 2, F.expr("left(hex, length(hex) - 2)")).otherwise(F.col("hex"))
+    high = F.when(F.startswith(high, F.lit("FEFF")), F.substr(high, F.lit(5))).otherwise(high)
+    text = F.when(little, F.decode(F.unhex(low), "utf-16le")).otherwise(F.decode(F.unhex(high), "utf-16be"))
+    return line.select("source", "block", "pos", text.alias("line"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, first_block, pos, line): the non-blank lines of every file below ``path``.
+    """(source, block, pos, line): the lines of every file below ``path``, in the order of block and pos.
+
+    Encodings are UTF-8, UTF-16 (with its mark) and ISO 8859-1; marks are removed. Files are split like any text
+    input, so one very large file is read by many tasks; ``block`` is a split's first byte. The lines are kept below the
+    checkpoint folder, so that all that follows sees one state of the files.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    raw = text.select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"), F.col("value").cast("binary").alias("bytes"),
+    )
+    encodings = cut_lineage(_encodings(raw))
+    known = raw.join(encodings, "source")
+    narrow = known.where(F.col("encoding").isin("utf-8", "iso-8859-1"))
+    line = F.when(F.col("encoding") == "utf-8", F.col("bytes").cast("string")).otherwise(F.decode("bytes", "iso-8859-1"))
+    # A file in one line may have carriage returns for line ends.
+    text = F.regexp_replace(line, "^\ufeff", "")
+    parts = F.when(F.col("lines") == 1, F.split(text, "\r(?!$)")).otherwise(F.array(text))
+    lines = narrow.select("source", "block", "pos", F.posexplode(parts).alias("part", "line")).select(
+        "source", "block", (F.col("pos") + F.col("part")).alias("pos"), "line"
+    )
+    wide = F.startswith("encoding", F.lit("utf-16"))
+    if encodings.where(wide).isEmpty():
+        return cut_lineage(lines)
+    return cut_lineage(lines.unionByName(_wide_lines(known.where(wide))))
+
+
+def _quoting(line: str, sep: str) -> tuple[Column, Column]:
+    """Whether a line that begins outside (inside) a quoted field ends inside one.
 
-    Lines that are not valid UTF-8 are read as ISO 8859-1; a byte-order mark is removed. Files are split
-    like any text input, so one very large file is read by many tasks.
+    A field is quoted if its first letter is a quote; a doubled quote stands for one; quotes within other fields are
+    letters.
     """
-    text = spark.read.option("recursiveFileLookup", "true").text(path)
-    raw = F.col("value")
-    decoded = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(raw.cast("binary"), "iso-8859-1"))
-    line = F.regexp_replace(decoded, "^﻿", "")
-    return text.select(
-        F.col("_metadata.file_path").alias("source"),
-        (F.col("_metadata.file_block_start") == 0).alias("first_block"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.regexp_replace(line, "\r$", "").alias("line"),
-    ).where(F.trim("line") != "")
+    escaped = F.concat(F.lit("\\"), F.col(sep))
+    rest = F.concat(F.lit("[^"), escaped, F.lit("]*+"), escaped)  # what follows in a field, and the separator
+    body = '[^"]*+(?:""[^"]*+)*+'
+    fields = F.concat(F.lit(f'(?:"{body}"'), rest, F.lit('|(?!")'), rest, F.lit(")*+"))
+    outside = F.concat(F.lit("(?s)^"), fields, F.lit(f'"{body}$'))
+    inside = F.concat(F.lit(f'(?s)^{body}(?:$|"'), rest, fields, F.lit(f'"{body}$)'))
+    return F.rlike(F.col(line), outside), F.rlike(F.col(line), inside)
 
 
-def head_lines(lines: DataFrame, n: int) -> DataFrame:
-    """(source, rn, line): the first ``n`` lines per file; the rank limit also applies before the shuffle."""
-    order = Window.partitionBy("source").orderBy("pos")
-    ranked = lines.where("first_block").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
-    return ranked.select("source", (F.col("rn") - 1).alias("rn"), "line")
+def _open_fields(lines: DataFrame) -> DataFrame:
+    """(source, block, pos, end): each line that leaves a quoted field open, with the line (block, pos) that closes it.
+
+    What a line does to "inside a quoted field" is one of four functions; those without effect are left out first. A
+    function that ends the same way from both states settles what came before; between two such lines only the
+    number of lines that swap the states matters. Both are carried along each file.
+    """
+    quoted = lines.where(F.contains("line", F.lit('"')))
+    out, kept = _quoting("line", "sep")
+    acts = quoted.select("source", *ORDER, out.alias("from_out"), kept.alias("from_in")).where("from_out OR NOT from_in")
+    swaps = F.col("from_out") & ~F.col("from_in")
+    counted = carry(cut_lineage(acts), ["source"], ORDER, F.col("block"), running={"swaps": swaps.cast("long")}, piece=SPLIT)
+    settled = F.when(F.col("from_out") == F.col("from_in"), F.struct("from_out", "swaps"))
+    along = carry(counted, ["source"], ORDER, F.col("block"), forward={"settled": (settled, False)}, piece=SPLIT)
+    before = F.col("swaps") - swaps.cast("long") - F.coalesce(F.col("settled.swaps"), F.lit(0))
+    inside = F.coalesce(F.col("settled.from_out"), F.lit(False)) != (before % 2 == 1)
+    states = cut_lineage(along).withColumn("inside", inside).withColumn(
+        "left_inside", F.when(F.col("inside"), F.col("from_in")).otherwise(F.col("from_out"))
+    )
+    closes = F.when(F.col("inside") & ~F.col("left_inside"), F.struct(*ORDER))
+    paired = carry(states, ["source"], ORDER, F.col("block"), backward={"end": (closes, False)}, piece=SPLIT)
+    return paired.where(~F.col("inside") & F.col("left_inside")).select("source", *ORDER, "end")
+
+
+def read_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((source, block, pos, line, sep) records, (source, problem)) from lines: a record goes on while a quote is open.
+
+    Lines of one split are numbered in a row, so the lines between an opening and its closing line are known by
+    their numbers; only these lines are exchanged. A quote that nothing closes is a problem; its line stays alone.
+    """
+    known = lines.join(cut_lineage(dialects(lines)), "source")
+    opened = cut_lineage(_open_fields(known))
+    problems = opened.where("end IS NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(
+        "source", F.lit("a quote is not closed").alias("problem")
+    )
+    spans = opened.where("end IS NOT NULL").select("source", F.struct(*ORDER).alias("start"), "end")
+    blocks = lines.groupBy("source", "block").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    met = spans.join(blocks, "source").where("block BETWEEN start.block AND end.block")
+    numbers = F.sequence(
+        F.when(F.col("block") == F.col("start.block"), F.col("start.pos")).otherwise(F.col("low")),
+        F.when(F.col("block") == F.col("end.block"), F.col("end.pos")).otherwise(F.col("high")),
+    )
+    members = met.select("source", "start", F.explode(numbers).alias("pos"))
+    marked = known.join(members, ["source", "pos"], "left")
+    single = marked.where("start IS NULL").select("source", *ORDER, "line", "sep")
+    parts = F.sort_array(F.collect_list(F.struct(*ORDER, "line")))
+    several = marked.where("start IS NOT NULL").groupBy("source", "start", "sep").agg(parts.alias("parts")).select(
+        "source", "start.block", "start.pos", F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"), "sep"
+    )
+    whole = single.unionByName(several).withColumn("line", F.regexp_replace("line", "\r$", "")).where(F.trim("line") != "")
+    return whole, problems
+
+
+def head_lines(records: DataFrame, n: int) -> DataFrame:
+    """(source, rn, line): the first ``n`` records per file; the rank limit also applies before the shuffle."""
+    order = Window.partitionBy("source").orderBy(*ORDER)
+    ranked = records.where("block = 0").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
+    return ranked.select("source", (F.col("rn") - 1).alias("rn"), "line", "sep")
 
 
 def dialects(lines: DataFrame) -> DataFrame:
@@ -55,15 +190,21 @@ def dialects(lines: DataFrame) -> DataFrame:
 
 
 def split_line(line: Column, sep: Column) -> Column:
-    """Fields of one line; quoted fields may hold the separator and doubled quotes."""
+    """Fields of one record; a quoted field may hold the separator, line breaks and doubled quotes.
+
+    A field is quoted if it begins with a quote (blanks before it do not count); quotes within other fields are letters.
+    """
     literal = F.concat(F.lit("\\"), sep)
-    outside_quotes = F.concat(literal, F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    plain = F.split(line, literal, -1)
+    body = '[^"]*+(?:""[^"]*+)*+'
+    field = F.concat(literal, F.lit(f'( *+"{body}"[^'), literal, F.lit("]*+|[^"), literal, F.lit("]*+)"))
     quoted = F.transform(
-        F.split(line, outside_quotes, -1),
+        F.regexp_extract_all(F.concat(sep, line), field, F.lit(1)),
         lambda f: F.when(
-            F.trim(f).rlike('(?s)^".*"$'),
-            F.regexp_replace(F.regexp_replace(F.trim(f), '^"|"$', ""), '""', '"'),
+            f.rlike(f'(?s)^ *+"{body}"'),
+            F.concat(
+                F.replace(F.regexp_extract(f, f'(?s)^ *+"({body})"', 1), F.lit('""'), F.lit('"')),
+                F.regexp_extract(f, f'(?s)^ *+"{body}"\\s*+(.*)$', 1),
+            ),
         ).otherwise(f),
     )
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, literal, -1))

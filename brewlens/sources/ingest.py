@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from brewlens import constants as K
 from brewlens.functions import kernels
 from brewlens.functions import scalars as S
+from brewlens.session import cut_lineage
 from brewlens.sources import delimited, workbook
 
 
@@ -242,9 +243,13 @@ def melt(rows: DataFrame, plan: DataFrame, reference: Column) -> tuple[DataFrame
     return records.select("source", "ts", "variable", "value", "unit", "quality_flag", "warning"), rejects
 
 
-def _finish(rows: DataFrame, plan: DataFrame, batches: DataFrame, inoculation: datetime | str | None) -> Load:
+def _finish(
+    rows: DataFrame, plan: DataFrame, batches: DataFrame, inoculation: datetime | str | None, broken: DataFrame | None = None
+) -> Load:
     reference = F.lit(inoculation).cast("timestamp")
     problems = plan_problems(plan, inoculation is not None)
+    if broken is not None:
+        problems = problems.unionByName(broken)
     loadable = plan.join(problems, "source", "left_anti")
     records, rejects = melt(rows, loadable, reference)
     ids = batches.select("source", "batch_id")
@@ -276,19 +281,15 @@ def load_delimited(
     confirmed: DataFrame | None = None,
 ) -> Load:
     """Plan and transform every delimited text file below ``path``; one batch per file."""
-    lines = delimited.read_lines(spark, path)
-    heads = delimited.head_lines(lines, 2)
-    seps = delimited.dialects(lines)
-    head_rows = heads.join(seps, "source").select(
-        "source", "rn", delimited.split_line(F.col("line"), F.col("sep")).alias("fields")
-    )
-    rows = lines.select("source", "pos", "line").join(seps, "source").select(
-        "source", "pos", delimited.split_line(F.col("line"), F.col("sep")).alias("fields")
-    )
-    plan = plan_columns(head_rows, rows, custom_vocab, confirmed)
+    records, unclosed = delimited.read_records(delimited.read_lines(spark, path))
+    records = cut_lineage(records)
+    fields = delimited.split_line(F.col("line"), F.col("sep")).alias("fields")
+    rows = records.select("source", F.struct("block", "pos").alias("pos"), fields)
+    heads = delimited.head_lines(records, 2).select("source", "rn", fields)
+    plan = cut_lineage(plan_columns(heads, rows, custom_vocab, confirmed))
     name = F.lit(batch_name) if batch_name else _base_name(F.col("source"))
-    batches = seps.select("source", S.stable_id(F.lit("file"), F.col("source")).alias("batch_id"), name.alias("name"))
-    return _finish(rows.select("source", "fields"), plan, batches, inoculation)
+    batches = plan.select("source").distinct().select("source", S.stable_id(F.lit("file"), F.col("source")).alias("batch_id"), name.alias("name"))
+    return _finish(rows.select("source", "fields"), plan, batches, inoculation, unclosed)
 
 
 def load_workbooks(

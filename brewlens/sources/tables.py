@@ -45,6 +45,7 @@ LAYOUT: dict[str, T.StructType] = {
         T.StructField("root", T.StringType()), T.StructField("saved_at", T.TimestampType()),
     ]),
     "users": schemas.USERS,
+    "sensors": T.StructType(schemas.SENSORS.fields + _LOG.fields[:2]),
 }
 BY_BATCH = ("telemetry", "assay", "phases", "operations", "metrics", "original")
 

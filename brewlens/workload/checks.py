@@ -21,6 +21,24 @@ BATCHES = """(SELECT CAST(o_orderkey AS VARCHAR) AS batch_id, 'Run-' || o_orders
     [o_orderstatus, c_mktsegment, CASE WHEN o_totalprice > 300000 THEN 'scale-up' ELSE 'bench' END] AS tags
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"""
 
+def sensor_records(source: str = "nation") -> str:
+    """Nations or suppliers as sensor records: key, region, number of inputs and of coefficients, type."""
+    key, region = {"nation": ("n_nationkey", "n_regionkey"), "supplier": ("s_suppkey", "s_nationkey % 5")}[source]
+    return f"""(SELECT *, CASE WHEN k % 7 <> 6 THEN inputs ELSE 3 END AS weights, 's' || k AS sensor_id,
+      CASE region WHEN 3 THEN 'pls' WHEN 4 THEN 'spline' ELSE 'linear' END AS kind,
+      region / 100 - CASE WHEN k % 11 = 10 THEN 1 ELSE 0 END AS std
+    FROM (SELECT CAST({key} AS BIGINT) AS k, {region} AS region, CASE {region} WHEN 1 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS inputs FROM {source}))"""
+
+
+DAILY = f"""(SELECT batch_id, date_trunc('day', ts) AS ts, min(value) FILTER (variable = 'click') AS c,
+    min(value) FILTER (variable = 'view') AS v, min(value) FILTER (variable = 'error') AS e
+  FROM {TELEMETRY} GROUP BY ALL)"""
+#: Predictions of the usable weighted records.
+PREDICTED = f"""(SELECT * FROM (SELECT r.*, batch_id, ts, 'est_' || k AS variable, CASE region WHEN 0 THEN k / 10 + (k + 1) * c
+      WHEN 1 THEN k / 10 + (k + 1) * v - 2 * c WHEN 2 THEN k / 10 + (k + 1) * e
+      WHEN 3 THEN k / 10 + (k + 1) * (v - 1) / 2 - 4 * (e - 1) / 2 + 0.5 * (c - 1) / 2 END AS value
+    FROM {sensor_records()} r, {DAILY} d WHERE weights = inputs AND std >= 0) WHERE value IS NOT NULL)"""
+
 METRICS = f"""
   rng AS (SELECT p.batch_id, p.phase_type, p.start_ts, p.end_ts,
       greatest(min(t.ts) FILTER (variable = 'click'), min(t.ts) FILTER (variable = 'view')) AS lo,
@@ -284,6 +302,15 @@ def _checks() -> dict[str, str]:
     v["with_predictions"] = f"""SELECT batch_id, variable, source, count(*) AS n, round(sum(value), 6) AS total FROM (
       SELECT batch_id, variable, NULL AS source, value FROM {TELEMETRY} UNION ALL
       SELECT batch_id, 'est', 'soft_sensor', value * 2.0 + 0.5 FROM {TELEMETRY} WHERE variable = 'click') GROUP BY 1, 2, 3"""
+    v["sensor_records"] = f"""SELECT sensor_id, batch_id, epoch_us(ts) AS ts_us, variable, round(value, 6) AS value,
+      round(std, 6) AS uncertainty, 'soft_sensor' AS source FROM {PREDICTED}"""
+    v["custom_sensor_records"] = f"""SELECT sensor_id, variable, count(*) AS n, round(sum(value), 4) AS total FROM (
+      SELECT sensor_id, variable, value FROM {PREDICTED} UNION ALL
+      SELECT sensor_id, 'est_' || k, ln(1 + v) * 3 FROM {sensor_records()} r, {DAILY} d WHERE region = 4 AND std >= 0 AND v IS NOT NULL
+      ) GROUP BY 1, 2"""
+    v["sensor_issues"] = f"""SELECT sensor_id, unnest(list_filter([CASE WHEN kind = 'spline' THEN 'unknown model type' END,
+      CASE WHEN kind <> 'spline' AND weights <> inputs THEN 'coefficients do not fit the inputs' END,
+      CASE WHEN std < 0 THEN 'negative deviation' END], lambda x: x IS NOT NULL)) AS issue FROM {sensor_records('supplier')}"""
     # --- ingestion
     raw = "(SELECT l_returnflag || l_linestatus AS source, * FROM lineitem)"
     v["melt_units"] = f"""SELECT source, variable, unit, epoch_us(ts) AS ts_us, count(*) AS n, round(sum(value), 6) AS total FROM (

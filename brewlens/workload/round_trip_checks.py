@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brewlens.workload.checks import ALIGNED, ASSAY, BATCHES, GRID, PHASES, SENSORS, TELEMETRY
+from brewlens.workload.checks import ALIGNED, ASSAY, BATCHES, GRID, PHASES, PREDICTED, SENSORS, TELEMETRY
 
 
 def round_trip_sql() -> dict[str, str]:
@@ -10,6 +10,10 @@ def round_trip_sql() -> dict[str, str]:
     rows = "batch_id, epoch_us(ts) AS ts_us, variable, value, unit"
     v["stored_telemetry"] = f"SELECT {rows} FROM {TELEMETRY} WHERE value <= 100"
     v["stored_batch"] = f"SELECT {rows} FROM {TELEMETRY} WHERE value <= 100 AND batch_id = '7'"
+    v["stored_sensors"] = f"""SELECT variable, source, uncertainty, count(*) AS n, round(sum(value), 4) AS total FROM (
+      SELECT variable, NULL AS source, NULL AS uncertainty, value FROM {TELEMETRY}
+      UNION ALL SELECT variable, 'soft_sensor', CASE kind WHEN 'pls' THEN 7.0 ELSE std END::DOUBLE, value FROM {PREDICTED} WHERE sensor_id <> 's1')
+      GROUP BY 1, 2, 3"""
     v["stored_rejects"] = f"""SELECT batch_id, 'value not finite' AS reason, count(*) AS n FROM {TELEMETRY}
       WHERE value > 100 AND variable = 'purchase' GROUP BY 1"""
     v["stored_assay"] = f"""SELECT batch_id, epoch_us(ts) AS ts_us, variable, value, round(uncertainty, 6) AS uncertainty,

@@ -53,6 +53,19 @@ def stored_rejects(spark, sf):
     return rejected.groupBy("batch_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_register
+def stored_sensors(spark, sf):
+    """Sensor records stored, some of them stored again with another deviation and one deleted, then applied."""
+    ws = _workspace(spark)
+    ws.append_telemetry(B.daily(spark, sf))
+    records = B.sensor_records(spark, sf)
+    ws.save_sensors(records)
+    ws.save_sensors(records.where("model_type = 'pls'").withColumn("prediction_std", F.lit(7.0)))
+    ws.delete_sensor("s1")
+    both = ws.predict_stored()
+    return both.groupBy("variable", "source", "uncertainty").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @_register
 def stored_batch(spark, sf):
     """One batch from its bucket of the stored table."""

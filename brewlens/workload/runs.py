@@ -507,6 +507,31 @@ def with_predictions(spark, sf):
         F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
 
 
+@_register
+def sensor_records(spark, sf):
+    """All records with their own inputs in one pass."""
+    found = sensors.apply_records(B.sensor_records(spark, sf), B.daily(spark, sf), {"log": _LogSensor()})
+    return found.select("sensor_id", "batch_id", us("ts").alias("ts_us"), "variable", r6("value").alias("value"),
+                        r6("uncertainty").alias("uncertainty"), "source")
+
+
+@_register
+def custom_sensor_records(spark, sf):
+    """Records that name a Python model next to weighted ones."""
+    kind = F.when(F.col("model_type") == "spline", "custom").otherwise(F.col("model_type"))
+    records = B.sensor_records(spark, sf).withColumns({
+        "model_type": kind, "metadata": F.create_map(F.lit("model"), F.lit("log")),
+        "input_variables": F.when(kind == "custom", F.array(F.lit("view"))).otherwise(F.col("input_variables")),
+    })
+    found = sensors.apply_records(records, B.daily(spark, sf), {"log": _LogSensor()})
+    return found.groupBy("sensor_id", "variable").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@_register
+def sensor_issues(spark, sf):
+    return sensors.record_issues(B.sensor_records(spark, sf, "supplier"))
+
+
 # --- ingestion -----------------------------------------------------------------------------------------------------------------
 
 

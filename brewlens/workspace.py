@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import warnings
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
 from functools import reduce
 
@@ -288,6 +288,28 @@ class Workspace:
             raise ValueError(f"batch {lost['batch_id']} lacks input variable {lost['variable']}")
         return sensors.with_predictions(telemetry, sensors.apply_sensor(sensor, telemetry))
 
+    def sensor_records(self) -> DataFrame:
+        """Stored sensor records: the newest version of each."""
+        newest = catalog.latest_by(self.store.read("sensors"), ["sensor_id"], "_version")
+        return newest.where(~F.col("_deleted")).drop("_version", "_deleted")
+
+    def save_sensors(self, records: DataFrame, models: Mapping[str, sensors.Sensor] | None = None) -> DataFrame:
+        """Store the records that can be applied in place of their earlier versions; returns the issues of the others."""
+        good = sensors.usable_records(records, models)
+        self.store.append("sensors", good.withColumns({"_version": F.lit(_version()), "_deleted": F.lit(False)}))
+        return sensors.record_issues(records, models)
+
+    def delete_sensor(self, sensor_id: str) -> None:
+        gone = self.sensor_records().where(F.col("sensor_id") == F.lit(sensor_id))
+        self.store.append("sensors", gone.withColumns({"_version": F.lit(_version()), "_deleted": F.lit(True)}))
+
+    def predict_stored(
+        self, batch_ids: Sequence[str] | str | None = None, models: Mapping[str, sensors.Sensor] | None = None
+    ) -> DataFrame:
+        """Telemetry together with the predictions of all stored sensors."""
+        telemetry = self.telemetry(batch_ids)
+        return sensors.with_predictions(telemetry, sensors.apply_records(self.sensor_records(), telemetry, models))
+
     # --- lineage and audit ----------------------------------------------------------------------------------------
 
     def add_operations(self, rows: DataFrame) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brewlens.operators import alignment, golden, metrics, sensors
 from brewlens.operators import timeseries as ts
-from brewlens.plans.ordered import SkewPolicy
+from brewlens.plans.ordered import PIECE
 from tests.conftest import START, signal_rows
 
 PHASES = "batch_id string, phase_type string, start_ts timestamp, end_ts timestamp"
@@ -121,9 +121,9 @@ def test_resampling_equals_interpolation(spark, telemetry):
         bands.append((f"r{b}", "exponential", at(50 + b), at(500)))
     rows = telemetry(*parts)
     aligned = alignment.align(rows, spark.createDataFrame(bands, PHASES))
-    cut = SkewPolicy(hot_rows=15)
-    for policy in (SkewPolicy(), cut):
-        got = alignment.resample(aligned, 7, policy).collect()
+    cut = 900_000_000
+    for piece in (PIECE, cut):
+        got = alignment.resample(aligned, 7, piece).collect()
         series = aligned.toPandas()
         low, high = series.elapsed_us.min(), series.elapsed_us.max()
         step = 7 * 60_000_000

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brewlens.operators import audit, compliance, lineage, merkle
-from brewlens.plans.ordered import SkewPolicy
+from brewlens.plans.ordered import DENSE
 from brewlens.schemas import AUDIT, USERS
 from tests.conftest import START
 
@@ -45,13 +45,13 @@ def test_chain_is_appended_continued_and_verified(spark):
         previous[r["tenant_id"]] = r["record_hash"]
     longer = chain.unionByName(audit.append_entries(entries(spark, n=3, first=6), chain)).cache()
     assert longer.agg(F.max("seq")).first()[0] == 8
-    for policy in (SkewPolicy(), SkewPolicy(hot_rows=3)):
-        verdict = audit.chain_verdict(longer, policy).collect()
+    for piece in (DENSE, 3):
+        verdict = audit.chain_verdict(longer, piece).collect()
         assert all(v["intact"] and v["entries"] == 9 and v["changed_entries"] == 0 for v in verdict)
     tampered = longer.withColumn("new_value_hash", F.when(
         (F.col("tenant_id") == "t1") & (F.col("seq") == 4), "evil").otherwise(F.col("new_value_hash")))
-    for policy in (SkewPolicy(), SkewPolicy(hot_rows=3)):
-        rows = {(r["tenant_id"], r["seq"]): r for r in audit.verify_chain(tampered, policy).collect()}
+    for piece in (DENSE, 3):
+        rows = {(r["tenant_id"], r["seq"]): r for r in audit.verify_chain(tampered, piece).collect()}
         assert [k for k, r in rows.items() if not r["chain_ok"]] == [("t1", 5)]
         assert [k for k, r in rows.items() if not r["content_ok"]] == [("t1", 4)]
         assert all(r["stored_link_ok"] for r in rows.values())

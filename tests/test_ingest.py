@@ -2,6 +2,7 @@ import io
 import zipfile
 from datetime import datetime
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -277,3 +278,71 @@ def test_day_order_is_decided_over_the_column(spark, folder):
         day="time,pH\n03/04/2026 08:00,7\n20/04/2026 08:00,7.1\n", month="time,pH\n03/04/2026 08:00,7\n04/20/2026 08:00 PM,7.1\n"))
     got = sorted((r["source"].split("/")[-1], r["ts"].month, r["ts"].day, r["ts"].hour) for r in load.records.collect())
     assert got == [("day.csv", 4, 3, 8), ("day.csv", 4, 20, 8), ("month.csv", 3, 4, 8), ("month.csv", 4, 20, 20)]
+
+
+# --- records ---------------------------------------------------------------------------------------------------------
+
+
+def plain_records(text, sep):
+    import csv
+    import io
+
+    return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if any(f.strip() for f in r)]
+
+
+def read_fields(spark, path):
+    records, problems = delimited.read_records(delimited.read_lines(spark, path))
+    rows = records.select("source", "block", "pos", delimited.split_line(F.col("line"), F.col("sep")).alias("fields")).collect()
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["source"], r["block"], r["pos"])):
+        out.setdefault(r["source"].split("/")[-1], []).append(r["fields"])
+    return out, {r["source"].split("/")[-1]: r["problem"] for r in problems.collect()}
+
+
+def messy(seed, n, sep, end):
+    r = np.random.default_rng(seed)
+    cells = ["plain", "1.5", '5" tube', f'"with{sep} separator"', '"two ""quotes"" in"', '"line' + end + 'break"', '""',
+             '"' + end + end + 'several' + end + '"', "", "x" * 30, f'"{sep}"', '"a""' + end + '""b"', "Ċ ਊ ā"]
+    lines = [sep.join(["time", "note", "pH", "text"])]
+    lines += [sep.join(["2026-01-01 00:00:00", cells[r.integers(0, len(cells))], "7", cells[r.integers(0, len(cells))]]) for _ in range(n)]
+    return end.join(lines) + end
+
+
+@pytest.mark.parametrize("split", [None, 700])
+def test_records_across_line_breaks(spark, tmp_path, split):
+    kinds = {"comma": (",", "\n"), "semicolon": (";", "\n"), "tab": ("\t", "\r\n")}
+    texts = {name: messy(i, 300, *kind) for i, (name, kind) in enumerate(kinds.items())}
+    for name, text in texts.items():
+        for encoding in ("utf-8", "utf-8-sig", "utf-16-le", "utf-16-be"):
+            mark = {"utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}.get(encoding, b"")
+            (tmp_path / f"{name}{encoding}").write_bytes(mark + text.encode(encoding))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if split:  # dozens of splits a file; most begin inside a record, many inside a quoted field
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        got, problems = read_fields(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert problems == {} and len(got) == 12
+    for name, rows in got.items():
+        kind = next(k for k in kinds if name.startswith(k))
+        assert rows == plain_records(texts[kind], kinds[kind][0]), name
+
+
+def test_encoding_is_decided_once_per_file(spark, tmp_path):
+    (tmp_path / "latin").write_bytes("time,note\n2026-01-01,plain\n2026-01-02,caf\xe9\n2026-01-03,Ã©\n".encode("iso-8859-1"))
+    (tmp_path / "utf").write_bytes("time,note\n2026-01-03,Ã©\n".encode())
+    (tmp_path / "mac").write_bytes(b"time,note\r2026-01-01,a\r2026-01-02,b\r")
+    got, _ = read_fields(spark, str(tmp_path))
+    assert [r[1] for r in got["latin"]] == ["note", "plain", "caf\xe9", "Ã©"]
+    assert [r[1] for r in got["utf"]] == ["note", "Ã©"]
+    assert got["mac"] == [["time", "note"], ["2026-01-01", "a"], ["2026-01-02", "b"]]
+
+
+def test_a_quote_that_nothing_closes(spark, tmp_path):
+    (tmp_path / "open").write_text('time,note\n2026-01-01,"a\nb"\n2026-01-02,"never\n2026-01-03,c\n')
+    (tmp_path / "fine").write_text('time,note\n2026-01-01,5" disk\n2026-01-02,c"\n')
+    got, problems = read_fields(spark, str(tmp_path))
+    assert problems == {"open": "a quote is not closed"}
+    assert got["open"][1] == ["2026-01-01", "a\nb"] and got["open"][-1] == ["2026-01-03", "c"] and len(got["open"]) == 4
+    assert [r[1] for r in got["fine"]] == ["note", '5" disk', 'c"']

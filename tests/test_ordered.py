@@ -3,13 +3,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brewlens.operators import signals
+from brewlens import bindings as B
+from brewlens.operators import alignment, audit, golden, merkle, signals
 from brewlens.operators import timeseries as ts
-from brewlens.plans.ordered import SkewPolicy, carry, find_hot, halo_blocks, ordinals
+from brewlens.plans.ordered import PIECE, carry, halo_blocks, ordinals
 from brewlens.plans.skew import tenant_scope
 from tests.conftest import signal_rows
 
-SPLIT = SkewPolicy(hot_rows=20, max_hot_keys=1_000)
+SPLIT = 200_000_000  # microseconds
 
 
 @pytest.fixture
@@ -26,14 +27,31 @@ def pos():
     return F.unix_micros("ts")
 
 
-def test_only_the_hot_key_is_split(skewed):
-    assert [r["batch_id"] for r in find_hot(skewed, ["batch_id"], pos(), SPLIT).collect()] == ["hot"]
-    assert find_hot(skewed, ["batch_id"], pos()) is None
+def jobs(spark, build):
+    """How many jobs ``build`` starts."""
+    name = f"count-{build.__name__}-{id(build)}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_hot_keys_are_bounded_by_their_share(skewed):
-    few = SkewPolicy(hot_rows=1, max_hot_keys=2)
-    assert find_hot(skewed, ["batch_id"], pos(), few).count() <= 2
+def test_building_a_plan_starts_no_job(spark):
+    sf = "/root/testdata/sf0.001"
+    telemetry, assay, bands = B.sensors(spark, sf), B.assay(spark, sf), B.phases(spark, sf)
+    trail = audit.append_entries(B.audit_input(spark, sf))
+    tree = merkle.leaves(audit.with_entry_hash(trail))
+    aligned = alignment.align(telemetry, bands)
+    grid = alignment.resample(aligned, 720)
+    for build in (
+        lambda: ts.unified_view(telemetry, assay), lambda: ts.unified_view_per_sensor(telemetry, assay),
+        lambda: signals.downsample(signals.auto_penalty(signals.prepare(telemetry)).join(signals.prepare(telemetry), signals.KEYS)),
+        lambda: alignment.resample(aligned, 720), lambda: golden.profile_of(grid), lambda: audit.verify_chain(trail),
+        lambda: merkle.leaves(audit.with_entry_hash(trail)), lambda: merkle.roots(tree), lambda: merkle.nodes(tree),
+    ):
+        assert jobs(spark, build) == 0
 
 
 def test_carry_does_not_depend_on_cuts(skewed):
@@ -50,11 +68,23 @@ def test_carry_does_not_depend_on_cuts(skewed):
         "after": F.first("value", True).over(w.rowsBetween(1, Window.unboundedFollowing)),
         "_i": (F.row_number().over(w) - 1).cast("long"), "_n": F.count("*").over(Window.partitionBy("batch_id")),
     })
-    for policy in (SPLIT, SkewPolicy()):
-        got = carry(rows, ["batch_id"], order, pos(), policy=policy, **args).select(*expected.columns)
+    for piece in (SPLIT, 60_000_000, PIECE):
+        got = carry(rows, ["batch_id"], order, pos(), piece=piece, **args).select(*expected.columns)
         assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
 
 
+def test_null_keys_and_positions(spark):
+    rows = spark.createDataFrame(
+        [(None, None, 1), (None, 5, 2), (None, 9, 3), ("a", None, 4), ("a", 2, 5), ("a", 2, 6), ("b", 1, 7)], "k string, t long, v int"
+    )
+    w = Window.partitionBy("k").orderBy("t", "v")
+    want = rows.withColumns({"p": F.lag("v").over(w), "_i": (F.row_number().over(w) - 1).cast("long")})
+    for piece in (1, 3, PIECE):
+        got = carry(rows, ["k"], ["t", "v"], F.col("t"), forward={"p": (F.col("v"), False)}, index=True, piece=piece)
+        got = got.select("k", "t", "v", "p", "_i")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_partition_count_does_not_matter(spark, skewed):
     base = ordinals(skewed, ["batch_id"], ["ts", "value"], pos(), SPLIT)
     before = sorted(map(str, base.collect()))
@@ -69,7 +99,7 @@ def test_partition_count_does_not_matter(spark, skewed):
 
 def test_signal_preparation_is_the_same_in_blocks(skewed):
     whole = signals.prepare(skewed)
-    cut = signals.prepare(skewed, policy=SPLIT, block=16)
+    cut = signals.prepare(skewed, piece=SPLIT, block=16)
 
     def rounded(df):
         return sorted(str(tuple(r)) for r in df.select(

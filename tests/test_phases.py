@@ -3,7 +3,7 @@ import pytest
 
 from brewlens.functions import kernels
 from brewlens.operators import phases
-from brewlens.plans.ordered import SkewPolicy
+from brewlens.plans.ordered import PIECE
 from tests.conftest import growth_curve, signal_rows
 
 
@@ -24,7 +24,7 @@ def test_hot_signals_give_the_same_phases(telemetry):
     rows = telemetry(signal_rows("a", "OD600", growth_curve()), signal_rows("b", "OD600", growth_curve(7, 70)[:40]))
     config = phases.DetectionConfig(penalty=5.0)
     one = phases.detect_phases(rows, config)
-    cut = phases.detect_phases(rows, config, SkewPolicy(hot_rows=50))
+    cut = phases.detect_phases(rows, config, 600_000_000)
     assert sorted(map(str, one.collect())) == sorted(map(str, cut.collect()))
 
 
@@ -58,7 +58,8 @@ def test_long_signals_are_read_whole(telemetry):
     x[7_001:7_041] += 40.0  # forty samples that thinning to 10 000 would blur
     config = phases.DetectionConfig(penalty=3.0, smoothing_window=1)
     got = phases.offline_segments(telemetry(signal_rows("a", "OD600", x)), config).orderBy("seg").collect()
-    assert [r["end_i"] for r in got] == [7_001, 7_041, 12_000]
+    exact = kernels.kernel_changepoints(x, 3.0, 10)  # over all 12 000 samples at once; it also cuts the noise at 5 629 and 5 825
+    assert [r["end_i"] for r in got] == exact and {7_001, 7_041} < set(exact)
 
 
 def test_signals_across_arrow_batches(spark, telemetry):
@@ -119,3 +120,41 @@ def test_missing_signal_gives_no_phases(telemetry):
     assert phases.detect_phases(rows).isEmpty()
     assert phases.detect_phases(rows, phases.OnlineConfig()).isEmpty()
     assert phases.phase_durations(phases.detect_phases(rows).limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("spike", [0.0, 1e4, 1e6, -1e6])
+def test_an_outlier_does_not_hide_a_change(telemetry, spike):
+    x = np.concatenate([np.zeros(1000), np.full(1000, 50.0)]) + np.random.default_rng(2).normal(0, 0.5, 2000)
+    x[400] += spike
+    config = phases.DetectionConfig(penalty=2.0, smoothing_window=1)
+    exact = kernels.kernel_changepoints(x, 2.0, 10)
+    for block, halo in ((phases.BLOCK, phases.HALO), (512, 128)):
+        got = phases.offline_segments(telemetry(signal_rows("a", "OD600", x)), config, block=block, halo=halo)
+        ends = sorted(r["end_i"] for r in got.collect())
+        assert ends == exact and 1000 in ends
+
+
+@pytest.mark.parametrize("at", [900, 1024, 1333, 2900])
+def test_a_weak_shift_is_placed_like_the_exact_kernel_does(telemetry, at):
+    x = np.random.default_rng(at).normal(0, 1, 4000)
+    x[at:] += 0.35  # too weak for a block of 512 samples, plain over the whole signal
+    config = phases.DetectionConfig(penalty=12.0, smoothing_window=1)
+    exact = kernels.kernel_changepoints(x, 12.0, 10)
+    rows = telemetry(signal_rows("a", "OD600", x))
+    got = phases.offline_segments(rows, config, block=512, halo=128).orderBy("seg").collect()
+    assert len(exact) == len(got) == 2
+    assert abs(got[0]["end_i"] - exact[0]) <= config.min_size
+    assert got[1]["start_i"] == got[0]["end_i"] and got[1]["start_ts"] == got[0]["end_ts"]
+    assert got[1]["first_value"] == x[got[1]["start_i"]] and got[0]["last_value"] == x[got[0]["end_i"] - 1]
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "linear"])
+def test_refined_cut_is_the_cheapest(kernel):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(0, 1, 90), r.normal(1.5, 1, 110)])
+    nodes = np.unique(x)  # sums on these nodes are exact
+    gram = kernels.similarity_of(x, x, 0.4, kernel)
+    cost = [-gram[:t, :t].sum() / t - gram[t:, t:].sum() / (200 - t) for t in range(60, 140)]
+    before, after = kernels.node_weights(x[:60], nodes), kernels.node_weights(x[150:], nodes)
+    got = kernels.refined_cut(x[60:150], before, after, 60, 50, nodes, 0.4, kernel, 0, 79, rows=32)
+    assert 60 + got == 60 + int(np.argmin(cost))
