@@ -67,30 +67,33 @@ def with_entry_hash(entries: DataFrame, name: str = "entry_hash") -> DataFrame:
 
 
 def last_hashes(entries: DataFrame) -> DataFrame:
-    """Newest sequence number and entry hash per tenant."""
-    hashed = with_entry_hash(entries)
-    return hashed.groupBy("tenant_id").agg(
-        F.max("seq").alias("last_seq"), F.max_by("entry_hash", "seq").alias("last_hash")
+    """Newest sequence number and entry hash per tenant, as recorded; nothing is hashed (``verify_chain`` does that)."""
+    return entries.groupBy("tenant_id").agg(
+        F.max("seq").alias("last_seq"), F.max_by("record_hash", "seq").alias("last_hash")
     )
 
 
 def append_entries(
-    new: DataFrame, existing: DataFrame | None = None, signer: Callable[[bytes], bytes] | None = None
+    new: DataFrame, existing: DataFrame | None = None, signer: Callable[[bytes], bytes] | None = None,
+    heads: DataFrame | None = None,
 ) -> DataFrame:
     """Link new entries (ordered by ``seq`` inside a tenant) behind the stored chain.
 
-    Each link hashes its predecessor's hash, so one tenant is one ordered stream: rows arrive from sorted
-    partitions in Arrow batches and only the previous hash is kept. Tenants run in parallel. The canonical
-    text around the hash is built by column expressions beforehand.
+    The chain is given by its ``heads`` (tenant_id, last_seq, last_hash) or as a whole. Each link hashes its
+    predecessor's hash, so one tenant is one ordered stream: rows arrive from sorted partitions in Arrow batches and only
+    the previous hash is kept. Tenants run in parallel. The canonical text around the hash is built by column
+    expressions beforehand.
     """
+    if heads is None and existing is not None:
+        heads = last_hashes(existing)
     # Cut the text at the link field. Quotes inside user text are escaped, so the first occurrence of the
     # quoted field name with an empty value is the field itself.
     prepared = new.withColumn("_text", canonical_text("''")).withColumns({
         "_head": F.expr("""substring(_text, 1, locate('"previous_entry_hash":""', _text) + 22)"""),
         "_tail": F.expr("""substring(_text, locate('"previous_entry_hash":""', _text) + 23)"""),
     }).drop("_text")
-    if existing is not None:
-        prepared = prepared.join(last_hashes(existing), "tenant_id", "left")
+    if heads is not None:
+        prepared = prepared.join(heads.select("tenant_id", "last_seq", "last_hash"), "tenant_id", "left")
         prepared = prepared.withColumn("seq", F.col("seq") + F.coalesce(F.col("last_seq") + 1, F.lit(0)))
         prepared = prepared.withColumn("_seed", F.coalesce("last_hash", F.lit(""))).drop("last_seq", "last_hash")
     else:

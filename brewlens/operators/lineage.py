@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from brewlens.session import cut_lineage
+from brewlens.session import drop_folder, shared_folder
 
 
 def edges(operations: DataFrame, across_batches: bool = False) -> DataFrame:
@@ -19,48 +21,55 @@ def edges(operations: DataFrame, across_batches: bool = False) -> DataFrame:
     return pairs.join(known, ["batch_id", "parent_id"], "left_semi")
 
 
-def _walk(operations: DataFrame, starts: DataFrame | None, down: bool, across_batches: bool) -> DataFrame:
-    """Breadth-first from every start at once: one join per level, nothing returns to the driver.
+def closure(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, from_id, to_id, depth): all nodes reached from each node, with the length of the shortest way.
 
-    Each level is checkpointed, so the plan of a level never contains the earlier ones, and a lost
-    executor costs one level at most. Already reached (start, operation) pairs are not followed again,
-    which also ends cycles.
+    Ways double: a round joins all ways of up to 2**k steps with themselves, so that the number of rounds is the logarithm
+    of the longest way and not its length. If no shortest way has exactly 2**k steps there is none longer. Each
+    round is a table in the shared folder that replaces the one before; an observed maximum ends the loop without a job
+    of its own. A way back to its start is none, which also ends cycles.
     """
-    keys = ["from_id"] if across_batches else ["batch_id", "from_id"]
-    step = edges(operations, across_batches).select(
-        "batch_id",
-        F.col("parent_id" if down else "child_id").alias("from_id"),
-        F.col("child_id" if down else "parent_id").alias("to_id"),
+    spark, folder = pairs.sparkSession, shared_folder(pairs.sparkSession, "lineage")
+    columns = [*keys, "from_id", "to_id"]
+
+    def write(rows: DataFrame) -> tuple[DataFrame, int]:
+        longest = Observation()
+        path = f"{folder}/{uuid.uuid4().hex}"
+        rows.observe(longest, F.max("depth").alias("longest")).write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path), longest.get["longest"] or 0
+
+    steps = 1
+    ways, longest = write(pairs.where("from_id <> to_id").select(*columns, F.lit(1).alias("depth")).distinct())
+    while longest == steps:
+        onward = ways.select(
+            *keys, F.col("from_id").alias("via"), F.col("to_id").alias("end_id"), F.col("depth").alias("more")
+        )
+        longer = ways.withColumnRenamed("to_id", "via").join(onward, [*keys, "via"]).where("from_id <> end_id")
+        longer = longer.select(*keys, "from_id", F.col("end_id").alias("to_id"), (F.col("depth") + F.col("more")).alias("depth"))
+        before = ways.inputFiles()
+        ways, longest = write(ways.unionByName(longer).groupBy(*columns).agg(F.min("depth").alias("depth")))
+        if before:
+            drop_folder(spark, before[0].rsplit("/", 1)[0])
+        steps *= 2
+    return ways
+
+
+def _walk(operations: DataFrame, starts: DataFrame | None, down: bool, across_batches: bool) -> DataFrame:
+    """From every start at once; with ``starts``, only their batches are looked at (all where ways cross batches)."""
+    chosen = operations if starts is None else operations.join(starts.select("operation_id"), "operation_id", "left_semi")
+    looked_at = operations
+    if starts is not None and not across_batches:
+        looked_at = operations.join(chosen.select("batch_id").distinct(), "batch_id", "left_semi")
+    keys = [] if across_batches else ["batch_id"]
+    step = edges(looked_at, across_batches).select(
+        *keys, F.col("parent_id" if down else "child_id").alias("from_id"), F.col("child_id" if down else "parent_id").alias("to_id")
     )
+    found = closure(step, keys).withColumnsRenamed({"from_id": "root_id", "to_id": "operation_id"})
     if across_batches:
-        step = step.drop("batch_id")
-    step = cut_lineage(step)
-    first = operations if starts is None else operations.join(starts.select("operation_id"), "operation_id", "left_semi")
-    level = first.select("batch_id", F.col("operation_id").alias("root_id"), F.col("operation_id").alias("from_id"))
-    levels: list[DataFrame] = []
-    reached: DataFrame | None = None
-    depth = 0
-    while True:
-        depth += 1
-        found = (
-            level.join(step, keys)
-            .select("batch_id", "root_id", F.col("to_id").alias("operation_id"))
-            .where("operation_id <> root_id")
-            .distinct()
-        )
-        if reached is not None:
-            found = found.join(reached, ["batch_id", "root_id", "operation_id"], "left_anti")
-        found = cut_lineage(found.withColumn("depth", F.lit(depth)))
-        if found.isEmpty():
-            break
-        levels.append(found)
-        pairs = found.drop("depth")
-        reached = pairs if reached is None else reached.unionByName(pairs)
-        level = pairs.withColumnRenamed("operation_id", "from_id")
-    result = found
-    for part in levels:
-        result = result.unionByName(part)
-    return result
+        found = found.join(chosen.select("batch_id", F.col("operation_id").alias("root_id")), "root_id")
+    elif starts is not None:
+        found = found.join(chosen.select("batch_id", F.col("operation_id").alias("root_id")).distinct(), ["batch_id", "root_id"], "left_semi")
+    return found.select("batch_id", "root_id", "operation_id", "depth")
 
 
 def descendants(operations: DataFrame, starts: DataFrame | None = None, across_batches: bool = False) -> DataFrame:

@@ -53,14 +53,21 @@ def _gather(level: DataFrame) -> DataFrame:
     )
 
 
-def roots(tree_leaves: DataFrame) -> DataFrame:
-    """(tenant_id, size, root) with the root as lower-case hex; trees beyond the rounds' 2**40 leaves are an error."""
+def roots(tree_leaves: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+    """(tenant_id, size, root) with the root as lower-case hex; trees beyond the rounds' 2**40 leaves are an error.
+
+    Those of ``tenants`` (tenant_id) without a leaf get the root of the empty tree.
+    """
     level = tree_leaves
     for _ in range(ROUNDS):
         top = F.expr(f"get(aggregate(sequence(1, {BITS}), nodes, (acc, step) -> {_pair_up('acc')}), 0)")
         level = _gather(level).select("tenant_id", "size", "idx", top.alias("hash"))
     fits = F.when(F.col("size") > 1 << BITS * ROUNDS, F.raise_error(F.lit("tree has more than 2**40 leaves")))
-    return level.select("tenant_id", "size", F.coalesce(fits.cast("string"), F.lower(F.hex("hash"))).alias("root"))
+    found = level.select("tenant_id", "size", F.coalesce(fits.cast("string"), F.lower(F.hex("hash"))).alias("root"))
+    if tenants is None:
+        return found
+    bare = tenants.select("tenant_id").distinct().join(tree_leaves.select("tenant_id"), "tenant_id", "left_anti")
+    return found.unionByName(bare.select("tenant_id", F.lit(0).cast("long").alias("size"), F.lit(EMPTY_ROOT).alias("root")))
 
 
 def nodes(tree_leaves: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -199,6 +206,86 @@ def verify_consistency(proofs: DataFrame, roots_at: DataFrame) -> DataFrame:
 # --- checkpoints ---------------------------------------------------------------------------------------------
 
 
+_PEAKS = "array<struct<level: int, hash: binary>>"
+
+
+def _climb(base: int) -> str:
+    """SQL: the full nodes of one aligned run, ``cur`` with its first index ``p``, climbed ``BITS`` levels.
+
+    Each level first takes the stored peak on its left where the run begins with a right child, then hashes neighbours; a last
+    node without a right neighbour is loose: a peak of the grown tree.
+    """
+    level = f"cast({base} + s div 2 AS int)"
+    paired = "unhex(sha2(concat(X'01', get(a.cur, 2 * i), get(a.cur, 2 * i + 1)), 256))"
+    return f"""aggregate(sequence(0, {2 * BITS - 1}),
+      named_struct('cur', nodes, 'p', first, 'loose', cast(array() AS {_PEAKS})),
+      (a, s) -> CASE
+        WHEN size(a.cur) = 0 THEN a
+        WHEN s % 2 = 0 AND a.p % 2 = 0 THEN a
+        WHEN s % 2 = 0 THEN named_struct('cur', concat(filter(peaks, x -> x.level = {level}).hash, a.cur), 'p', a.p - 1, 'loose', a.loose)
+        ELSE named_struct(
+          'cur', if(size(a.cur) < 2, cast(array() AS array<binary>), transform(sequence(0, size(a.cur) div 2 - 1), i -> {paired})),
+          'p', a.p div 2,
+          'loose', if(size(a.cur) % 2 = 0, a.loose, concat(a.loose, array(named_struct('level', {level}, 'hash', element_at(a.cur, -1))))))
+        END)"""
+
+
+def frontiers(new_leaves: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(tenant_id, size, peaks): the roots of the full subtrees, at most one a level, after ``new_leaves``.
+
+    ``before`` holds stored frontiers and ``new_leaves`` (tenant_id, idx, hash) the leaves behind them, numbered on; only
+    these are hashed. A frontier is all that is needed to go on, to give the root and to check a grown log.
+    """
+    spark = new_leaves.sparkSession
+    if before is None:
+        before = spark.createDataFrame([], f"tenant_id string, size long, peaks {_PEAKS}")
+    old = before.select("tenant_id", F.col("size").alias("old_size"), "peaks")
+    nodes = new_leaves.select("tenant_id", "idx", "hash", F.lit(None).cast("int").alias("level"))
+    for r in range(ROUNDS):
+        # Peaks found so far (``level`` says where) pass by in groups of their own.
+        run = F.when(F.col("level").isNull(), F.shiftright("idx", BITS)).otherwise(-1 - F.col("level"))
+        runs = nodes.groupBy("tenant_id", run.alias("run"), "level").agg(F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("held"))
+        runs = runs.select("tenant_id", "run", "level", F.expr("held.hash AS nodes"), F.expr("held[0].idx AS first"))
+        climbed = runs.join(old.select("tenant_id", "peaks"), "tenant_id", "left").withColumn(
+            "peaks", F.coalesce("peaks", F.array().cast(_PEAKS))
+        ).withColumn("b", F.when(F.col("level").isNull(), F.expr(_climb(r * BITS))))
+        out = F.expr("""if(level IS NOT NULL, array(named_struct('idx', 0L, 'hash', nodes[0], 'level', level)), concat(
+          transform(b.cur, h -> named_struct('idx', run, 'hash', h, 'level', cast(NULL AS int))),
+          transform(b.loose, x -> named_struct('idx', 0L, 'hash', x.hash, 'level', x.level))))""")
+        nodes = climbed.select("tenant_id", F.explode(out).alias("n")).select("tenant_id", "n.*")
+    beyond = F.raise_error(F.lit("tree has more leaves than its rounds cover")).cast("int")
+    loose = nodes.select("tenant_id", F.struct(F.coalesce("level", beyond).alias("level"), "hash").alias("peak"))
+    grown = new_leaves.groupBy("tenant_id").agg((F.max("idx") + 1).alias("size")).join(old, "tenant_id", "full").select(
+        "tenant_id", F.coalesce("size", "old_size").alias("size"), F.coalesce("old_size", F.lit(0)).alias("old_size"), "peaks"
+    )
+    stays = """filter(coalesce(peaks, array()), x -> shiftright(size, x.level) % 2 = 1
+      AND shiftright(size, x.level + 1) = shiftright(old_size, x.level + 1))"""
+    kept = grown.select("tenant_id", F.explode(F.expr(stays)).alias("peak"))
+    peaks = kept.unionByName(loose).groupBy("tenant_id").agg(F.sort_array(F.collect_list("peak")).alias("peaks"))
+    return grown.select("tenant_id", "size").join(peaks, "tenant_id", "left").select(
+        "tenant_id", "size", F.coalesce("peaks", F.array().cast(_PEAKS)).alias("peaks")
+    )
+
+
+def frontier_roots(frontier: DataFrame) -> DataFrame:
+    """(tenant_id, size, root) from frontiers alone; an empty tree has the hash of nothing for its root."""
+    folded = F.expr("""aggregate(slice(peaks, 2, greatest(size(peaks) - 1, 0)), peaks[0].hash,
+      (acc, x) -> unhex(sha2(concat(X'01', x.hash, acc), 256)))""")
+    root = F.when(F.size("peaks") == 0, F.lit(EMPTY_ROOT)).otherwise(F.lower(F.hex(folded)))
+    return frontier.select("tenant_id", "size", root.alias("root"))
+
+
+def check_growth(before: DataFrame, new_leaves: DataFrame, claimed: DataFrame) -> DataFrame:
+    """(tenant_id, size, matches): does the log that had the stored frontiers and got ``new_leaves`` have the claimed size
+    and root? Only new leaves are hashed; :func:`check_against` hashes the old ones too."""
+    found = frontier_roots(frontiers(new_leaves, before))
+    said = claimed.select("tenant_id", F.col("size").alias("said_size"), F.col("root").alias("said_root"))
+    same = (F.col("size") == F.col("said_size")) & (F.col("root") == F.col("said_root"))
+    return said.join(found, "tenant_id", "left").select(
+        "tenant_id", F.col("said_size").alias("size"), F.coalesce(same, F.lit(False)).alias("matches")
+    )
+
+
 def checkpoint_rows(tree_leaves: DataFrame) -> DataFrame:
     """(tenant_id, size, root): the state to store after a run."""
     return roots(tree_leaves)

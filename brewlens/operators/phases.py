@@ -383,15 +383,29 @@ def detect_phases(
 # --- phase joins ------------------------------------------------------------------------------------------------
 
 
+#: Phases shorter than 2**20 microseconds (a second) lie on the grid of that width.
+_FINEST = 20
+
+
 def in_phases(telemetry: DataFrame, phases: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Telemetry rows with every phase whose closed interval holds them.
 
-    A sample on a shared boundary belongs to both neighbours.
+    A sample on a shared boundary belongs to both neighbours. Each phase lies on a grid of cells as wide as the power of
+    two above its length, of which it touches two at most; a reading looks up its one cell on each grid that its batch
+    has. So readings meet only phases that are near them (a fourth of these hold on average), however many phases the
+    batch has, and the rows of one batch spread over its cells.
     """
-    bands = phases.select("batch_id", "phase_type", "start_ts", "end_ts", *extra)
-    return telemetry.join(bands, "batch_id").where(
+    start, end = F.unix_micros("start_ts"), F.unix_micros("end_ts")
+    grid = F.greatest(F.length(F.bin(F.greatest(end - start, F.lit(1)))), F.lit(_FINEST))
+    bands = phases.select("batch_id", "phase_type", "start_ts", "end_ts", *extra, grid.alias("_grid"))
+    grids = bands.groupBy("batch_id").agg(F.collect_set("_grid").alias("_grids"))  # 44 at most
+    cells = bands.withColumn("_cell", F.explode(F.expr(
+        "sequence(shiftright(unix_micros(start_ts), _grid), shiftright(unix_micros(end_ts), _grid))")))
+    placed = telemetry.join(grids, "batch_id").withColumn("_grid", F.explode("_grids")).drop("_grids")
+    placed = placed.withColumn("_cell", F.expr("shiftright(unix_micros(ts), _grid)"))
+    return placed.join(cells, ["batch_id", "_grid", "_cell"]).where(
         (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
-    )
+    ).drop("_grid", "_cell")
 
 
 def phase_statistics(telemetry: DataFrame, phases: DataFrame) -> DataFrame:

@@ -39,7 +39,11 @@ LAYOUT: dict[str, T.StructType] = {
     "original": _ORIGINAL,
     "batches": T.StructType(schemas.BATCHES.fields + _LOG.fields),
     "golden_profiles": schemas.GOLDEN_PROFILES,
-    "audit": schemas.AUDIT,
+    "audit": T.StructType([*schemas.AUDIT.fields, T.StructField("_version", T.LongType())]),
+    "audit_heads": T.StructType([
+        T.StructField("tenant_id", T.StringType()), T.StructField("last_seq", T.LongType()),
+        T.StructField("last_hash", T.StringType()), T.StructField("_version", T.LongType()),
+    ]),
     "checkpoints": T.StructType([
         T.StructField("tenant_id", T.StringType()), T.StructField("size", T.LongType()),
         T.StructField("root", T.StringType()), T.StructField("saved_at", T.TimestampType()),

@@ -363,6 +363,11 @@ def _checks() -> dict[str, str]:
     v["lineage_up"] = """WITH RECURSIVE up AS (SELECT conv_id, turn AS root, turn - 1 AS turn, 1 AS depth FROM conversations WHERE turn > 0
       UNION ALL SELECT conv_id, root, turn - 1, depth + 1 FROM up WHERE turn > 0)
       SELECT CAST(conv_id AS VARCHAR) AS batch_id, conv_id || ':' || root AS root_id, conv_id || ':' || turn AS operation_id, depth FROM up"""
+    v["lineage_rings"] = """WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS batch_id, conv_id || ':' || turn AS id, conv_id // 10 AS ring,
+        row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id // 10) AS size
+        FROM conversations WINDOW w AS (PARTITION BY conv_id // 10 ORDER BY conv_id, turn))
+      SELECT a.batch_id, a.id AS root_id, b.id AS operation_id, CAST((b.i - a.i + a.size) % a.size AS INTEGER) AS depth
+      FROM n a JOIN n b ON a.ring = b.ring AND a.i <> b.i"""
     # --- audit
     v["entry_hashes"] = f"""SELECT tenant_id, seq, sha256({_canonical("''")}) AS entry_hash FROM {AUDIT}"""
     v["chain_append"] = f"WITH RECURSIVE {CHAIN} SELECT tenant_id, seq, link AS previous_entry_hash, h AS record_hash FROM chain"
@@ -410,6 +415,8 @@ def _checks() -> dict[str, str]:
     v["merkle_leaves"] = f"WITH {_tree(True).split('  tree AS')[0].rstrip().rstrip(',')} SELECT idx, size, hash FROM leaf"
     root = "SELECT tenant AS tenant_id, size, hash AS root FROM tree WHERE n = 1"
     v["merkle_root"] = f"SELECT * FROM ({one} {root}) UNION ALL SELECT * FROM ({each} {root})"
+    v["frontier_roots"] = f"{each} {root}"
+    v["frontier_check"] = "SELECT CAST(conv_id AS VARCHAR) AS tenant_id, count(*) AS size, count(*) < 8 AS matches FROM conversations GROUP BY 1"
     v["merkle_nodes"] = f"{one} SELECT level, idx, hash FROM tree"
     v["inclusion_proofs"] = f"""{one} SELECT l.idx, t.level, CASE WHEN (l.idx >> t.level) & 1 = 1 THEN 'L' ELSE 'R' END AS side, t.hash
       FROM leaf l JOIN tree t ON t.n > 1 AND t.idx = xor(l.idx >> t.level, 1)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brewlens.workload import checks
 from brewlens.workload.checks import ALIGNED, ASSAY, BATCHES, GRID, PHASES, PREDICTED, SENSORS, TELEMETRY
 
 
@@ -14,6 +15,8 @@ def round_trip_sql() -> dict[str, str]:
       SELECT variable, NULL AS source, NULL AS uncertainty, value FROM {TELEMETRY}
       UNION ALL SELECT variable, 'soft_sensor', CASE kind WHEN 'pls' THEN 7.0 ELSE std END::DOUBLE, value FROM {PREDICTED} WHERE sensor_id <> 's1')
       GROUP BY 1, 2, 3"""
+    chain = checks.oracle_sql()
+    v["stored_chain"], v["stored_heads"] = chain["chain_append"], chain["last_hashes"]
     v["stored_rejects"] = f"""SELECT batch_id, 'value not finite' AS reason, count(*) AS n FROM {TELEMETRY}
       WHERE value > 100 AND variable = 'purchase' GROUP BY 1"""
     v["stored_assay"] = f"""SELECT batch_id, epoch_us(ts) AS ts_us, variable, value, round(uncertainty, 6) AS uncertainty,

@@ -175,6 +175,27 @@ def export_arrow(spark, sf):
     return _exported(export.read_arrow(spark, out, rows.schema))
 
 
+# --- audit --------------------------------------------------------------------------------------------------------
+
+
+@_register
+def stored_chain(spark, sf):
+    """Entries appended behind a stored chain twice, by its heads."""
+    ws, rows = _workspace(spark), B.audit_input(spark, sf)
+    for low, high in ((0, 2), (2, 5), (5, 1 << 40)):
+        part = rows.where(F.col("seq").between(low, high - 1))
+        ws.append_audit(part.withColumn("seq", F.col("seq") - low))  # an append numbers on from the head
+    return ws.audit_trail().select("tenant_id", "seq", "previous_entry_hash", "record_hash")
+
+
+@_register
+def stored_heads(spark, sf):
+    ws, rows = _workspace(spark), B.audit_input(spark, sf)
+    ws.append_audit(rows.where("seq < 3"))
+    ws.append_audit(rows.where("seq >= 3").withColumn("seq", F.col("seq") - 3))
+    return ws.audit_heads()
+
+
 # --- loads ------------------------------------------------------------------------------------------------------
 
 

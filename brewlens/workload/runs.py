@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brewlens import bindings as B
@@ -721,6 +721,19 @@ def lineage_up(spark, sf):
     return lineage.ancestors(B.operations(spark, sf))
 
 
+@_register
+def lineage_rings(spark, sf):
+    """Ten conversations as one ring of operations: ways cross batches and come back to their start."""
+    c = B.table(spark, sf, "conversations").withColumn("ring", F.floor(F.col("conv_id") / 10))
+    along = Window.partitionBy("ring").orderBy("conv_id", "turn")
+    oid = F.concat_ws(":", "conv_id", "turn")
+    last = F.last(oid).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = c.select(
+        oid.alias("operation_id"), F.col("conv_id").cast("string").alias("batch_id"),
+        F.array(F.coalesce(F.lag(oid).over(along), last)).alias("parent_ids"))
+    return lineage.descendants(rows, across_batches=True)
+
+
 # --- audit --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -889,6 +902,27 @@ def checkpoint_check(spark, sf):
     return merkle.check_against(tree, stored)
 
 
+def _two_parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The frontiers over the first three leaves of each tree, the leaves behind them, and the whole tree."""
+    tree = cut_lineage(_tree(spark, sf, False))
+    return cut_lineage(merkle.frontiers(tree.where("idx < 3"))), tree.where("idx >= 3"), tree
+
+
+@_register
+def frontier_roots(spark, sf):
+    """Roots of trees that grew from stored frontiers."""
+    first, rest, _ = _two_parts(spark, sf)
+    return merkle.frontier_roots(merkle.frontiers(rest, first))
+
+
+@_register
+def frontier_check(spark, sf):
+    """Grown logs against claimed roots; those of the longest conversations were altered."""
+    first, rest, tree = _two_parts(spark, sf)
+    claimed = merkle.roots(tree).withColumn("root", F.when(F.col("size") >= 8, F.reverse("root")).otherwise(F.col("root")))
+    return merkle.check_growth(first, rest, claimed)
+
+
 # --- streaming ---------------------------------------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from brewlens.functions.scalars import stable_id
 from brewlens.operators import alignment, audit, catalog, compliance, golden, lineage, metrics, phases, query, sensors
 from brewlens.operators import timeseries as ts
 from brewlens.schemas import BATCHES
-from brewlens.session import ship_package
+from brewlens.session import cut_lineage, ship_package
 from brewlens.sources import export as out
 from brewlens.sources import ingest
 from brewlens.sources.tables import TableStore
@@ -326,16 +326,34 @@ class Workspace:
         start = self.spark.createDataFrame([(operation_id,)], "operation_id string")
         return lineage.ancestors(self.operations(batch_id), start)
 
+    def _trail(self) -> DataFrame:
+        """Entries of all appends whose heads are stored (and of tables from before there were heads)."""
+        rows = self.store.read("audit")
+        whole = self.store.read("audit_heads").select("_version").distinct()
+        before = rows.where("_version IS NULL")
+        return rows.join(whole, "_version", "left_semi").select(*rows.columns).unionByName(before).drop("_version")
+
+    def audit_heads(self) -> DataFrame:
+        """(tenant_id, last_seq, last_hash): where each tenant's chain ends; the trail is not read."""
+        heads = catalog.latest_by(self.store.read("audit_heads"), ["tenant_id"], "_version").drop("_version")
+        old = audit.last_hashes(self.store.read("audit").where("_version IS NULL"))  # files of versions are skipped
+        return heads.unionByName(old.join(heads, "tenant_id", "left_anti"))
+
     def append_audit(self, rows: DataFrame, signer=None) -> None:
-        self.store.append("audit", audit.append_entries(rows, self.store.read("audit"), signer))
+        """Append entries behind the stored heads. The new heads are written last and make the entries visible: an append
+        that fails before leaves nothing, and can be repeated."""
+        version = _version()
+        linked = cut_lineage(audit.append_entries(rows, signer=signer, heads=self.audit_heads()))
+        self.store.append("audit", linked.withColumn("_version", F.lit(version)))
+        self.store.append("audit_heads", audit.last_hashes(linked).withColumn("_version", F.lit(version)))
 
     def audit_trail(self, tenant_id: str | None = None) -> DataFrame:
-        rows = self.store.read("audit")
+        rows = self._trail()
         return rows if tenant_id is None else rows.where(F.col("tenant_id") == F.lit(tenant_id))
 
     def compliance_report(self, regulation: str | None = None, verifier=None, public_key_pem: str | None = None) -> DataFrame:
         return compliance.report(
-            self.store.read("audit"), self.store.read("users"), regulation, verifier, public_key_pem
+            self._trail(), self.store.read("users"), regulation, verifier, public_key_pem
         )
 
     # --- export and query -------------------------------------------------------------------------------------------

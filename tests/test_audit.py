@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brewlens.operators import audit, compliance, lineage, merkle
 from brewlens.plans.ordered import DENSE
+from brewlens.session import cut_lineage
 from brewlens.schemas import AUDIT, USERS
 from tests.conftest import START
 
@@ -196,3 +197,54 @@ def test_shortened_log_is_invalid(spark):
     none = spark.createDataFrame([], "tenant_id string, size long, level int, idx long, hash binary")
     proofs = merkle.consistency_proofs(sizes.select("tenant_id", "old_size", "new_size"), none)
     assert [r["valid"] for r in merkle.verify_consistency(proofs, sizes).collect()] == [False, False]
+
+
+def plain_root(hashes):
+    if not hashes:
+        return hashlib.sha256(b"").digest()
+    if len(hashes) == 1:
+        return hashes[0]
+    k = 1 << (len(hashes) - 1).bit_length() - 1
+    return hashlib.sha256(b"\x01" + plain_root(hashes[:k]) + plain_root(hashes[k:])).digest()
+
+
+@pytest.mark.parametrize("bits", [1, 2, 10])
+def test_frontiers_grow_like_whole_trees(spark, monkeypatch, bits):
+    monkeypatch.setattr(merkle, "BITS", bits)
+    monkeypatch.setattr(merkle, "ROUNDS", 7 if bits == 1 else 4)
+    leaf = [hashlib.sha256(bytes([i])).digest() for i in range(40)]
+    sizes = [(0, 1), (1, 1), (2, 3), (3, 8), (5, 0), (7, 1), (8, 8), (13, 20), (16, 0), (20, 20), (31, 2)]
+    rows = [(f"{a}-{b}", i, leaf[i]) for a, b in sizes for i in range(a + b)]
+    leaves = spark.createDataFrame(rows, "tenant_id string, idx long, hash binary")
+    cut = F.split("tenant_id", "-")[0].cast("long")
+    first = cut_lineage(merkle.frontiers(leaves.where(F.col("idx") < cut)))
+    grown = cut_lineage(merkle.frontiers(leaves.where(F.col("idx") >= cut), first))
+    got = {r["tenant_id"]: (r["size"], r["root"]) for r in merkle.frontier_roots(grown).collect()}
+    assert got == {f"{a}-{b}": (a + b, plain_root(leaf[: a + b]).hex()) for a, b in sizes}
+    peaks = {r["tenant_id"]: [p["level"] for p in r["peaks"]] for r in grown.collect()}
+    assert all(sum(1 << p for p in found) == sum(map(int, t.split("-"))) for t, found in peaks.items())
+    claimed = merkle.frontier_roots(grown).withColumn("root", F.when(F.col("tenant_id") == "3-8", "0").otherwise(F.col("root")))
+    checked = merkle.check_growth(first, leaves.where(F.col("idx") >= cut), claimed).collect()
+    assert {r["tenant_id"] for r in checked if not r["matches"]} == {"3-8"} and len(checked) == len(sizes)
+
+
+def test_empty_tree_has_a_root(spark):
+    leaves = spark.createDataFrame([("a", 0, 1, b"x" * 32)], "tenant_id string, idx long, size long, hash binary")
+    tenants = spark.createDataFrame([("a",), ("b",)], "tenant_id string")
+    got = {r["tenant_id"]: (r["size"], r["root"]) for r in merkle.roots(leaves, tenants).collect()}
+    assert got["b"] == (0, hashlib.sha256(b"").hexdigest()) and got["a"][0] == 1
+    bare = merkle.frontier_roots(spark.createDataFrame([("b", 0, [])], f"tenant_id string, size long, peaks {merkle._PEAKS}"))
+    assert bare.first()["root"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_lineage_rounds_grow_with_the_logarithm(spark):
+    n = 200
+    ops = spark.createDataFrame([(f"o{i}", "b", [f"o{i - 1}"] if i else []) for i in range(n)],
+                                "operation_id string, batch_id string, parent_ids array<string>")
+    start = spark.createDataFrame([("o0",)], "operation_id string")
+    spark.sparkContext.setJobGroup("lineage", "lineage")
+    got = lineage.descendants(ops, start)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("lineage"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r["operation_id"], r["depth"]) for r in got.collect()} == {(f"o{i}", i) for i in range(1, n)}
+    assert jobs < 60  # nine rounds; a level a round would take two hundred

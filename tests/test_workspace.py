@@ -9,7 +9,7 @@ from brewlens import Workspace
 from brewlens.operators import catalog, sensors
 from brewlens.sources import export
 from brewlens.sources.tables import upload_problems
-from tests.conftest import growth_curve, signal_rows
+from tests.conftest import START, growth_curve, signal_rows
 from tests.test_ingest import ABSOLUTE, ELAPSED, make_workbook
 
 
@@ -221,3 +221,54 @@ def test_upload_checks(spark, telemetry, tmp_path):
     assert problems == {"column unit missing", "column value is not double"}
     good.limit(0).coalesce(1).write.parquet(str(tmp_path / "empty"))
     assert [r["problem"] for r in upload_problems(spark, str(tmp_path / "empty/*.parquet")).collect()] == ["empty or unreadable"]
+
+
+def test_an_audit_append_is_visible_as_a_whole(ws, spark, monkeypatch):
+    from brewlens.operators import audit
+
+    def part(first, n):
+        return spark.createDataFrame(
+            [("t", i, f"e{first + i}", START, "u", "create", "batch", "b", "", f"h{first + i}", "") for i in range(n)],
+            "tenant_id string, seq long, entry_id string, timestamp timestamp, user_id string, action string, entity_type string,"
+            " entity_id string, old_value_hash string, new_value_hash string, reason string")
+
+    ws.append_audit(part(0, 3))
+    append = ws.store.append
+
+    def broken(table, rows):
+        if table == "audit_heads":
+            raise RuntimeError("lost")
+        append(table, rows)
+
+    monkeypatch.setattr(ws.store, "append", broken)
+    with pytest.raises(RuntimeError):
+        ws.append_audit(part(3, 2))
+    monkeypatch.undo()
+    assert ws.audit_trail().count() == 3
+    ws.append_audit(part(3, 2))
+    trail = ws.audit_trail()
+    assert sorted(r["seq"] for r in trail.collect()) == [0, 1, 2, 3, 4]
+    assert audit.chain_verdict(trail).first()["intact"]
+    head = ws.audit_heads().first()
+    assert (head["last_seq"], head["last_hash"]) == (4, trail.where("seq = 4").first()["record_hash"])
+
+
+def test_stored_sensors(ws, spark, telemetry):
+    from brewlens.schemas import SENSORS
+
+    ws.append_telemetry(telemetry(signal_rows("b", "x", [1.0, 2.0]), signal_rows("b", "y", [10.0, 20.0])))
+    rows = [("sum", "s", ["x", "y"], "linear", [1.0, 2.0], None, None, 0.5, 0.1, {}),
+            ("bad", "z", ["x"], "forest", [1.0], None, None, 0.0, None, {}),
+            ("none", "z", [], "linear", [], None, None, 0.0, None, None),
+            ("twice", "z", ["x"], "linear", [1.0], None, None, 0.0, None, None),
+            ("twice", "z", ["x"], "linear", [2.0], None, None, 0.0, None, None),
+            ("model", "m", ["x"], "custom", None, None, None, None, None, {"model": "gone"})]
+    issues = ws.save_sensors(spark.createDataFrame(rows, SENSORS))
+    assert {(r["sensor_id"], r["issue"]) for r in issues.collect()} == {
+        ("bad", "unknown model type"), ("none", "no input variables"), ("twice", "several records"), ("model", "model not at hand")}
+    got = ws.predict_stored().where("source is not null").orderBy("ts").collect()
+    assert [r["value"] for r in got] == [21.5, 42.5] and {r["variable"] for r in got} == {"s"}
+    ws.save_sensors(spark.createDataFrame([("sum", "s", ["x"], "pls", [4.0], [1.0], [2.0], 1.0, None, {})], SENSORS))
+    assert sorted(r["value"] for r in ws.predict_stored().where("variable = 's'").collect()) == [1.0, 3.0]
+    ws.delete_sensor("sum")
+    assert ws.sensor_records().isEmpty() and ws.predict_stored().where("source is not null").isEmpty()
