@@ -63,8 +63,8 @@ LAYOUTS = [
         + _pair("prompt", "response") + ")",
     ),
 ]
-#: Role names of other layouts.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Role names of the layout that has its own; roles of all others stay as they are.
+FOREIGN, ROLES = "conversations", {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def shape(record: str = "record") -> Column:
@@ -89,10 +89,11 @@ def canonical_turns(records: DataFrame, layouts: list[tuple[str, str, str]] = LA
         name = F.when(hit, F.lit(layout)).otherwise(name)
         turns = F.when(hit, F.expr(expression)).otherwise(turns)
     known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    foreign = F.coalesce(name == FOREIGN, F.lit(False))
     filled = F.transform(
         F.coalesce(turns, F.array().cast(TURNS)),
         lambda t: F.struct(
-            F.coalesce(F.element_at(known, t["role"]), t["role"], F.lit("")).alias("role"),
+            F.coalesce(F.when(foreign, F.element_at(known, t["role"])), t["role"], F.lit("")).alias("role"),
             F.coalesce(t["text"], F.lit("")).alias("text"),
         ),
     )

@@ -16,7 +16,27 @@ from brewlens.session import ensure_checkpoint_dir
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-_made: dict[str, list[str]] = {}
+class Scratch:
+    """Folders made while ``with`` holds the scope, to be deleted by whoever opened it, and by no one else."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scratch._open.remove(self)
+
+    def release(self) -> None:
+        """Delete the folders; nothing may be read any more from a plan that was built in this scope."""
+        for path in self.paths:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths.clear()
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -26,19 +46,13 @@ def shared(spark: SparkSession, name: str) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A :func:`shared` folder that :func:`release` may delete."""
+    """A :func:`shared` folder that belongs to the innermost open :class:`Scratch`, if there is one."""
     path = shared(spark, name)
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if Scratch._open:
+        Scratch._open[-1].paths.append(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch folders made so far; nothing may be read from a plan over them any more."""
-    for path in _made.pop(spark.sparkContext.applicationId, []):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
     path = scratch(df.sparkSession, name)

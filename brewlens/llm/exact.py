@@ -72,13 +72,14 @@ class DigestIndex:
         """Those of ``digests`` (one row each) that the index lacks: a sort-merge anti-join on its own buckets."""
         return digests.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, digests: DataFrame) -> str:
-        """Append what the index lacks, one task a bucket, and return the name of this batch."""
-        batch = uuid.uuid4().hex
+    def append(self, digests: DataFrame, batch: str) -> None:
+        """Append what the index lacks under the name of a batch, one task a bucket.
+
+        A batch appended again under its name adds nothing: its digests are there, and known as its own.
+        """
         new = self.missing(digests).select("digest", "keep_id", F.lit(batch).alias("batch"))
         new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
-        return batch
 
 
 def _first() -> Column:
@@ -94,15 +95,20 @@ def _groups(rows: DataFrame) -> DataFrame:
     )
 
 
-def duplicates(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row; the index then knows all of them."""
+def duplicates(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row; the index then knows all of them.
+
+    Digests enter the index before the caller has written anything. Name the ``batch`` to be able to run it again after a
+    failure: the same name gives the same rows, and only texts that other batches brought are known ones.
+    """
+    batch = batch or uuid.uuid4().hex
     rows = stored(
         pick(docs, doc_id="doc_id", text="text")
         .select("doc_id", digest().alias("digest"), F.monotonically_increasing_id().alias("rid")),
         "rows",
     )
     groups = _groups(rows)
-    batch = index.append(groups)
+    index.append(groups, batch)
     known = index.rows().select("digest", F.col("keep_id").alias("known_id"), "batch")
     judged = stored(
         groups.join(known, "digest").select(
@@ -118,10 +124,11 @@ def duplicates(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows that stay, with all their columns."""
+def deduplicated(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+    """The rows that stay, with all their columns; on ``batch`` see :func:`duplicates`."""
+    batch = batch or uuid.uuid4().hex
     rows = numbered(docs, "documents", doc_id="doc_id", text="text")
     groups = _groups(rows.select("rid", "doc_id", digest().alias("digest")))
-    batch = index.append(groups)
+    index.append(groups, batch)
     new = index.rows().where(F.col("batch") == batch).select("digest")
     return only(rows, groups.join(new, "digest").select(F.col("keep_rid").alias("rid")))

@@ -60,9 +60,9 @@ def train_dictionary(
             made = b"".join(samples)[-size:]
         yield pa.RecordBatch.from_pydict({"made": pa.array([made], pa.binary())})
 
-    # The count comes from file footers; the drawn rows are about twice the bound, whatever the table's size.
-    share = min(1.0, 2 * sample / max(1, docs.count()))
-    few = pick(docs, text="text").sample(share, seed=7).limit(sample)
+    # The count comes from file footers; about ``sample`` rows from all over the table are drawn, whatever its size.
+    share = min(1.0, sample / max(1, docs.count()))
+    few = pick(docs, text="text").sample(share, seed=7)
     rows = few.coalesce(1).mapInArrow(train, "made binary").collect()
     return bytes(rows[0]["made"]) if rows else b""
 

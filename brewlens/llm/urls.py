@@ -96,8 +96,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     urls = urls.withColumn("place", place)
 
     ranges = partitions(pages)
-    share = min(1.0, 2 * DRAWN * ranges / max(1, pages.count()))  # the count comes from file footers
-    drawn = urls.sample(share, seed=7).select(F.substring("place", 1, DRAWN_CHARS).alias("p")).limit(DRAWN * ranges)
+    share = min(1.0, DRAWN * ranges / max(1, pages.count()))  # the count comes from file footers
+    drawn = urls.sample(share, seed=7).select(F.substring("place", 1, DRAWN_CHARS).alias("p"))
     keys = np.array(sorted(r["p"] for r in drawn.collect()), dtype=object)
     bounds = keys[np.linspace(0, len(keys), ranges + 1).astype(int)[1:-1].clip(max=max(0, len(keys) - 1))] if len(keys) else keys
 

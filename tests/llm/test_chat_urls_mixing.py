@@ -195,3 +195,14 @@ def test_pick_tells_names_apart(spark):
     assert pick(both, doc_id="doc_id", text="text").collect() == [(1, "a")]
     with pytest.raises(ValueError):
         pick(both, doc_id="missing")
+
+
+def test_roles_are_renamed_in_the_foreign_layout_only(spark):
+    rows = spark.createDataFrame([(1, 0, "bot", "hi"), (1, 1, "human", "yes"), (1, 2, "model", "x" * 300_000)], "conv_id long, turn int, role string, text string")
+    own = chat.canonical_turns(chat.from_turn_rows(rows)).first()
+    assert [t["role"] for t in own["turns"]] == ["bot", "human", "model"]
+    back = chat.digests(chat.read_back(chat.formatted(chat.canonical_turns(chat.from_turn_rows(rows))))).first()
+    assert (back["n_turns"], back["loss_chars"]) == (3, 0)
+    foreign = spark.createDataFrame([(1, '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}')], "conv_id long, r string")
+    turns = chat.canonical_turns(foreign.selectExpr("conv_id", "parse_json(r) AS record")).first()["turns"]
+    assert [t["role"] for t in turns] == ["user", "assistant"]

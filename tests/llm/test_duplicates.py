@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from brewlens.llm import exact, simhash
-from brewlens.llm.common import scratch
+from brewlens.llm.common import Scratch, scratch, stored
 
 CLASH = "doc_id long, text string, digest string, rid int, fp string, row int"
 
@@ -56,6 +56,31 @@ def test_index_persists(spark):
     assert exact.deduplicated(more, again).columns == more.columns and exact.deduplicated(more, again).count() == 0
 
 
+def test_a_batch_can_be_repeated(spark):
+    path = scratch(spark, "index")
+    docs = spark.createDataFrame(rows_of(["a", "b", "b", "c"]), CLASH)
+    exact.deduplicated(docs, exact.DigestIndex(spark, path, 3), "first")  # built and lost before it was written
+    again = exact.DigestIndex(spark, path, 3)
+    assert exact.deduplicated(docs, again, "first").count() == 3
+    kept = [r for r in exact.duplicates(docs, again, "first").collect() if r["kept"]]
+    assert len(kept) == 3 and again.rows().count() == 3
+    assert exact.deduplicated(docs, again, "second").count() == 0
+
+
+def test_scratch_belongs_to_its_scope(spark):
+    rows = spark.range(5)
+    outer = stored(rows, "outer")
+    with Scratch(spark) as scope:
+        inner = stored(rows, "inner")
+        with Scratch(spark) as nested:
+            deep = stored(rows, "deep")
+    scope.release()
+    assert outer.count() == 5 and deep.count() == 5
+    with pytest.raises(Exception):
+        inner.count()
+    nested.release()
+
+
 def test_reopened_with_other_shuffle_partitions(spark):
     path = scratch(spark, "index")
     docs = spark.createDataFrame(rows_of([f"text {i}" for i in range(300)]), CLASH)

@@ -77,3 +77,25 @@ def _path(spark, df):
 def test_run(spark):
     out = stored(corpus_pipeline.run(spark, SF), "run")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, clashing columns, an empty table; and a result opened before is not touched."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rid int, row string, digest int, bucket int"
+    good = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").orderBy("doc_id").limit(12).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], 1, "x", 2, 3) for r in good]
+    long = (10_000, " ".join(r["text"] for r in good) * 20, None, None, None, 1, "x", 2, 3)
+    odd = [rows[0], rows[0], (None, rows[1][1], None, None, None, None, None, None, None), long, long, (None, None, None, None, None, None, None, None, None),
+           (10_001, "", "en", "src1", 0, 0, "", 0, 0), (10_002, " \n\t", "en", "src1", 0, 0, "", 0, 0)]
+    opened = simhash.near_duplicates(spark.createDataFrame(rows, schema))
+    for given in (rows + odd, []):
+        docs = spark.createDataFrame(given, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs.count()
+            docs = spark.read.parquet(_path(spark, stage(spark, docs, SF)))
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")] and docs.count() <= before
+        texts = [r["text"] for r in docs.collect()]
+        assert len(texts) == len(set(texts)) and None not in texts and "" not in texts
+        pieces = spark.read.parquet(_path(spark, corpus_pipeline.STAGES[-1][1](spark, docs, SF)))
+        assert (pieces.count() > 0) == bool(texts) == bool(given)
+    assert opened.count() == len(rows)
