@@ -1,8 +1,12 @@
 """Corpus pipeline: quality rules, exact and near duplicates, source mixing, packing.
 
 ``run`` applies the stages to ``documents``; each stage's rows are written to the shared folder and read again, so a
-stage never depends on the plan before it, and its scratch tables are deleted when the next stage begins. All but the
-last return the columns of ``documents``.
+stage never depends on the plan before it. Write a stage's rows before the next stage begins: its scratch tables, and
+no others, are then deleted. All but the last return the columns of ``documents``.
+
+Defined cases of every stage: null text counts as empty, and an empty text fails the quality rules; null doc_ids and rows
+that repeat are rows of their own until a duplicate stage keeps one of them; a text is read whole, however long; an
+empty table gives no rows; extra columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,26 +16,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brewlens.llm import exact, mixing, packing, quality, runs, simhash
-from brewlens.llm.common import release, shared
+from brewlens.llm.common import Scratch, shared
+
+_scopes: list[Scratch] = []
+
+
+def _scope(spark: SparkSession) -> Scratch:
+    """A scope for a stage that begins; what the stage before it left is deleted."""
+    while _scopes:
+        _scopes.pop().release()
+    _scopes.append(Scratch(spark))
+    return _scopes[-1]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the likelihood ratio (its model is counted over all of ``docs``)."""
-    release(spark)
-    labels = runs.table(spark, sf_dir, "labels")
-    return quality.passing(docs, quality.fit(docs, labels))
+    with _scope(spark):
+        labels = runs.table(spark, sf_dir, "labels")
+        return quality.passing(docs, quality.fit(docs, labels))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    release(spark)
-    return exact.deduplicated(docs, exact.DigestIndex(spark))
+    with _scope(spark):
+        return exact.deduplicated(docs, exact.DigestIndex(spark))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    release(spark)
-    return simhash.deduplicated(docs)
+    """One document of each component of near-duplicates: fingerprints within four bits, as ``op7_simhash`` links them.
+
+    That is closer than a five-word similarity of 0.8, at which fingerprints differ by about ten bits of 64.
+    """
+    with _scope(spark):
+        return simhash.deduplicated(docs)
 
 
 #: A mixture of unlike parts would throw away most of a corpus if each document could be used once and the weights
@@ -41,14 +58,14 @@ MIX_EPOCHS = 1
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the hierarchical budgets take."""
-    release(spark)
-    return mixing.mixed(docs, F.expr(runs.DOMAIN), F.expr(runs.BUDGET), runs.WEIGHTS, MIX_EPOCHS, runs.MIX_SEED)
+    with _scope(spark):
+        return mixing.mixed(docs, F.expr(runs.DOMAIN), F.expr(runs.BUDGET), runs.WEIGHTS, MIX_EPOCHS, runs.MIX_SEED)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two lengths, one a sequence."""
-    release(spark)
-    return runs.piece_digests(packing.pack(docs, public_tokenizers.path(runs.VOCABULARY)))
+    with _scope(spark):
+        return runs.piece_digests(packing.pack(docs, public_tokenizers.path(runs.VOCABULARY)))
 
 
 STAGES = [
