@@ -226,8 +226,8 @@ def _segment_signals(prepared: DataFrame, config: DetectionConfig, block: int, h
     their sums on the nodes. It sees pieces only, a few per block. A cut it leaves at a block's border, as for a change
     too weak to be seen in one block, is then placed by the exact kernel over the pieces on its two sides. The form is
     the same for short and long signals; on up to ``RANKS`` samples it is exact. Otherwise it approximates:
-    a breakpoint that no block proposes is looked for next to borders only, and similarities over more than a block
-    are interpolated between nodes.
+    a breakpoint that no block proposes is looked for next to borders only, and not found if a cut at the border itself
+    does not pay its penalty; similarities over more than a block are interpolated between nodes.
     """
     stats = _signal_statistics(prepared, config)
     rows = prepared.select(*KEYS, "ts", "value", "smoothed", "_i", "_n")

@@ -53,11 +53,13 @@ def carry(
     cut = df.withColumn("_piece", at)
 
     local = Window.partitionBy(*parts).orderBy(*order)
+    # Looking ahead is looking back from the other end: a frame that runs to the last row is computed anew for each row.
+    from_end = Window.partitionBy(*parts).orderBy(*[o.desc_nulls_last() for o in order])
     added: dict[str, Column] = {}
     for name, (value, inclusive) in forward.items():
         added[name] = F.last(value, True).over(local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     for name, (value, inclusive) in backward.items():
-        added[name] = F.first(value, True).over(local.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing))
+        added[name] = F.last(value, True).over(from_end.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     for name, value in running.items():
         added[name] = F.sum(value).over(local.rowsBetween(Window.unboundedPreceding, 0))
     if index:
@@ -70,12 +72,13 @@ def carry(
     borders += [F.min_by(v, F.when(v.isNotNull(), rank)).alias(f"_s_{n}") for n, (v, _) in backward.items()]
     borders += [F.sum(v).alias(f"_s_{n}") for n, v in running.items()]
     summary = cut.where(~lost).groupBy(*parts).agg(*borders)
-    along = Window.partitionBy(*keys).orderBy("_piece")
-    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    before, after = (
+        Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("_piece", F.desc("_piece"))
+    )
     around = [F.sum("_count").over(before).alias("_c__i"), F.sum("_count").over(Window.partitionBy(*keys)).alias("_c__n")]
     around = around if index else []
     around += [F.last(f"_s_{n}", True).over(before).alias(f"_c_{n}") for n in forward]
-    around += [F.first(f"_s_{n}", True).over(after).alias(f"_c_{n}") for n in backward]
+    around += [F.last(f"_s_{n}", True).over(after).alias(f"_c_{n}") for n in backward]
     around += [F.sum(f"_s_{n}").over(before).alias(f"_c_{n}") for n in running]
 
     result = rows.join(summary.select(*parts, *around), parts, "left")

@@ -165,7 +165,10 @@ def plan_problems(plan: DataFrame, has_inoculation: bool) -> DataFrame:
 
 @dataclass
 class Load:
-    """The result of planning and transforming a load; every member is a lazy DataFrame."""
+    """The result of planning and transforming a load; every member is a lazy DataFrame.
+
+    Sources with a problem give no records and do not keep the others from loading; ``loadable`` leaves them out.
+    """
 
     records: DataFrame    # (source, batch_id, ts, variable, value, unit, quality_flag, warning)
     rejects: DataFrame    # (source, fields, reason)
@@ -174,6 +177,11 @@ class Load:
     original: DataFrame   # (batch_id, source, headers, fields)
     batches: DataFrame    # (batch_id, name, source)
 
+    def loadable(self) -> tuple[DataFrame, DataFrame]:
+        """Batches and original rows of the sources without a problem."""
+        bad = self.problems.select("source").distinct()
+        return self.batches.join(bad, "source", "left_anti"), self.original.join(bad, "source", "left_anti")
+
     def summary(self) -> DataFrame:
         """Per source: long records, wide rows behind them, converted columns, flagged and warned rows."""
         conversions = self.plan.groupBy("source").agg(

@@ -17,6 +17,8 @@ def round_trip_sql() -> dict[str, str]:
       GROUP BY 1, 2, 3"""
     chain = checks.oracle_sql()
     v["stored_chain"], v["stored_heads"] = chain["chain_append"], chain["last_hashes"]
+    v["quoted_load"] = """SELECT l_returnflag || l_linestatus AS kind, epoch_us(date_trunc('second', l_shipdate)) AS ts_us, 'ph' AS variable,
+      count(*) AS n, round(sum(l_tax), 6) AS total FROM lineitem GROUP BY 1, 2"""
     v["stored_rejects"] = f"""SELECT batch_id, 'value not finite' AS reason, count(*) AS n FROM {TELEMETRY}
       WHERE value > 100 AND variable = 'purchase' GROUP BY 1"""
     v["stored_assay"] = f"""SELECT batch_id, epoch_us(ts) AS ts_us, variable, value, round(uncertainty, 6) AS uncertainty,

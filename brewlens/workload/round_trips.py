@@ -240,6 +240,31 @@ def original_rows(spark, sf):
         F.max(F.array_join("headers", ",")).alias("headers"))
 
 
+@_register
+def quoted_load(spark, sf):
+    """Line items as files whose notes hold line breaks, separators and quotes; files of open items are UTF-16, and one
+    more file has no time column."""
+    out = _folder(spark)
+    items = B.table(spark, sf, "lineitem")
+    kind = F.concat("l_returnflag", "l_linestatus")
+    note = F.concat(F.lit('"order '), "l_orderkey", F.lit('\n\nsaid ""ok"", '), "l_linenumber", F.lit('\n"'))
+    stamp = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")
+    data = items.select(
+        kind.alias("kind"), F.lit(1).alias("rank"), F.concat_ws(",", stamp, note, F.format_string("%.2f", "l_tax")).alias("line")
+    )
+    heads = items.select(kind.alias("kind")).distinct().select("kind", F.lit(0).alias("rank"), F.lit("timestamp,note,pH").alias("line"))
+    stray = items.limit(1).select(F.lit("stray").alias("kind"), F.lit(0).alias("rank"), F.lit("a,b\n1,2").alias("line"))
+    # A line feed of UTF-16 is 0A 00: the writer ends a row with 0A, so the next one begins with 00, and the first with a mark.
+    wide = F.concat(F.when(F.col("rank") == 0, F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit("00"))), F.encode("line", "utf-16le"))
+    value = F.when(F.endswith("kind", F.lit("O")), wide.cast("string")).otherwise(F.col("line"))
+    lines = data.unionByName(heads).unionByName(stray).repartition("kind").sortWithinPartitions("kind", "rank")
+    lines.select("kind", value.alias("value")).write.partitionBy("kind").text(out)
+    load = ingest.load_delimited(spark, out)
+    name = F.regexp_extract("source", "/kind=([^/]+)/", 1).alias("kind")
+    return load.records.groupBy(name, us("ts").alias("ts_us"), "variable").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
+
+
 def _sheets(spark, sf) -> DataFrame:
     """Customers as sheets of a workbook per nation, and a sheet that describes it."""
     c = B.table(spark, sf, "customer")

@@ -129,14 +129,15 @@ class Workspace:
     # --- loads -----------------------------------------------------------------------------------------------------
 
     def import_files(self, path: str, *, kind: str = "telemetry", **options) -> ingest.Load:
-        """Load every delimited text file below ``path`` as one batch each."""
+        """Load every delimited text file below ``path`` as one batch each; files with a problem are left out and reported
+        in the result's ``problems``."""
         load = ingest.load_delimited(self.spark, path, **options)
         self._store_load(load, kind)
         return load
 
     def import_workbooks(self, path: str, **options) -> tuple[ingest.Load, ingest.Load]:
         telemetry, assay, metadata = ingest.load_workbooks(self.spark, path, **options)
-        batches = telemetry.batches.unionByName(assay.batches).select("batch_id", "name").distinct()
+        batches = telemetry.loadable()[0].unionByName(assay.loadable()[0]).select("batch_id", "name").distinct()
         self._add_loaded(ingest.apply_metadata(self._catalog_rows(batches), metadata))
         self._store_load(telemetry, "telemetry", register=False)
         self._store_load(assay, "assay", register=False)
@@ -157,16 +158,19 @@ class Workspace:
         self.store.append("batches", catalog.log_rows(catalog.remove(rows, self.batches()), _version()))
 
     def _store_load(self, load: ingest.Load, kind: str, register: bool = True) -> None:
-        problem = load.problems.first()
-        if problem is not None:
-            raise ValueError(f"{problem['source']}: {problem['problem']}")
+        """Store what can be loaded; an error only if nothing can. ``load.problems`` has the rest."""
+        batches, original = load.loadable()
+        if batches.isEmpty():
+            problem = load.problems.first()
+            if problem is not None:
+                raise ValueError(f"{problem['source']}: {problem['problem']}")
         if register:
-            self._add_loaded(self._catalog_rows(load.batches.select("batch_id", "name")))
+            self._add_loaded(self._catalog_rows(batches.select("batch_id", "name")))
         if kind == "assay":
             self.store.append("assay", load.records.withColumns({"uncertainty": F.lit(0.0), "method": F.lit(None)}))
         else:
             self.store.append("telemetry", load.records)
-        self.store.append("original", load.original)
+        self.store.append("original", original)
 
     # --- analytics ---------------------------------------------------------------------------------------------------
 

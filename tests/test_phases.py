@@ -137,9 +137,11 @@ def test_an_outlier_does_not_hide_a_change(telemetry, spike):
 @pytest.mark.parametrize("at", [900, 1024, 1333, 2900])
 def test_a_weak_shift_is_placed_like_the_exact_kernel_does(telemetry, at):
     x = np.random.default_rng(at).normal(0, 1, 4000)
-    x[at:] += 0.35  # too weak for a block of 512 samples, plain over the whole signal
+    x[at:] += 0.45  # too weak for a block of 512 samples, plain over the whole signal
     config = phases.DetectionConfig(penalty=12.0, smoothing_window=1)
     exact = kernels.kernel_changepoints(x, 12.0, 10)
+    gamma = 1 / kernels.median_squared_distance(x)
+    assert all(len(kernels.kernel_changepoints(x[max(0, b - 128) : b + 640], 12.0, 10, "rbf", gamma)) == 1 for b in range(0, 4000, 512))
     rows = telemetry(signal_rows("a", "OD600", x))
     got = phases.offline_segments(rows, config, block=512, halo=128).orderBy("seg").collect()
     assert len(exact) == len(got) == 2

@@ -272,3 +272,18 @@ def test_stored_sensors(ws, spark, telemetry):
     assert sorted(r["value"] for r in ws.predict_stored().where("variable = 's'").collect()) == [1.0, 3.0]
     ws.delete_sensor("sum")
     assert ws.sensor_records().isEmpty() and ws.predict_stored().where("source is not null").isEmpty()
+
+
+def test_bad_files_do_not_stop_the_others(ws, spark, tmp_path):
+    folder = tmp_path / "inbox"
+    folder.mkdir()
+    (folder / "good.csv").write_text(ABSOLUTE)
+    (folder / "timeless.csv").write_text("a,b\n1,2\n3,4\n")
+    (folder / "open.csv").write_text('timestamp,pH\n2026-01-01 00:00:00,"7\n')
+    load = ws.import_files(str(folder))
+    problems = {r["source"].split("/")[-1]: r["problem"] for r in load.problems.collect()}
+    assert problems == {"timeless.csv": "no timestamp column", "open.csv": "a quote is not closed"}
+    assert [r["name"] for r in ws.batches().collect()] == ["good"] and ws.telemetry().count() == 25
+    (folder / "good.csv").unlink()
+    with pytest.raises(ValueError):
+        ws.import_files(str(folder))
