@@ -212,8 +212,8 @@ class Workspace:
         return stored.where(~F.col("_deleted")).drop("method", "_version", "_deleted")
 
     def _signal_phases(self, batch_ids: Sequence[str] | str | None, signal: str) -> DataFrame:
-        """Phases found now, for one analysis; nothing is stored."""
-        return phases.detect_phases(self.telemetry(batch_ids), phases.DetectionConfig(signal=signal))
+        """Phases found now, once for one analysis; a checkpoint holds them, the phase table does not."""
+        return cut_lineage(phases.detect_phases(self.telemetry(batch_ids), phases.DetectionConfig(signal=signal)))
 
     def compute_metrics(
         self, batch_ids: Sequence[str] | str | None = None, signal: str = "OD600", product: str | None = None,
