@@ -13,8 +13,9 @@ are repeated from end to end.
 
 A neighbour has the longest common right (or left) side, so the two orders give for each suffix the most words that any
 other shares on either side. Where one neighbour shares both, every match of the suffix lies within that one. Where
-none does, a match may lie between: all suffixes of that gram are then keyed by each window of ``MIN_WORDS`` words
-round them that those two bounds allow, and a window whose key has two places is a match.
+none does, a match may lie between: all suffixes of that gram, one of each group with equal words on both sides, are then
+keyed by windows of ``COARSE`` words, and those that meet there by each window of ``MIN_WORDS`` words round them that the
+two bounds allow; a window whose key has two places is a match.
 
 Words are maximal runs of characters other than space and ``\\x09-\\x0D``; positions count words from 0.
 
@@ -38,6 +39,8 @@ from brewlens.llm.common import partitions, pick, slices, stored
 
 MIN_WORDS, GRAM = 50, 20
 REACH = MIN_WORDS - GRAM + 1
+#: Words of the windows that are keyed first.
+COARSE = 46
 #: Odd multiplier of the rolling hash, and its inverse modulo 2^64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -106,7 +109,7 @@ CONTEXT = "gram long, right string, left string, id long, tie long, pos long"
 def _contexts(rows: DataFrame) -> DataFrame:
     """Each surviving suffix of rows (id, tie, text, at) with the words that follow it and, nearest first, those before.
 
-    A blank ends every word, so that in byte order the neighbours have the longest run of whole words in common.
+    Those with fewer than ``MIN_WORDS`` words round them have no match. A blank ends every word, so that in byte order the neighbours have the longest run of whole words in common.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +122,8 @@ def _contexts(rows: DataFrame) -> DataFrame:
                     words = text.split()
                     for x in found:
                         pos = x["pos"]
+                        if min(pos, REACH - 1) + min(len(words) - pos, MIN_WORDS) < MIN_WORDS:
+                            continue
                         right = b"".join(w + b" " for w in words[pos : pos + MIN_WORDS]).decode()
                         left = b"".join(w + b" " for w in words[max(0, pos - REACH + 1) : pos][::-1]).decode()
                         out.append((x["gram"], right, left, i, tie, pos))
@@ -133,155 +138,181 @@ def _contexts(rows: DataFrame) -> DataFrame:
 
 
 def _same(a: str, b: str) -> int:
-    """How many words two texts share from their beginning."""
-    n = 0
-    for x, y in zip(a.split(" ")[:-1], b.split(" ")[:-1], strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def _common(a: tuple, b: tuple) -> tuple[int, int, int]:
-    """How many words two suffixes (gram, right, left, id, tie, pos) share to the left, to the right, and in all."""
-    if a[0] != b[0] or a[3:] == b[3:]:
-        return 0, 0, 0
-    right, left = _same(a[1], b[1]), _same(a[2], b[2])
-    return (left, right, left + right) if right >= GRAM else (0, 0, 0)
+    """How many words two texts share from their beginning (a blank ends each)."""
+    least, most = 0, min(len(a), len(b))
+    if a[:most] != b[:most]:
+        while most - least > 1:
+            half = (least + most) // 2
+            if a[least:half] == b[least:half]:
+                least = half
+            else:
+                most = half
+    else:
+        least = most
+    return a.count(" ", 0, least)
+
+
+def _common(a: tuple, b: tuple) -> tuple[int, int]:
+    """How many words two suffixes (gram, right, left, id, tie, pos) share to the left and to the right."""
+    if a[0] != b[0]:
+        return 0, 0
+    right = _same(a[1], b[1])
+    return (_same(a[2], b[2]), right) if right >= GRAM else (0, 0)
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of the types that a schema of longs, strings, binaries and booleans names."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    made = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(made, types, strict=True)], list(names))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+SPANS = "id long, tie long, first long, stop long, other long, other_first long"
+#: Most words shared to the right with any suffix, and to the left and right with the best neighbour so far.
+BOUNDS = "right_most long, best_left long, best_right long"
+#: Rows of a pass: suffixes that go on (``first`` is null), and spans (``gram`` is null).
+PASS = f"{CONTEXT}, {BOUNDS}, left_most long, {SPANS.replace('id long, tie long, ', '')}"
+
+
+def _pass(rows: DataFrame, order: list[str], last: bool) -> DataFrame:
+    """Compare each suffix with its neighbours in an order: ``PASS`` rows.
+
+    The first pass orders by the words that follow and bounds ``right_most``; of suffixes with equal words on both sides,
+    whose match is then whole, one goes on. The last orders by the words before and bounds ``left_most``. Suffixes whose
+    bounds leave no match go no further. What touches the end of a range has unknown neighbours, so that its bound is all
+    its words.
+    """
+    names = _names(f"{CONTEXT}, {BOUNDS}" if last else CONTEXT)
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish(row: tuple, before: tuple | None, after: tuple | None, copy: bool) -> list[tuple]:
+            """Rows of one suffix from (left, right, neighbour) on either side; None at the end of a range."""
+            near = [x for x in (before, after) if x]
+            held_right, left, right = row[6:] if last else (0, 0, 0)
+            out: list[tuple] = []
+            for x in sorted(near, key=lambda x: -x[0] - x[1]):
+                if x[0] + x[1] >= MIN_WORDS and (x[0] > left or x[1] > right):
+                    at, other = row[5], x[2]
+                    out.append((*[None] * 3, *row[3:5], *[None] * 5, at - x[0], at + x[1], other[3], other[5] - x[0]))
+                if x[0] + x[1] > left + right:
+                    left, right = x[:2]
+            if copy:
+                return out
+            every = row[2 if last else 1].count(" ")
+            most = max(x[0 if last else 1] for x in near) if len(near) == 2 else every
+            bounds = (held_right, most) if last else (most, row[2].count(" "))
+            if sum(bounds) >= MIN_WORDS:
+                out.append((*row[:6], bounds[0], left, right, bounds[1], *[None] * 4))
+            return out
+
+        row, before, copy = None, None, False
+        for batch in batches:
+            out: list[tuple] = []
+            for new in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if row is not None:
+                    shared = _common(row, new)
+                    out += finish(row, before, (*shared, new), copy)
+                    before, copy = (*shared, row), not last and row[:3] == new[:3]
+                row = new
+            yield _table(out, PASS)
+        if row is not None:
+            yield _table(finish(row, before, None, copy), PASS)
 
-def _match(a: tuple, b: tuple, left: int, right: int) -> list[tuple]:
-    """The spans of two suffixes that share so many words, one for each, if they match over ``MIN_WORDS`` words."""
-    if left + right < MIN_WORDS:
-        return []
-    return [(*x[3:5], x[5] - left, x[5] + right, y[3], y[5] - left) for x, y in ((a, b), (b, a))]
+    ranges = [*order, *KEY, "pos"]
+    put = rows.select(*names).repartitionByRange(partitions(rows), *ranges).sortWithinPartitions(*ranges)
+    return stored(put.mapInArrow(compare, PASS), "neighbours")
 
 
-SPANS = "kind int, part int, id long, tie long, first long, stop long, other long, other_first long"
-SPAN_NAMES = [x.split()[0] for x in SPANS.split(", ")]
+LINKED = "row long, back long, met long"
 
 
-def _neighbours(contexts: DataFrame, order: list[str]) -> DataFrame:
-    """Rows from comparing each suffix with the next in order, also across the ranges of the exchange.
+def _linked(keys: DataFrame) -> DataFrame:
+    """(row, back, met): rows (key, row, back) whose key another row has too, with one such row.
 
-    Kind 0: a span. Kind 3: what a suffix of ``gram`` at ``first`` shares at most with a neighbour to the left
-    (``stop``), to the right (``other``) and in all (``other_first``), where three or more suffixes have that gram.
+    Equal keys lie side by side, and a range may end between them: the ends are compared by themselves.
     """
-    names = [x.split()[0] for x in CONTEXT.split(", ")]
-    ends = [f"end_{n}" for n in names]
+    schema = f"part long, {LINKED}, key binary"
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, first = TaskContext.get().partitionId(), None, None
-        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 6, *[pa.int64(), pa.string(), pa.string()] + [pa.int64()] * 3]
-        columns = [*SPAN_NAMES, *ends]
-
-        def table(spans: list[tuple], shared: list[tuple], outer: list[tuple]) -> pa.RecordBatch:
-            rows = [(0, part, *s, *[None] * 6) for s in spans]
-            rows += [(3, part, *row[3:], *most, row[0], *[None] * 5) for row, most in shared]
-            rows += [(k, part, *[None] * 6, *e) for k, e in outer]
-            made = zip(*rows, strict=True) if rows else [[]] * len(columns)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(made, kinds, strict=True)], columns)
-
-        most = (0, 0, 0)  # of the row before
-        held: list[tuple] = []  # of its gram, until a third row has it
-        size = 3  # rows of that gram; what touches the end of a range may go on in the next
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, met, first = TaskContext.get().partitionId(), None, None, True
         for batch in batches:
-            spans: list[tuple] = []
-            shared: list[tuple] = []
-            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                if before is None:
-                    first = row
+            out: list[tuple] = []
+            for new in zip(*(batch.column(n).to_pylist() for n in ("key", "row", "back")), strict=True):
+                if held is None:
+                    out.append((part, *new[1:], None, new[0]))
                 else:
-                    now = _common(before, row)
-                    spans += _match(before, row, *now[:2])
-                    held.append((before, tuple(map(max, most, now))))
-                    if size > 2:
-                        shared += held
-                        held = []
-                    most = now
-                    size += 1
-                    if row[0] != before[0]:
-                        held, size = [], 1
-                before = row
-            yield table(spans, shared, [])
-        if before is not None:
-            yield table([], [*held, (before, most)], [(1, first), (2, before)])
-
-    sorted_rows = contexts.repartitionByRange(partitions(contexts), *order, *KEY, "pos").sortWithinPartitions(
-        *order, *KEY, "pos"
-    )
-    kinds = f"{SPANS}, " + ", ".join(f"end_{x}" for x in CONTEXT.split(", "))
-    found = stored(sorted_rows.select(*names).mapInArrow(compare, kinds), "neighbours")
+                    same = held[0] == new[0]
+                    if same and first:
+                        out.append((part, *held[1:], new[1], None))
+                    elif same or met is not None:
+                        out.append((part, *held[1:], new[1] if same else met, None))
+                    met, first = held[1] if same else None, False
+                held = new
+            yield _table(out, schema)
+        if held is not None:
+            ends = [(part, *held[1:], met, None)] if met is not None else []
+            yield _table([*ends, (part, *held[1:], None, held[0])], schema)
+
+    put = keys.repartitionByRange(partitions(keys), "key", "row").sortWithinPartitions("key", "row")
+    found = stored(put.mapInArrow(link, schema), "linked")
     # One first and one last row for each range of the exchange.
-    outer = found.where("kind in (1, 2)").select("part", "kind", F.struct(*ends).alias("row"))
-    pairs = outer.withColumn("next", F.lead("row").over(Window.orderBy("part", "kind"))).where("kind = 2 and next is not null")
+    order = Window.orderBy("part", "key", "row")
+    sides = [F.when(f("key").over(order) == F.col("key"), f("row").over(order)) for f in (F.lag, F.lead)]
+    ends = found.where("key is not null").select("row", "back", F.array(*sides).alias("met")).withColumn("met", F.explode("met"))
+    return found.where("key is null").select("row", "back", "met").unionByName(ends.where("met is not null and met != row"))
 
-    def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                a, b = tuple(r["row"].values()), tuple(r["next"].values())
-                now = _common(a, b)
-                rows += [(0, *s, None) for s in _match(a, b, *now[:2])]
-                rows += [(3, *x[3:], *now, x[0]) for x in (a, b)]
-            made = zip(*rows, strict=True) if rows else [[]] * 8
-            kinds = [pa.int32(), *[pa.int64()] * 7]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(made, kinds, strict=True)], ["kind", *SPAN_NAMES[2:], "gram"]
-            )
-
-    columns = ["kind", *SPAN_NAMES[2:]]
-    return found.where("kind in (0, 3)").select(*columns, F.col("end_gram").alias("gram")).unionByName(
-        pairs.select("row", "next").mapInArrow(join_ends, f"kind int, {', '.join(SPANS.split(', ')[2:])}, gram long")
-    )
 
+def _keyed(rows: DataFrame, size: int, step: int) -> DataFrame:
+    """(key, row, back) of windows of ``size`` words that begin ``back`` words before a suffix, every ``step`` words.
 
-def _between(contexts: DataFrame, shared: DataFrame) -> DataFrame:
-    """Spans of the grams some suffix of which shares its most to the left and to the right with different neighbours.
-
-    Two suffixes that match lie within each other's bounds, so both have the key of each window they share.
+    Only those within a window of ``MIN_WORDS`` that the bounds allow.
     """
-    most = {"left_most": "stop", "right_most": "other", "both": "other_first"}
-    bounds = stored(
-        shared.groupBy("gram", *KEY, F.col("first").alias("pos")).agg(*[F.max(c).alias(n) for n, c in most.items()])
-        .where(f"left_most + right_most >= {MIN_WORDS}"),
-        "bounds",
-    )
-    open_grams = stored(bounds.where("both < left_most + right_most").select("gram").distinct(), "open")
-    asked = contexts.join(bounds.join(open_grams, "gram", "left_semi").drop("both"), ["gram", *KEY, "pos"])
+    schema = "key binary, row long, back long"
+    spare = MIN_WORDS - size
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["right", "left", *KEY, "pos", "left_most", "right_most"]
-        kinds = [pa.binary(), *[pa.int64()] * 4]
+        digest = xxhash.xxh3_64_digest if spare else xxhash.xxh3_128_digest
+        names = ["right", "left", "row", "left_most", "right_most"]
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
-                out: list[tuple] = []
-                part = batch.slice(k, 4096)
-                for right, left, *place, before, after in zip(*(part.column(n).to_pylist() for n in names), strict=True):
+                part, out = batch.slice(k, 4096), []
+                for right, left, row, before, after in zip(*(part.column(n).to_pylist() for n in names), strict=True):
                     words = left.split(" ")[-2::-1] + right.split(" ")[:-1]
                     anchor = left.count(" ")
-                    for back in range(max(0, MIN_WORDS - after), before + 1):
-                        window = " ".join(words[anchor - back : anchor - back + MIN_WORDS])
-                        out.append((xxhash.xxh3_128_digest(f"{back} {window}".encode()), *place, back))
-                made = zip(*out, strict=True) if out else [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(made, kinds, strict=True)], ["key", *KEY, "pos", "back"]
-                )
-
-    keys = stored(asked.mapInArrow(key, "key binary, id long, tie long, pos long, back long"), "keys")
-    place = F.struct(*KEY, "pos")
-    twice = stored(
-        keys.groupBy("key").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most"), "twice"
+                    for back in range(0, before + 1, step):
+                        if max(back, MIN_WORDS - after) <= min(back + spare, before):
+                            window = " ".join(words[anchor - back : anchor - back + size])
+                            out.append((digest(f"{back} {window}".encode()), row, back))
+                yield _table(out, schema)
+
+    return stored(rows.mapInArrow(key, schema), "keys")
+
+
+def _between(suffixes: DataFrame) -> DataFrame:
+    """Spans of the grams some suffix of which shares its most to the left and to the right with different neighbours.
+
+    Two suffixes that match lie within each other's bounds, so both have the key of each window they share. A window of
+    ``MIN_WORDS`` holds one of ``COARSE`` words at every ``MIN_WORDS - COARSE + 1``-th place; only what meets there has
+    all its windows keyed.
+    """
+    open_grams = suffixes.where("best_left + best_right < left_most + right_most").select("gram").distinct()
+    asked = stored(
+        suffixes.join(open_grams, "gram", "left_semi").withColumn("row", F.monotonically_increasing_id()), "asked"
     )
-    other = F.when(place == F.col("least"), F.col("most")).otherwise(F.col("least"))
-    return (
-        keys.join(twice, "key").groupBy(*KEY, "pos", other.alias("met"))
-        .agg(F.max("back").alias("back"), F.min("back").alias("least_back"))
-        .select(
-            *KEY, (F.col("pos") - F.col("back")).alias("first"),
-            (F.col("pos") - F.col("least_back") + MIN_WORDS).alias("stop"),
-            F.col("met.id").alias("other"), (F.col("met.pos") - F.col("back")).alias("other_first"),
-        )
+    coarse = _linked(_keyed(asked, COARSE, MIN_WORDS - COARSE + 1)).select("row").distinct()
+    found = _linked(_keyed(asked.join(coarse, "row", "left_semi"), MIN_WORDS, 1))
+    spans = found.groupBy("row", "met").agg(F.max("back").alias("back"), F.min("back").alias("least_back"))
+    place = asked.select("row", *KEY, "pos")
+    met = asked.select(F.col("row").alias("met"), F.col("id").alias("other"), F.col("pos").alias("other_pos"))
+    return spans.join(place, "row").join(met, "met").select(
+        *KEY, (F.col("pos") - F.col("back")).alias("first"),
+        (F.col("pos") - F.col("least_back") + MIN_WORDS).alias("stop"),
+        "other", (F.col("other_pos") - F.col("back")).alias("other_first"),
     )
 
 
@@ -321,11 +352,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     twice = stored(seeds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
     lasting = seeds.join(twice, "gram").groupBy(*KEY).agg(F.collect_set(F.struct("gram", F.col("at").alias("pos"))).alias("found"))
     contexts = stored(_contexts(rows.join(lasting, KEY)), "contexts")
-    compared = _neighbours(contexts, ["gram", "right", "left"]).unionByName(
-        _neighbours(contexts, ["gram", "left", "right"])
-    )
-    spans = compared.where("kind = 0").select(*SPAN_NAMES[2:])
-    joined = _joined(spans.unionByName(_between(contexts, compared.where("kind = 3"))).distinct())
+    by_right = _pass(contexts, ["gram", "right", "left"], last=False)
+    by_left = _pass(by_right.where("gram is not null"), ["gram", "left", "right"], last=True)
+    spans = by_right.unionByName(by_left).where("gram is null").select(*_names(SPANS))
+    joined = _joined(spans.unionByName(_between(by_left.where("gram is not null"))).distinct())
     alone = classes.where("copies = 1").select("least.*")
     single = joined.join(alone, KEY, "left_semi").select(
         "id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "other", "other_start"

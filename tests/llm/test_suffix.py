@@ -101,6 +101,18 @@ def test_templates_with_a_common_line(spark, seed):
     assert covered(suffix.repeats(frame(spark, docs)).collect()) == plain(docs)
 
 
+def test_neighbours_in_different_ranges(spark, docs, monkeypatch):
+    """Almost every suffix and every key is the first or the last of its range."""
+    monkeypatch.setattr(suffix, "partitions", lambda _: 40)
+    rng = random.Random(5)
+    line = words(rng, 20)
+    sides = [(words(rng, 20), words(rng, 20)) for _ in range(3)]
+    more = [" ".join([h, line, t, words(rng, 9)]) for h, _ in sides for _, t in sides for _ in range(2)]
+    rows = docs + [(200 + i, t) for i, t in enumerate(more)]
+    got = covered(suffix.repeats(frame(spark, rows)).collect())
+    assert got == {rows[k][0]: v for k, v in plain(rows).items()}
+
+
 def test_repeated_rows_null_ids_and_empty(spark):
     rng = random.Random(2)
     text = words(rng, 70)
