@@ -2,6 +2,10 @@
 
 Tables keyed by batch are partitioned by a hash bucket of ``batch_id``: one batch reads one bucket, and
 the number of folders does not grow with the number of batches. Writes are plain appends.
+
+A load writes several tables. Its rows carry the name of the attempt that wrote them, and readers see them once a row of
+``loads`` names that attempt, which is written last: a load is visible as a whole or not at all. Readers join ``loads`` by
+an equi-join; :meth:`TableStore.compact` writes visible rows without attempts, so that ``loads`` begins anew.
 """
 
 from __future__ import annotations
@@ -49,9 +53,15 @@ LAYOUT: dict[str, T.StructType] = {
         T.StructField("root", T.StringType()), T.StructField("saved_at", T.TimestampType()),
     ]),
     "users": schemas.USERS,
+    "loads": T.StructType([
+        T.StructField("load_id", T.StringType()), T.StructField("attempt", T.StringType()),
+        T.StructField("loaded_at", T.TimestampType()),
+    ]),
     "sensors": T.StructType(schemas.SENSORS.fields + _LOG.fields[:2]),
 }
 BY_BATCH = ("telemetry", "assay", "phases", "operations", "metrics", "original")
+#: Tables that loads write; the attempt is kept in a column of the files alone.
+LOADED = ("batches", "telemetry", "assay", "original")
 
 
 class TableStore:
@@ -68,36 +78,61 @@ class TableStore:
     def _bucket(self, batch_id):
         return F.pmod(F.xxhash64(batch_id), F.lit(self.buckets)).cast("int")
 
-    def read(self, table: str) -> DataFrame:
-        """The whole table under its declared schema; empty when nothing was written yet."""
-        schema = LAYOUT[table]
-        stored = schema
-        if table in BY_BATCH:
-            stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    def _files(self, table: str) -> DataFrame | None:
+        """All rows of the files with their bucket and attempt; None when nothing was written yet."""
+        extra = [T.StructField("bucket", T.IntegerType())] if table in BY_BATCH else []
+        extra += [T.StructField("_load", T.StringType())] if table in LOADED else []
+        schema = T.StructType([*LAYOUT[table].fields, *extra])
         try:
-            return self.spark.read.schema(stored).parquet(self.path(table)).select(*schema.names)
+            return self.spark.read.schema(schema).parquet(self.path(table))
         except AnalysisException as exc:
             if exc.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return None
+
+    def _visible(self, table: str, rows: DataFrame | None) -> DataFrame:
+        """Rows written outside loads (no attempt) and those of attempts that ``loads`` names."""
+        if rows is None:
+            return self.spark.createDataFrame([], LAYOUT[table])
+        names = LAYOUT[table].names
+        if table not in LOADED:
+            return rows.select(*names)
+        loads = self._files("loads")
+        if loads is None:
+            return rows.where("_load is null").select(*names)
+        first = F.min_by("attempt", F.struct("loaded_at", "attempt")).alias("_load")
+        attempts = loads.groupBy("load_id").agg(first).select("_load")
+        seen = attempts.unionByName(self.spark.range(1).select(F.lit("").alias("_load")))
+        return rows.withColumn("_load", F.coalesce("_load", F.lit(""))).join(seen, "_load", "left_semi").select(*names)
+
+    def read(self, table: str) -> DataFrame:
+        """The whole table under its declared schema; empty when nothing was written yet."""
+        return self._visible(table, self._files(table))
 
     def read_batch(self, table: str, batch_id: str) -> DataFrame:
         """Rows of one batch; only its bucket folder is listed and read."""
-        schema = LAYOUT[table]
-        stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-        try:
-            rows = self.spark.read.schema(stored).parquet(self.path(table))
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
         same = (F.col("bucket") == self._bucket(F.lit(batch_id))) & (F.col("batch_id") == F.lit(batch_id))
-        return rows.where(same).select(*schema.names)
-
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Append rows; partition sizes are rebalanced at run time, which also splits hot buckets."""
+        rows = self._files(table)
+        return self._visible(table, None if rows is None else rows.where(same))
+
+    def commit(self, load_id: str, attempt: str) -> None:
+        """Make the rows of an attempt visible. Of several attempts at one load the first counts."""
+        row = self.spark.range(1).select(
+            F.lit(load_id).alias("load_id"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("loaded_at")
+        )
+        self.append("loads", row)
+
+    def append(self, table: str, rows: DataFrame, attempt: str | None = None) -> None:
+        """Append rows; partition sizes are rebalanced at run time, which also splits hot buckets.
+
+        Rows of an ``attempt`` at a load are seen after its :meth:`commit`.
+        """
+        if attempt is not None and table not in LOADED:
+            raise ValueError(f"loads do not write {table}")
         schema = LAYOUT[table]
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        if table in LOADED:
+            typed = typed.withColumn("_load", F.lit(attempt).cast("string"))
         if table in BY_BATCH:
             typed = typed.withColumn("bucket", self._bucket(F.col("batch_id")))
             typed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self.path(table))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 import warnings
 from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
@@ -128,21 +129,39 @@ class Workspace:
 
     # --- loads -----------------------------------------------------------------------------------------------------
 
-    def import_files(self, path: str, *, kind: str = "telemetry", **options) -> ingest.Load:
+    def import_files(self, path: str, *, kind: str = "telemetry", load_id: str | None = None, **options) -> ingest.Load:
         """Load every delimited text file below ``path`` as one batch each; files with a problem are left out and reported
-        in the result's ``problems``."""
+        in the result's ``problems``.
+
+        The load becomes visible as a whole when its last table is written. One under the ``load_id`` of a load that is
+        visible already stores nothing, so that a load that failed, or may have, can be repeated.
+        """
         load = ingest.load_delimited(self.spark, path, **options)
-        self._store_load(load, kind)
+        if not self._is_loaded(load_id):
+            attempt = uuid.uuid4().hex
+            self._store_load(load, kind, attempt)
+            self.store.commit(load_id or attempt, attempt)
         return load
 
-    def import_workbooks(self, path: str, **options) -> tuple[ingest.Load, ingest.Load]:
+    def import_workbooks(self, path: str, *, load_id: str | None = None, **options) -> tuple[ingest.Load, ingest.Load]:
+        """Telemetry and assays of all workbooks below ``path``, visible together; ``load_id`` as for files."""
         telemetry, assay, metadata = ingest.load_workbooks(self.spark, path, **options)
-        batches = telemetry.loadable()[0].unionByName(assay.loadable()[0]).select("batch_id", "name").distinct()
-        self._add_loaded(ingest.apply_metadata(self._catalog_rows(batches), metadata))
-        self._store_load(telemetry, "telemetry", register=False)
-        self._store_load(assay, "assay", register=False)
+        if not self._is_loaded(load_id):
+            attempt = uuid.uuid4().hex
+            batches = telemetry.loadable()[0].unionByName(assay.loadable()[0]).select("batch_id", "name").distinct()
+            self._add_loaded(ingest.apply_metadata(self._catalog_rows(batches), metadata), attempt)
+            self._store_load(telemetry, "telemetry", attempt, register=False)
+            self._store_load(assay, "assay", attempt, register=False)
+            self.store.commit(load_id or attempt, attempt)
         return telemetry, assay
 
+    def loads(self) -> DataFrame:
+        """(load_id, attempt, loaded_at) of the loads that are visible."""
+        return self.store.read("loads")
+
+    def _is_loaded(self, load_id: str | None) -> bool:
+        return load_id is not None and not self.loads().where(F.col("load_id") == F.lit(load_id)).isEmpty()
+
     def _catalog_rows(self, batches: DataFrame) -> DataFrame:
         now = F.current_timestamp()
         fixed = {"batch_id", "name"}
@@ -154,10 +173,10 @@ class Workspace:
             defaults.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in BATCHES.fields if f.name not in fixed
         ])
 
-    def _add_loaded(self, rows: DataFrame) -> None:
-        self.store.append("batches", catalog.log_rows(catalog.remove(rows, self.batches()), _version()))
+    def _add_loaded(self, rows: DataFrame, attempt: str) -> None:
+        self.store.append("batches", catalog.log_rows(catalog.remove(rows, self.batches()), _version()), attempt)
 
-    def _store_load(self, load: ingest.Load, kind: str, register: bool = True) -> None:
+    def _store_load(self, load: ingest.Load, kind: str, attempt: str, register: bool = True) -> None:
         """Store what can be loaded; an error only if nothing can. ``load.problems`` has the rest."""
         batches, original = load.loadable()
         if batches.isEmpty():
@@ -165,12 +184,12 @@ class Workspace:
             if problem is not None:
                 raise ValueError(f"{problem['source']}: {problem['problem']}")
         if register:
-            self._add_loaded(self._catalog_rows(batches.select("batch_id", "name")))
+            self._add_loaded(self._catalog_rows(batches.select("batch_id", "name")), attempt)
         if kind == "assay":
-            self.store.append("assay", load.records.withColumns({"uncertainty": F.lit(0.0), "method": F.lit(None)}))
+            self.store.append("assay", load.records.withColumns({"uncertainty": F.lit(0.0), "method": F.lit(None)}), attempt)
         else:
-            self.store.append("telemetry", load.records)
-        self.store.append("original", original)
+            self.store.append("telemetry", load.records, attempt)
+        self.store.append("original", original, attempt)
 
     # --- analytics ---------------------------------------------------------------------------------------------------
 

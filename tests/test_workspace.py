@@ -287,3 +287,42 @@ def test_bad_files_do_not_stop_the_others(ws, spark, tmp_path):
     (folder / "good.csv").unlink()
     with pytest.raises(ValueError):
         ws.import_files(str(folder))
+
+
+def test_loads_are_visible_as_a_whole(ws, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "run.csv").write_text(ABSOLUTE)
+    ids = add_five(ws)
+    counts = lambda: [ws.store.read(t).count() for t in ("batches", "telemetry", "original", "loads")]
+    append = ws.store.append
+
+    def failing(table, rows, attempt=None):
+        if table == "original":
+            raise OSError("disk full")
+        append(table, rows, attempt)
+
+    monkeypatch.setattr(ws.store, "append", failing)
+    with pytest.raises(OSError, match="disk full"):
+        ws.import_files(str(folder), load_id="monday")
+    monkeypatch.undo()
+    assert counts() == [5, 0, 0, 0] and "run" not in names(ws.batches())
+    batch = ws.import_files(str(folder), load_id="monday").batches.first()["batch_id"]
+    assert counts()[:2] == [6, 25] and ws.telemetry(batch).count() == 25
+    before = counts()
+    ws.import_files(str(folder), load_id="monday")
+    assert counts() == before and [r["load_id"] for r in ws.loads().collect()] == ["monday"]
+
+    # Two attempts that ran at the same time: the rows of one are seen.
+    append("telemetry", ws.telemetry(batch), "late")
+    assert ws.telemetry(batch).count() == 25
+    ws.store.commit("monday", "late")
+    assert counts()[:2] == [6, 25] and ws.telemetry(batch).count() == 25
+    with pytest.raises(ValueError, match="do not write"):
+        append("users", ws.store.read("users"), "late")
+
+    small = Workspace(ws.spark, str(tmp_path / "small"), buckets=8)
+    for table in ("batches", "telemetry"):
+        ws.store.compact(table, small.store.root)
+    assert small.loads().isEmpty() and small.telemetry(batch).count() == 25
+    assert sorted(names(small.batches())) == sorted([*ids, "run"])
