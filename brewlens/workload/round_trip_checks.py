@@ -10,6 +10,7 @@ def round_trip_sql() -> dict[str, str]:
     v: dict[str, str] = {}
     rows = "batch_id, epoch_us(ts) AS ts_us, variable, value, unit"
     v["stored_telemetry"] = f"SELECT {rows} FROM {TELEMETRY} WHERE value <= 100"
+    v["stored_loads"] = f"SELECT {rows} FROM {TELEMETRY}"
     v["stored_batch"] = f"SELECT {rows} FROM {TELEMETRY} WHERE value <= 100 AND batch_id = '7'"
     v["stored_sensors"] = f"""SELECT variable, source, uncertainty, count(*) AS n, round(sum(value), 4) AS total FROM (
       SELECT variable, NULL AS source, NULL AS uncertainty, value FROM {TELEMETRY}

@@ -53,6 +53,21 @@ def stored_rejects(spark, sf):
     return rejected.groupBy("batch_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_register
+def stored_loads(spark, sf):
+    """Purchases appended outside loads, all the rest by two loads: one of even batches that ran twice at a time, and one of
+    odd batches whose first attempt broke off."""
+    ws = _workspace(spark)
+    rows = B.telemetry(spark, sf)
+    bought, even = F.col("variable") == B.PRODUCT, F.col("batch_id").cast("long") % 2 == 0
+    ws.append_telemetry(rows.where(bought))
+    for part, attempt in ((even, "first"), (even, "second"), (~even, "broken"), (~even, "repeated")):
+        ws.store.append("telemetry", rows.where(~bought & part), attempt)
+        if attempt != "broken":
+            ws.store.commit("even" if part is even else "odd", attempt)
+    return ws.telemetry().select("batch_id", us("ts").alias("ts_us"), "variable", "value", "unit")
+
+
 @_register
 def stored_sensors(spark, sf):
     """Sensor records stored, some of them stored again with another deviation and one deleted, then applied."""
