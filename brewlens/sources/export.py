@@ -7,15 +7,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from brewlens.operators.timeseries import union_assay
+from brewlens.plans.ordered import PIECE
+from brewlens.plans.skew import spread
 
 FORMATS = ("arrow", "csv", "parquet")
 FORMS = ("aligned", "original")
 LISTING = "file string, n_rows long"
+#: Width in time of what one task writes of one batch: a quarter.
+QUARTER = 92 * PIECE
 
 
 def aligned_rows(telemetry: DataFrame, assay: DataFrame | None) -> DataFrame:
@@ -39,16 +43,23 @@ def export_original(original: DataFrame, path: str, fmt: str = "csv") -> list[Da
     ]
 
 
+def _writer(df: DataFrame, partition_by: list[str] | None) -> DataFrameWriter:
+    """With folders, tasks put their files in place themselves; the driver would move one folder after the other. As the
+    target must be new and names of repeated tasks are equal, ``_SUCCESS`` tells a whole export from a broken one.
+    """
+    writer = df.write.mode("errorifexists")
+    if not partition_by:
+        return writer
+    return writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*partition_by)
+
+
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("errorifexists").option("header", True).option(
-        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-    )
-    (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
+    writer = _writer(df, partition_by).option("header", True)
+    writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    _writer(df, partition_by).parquet(path)
 
 
 def arrow_uri(spark: SparkSession, path: str) -> str:
@@ -133,11 +144,21 @@ def check_target(path: str, allowed_root: str | None) -> str:
     return clean
 
 
+def by_batch(df: DataFrame) -> DataFrame:
+    """Rows of one batch (and quarter) in one partition, for writers of a folder per batch: many batches then make one small
+    file each, not one for each task that holds some of their rows; a batch that runs for long is written by several tasks.
+    """
+    quarter = F.floor(F.unix_micros("ts") / F.lit(QUARTER))
+    return spread(df.withColumn("_quarter", quarter), "batch_id", "_quarter").drop("_quarter")
+
+
 def export(df: DataFrame, path: str, fmt: str = "csv", partition_by: list[str] | None = None) -> DataFrame | None:
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format '{fmt}', must be one of {sorted(FORMATS)}")
     if df.isEmpty():
         raise ValueError("no data to export")
+    if partition_by == ["batch_id"]:
+        df = by_batch(df)
     if fmt == "csv":
         return write_csv(df, path, partition_by)
     if fmt == "parquet":

@@ -326,3 +326,22 @@ def test_loads_are_visible_as_a_whole(ws, tmp_path, monkeypatch):
         ws.store.compact(table, small.store.root)
     assert small.loads().isEmpty() and small.telemetry(batch).count() == 25
     assert sorted(names(small.batches())) == sorted([*ids, "run"])
+
+
+def test_export_of_many_writes_a_file_a_batch(spark, tmp_path):
+    """Rows of a batch from several appends lie in one file of its folder; those of another quarter in a second."""
+    store = Workspace(spark, str(tmp_path / "ws"), buckets=2)
+    rows = spark.range(400).select(
+        (F.col("id") % 20).cast("string").alias("batch_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"),
+        F.lit("x").alias("variable"), F.col("id").cast("double").alias("value"), F.lit(None).cast("string").alias("unit"))
+    later = rows.where("batch_id = '3'").withColumn("ts", F.col("ts") + F.expr("INTERVAL 100 DAYS"))
+    for part in (rows.where("id < 200"), rows.where("id >= 200"), later):
+        store.append_telemetry(part)
+    for fmt in ("parquet", "csv"):
+        out = tmp_path / fmt
+        store.export_many(None, str(out), fmt, include_assay=False)
+        files = {d.name: len(list(d.glob("part-*"))) for d in out.glob("batch_id=*")}
+        assert files == {f"batch_id={b}": 2 if b == 3 else 1 for b in range(20)}
+        reader = spark.read.option("header", True)
+        back = reader.parquet(str(out)) if fmt == "parquet" else reader.csv(str(out))
+        assert back.count() == 420 and back.agg(F.sum(F.col("value").cast("double"))).first()[0] == 79_800 + sum(range(3, 400, 20))
