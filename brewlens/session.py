@@ -81,6 +81,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, and read from there.
+
+    Like :func:`cut_lineage`, for rows that are many or may be few: repeated texts take little space, and the size that Spark
+    sees decides how the rows are joined.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, which every executor can read."""
     ensure_checkpoint_dir(spark)

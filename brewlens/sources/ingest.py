@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from brewlens import constants as K
 from brewlens.functions import kernels
 from brewlens.functions import scalars as S
-from brewlens.session import cut_lineage
+from brewlens.session import cut_lineage, kept
 from brewlens.sources import delimited, workbook
 
 
@@ -74,12 +75,19 @@ def is_unit_row(fields: Column) -> Column:
     return (F.size(texts) > 0) & F.forall(texts, lambda x: F.array_contains(known, x))
 
 
+def position(major: Column, minor: Column) -> Column:
+    """One number that orders rows by ``major``, then ``minor`` (longs from 0 on; null comes first)."""
+    high, low = (F.coalesce(c.cast("decimal(19,0)") + 1, F.lit(0).cast("decimal(19,0)")) for c in (major, minor))
+    return high * F.lit(Decimal(1 << 63)) + low
+
+
 def column_statistics(rows: DataFrame) -> DataFrame:
     """(source, col_no, filled, numbers, dated, day_first, mean, first_number) from every row (source, pos, fields).
 
     ``filled`` counts cells with text, ``numbers`` those that are numbers, ``dated`` those that look like a date;
     ``day_first`` holds if some cell has a day that can be no month in front. Sums are combined before the shuffle.
-    A file's header and unit rows take part: they hold neither numbers nor dates.
+    A file's header and unit rows take part: they hold neither numbers nor dates. ``pos`` is a number, for which sums
+    are hashed; for a struct or a text all cells would be sorted (see :func:`position`).
     """
     cells = rows.select("source", "pos", F.posexplode("fields").alias("col_no", "cell")).where(F.trim("cell") != "")
     number = S.numeric(F.col("cell"))
@@ -227,7 +235,8 @@ def melt(rows: DataFrame, plan: DataFrame, reference: Column) -> tuple[DataFrame
         F.coalesce(F.bool_or(F.when(F.col("is_ts"), F.col("day_first"))), F.lit(False)).alias("day_first"),
         F.transform(F.sort_array(F.collect_list(F.struct("col_no", "header"))), lambda s: s["header"]).alias("headers"),
     )
-    joined = rows.join(per_source, "source")
+    # Kept, so that the plan of few files is broadcast and their rows stay where they are.
+    joined = rows.join(kept(per_source, "plan"), "source")
     raw_ts = F.get("fields", F.col("ts_col"))
     elapsed = S.elapsed_to_timestamp(S.numeric(raw_ts), F.col("elapsed_unit"), reference)
     timed = joined.withColumn("ts", F.when(F.col("elapsed"), elapsed).otherwise(S.parse_timestamp(raw_ts, F.col("day_first"))))
@@ -292,7 +301,7 @@ def load_delimited(
     records, unclosed = delimited.read_records(delimited.read_lines(spark, path))
     records = cut_lineage(records)
     fields = delimited.split_line(F.col("line"), F.col("sep")).alias("fields")
-    rows = records.select("source", F.struct("block", "pos").alias("pos"), fields)
+    rows = records.select("source", position(F.col("block"), F.col("pos")).alias("pos"), fields)
     heads = delimited.head_lines(records, 2).select("source", "rn", fields)
     plan = cut_lineage(plan_columns(heads, rows, custom_vocab, confirmed))
     name = F.lit(batch_name) if batch_name else _base_name(F.col("source"))

@@ -562,7 +562,7 @@ def _raw_plan(spark, rows: DataFrame) -> DataFrame:
     """Column plan from the header and all rows of each file."""
     header = rows.select("source").distinct().select(
         "source", F.lit(0).alias("rn"), F.array(*[F.lit(h) for h in _HEADER]).alias("fields"))
-    body = rows.select("source", F.struct("l_orderkey", "n", "l_partkey").alias("pos"), "fields")
+    body = rows.select("source", ingest.position(F.col("l_orderkey"), F.col("n")).alias("pos"), "fields")
     return ingest.plan_columns(header, body)
 
 

@@ -346,3 +346,22 @@ def test_a_quote_that_nothing_closes(spark, tmp_path):
     assert problems == {"open": "a quote is not closed"}
     assert got["open"][1] == ["2026-01-01", "a\nb"] and got["open"][-1] == ["2026-01-03", "c"] and len(got["open"]) == 4
     assert [r[1] for r in got["fine"]] == ["note", '5" disk', 'c"']
+
+
+def test_column_sums_are_hashed_and_rows_stay(spark):
+    """Cells are not sorted for their sums, and rows meet the plan of a few files without an exchange of their own."""
+    long = "block bigint, at bigint, a string, b string"
+    rows = spark.createDataFrame([(1, 0, "0.5", "7"), (0, 1 << 40, "x", "8"), (0, 1 << 41, "3", "9"), (None, 5, "", "6")], long).select(
+        F.lit("f").alias("source"), ingest.position(F.col("block"), F.col("at")).alias("pos"), F.array("a", "b").alias("fields"))
+    found = ingest.column_statistics(rows)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert {r["col_no"]: r["first_number"] for r in found.collect()} == {0: 3.0, 1: 6.0}
+
+    heads = spark.createDataFrame([("f", 0, ["time", "pH"])], "source string, rn int, fields array<string>")
+    data = spark.range(20).select(
+        F.lit("f").alias("source"), F.col("id").alias("pos"),
+        F.array(F.concat(F.lit("2026-01-01 00:00:"), F.lpad(F.col("id").cast("string"), 2, "0")), F.lit("7.0")).alias("fields"))
+    records, _ = ingest.melt(data.select("source", "fields"), ingest.plan_columns(heads, data), F.lit(None).cast("timestamp"))
+    assert "Exchange hashpartitioning" not in records._jdf.queryExecution().executedPlan().toString()
+    assert records.agg(F.count("ts"), F.sum("value")).first() == (20, 140.0)
