@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brewlens.plans.ordered import carry
-from brewlens.session import cut_lineage
+from brewlens.session import kept
 
 SEPARATORS = ",;\t|"
 
@@ -20,11 +20,13 @@ MARKS = {"FFFE": "utf-16le", "FEFF": "utf-16be", "EFBBBF": "utf-8"}
 
 def _encodings(raw: DataFrame) -> DataFrame:
     """(source, encoding) decided once per file: by its mark, else UTF-8 if all its lines are, else ISO 8859-1."""
-    head = F.min_by(F.hex(F.substring("bytes", 1, 3)), F.struct(*ORDER))
+    first = F.hex(F.substring("bytes", 1, 3))
+    mark = F.coalesce(*[F.when(F.startswith(first, F.lit(m)), F.lit(i)) for i, m in enumerate(MARKS)], F.lit(len(MARKS)))
+    # A file's first line is the first of its first split; numbers only, so that lines are hashed and not sorted.
     found = raw.groupBy("source").agg(
-        head.alias("head"), F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("valid"), F.count(F.lit(1)).alias("lines")
+        F.min_by(mark, F.when(F.col("block") == 0, F.col("pos"))).alias("mark"), F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("valid"), F.count(F.lit(1)).alias("lines")
     )
-    marked = F.coalesce(*[F.when(F.startswith("head", F.lit(m)), F.lit(e)) for m, e in MARKS.items()])
+    marked = F.coalesce(*[F.when(F.col("mark") == i, F.lit(e)) for i, e in enumerate(MARKS.values())])
     return found.select(
         "source", F.coalesce(marked, F.when(F.col("valid"), "utf-8").otherwise("iso-8859-1")).alias("encoding"), "lines"
     )
@@ -46,7 +48,7 @@ def _wide_lines(raw: DataFrame) -> DataFrame:
     ends = F.when(little, (at % 2 == 0) & (F.hex(F.substring("bytes", 1, 1)) == "00")).otherwise(
         (at % 2 == 1) & (F.hex(F.expr("substring(before.bytes, -1, 1)")) == "00")
     )
-    opened = cut_lineage(along).withColumn("opens", F.col("before").isNull() | F.coalesce(ends, F.lit(False)))
+    opened = kept(along, "pieces").withColumn("opens", F.col("before").isNull() | F.coalesce(ends, F.lit(False)))
     owned = carry(
         opened.drop("before", "upto"), ["source"], ORDER, F.col("block"),
         forward={"owner": (F.when(F.col("opens"), F.struct("block", "pos")), True)}, piece=SPLIT,
@@ -77,20 +79,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"), F.col("value").cast("binary").alias("bytes"),
     )
-    encodings = cut_lineage(_encodings(raw))
-    known = raw.join(encodings, "source")
+    # Only files that are not plain UTF-8 of several lines are looked up; where these are few, no line moves.
+    encodings = kept(_encodings(raw).where("encoding <> 'utf-8' OR lines = 1"), "encodings")
+    known = raw.join(encodings, "source", "left").withColumn("encoding", F.coalesce("encoding", F.lit("utf-8")))
     narrow = known.where(F.col("encoding").isin("utf-8", "iso-8859-1"))
     line = F.when(F.col("encoding") == "utf-8", F.col("bytes").cast("string")).otherwise(F.decode("bytes", "iso-8859-1"))
     # A file in one line may have carriage returns for line ends.
     text = F.regexp_replace(line, "^\ufeff", "")
-    parts = F.when(F.col("lines") == 1, F.split(text, "\r(?!$)")).otherwise(F.array(text))
+    parts = F.when(F.coalesce("lines", F.lit(0)) == 1, F.split(text, "\r(?!$)")).otherwise(F.array(text))
     lines = narrow.select("source", "block", "pos", F.posexplode(parts).alias("part", "line")).select(
         "source", "block", (F.col("pos") + F.col("part")).alias("pos"), "line"
     )
     wide = F.startswith("encoding", F.lit("utf-16"))
     if encodings.where(wide).isEmpty():
-        return cut_lineage(lines)
-    return cut_lineage(lines.unionByName(_wide_lines(known.where(wide))))
+        return kept(lines, "lines")
+    return kept(lines.unionByName(_wide_lines(known.where(wide))), "lines")
 
 
 def _quoting(line: str, sep: str) -> tuple[Column, Column]:
@@ -116,15 +119,15 @@ def _open_fields(lines: DataFrame) -> DataFrame:
     number of lines that swap the states matters. Both are carried along each file.
     """
     quoted = lines.where(F.contains("line", F.lit('"')))
-    out, kept = _quoting("line", "sep")
-    acts = quoted.select("source", *ORDER, out.alias("from_out"), kept.alias("from_in")).where("from_out OR NOT from_in")
+    out, within = _quoting("line", "sep")
+    acts = quoted.select("source", *ORDER, out.alias("from_out"), within.alias("from_in")).where("from_out OR NOT from_in")
     swaps = F.col("from_out") & ~F.col("from_in")
-    counted = carry(cut_lineage(acts), ["source"], ORDER, F.col("block"), running={"swaps": swaps.cast("long")}, piece=SPLIT)
+    counted = carry(kept(acts, "quotes"), ["source"], ORDER, F.col("block"), running={"swaps": swaps.cast("long")}, piece=SPLIT)
     settled = F.when(F.col("from_out") == F.col("from_in"), F.struct("from_out", "swaps"))
     along = carry(counted, ["source"], ORDER, F.col("block"), forward={"settled": (settled, False)}, piece=SPLIT)
     before = F.col("swaps") - swaps.cast("long") - F.coalesce(F.col("settled.swaps"), F.lit(0))
     inside = F.coalesce(F.col("settled.from_out"), F.lit(False)) != (before % 2 == 1)
-    states = cut_lineage(along).withColumn("inside", inside).withColumn(
+    states = kept(along, "states").withColumn("inside", inside).withColumn(
         "left_inside", F.when(F.col("inside"), F.col("from_in")).otherwise(F.col("from_out"))
     )
     closes = F.when(F.col("inside") & ~F.col("left_inside"), F.struct(*ORDER))
@@ -138,11 +141,13 @@ def read_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Lines of one split are numbered in a row, so the lines between an opening and its closing line are known by
     their numbers; only these lines are exchanged. A quote that nothing closes is a problem; its line stays alone.
     """
-    known = lines.join(cut_lineage(dialects(lines)), "source")
-    opened = cut_lineage(_open_fields(known))
+    known = lines.join(kept(dialects(lines), "dialects"), "source")
+    opened = kept(_open_fields(known), "opened")
     problems = opened.where("end IS NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(
         "source", F.lit("a quote is not closed").alias("problem")
     )
+    if opened.where("end IS NOT NULL").isEmpty():
+        return _records(known.select("source", *ORDER, "line", "sep")), problems
     spans = opened.where("end IS NOT NULL").select("source", F.struct(*ORDER).alias("start"), "end")
     blocks = lines.groupBy("source", "block").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
     met = spans.join(blocks, "source").where("block BETWEEN start.block AND end.block")
@@ -157,8 +162,12 @@ def read_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = marked.where("start IS NOT NULL").groupBy("source", "start", "sep").agg(parts.alias("parts")).select(
         "source", "start.block", "start.pos", F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"), "sep"
     )
-    whole = single.unionByName(several).withColumn("line", F.regexp_replace("line", "\r$", "")).where(F.trim("line") != "")
-    return whole, problems
+    return _records(single.unionByName(several)), problems
+
+
+def _records(whole: DataFrame) -> DataFrame:
+    """Records without the carriage return at their ends; blank ones are left out."""
+    return whole.withColumn("line", F.regexp_replace("line", "\r$", "")).where(F.trim("line") != "")
 
 
 def head_lines(records: DataFrame, n: int) -> DataFrame:

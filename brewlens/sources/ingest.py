@@ -299,7 +299,7 @@ def load_delimited(
 ) -> Load:
     """Plan and transform every delimited text file below ``path``; one batch per file."""
     records, unclosed = delimited.read_records(delimited.read_lines(spark, path))
-    records = cut_lineage(records)
+    records = kept(records, "records")
     fields = delimited.split_line(F.col("line"), F.col("sep")).alias("fields")
     rows = records.select("source", position(F.col("block"), F.col("pos")).alias("pos"), fields)
     heads = delimited.head_lines(records, 2).select("source", "rn", fields)

@@ -365,3 +365,19 @@ def test_column_sums_are_hashed_and_rows_stay(spark):
     records, _ = ingest.melt(data.select("source", "fields"), ingest.plan_columns(heads, data), F.lit(None).cast("timestamp"))
     assert "Exchange hashpartitioning" not in records._jdf.queryExecution().executedPlan().toString()
     assert records.agg(F.count("ts"), F.sum("value")).first() == (20, 140.0)
+
+
+def test_plain_lines_do_not_move(spark, tmp_path):
+    """Lines of files in UTF-8 without quotes across lines are neither shuffled nor sorted on their way to records."""
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text(f'time;note\n1;"x;{name}"\n\n2;y\r\n')
+    (tmp_path / "c.csv").write_bytes("time;café\n1;2\n".encode("latin-1"))
+    records, problems = delimited.read_records(delimited.read_lines(spark, str(tmp_path)))
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
+    found = sorted((r["source"][-5], r["line"]) for r in records.collect())
+    assert found == [
+        ("a", '1;"x;a"'), ("a", "2;y"), ("a", "time;note"), ("b", '1;"x;b"'), ("b", "2;y"), ("b", "time;note"),
+        ("c", "1;2"), ("c", "time;café"),
+    ]
+    assert problems.isEmpty() and {r["sep"] for r in records.collect()} == {";"}
