@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from brewlens.session import drop_folder, shared_folder
 
+#: Ways that one task joins or groups; a round has as many tasks as its ways need.
+WAYS = 1 << 20
+
 
 def edges(operations: DataFrame, across_batches: bool = False) -> DataFrame:
     """(batch_id, parent_id, child_id); parents that do not exist are ignored."""
@@ -24,7 +27,8 @@ def edges(operations: DataFrame, across_batches: bool = False) -> DataFrame:
 def closure(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, from_id, to_id, depth): all nodes reached from each node, with the length of the shortest way.
 
-    Ways double: a round joins all ways of up to 2**k steps with themselves, so that the number of rounds is the logarithm
+    Ways double: a round prolongs the ways of exactly 2**k steps by all of up to 2**k (every shortest way of up to twice
+    as many begins with one), so that the number of rounds is the logarithm
     of the longest way and not its length. If no shortest way has exactly 2**k steps there is none longer. Each
     round is a table in the shared folder that replaces the one before; an observed maximum ends the loop without a job
     of its own. A way back to its start is none, which also ends cycles.
@@ -32,22 +36,26 @@ def closure(pairs: DataFrame, keys: list[str]) -> DataFrame:
     spark, folder = pairs.sparkSession, shared_folder(pairs.sparkSession, "lineage")
     columns = [*keys, "from_id", "to_id"]
 
-    def write(rows: DataFrame) -> tuple[DataFrame, int]:
+    def write(rows: DataFrame) -> tuple[DataFrame, int, int]:
         longest = Observation()
         path = f"{folder}/{uuid.uuid4().hex}"
-        rows.observe(longest, F.max("depth").alias("longest")).write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path), longest.get["longest"] or 0
+        rows.observe(longest, F.max("depth").alias("longest"), F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path), longest.get["longest"] or 0, longest.get["n"] or 0
 
     steps = 1
-    ways, longest = write(pairs.where("from_id <> to_id").select(*columns, F.lit(1).alias("depth")).distinct())
+    ways, longest, n = write(pairs.where("from_id <> to_id").select(*columns, F.lit(1).alias("depth")).distinct())
     while longest == steps:
+        # A number that is given is kept at run time; the round at most doubles the ways of trees and rings.
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n // WAYS)
         onward = ways.select(
             *keys, F.col("from_id").alias("via"), F.col("to_id").alias("end_id"), F.col("depth").alias("more")
         )
-        longer = ways.withColumnRenamed("to_id", "via").join(onward, [*keys, "via"]).where("from_id <> end_id")
+        full = ways.where(F.col("depth") == steps).withColumnRenamed("to_id", "via")
+        longer = full.repartition(parts, *keys, "via").join(onward.repartition(parts, *keys, "via"), [*keys, "via"]).where("from_id <> end_id")
         longer = longer.select(*keys, "from_id", F.col("end_id").alias("to_id"), (F.col("depth") + F.col("more")).alias("depth"))
         before = ways.inputFiles()
-        ways, longest = write(ways.unionByName(longer).groupBy(*columns).agg(F.min("depth").alias("depth")))
+        both = ways.unionByName(longer).repartition(parts, *columns)
+        ways, longest, n = write(both.groupBy(*columns).agg(F.min("depth").alias("depth")))
         if before:
             drop_folder(spark, before[0].rsplit("/", 1)[0])
         steps *= 2

@@ -245,3 +245,25 @@ def test_zscores_and_summary(telemetry):
     assert {r["z"] for r in ts.zscores(rows).where("variable = 'do'").collect()} == {0.0}
     s = ts.batch_summary(rows, "od", "do").first()
     assert (s["n_points"], s["n_variables"], s["max_biomass"], s["min_oxygen"]) == (10, 2, 5.0, 3.0)
+
+
+def test_rounds_of_lineage_have_as_many_tasks_as_their_ways_need(spark, monkeypatch):
+    """A ring and a tree against a walk step by step; ways are spread by their number."""
+    from brewlens.operators import lineage
+
+    monkeypatch.setattr(lineage, "WAYS", 20)
+    steps = [(f"r{i}", f"r{(i + 1) % 13}") for i in range(13)] + [(f"t{(i - 1) // 2}", f"t{i}") for i in range(1, 31)]
+    found = lineage.closure(spark.createDataFrame(steps, "from_id string, to_id string"), [])
+    after: dict[str, list[str]] = {}
+    for a, b in steps:
+        after.setdefault(a, []).append(b)
+    want = set()
+    for start in after:
+        seen, at, depth = {start}, [start], 0
+        while at:
+            depth += 1
+            at = [b for b in {b for a in at for b in after.get(a, [])} if b not in seen]
+            seen.update(at)
+            want |= {(start, b, depth) for b in at}
+    assert {tuple(r) for r in found.select("from_id", "to_id", "depth").collect()} == want
+    assert len(found.inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions"))
