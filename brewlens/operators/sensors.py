@@ -9,10 +9,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brewlens.functions.scalars import finite
+from brewlens.session import kept
 
 #: Model types of a sensor record. A ``linear`` one is intercept + sum of coefficient * input; ``pls`` (a fitted projection
 #: is linear in its inputs) centres and scales the inputs before; ``custom`` names a Python model in ``metadata['model']``.
@@ -140,27 +141,35 @@ def usable_records(records: DataFrame, models: Mapping[str, Sensor] | None = Non
 
 
 def _weighted(records: DataFrame, telemetry: DataFrame) -> DataFrame:
-    """Predictions of all linear and pls records in one pass: readings meet the terms that use their variable.
+    """Predictions of all linear and pls records in one pass.
 
     A sensor predicts where all its inputs have a reading at one time; of several the smallest counts.
+    A time point is one row with all its readings and meets each sensor once, by the sensor's first input; nothing is
+    grouped once points have met sensors. Records are kept, so that few of them are broadcast.
     """
     one, none = F.array_repeat(F.lit(1.0), F.size("input_variables")), F.array_repeat(F.lit(0.0), F.size("input_variables"))
     pls = F.col("model_type") == "pls"
-    terms = records.where(F.col("model_type").isin("linear", "pls")).select(
-        "sensor_id", "output_variable", "prediction_std", "intercept", F.size("input_variables").alias("wanted"),
-        F.explode(F.arrays_zip(
-            F.col("input_variables").alias("variable"), F.col("coefficients").alias("coefficient"),
+    weighted = kept(records.where(F.col("model_type").isin("linear", "pls")).select(
+        "sensor_id", "output_variable", "prediction_std", "intercept", F.get("input_variables", F.lit(0)).alias("variable"),
+        F.arrays_zip(
+            F.col("input_variables").alias("input"), F.col("coefficients").alias("coefficient"),
             F.when(pls, F.col("center")).otherwise(none).alias("center"), F.when(pls, F.col("scale")).otherwise(one).alias("scale"),
-        )).alias("t"),
-    ).select("sensor_id", "output_variable", "prediction_std", "intercept", "wanted", "t.*")
-    readings = telemetry.groupBy("batch_id", "ts", "variable").agg(F.min(finite(F.col("value"))).alias("x")).where("x is not null")
-    met = readings.join(terms, "variable")
-    added = F.sum(F.col("coefficient") * (F.col("x") - F.col("center")) / F.col("scale"))
-    return met.groupBy("batch_id", "ts", "sensor_id", "output_variable", "prediction_std", "intercept", "wanted").agg(
-        F.count(F.lit(1)).alias("present"), added.alias("added")
-    ).where("present = wanted").select(
+        ).alias("terms"),
+    ), "sensors")
+    readings = telemetry.where("variable is not null").groupBy("batch_id", "ts", "variable").agg(
+        F.min(finite(F.col("value"))).alias("x")).where("x is not null")
+    points = readings.groupBy("batch_id", "ts").agg(F.map_from_entries(F.collect_list(F.struct("variable", "x"))).alias("at"))
+    met = points.withColumn("variable", F.explode(F.map_keys("at"))).join(weighted, "variable")
+
+    def reading(term: Column) -> Column:
+        return F.try_element_at(F.col("at"), term["input"])
+
+    whole = met.where(F.forall("terms", lambda t: reading(t).isNotNull()))
+    added = F.aggregate(
+        "terms", F.lit(0.0), lambda total, t: total + t["coefficient"] * (reading(t) - t["center"]) / t["scale"])
+    return whole.select(
         "sensor_id", "batch_id", "ts", F.col("output_variable").alias("variable"),
-        (F.col("intercept") + F.col("added")).alias("value"), F.col("prediction_std").alias("uncertainty"),
+        (F.col("intercept") + added).alias("value"), F.col("prediction_std").alias("uncertainty"),
         F.lit(SOURCE).alias("source"),
     )
 

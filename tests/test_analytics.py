@@ -267,3 +267,24 @@ def test_rounds_of_lineage_have_as_many_tasks_as_their_ways_need(spark, monkeypa
             want |= {(start, b, depth) for b in at}
     assert {tuple(r) for r in found.select("from_id", "to_id", "depth").collect()} == want
     assert len(found.inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_weighted_sensors_group_nothing_after_the_join(spark, telemetry):
+    from brewlens.operators import sensors
+    from brewlens.schemas import SENSORS
+
+    def record(name, kind, inputs, weights, **more):
+        row = {"sensor_id": name, "output_variable": f"est_{name}", "input_variables": inputs, "model_type": kind,
+               "coefficients": weights, "intercept": 1.0, "prediction_std": 0.5} | more
+        return tuple(row.get(f) for f in SENSORS.names)
+
+    records = spark.createDataFrame([
+        record("one", "linear", ["a"], [2.0]), record("both", "pls", ["b", "a"], [3.0, 1.0], center=[1.0, 0.0], scale=[2.0, 1.0]),
+        record("twice", "linear", ["a", "a"], [1.0, 1.0]), record("never", "linear", ["a", "z"], [1.0, 1.0]),
+    ], SENSORS)
+    rows = telemetry(signal_rows("x", "a", [1, 2, float("nan")]), signal_rows("x", "b", [5, 5]), signal_rows("x", "a", [0.5]))
+    made = sensors.apply_records(records, rows)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Aggregate" not in plan[: plan.index("BroadcastHashJoin")]
+    assert sorted((r["sensor_id"], r["value"]) for r in made.collect()) == [
+        ("both", 7.5), ("both", 9.0), ("one", 2.0), ("one", 5.0), ("twice", 2.0), ("twice", 5.0)]
