@@ -17,7 +17,7 @@ from brewlens.operators import sensors, signals
 from brewlens.operators import timeseries as ts
 from brewlens.plans.ordered import ordinals
 from brewlens.plans.skew import tenant_scope
-from brewlens.session import cut_lineage, ensure_checkpoint_dir
+from brewlens.session import cut_lineage, ensure_checkpoint_dir, kept
 from brewlens.sources import ingest, landed
 from brewlens.streaming import online
 
@@ -376,9 +376,9 @@ def online_cover(spark, sf):
 
 @_register
 def detected_metrics(spark, sf):
-    """Detection and metrics in one plan."""
+    """Detection and metrics; the metrics meet the phases twice, which are found and kept once."""
     rows = B.activity(spark, sf)
-    found = phases.detect_phases(rows, phases.DetectionConfig("activity", min_size=5, penalty=2.0))
+    found = kept(phases.detect_phases(rows, phases.DetectionConfig("activity", min_size=5, penalty=2.0)), "phases")
     m = metrics.batch_metrics(rows, found, "activity")
     return m.select("batch_id", "phase_type", us("start_ts").alias("start_us"), r6("mu").alias("mu"))
 

@@ -288,3 +288,15 @@ def test_weighted_sensors_group_nothing_after_the_join(spark, telemetry):
     assert "BroadcastHashJoin" in plan and "Aggregate" not in plan[: plan.index("BroadcastHashJoin")]
     assert sorted((r["sensor_id"], r["value"]) for r in made.collect()) == [
         ("both", 7.5), ("both", 9.0), ("one", 2.0), ("one", 5.0), ("twice", 2.0), ("twice", 5.0)]
+
+
+def test_detected_phases_are_found_once(spark, tmp_path):
+    from brewlens.workload import queries
+
+    spark.range(120).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("ts"),
+        (F.col("id") % 2).alias("user_id"), F.lit("click").alias("event_type"), F.exp(F.col("id") / 40).alias("value"),
+        F.lit("").alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    found = queries()["detected_metrics"](spark, str(tmp_path))
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("phase_type = 'exponential'").count() == 2
