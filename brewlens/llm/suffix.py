@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brewlens.llm.common import partitions, pick, slices, stored
+from brewlens.llm import common
+from brewlens.llm.common import pick, slices, stored
 
 MIN_WORDS, GRAM = 50, 20
 REACH = MIN_WORDS - GRAM + 1
@@ -45,6 +46,16 @@ COARSE = 46
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 KEY = ["id", "tie"]
+#: Rows of one task of an ordered exchange.
+TASK_ROWS = 1 << 16
+
+
+def partitions(rows: DataFrame) -> int:
+    """How many tasks an ordered exchange of stored rows gets: what they need, at most the session's number.
+
+    Each task writes a file, and where Hadoop has no native library the executor's JVM forks to set a new file's rights.
+    """
+    return min(common.partitions(rows), 1 + rows.count() // TASK_ROWS)
 
 
 def retained(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +196,7 @@ def _pass(rows: DataFrame, order: list[str], last: bool) -> DataFrame:
     The first pass orders by the words that follow and bounds ``right_most``; of suffixes with equal words on both sides,
     whose match is then whole, one goes on. The last orders by the words before and bounds ``left_most``. Suffixes whose
     bounds leave no match go no further. What touches the end of a range has unknown neighbours, so that its bound is all
-    its words.
+    its words. ``row`` numbers the rows.
     """
     names = _names(f"{CONTEXT}, {BOUNDS}" if last else CONTEXT)
 
@@ -225,7 +236,7 @@ def _pass(rows: DataFrame, order: list[str], last: bool) -> DataFrame:
 
     ranges = [*order, *KEY, "pos"]
     put = rows.select(*names).repartitionByRange(partitions(rows), *ranges).sortWithinPartitions(*ranges)
-    return stored(put.mapInArrow(compare, PASS), "neighbours")
+    return stored(put.mapInArrow(compare, PASS).withColumn("row", F.monotonically_increasing_id()), "neighbours")
 
 
 LINKED = "row long, back long, met long"
@@ -301,14 +312,12 @@ def _between(suffixes: DataFrame) -> DataFrame:
     all its windows keyed.
     """
     open_grams = suffixes.where("best_left + best_right < left_most + right_most").select("gram").distinct()
-    asked = stored(
-        suffixes.join(open_grams, "gram", "left_semi").withColumn("row", F.monotonically_increasing_id()), "asked"
-    )
+    asked = suffixes.join(open_grams, "gram", "left_semi")
     coarse = _linked(_keyed(asked, COARSE, MIN_WORDS - COARSE + 1)).select("row").distinct()
-    found = _linked(_keyed(asked.join(coarse, "row", "left_semi"), MIN_WORDS, 1))
+    found = _linked(_keyed(suffixes.join(coarse, "row", "left_semi"), MIN_WORDS, 1))
     spans = found.groupBy("row", "met").agg(F.max("back").alias("back"), F.min("back").alias("least_back"))
-    place = asked.select("row", *KEY, "pos")
-    met = asked.select(F.col("row").alias("met"), F.col("id").alias("other"), F.col("pos").alias("other_pos"))
+    place = suffixes.select("row", *KEY, "pos")
+    met = suffixes.select(F.col("row").alias("met"), F.col("id").alias("other"), F.col("pos").alias("other_pos"))
     return spans.join(place, "row").join(met, "met").select(
         *KEY, (F.col("pos") - F.col("back")).alias("first"),
         (F.col("pos") - F.col("least_back") + MIN_WORDS).alias("stop"),
@@ -340,6 +349,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     Positions are in words. The match is one other occurrence, of the longest single match within the passage.
     """
     rows = _marked(docs)
+    # Classes and grams are stored, so that joins with them can be broadcast or split where one is very frequent.
     found = stored(_suffixes(rows), "suffixes")
     place = F.struct("id", "tie")
     classes = stored(

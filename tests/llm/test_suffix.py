@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from brewlens.llm import suffix
+from brewlens.llm.common import Scratch
 
 N = suffix.MIN_WORDS
 
@@ -120,3 +121,24 @@ def test_repeated_rows_null_ids_and_empty(spark):
     got = covered(suffix.repeats(rows).collect())
     assert got == {3: set(range(70)), None: set(range(1, 71))}
     assert suffix.repeats(rows.where("false")).count() == 0
+
+
+def test_few_rows_are_few_files(spark, docs):
+    """Ordered exchanges of few rows are one task, whatever the session's number, and no table is stored to number its rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        with Scratch(spark) as scope:
+            got = covered(suffix.repeats(frame(spark, docs)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = {p: len(spark.read.parquet(p).inputFiles()) for p in scope.paths}
+    scope.release()
+    assert got == {docs[k][0]: v for k, v in plain(docs).items()}
+    assert len(files) <= 11
+    assert all(n <= 1 for p, n in files.items() if "/neighbours-" in p or "/linked-" in p)
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "TASK_ROWS", 10)
+    assert [suffix.partitions(spark.range(n)) for n in (0, 9, 10, 25, 1000)] == [1, 1, 2, 3, 4]
