@@ -81,14 +81,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read from there.
 
     Like :func:`cut_lineage`, for rows that are many or may be few: repeated texts take little space, and the size that Spark
-    sees decides how the rows are joined.
+    sees decides how the rows are joined. ``options`` are those of the writer.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

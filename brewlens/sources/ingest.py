@@ -244,16 +244,16 @@ def melt(rows: DataFrame, plan: DataFrame, reference: Column) -> tuple[DataFrame
     rejects = timed.where(F.col("ts").isNull() & ~heading).select(
         "source", "fields", F.lit("timestamp not readable").alias("reason")
     )
-    # Each cell is parsed once, inside the array, and cells that are no numbers never become rows.
-    parsed = F.transform("columns", lambda c: F.struct(
+    # Cells are looked up inside the array and parsed behind it, where code is compiled; cells that are no numbers end there.
+    cells = F.transform("columns", lambda c: F.struct(
         c["variable"].alias("variable"), c["unit"].alias("unit"), c["factors"].alias("f"), c["limits"].alias("q"),
-        c["warning"].alias("warning"), S.numeric(F.get("fields", c["col_no"])).alias("raw"),
+        c["warning"].alias("warning"), F.get("fields", c["col_no"]).alias("cell"),
     ))
-    present = F.filter(parsed, lambda c: c["raw"].isNotNull())
-    numbers = timed.select("source", "ts", F.explode(F.when(F.col("ts").isNotNull(), present)).alias("c"))
-    converted = F.expr("(c.raw - c.f.subtract) * c.f.multiply / c.f.divide")
+    single = timed.select("source", "ts", F.explode(F.when(F.col("ts").isNotNull(), cells)).alias("c"))
+    numbers = single.withColumn("raw", S.numeric(F.col("c.cell"))).where("raw IS NOT NULL")
+    converted = F.expr("(raw - c.f.subtract) * c.f.multiply / c.f.divide")
     records = numbers.select(
-        "source", "ts", "c.variable", F.coalesce(converted, F.col("c.raw")).alias("value"), "c.unit", "c.q", "c.warning"
+        "source", "ts", "c.variable", F.coalesce(converted, F.col("raw")).alias("value"), "c.unit", "c.q", "c.warning"
     ).withColumn("quality_flag", F.expr(
         "CASE WHEN value < q.low THEN 'below_minimum' WHEN value > q.high THEN 'above_maximum' END"
     ))
@@ -299,10 +299,10 @@ def load_delimited(
 ) -> Load:
     """Plan and transform every delimited text file below ``path``; one batch per file."""
     records, unclosed = delimited.read_records(delimited.read_lines(spark, path))
-    records = kept(records, "records")
     fields = delimited.split_line(F.col("line"), F.col("sep")).alias("fields")
-    rows = records.select("source", position(F.col("block"), F.col("pos")).alias("pos"), fields)
-    heads = delimited.head_lines(records, 2).select("source", "rn", fields)
+    records = kept(records.select("source", *delimited.ORDER, fields), "records")
+    rows = records.select("source", "pos", "fields")
+    heads = delimited.head_lines(records, 2)
     plan = cut_lineage(plan_columns(heads, rows, custom_vocab, confirmed))
     name = F.lit(batch_name) if batch_name else _base_name(F.col("source"))
     batches = plan.select("source").distinct().select("source", S.stable_id(F.lit("file"), F.col("source")).alias("batch_id"), name.alias("name"))

@@ -381,3 +381,31 @@ def test_plain_lines_do_not_move(spark, tmp_path):
         ("c", "1;2"), ("c", "time;café"),
     ]
     assert problems.isEmpty() and {r["sep"] for r in records.collect()} == {";"}
+
+
+def test_lines_of_records_with_breaks_do_not_move(spark, tmp_path):
+    """Lines of files in UTF-16 or with quotes across lines are neither shuffled nor sorted on their way to records."""
+    text = "time,note,pH\n" + "".join(f'2026-01-01 00:00:{i:02d},"order {i}\n\nsaid ""ok"", {i}\n",7.{i}\n' for i in range(60))
+    (tmp_path / "narrow").write_text(text)
+    (tmp_path / "little").write_bytes(b"\xff\xfe" + text.encode("utf-16-le"))
+    (tmp_path / "big").write_bytes(b"\xfe\xff" + text.encode("utf-16-be"))
+    (tmp_path / "long").write_text('time,note\n1,"' + "a,b\n" * 300 + '"\n2,c\n')
+    (tmp_path / "open").write_text('time,note\n1,"a\nb"\n2,"never\n' + "3,c\n" * 300)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        records, problems = delimited.read_records(delimited.read_lines(spark, str(tmp_path)))
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        rows = records.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["source"], r["block"], r["pos"])):
+        found.setdefault(r["source"].split("/")[-1], []).append(r["line"])
+    expected = ["time,note,pH", *(f'2026-01-01 00:00:{i:02d},"order {i}\n\nsaid ""ok"", {i}\n",7.{i}' for i in range(60))]
+    assert found["narrow"] == found["little"] == found["big"] == expected
+    assert found["long"] == ["time,note", '1,"' + "a,b\n" * 300 + '"', "2,c"]
+    assert found["open"] == ["time,note", '1,"a\nb"', '2,"never', *["3,c"] * 300]
+    assert [(r["source"].split("/")[-1], r["problem"]) for r in problems.collect()] == [("open", "a quote is not closed")]
+    assert len({(r["source"], r["block"], r["pos"]) for r in rows}) == len(rows)
